@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, simhash, tokens
+from . import decontaminate, pii, quality, simhash, tokens
 
 QUERIES = {
+    "op1_pii": pii.op1_pii,
     "op4_decontamination": decontaminate.op4_decontamination,
     "op6_token_sstable": tokens.op6_token_sstable,
     "op9_simhash": simhash.op9_simhash,
+    "op10_quality": quality.op10_quality,
 }
 ORACLE_SQL = {"op4_decontamination": decontaminate.OP4_SQL}
