@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from . import decontaminate, pii, quality, simhash, tokens
+from . import decontaminate, mixing, pii, quality, simhash, tokens, warc
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
+    "op2_mixing": mixing.op2_mixing,
+    "op3_warc": warc.op3_warc,
     "op4_decontamination": decontaminate.op4_decontamination,
     "op6_token_sstable": tokens.op6_token_sstable,
     "op9_simhash": simhash.op9_simhash,
     "op10_quality": quality.op10_quality,
 }
-ORACLE_SQL = {"op4_decontamination": decontaminate.OP4_SQL}
+ORACLE_SQL = {
+    "op2_mixing": mixing.OP2_SQL,
+    "op3_warc": warc.OP3_SQL,
+    "op4_decontamination": decontaminate.OP4_SQL,
+}
