@@ -13,6 +13,7 @@ with a null component; an empty table gives no rows; columns other than doc_id a
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,24 +57,41 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return by_rows(docs.select("doc_id", "text"), make, "doc_id long, fp long")
 
 
-def variants(fp: np.ndarray) -> np.ndarray:
-    """The 64 keys of each fingerprint, as a matrix: half, wildcard bit and the half's other bits in one number."""
+def wide_fingerprint(text: bytes, shingle: int) -> np.ndarray:
+    """A fingerprint of 128 bits, as two numbers, over XXH3's 128-bit hashes of the different shingles."""
+    words = text.lower().split()
+    grams = list(set(map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)))) if len(words) >= shingle else [b" ".join(words)] * bool(words)
+    digest, counts, n = xxhash.xxh3_128_digest, np.zeros(128, np.int64), len(grams)
+    for at in range(0, n, 1 << 15):
+        h = np.frombuffer(b"".join(map(digest, grams[at : at + (1 << 15)])), np.uint8).reshape(-1, 16)
+        counts += np.unpackbits(h, axis=1).sum(0, dtype=np.int64)
+    return np.packbits(counts * 2 > n).view("<u8")
+
+
+def variants(fp: np.ndarray, lane: int = 0) -> np.ndarray:
+    """The 64 keys of each fingerprint, as a matrix: lane, half, wildcard bit and the half's other bits in one number."""
     halves = np.stack([fp & np.uint64(0xFFFFFFFF), fp >> np.uint64(32)], axis=1)
     bits = np.arange(32, dtype=np.uint64)
     rest = halves[:, :, None] & ~(np.uint64(1) << bits)[None, None, :]
-    tag = (np.arange(2, dtype=np.uint64)[:, None] * np.uint64(32) + bits[None, :]) << np.uint64(32)
+    half = np.arange(2 * lane, 2 * lane + 2, dtype=np.uint64)
+    tag = (half[:, None] * np.uint64(32) + bits[None, :]) << np.uint64(32)
     return (rest | tag[None, :, :]).reshape(len(fp), 64)
 
 
-def _forest(fp: np.ndarray, most: int) -> list[tuple[int, int]]:
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits that differ between rows of fingerprints (rows by lanes)."""
+    return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
+
+
+def _forest(checks: np.ndarray, most: int) -> list[tuple[int, int]]:
     """Indices of links that connect what is connected by links within ``most`` bits: a breadth-first search whose
     frontier looks only at what is not reached yet."""
-    left, links = np.arange(len(fp)), []
+    left, links = np.arange(len(checks)), []
     while len(left):
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             at = queue.pop()
-            near = np.bitwise_count(fp[left] ^ fp[at]) <= most
+            near = _apart(checks[left], checks[at]) <= most
             if near.any():
                 new = left[near]
                 links += [(at, x) for x in new]
@@ -82,51 +100,54 @@ def _forest(fp: np.ndarray, most: int) -> list[tuple[int, int]]:
     return links
 
 
-def link(classes: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """classes: fp and node, one row a different fingerprint.  Gives links (a, b) between nodes: verified, and enough
-    of them to connect all that links within the distance connect."""
-    if distance > 3:
-        raise ValueError("two halves with one wildcard reach a distance of three bits")
+def link(classes: DataFrame, keys: list[str], checks: list[str], distance: int) -> DataFrame:
+    """classes: node and fingerprints, one row a different set of fingerprints.
+
+    Rows meet if one half of one of the ``keys`` differs in at most one bit; they are linked if the ``checks`` together
+    differ in at most ``distance`` bits.  Gives links (a, b) between nodes: enough of them to connect all that the
+    verified links connect.
+    """
+    n, m = len(keys), len(checks)
 
     def spread():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            fp = batch.column(0).to_numpy()
-            keys = variants(fp.view(np.uint64)).view(np.int64)
-            rows = np.repeat(np.arange(len(fp)), 64)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(keys.ravel()), pa.array(fp[rows]), pa.array(batch.column(1).to_numpy()[rows])], ["key", "fp", "node"]
-            )
+            rows = np.repeat(np.arange(batch.num_rows), 64 * n)
+            found = [variants(batch.column(1 + i).to_numpy().view(np.uint64), i) for i in range(n)]
+            cols = [np.concatenate(found, axis=1).view(np.int64).ravel()]
+            cols += [batch.column(i).to_numpy()[rows] for i in (0, *range(1 + n, 1 + n + m))]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "node", *(f"c{i}" for i in range(m))])
 
         return step
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry = None
         for batch in batches:
-            got = [batch.column(i).to_numpy() for i in range(3)]
+            got = [batch.column(i).to_numpy() for i in range(2 + m)]
             if carry is not None:
                 got = [np.concatenate(x) for x in zip(carry, got, strict=True)]
             whole = int(np.searchsorted(got[0], got[0][-1]))  # the last key may go on in the next batch
             carry = [x[whole:] for x in got]
-            yield from _pairs(*(x[:whole] for x in got), distance)
+            yield from _pairs([x[:whole] for x in got], distance)
         if carry is not None:
-            yield from _pairs(*carry, distance)
+            yield from _pairs(carry, distance)
 
-    keyed = by_rows(classes.select("fp", "node"), spread, "key long, fp long, node long")
+    keyed = by_rows(classes.select("node", *keys, *(F.col(c).alias(f"c{i}") for i, c in enumerate(checks))), spread, ", ".join(["key long", "node long", *(f"c{i} long" for i in range(m))]))
     # keys of one fingerprint only are the rule; sorting lets a task hold one key's rows and not a whole partition
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long")
 
 
-def _pairs(key: np.ndarray, fp: np.ndarray, node: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
+def _pairs(got: list[np.ndarray], most: int) -> Iterator[pa.RecordBatch]:
+    key, node = got[:2]
     if len(key) < 2:
         return
-    fp = fp.view(np.uint64)
+    checks = np.stack(got[2:], axis=1).view(np.uint64)
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     sizes = np.diff(np.r_[starts, len(key)])
     two = starts[sizes == 2]
-    ok = np.bitwise_count(fp[two] ^ fp[two + 1]) <= most
+    ok = _apart(checks[two], checks[two + 1]) <= most
     a, b = [node[two][ok]], [node[two + 1][ok]]
     for s, n in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
-        links = _forest(fp[s : s + n], most)
+        links = _forest(checks[s : s + n], most)
         if links:
             x, y = np.array(links).T
             a.append(node[s + x])
@@ -137,26 +158,61 @@ def _pairs(key: np.ndarray, fp: np.ndarray, node: np.ndarray, most: int) -> Iter
         yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], ["a", "b"])
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """doc_id, fp and component_id (smallest doc_id reachable) of every row.
+def _named(rows: DataFrame, prints: list[str], keys: list[str], checks: list[str], distance: int) -> DataFrame:
+    """rows (doc_id and fingerprints, materialized) with component_id.
 
     A class of equal fingerprints is named by its smallest doc_id, so the smallest name of a component is the answer.
     """
+    classes = through_disk(rows.where("doc_id IS NOT NULL").groupBy(*prints).agg(F.min("doc_id").alias("node")), "classes")
+    found = components(link(classes, keys, checks, distance))
+    named = classes.join(found, "node", "left").select(*prints, F.coalesce("component", "node").alias("component_id"))
+    out = rows.join(named, prints, "left")
+    return out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+    """doc_id, fp and component_id (smallest doc_id reachable) of every row: fingerprints within ``distance`` bits."""
+    if distance > 3:
+        raise ValueError("two halves with one wildcard reach a distance of three bits")
     fps = through_disk(fingerprints(docs, shingle), "fingerprints")
-    classes = through_disk(fps.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("node")), "classes")
-    found = components(link(classes, distance))
-    named = classes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return fps.join(named, "fp", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
+    return _named(fps, ["fp"], ["fp"], ["fp"], distance)
+
+
+#: For similar texts: words of a shingle that decides, the similarity (Jaccard) of these shingles, words of a shingle
+#: that finds candidates.
+DECIDING, SIMILARITY, FINDING = 5, 0.8, 2
+
+
+def similar(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id and component_id of every row, for texts that are alike by ``similarity`` or more in five-word shingles.
+
+    Five-word fingerprints of such texts differ in more bits than halves with one wildcard can find, so two-word
+    fingerprints (of which an edit changes fewer shingles) find the candidates: any of four halves within one bit.  The
+    five-word fingerprint of 128 bits decides, by the share of bits in which texts of that similarity differ.
+    """
+    most = round(128 * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+    names = ["k0", "k1", "v0", "v1"]
+
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            texts = utf8(batch.column(1))
+            both = np.array([np.concatenate([wide_fingerprint(t, FINDING), wide_fingerprint(t, DECIDING)]) for t in texts]).view(np.int64)
+            return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(np.ascontiguousarray(both[:, i])) for i in range(4))], ["doc_id", *names])
+
+        return step
+
+    prints = by_rows(docs.select("doc_id", "text"), make, "doc_id long, k0 long, k1 long, v0 long, v1 long")
+    return _named(through_disk(prints, "wide-fingerprints"), names, names[:2], names[2:], most).select("doc_id", "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """docs without near-duplicates: of each component the row with the smallest identifier stays (one row, if the
-    identifier is repeated); rows without an identifier stay."""
-    found = near_duplicates(docs, shingle, distance)
-    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
+def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """docs without near-duplicates, all columns: of each component of similar texts the row with the smallest
+    identifier stays (one row, if the identifier is repeated); rows without an identifier stay."""
+    found = similar(docs, similarity)
+    slim = through_disk(found, "components")
+    gone = slim.where("component_id <> doc_id").select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    repeats = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    if not repeats:
+    if not slim.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count():
         return kept
     named = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
     return named.unionByName(kept.where("doc_id IS NULL"))
