@@ -2,15 +2,17 @@
 
 Documents fall into cells of source, language and topic; a value that has no target of its own falls into ``other``,
 so the number of cells is bounded by the targets (a parameter), not by the data.  A cell's weight is its tokens.  The
-weights are raked to each marginal in turn until they settle; a cell's rate is its raked over its natural weight, and
-a document stays if a hash of its identifier, as a number from 0 to 1, is below the rate over the largest rate.  Then
-the expected tokens of every marginal stand in the target proportions, with as many documents kept as that allows.
+weights, times a probability that starts at the budget (the share of all tokens that the mixture is to keep), are
+raked to each marginal in turn until they settle; a probability never passes 1, and what a full cell can't give the
+others of its marginal take over.  A document stays if a hash of its identifier, as a number from 0 to 1, is below its
+cell's probability, so in expectation the tokens of every marginal stand in the target proportions as far as the
+documents allow.
 
 The topic of a document without such a column is the kind of its text: tabular, contact, legal, short or prose.
 
 Cases: null in source, language, topic or text is ``other``, ``other`` and the kind short; a document without words has
 weight 0 and its cell's rate; a target for a value that doesn't occur is left out and the rest scaled up; a value
-without a target or with target 0 while others have some isn't kept; repeated identifiers share their fate; rows with
+without a target of its own shares other's, and one with target 0 isn't kept; repeated identifiers share their fate; rows with
 a null identifier are hashed as an empty one; an empty table gives no rows.
 """
 
@@ -22,13 +24,14 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-ROUNDS = 40
+#: Rounds of raking, and the share of all tokens that the mixture is to keep.
+ROUNDS, BUDGET = 40, 0.85
 OTHER = "other"
 #: Shares of the tokens that the mixture is to have; the rest up to 1 is other's.
 TARGETS: dict[str, dict[str, float]] = {
     "source": {"src0": 0.30} | {f"src{i}": 0.70 / 19 for i in range(1, 20)},
     "lang": {"en": 0.55, "de": 0.16, "fr": 0.16, "es": 0.13},
-    "topic": {"prose": 0.78, "legal": 0.04, "contact": 0.08, "tabular": 0.06, "short": 0.04},
+    "topic": {"prose": 0.905, "legal": 0.035, "contact": 0.03, "tabular": 0.024, "short": 0.006},
 }
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -50,21 +53,23 @@ def cells_of(docs: DataFrame, targets: dict[str, dict[str, float]]) -> dict[str,
     return {k: F.when(own[k].isin(*[v for v in t if v != OTHER]), own[k]).otherwise(F.lit(OTHER)) for k, t in targets.items()}
 
 
-def rake(weights: dict[tuple, float], targets: list[dict[str, float]], rounds: int = ROUNDS) -> dict[tuple, float]:
-    """Rates of the cells: raked over natural weight.  A cell of weight 0 has the product of its factors, too."""
+def rake(weights: dict[tuple, float], targets: list[dict[str, float]], budget: float = BUDGET, rounds: int = ROUNDS) -> dict[tuple, float]:
+    """Probabilities of the cells: expected tokens meet each marginal of ``budget`` times all tokens in turn, a
+    probability never passing 1."""
     cells = sorted(weights)
     w = np.array([weights[c] for c in cells], float)
-    rate = np.ones(len(cells))
+    p = np.full(len(cells), float(budget))
     index = [np.unique([c[d] for c in cells], return_inverse=True) for d in range(len(targets))] if cells else []
     for _ in range(rounds):
         for (values, at), target in zip(index, targets, strict=True):
-            now = np.bincount(at, w * rate, len(values))
+            now = np.bincount(at, w * p, len(values))
             rest = max(0.0, 1.0 - sum(v for k, v in target.items() if k != OTHER))
             want = np.array([target.get(v, rest if v == OTHER else 0.0) for v in values.tolist()])
             want = np.where(now > 0, want, 0.0)
-            want = want * now.sum() / want.sum() if want.sum() > 0 else now
-            rate = rate * np.where(now > 0, want / np.where(now > 0, now, 1.0), 1.0)[at]
-    return dict(zip(cells, rate.tolist(), strict=True))
+            if want.sum() > 0:
+                want = want * (budget * w.sum()) / want.sum()
+                p = np.minimum(1.0, p * np.where(now > 0, want / np.where(now > 0, now, 1.0), 1.0)[at])
+    return dict(zip(cells, p.tolist(), strict=True))
 
 
 def uniform(doc_id: Column) -> Column:
@@ -76,13 +81,11 @@ def tokens_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def rates(docs: DataFrame, targets: dict[str, dict[str, float]] = TARGETS, rounds: int = ROUNDS) -> dict[tuple, float]:
+def rates(docs: DataFrame, targets: dict[str, dict[str, float]] = TARGETS, budget: float = BUDGET, rounds: int = ROUNDS) -> dict[tuple, float]:
     """One pass over the documents; the driver sees one number for each cell."""
     cells = cells_of(docs, targets)
     sums = docs.groupBy(*[c.alias(f"cell_{k}") for k, c in cells.items()]).agg(F.sum(tokens_of(F.col("text"))).alias("tokens_in_cell")).collect()
-    found = rake({tuple(r)[:-1]: float(r["tokens_in_cell"] or 0) for r in sums}, list(targets.values()), rounds)
-    most = max(found.values(), default=1.0) or 1.0
-    return {c: r / most for c, r in found.items()}
+    return rake({tuple(r)[:-1]: float(r["tokens_in_cell"] or 0) for r in sums}, list(targets.values()), budget, rounds)
 
 
 def probability(docs: DataFrame, found: dict[tuple, float], targets: dict[str, dict[str, float]] = TARGETS) -> Column:
@@ -93,9 +96,9 @@ def probability(docs: DataFrame, found: dict[tuple, float], targets: dict[str, d
     return F.coalesce(F.element_at(F.create_map(*pairs), key), F.lit(0.0))
 
 
-def mix(docs: DataFrame, targets: dict[str, dict[str, float]] = TARGETS, rounds: int = ROUNDS) -> DataFrame:
+def mix(docs: DataFrame, targets: dict[str, dict[str, float]] = TARGETS, budget: float = BUDGET, rounds: int = ROUNDS) -> DataFrame:
     """The sampled rows of docs, with all their columns; Spark expressions only."""
-    return docs.where(uniform(F.col("doc_id")) < probability(docs, rates(docs, targets, rounds), targets))
+    return docs.where(uniform(F.col("doc_id")) < probability(docs, rates(docs, targets, budget, rounds), targets))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,19 +120,19 @@ def _sql() -> str:
     steps = [
         f"""d AS MATERIALIZED (SELECT doc_id, {fold("source", "source")} AS source, {fold("lang", "lang")} AS lang, {fold("topic", topic)} AS topic,
   len(regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n_tokens FROM (SELECT *, coalesce(text, '') AS t FROM documents))""",
-        "c0 AS MATERIALIZED (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS w, 1.0::DOUBLE AS r FROM d GROUP BY ALL)",
+        f"c0 AS MATERIALIZED (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS w, {BUDGET}::DOUBLE AS r FROM d GROUP BY ALL)",
     ]
     n = 0
     for _ in range(ROUNDS):
         for k in TARGETS:
             steps += [
                 f"m{n} AS MATERIALIZED (SELECT {k}, s, CASE WHEN s > 0 THEN CASE {k} {one(k)} ELSE {rest[k]!r} END ELSE 0 END AS want FROM (SELECT {k}, sum(w * r) AS s FROM c{n} GROUP BY 1))",
-                f"c{n + 1} AS MATERIALIZED (SELECT source, lang, topic, w, r * CASE WHEN s > 0 AND tw > 0 THEN want * ts / tw / s ELSE 1 END AS r FROM c{n} JOIN m{n} USING ({k}), (SELECT sum(s) AS ts, sum(want) AS tw FROM m{n}))",
+                f"c{n + 1} AS MATERIALIZED (SELECT source, lang, topic, w, CASE WHEN tw > 0 THEN least(1.0, r * CASE WHEN s > 0 THEN want * ({BUDGET} * ts) / tw / s ELSE 1 END) ELSE r END AS r FROM c{n} JOIN m{n} USING ({k}), (SELECT sum(want) AS tw FROM m{n}), (SELECT sum(w) AS ts FROM c0))",
             ]
             n += 1
     return f"""WITH {", ".join(steps)}
-SELECT doc_id, source, lang, topic, n_tokens, round(r / mx, 6) AS probability, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0 < r / mx AS kept
-FROM d JOIN c{n} USING (source, lang, topic), (SELECT max(r) AS mx FROM c{n})"""
+SELECT doc_id, source, lang, topic, n_tokens, round(r, 6) AS probability, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0 < r AS kept
+FROM d JOIN c{n} USING (source, lang, topic)"""
 
 
 OP2_SQL = _sql()
