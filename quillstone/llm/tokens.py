@@ -13,6 +13,7 @@ than doc_id and text are ignored.
 from __future__ import annotations
 
 import bisect
+import functools
 import re
 import struct
 import uuid
@@ -21,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -44,41 +46,88 @@ class Encoder:
 
     Texts are cut only where the byte-level pre-tokenizer cuts anyway (before a space that stands before a
     non-space), so a piece has the ids that it has inside its text.  The ids of short pieces are remembered in two
-    generations of at most ``memo`` pieces each, so that frequent ones stay.
+    generations of at most ``memo`` pieces each, so that frequent ones stay.  New pieces are encoded many at a time as
+    one text: each begins with a token that begins with the space, which shows where its ids start.
     """
 
-    def __init__(self, path: str, memo: int = 400_000, longest: int = 40):
+    def __init__(self, path: str, memo: int = 250_000, longest: int = 40):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.memo, self.longest = Tokenizer.from_file(path), memo, longest
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        size = self.tokenizer.get_vocab_size()
+        self.width = 2 if size <= 1 << 16 else 4
+        self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """For each text its ids as little-endian unsigned 32-bit integers."""
+        """For each text its ids as little-endian unsigned 32-bit integers.
+
+        Arrow cuts the texts and numbers their different pieces; only a piece that is new is handled by itself, and the
+        ids of all pieces are then gathered at once.
+        """
+        plain = [i for i, t in enumerate(texts) if not _ODD.search(t)]
+        out: list[bytes] = [b""] * len(texts)
+        for i, ids in zip(plain, self._plain([texts[i] for i in plain]) if plain else (), strict=True):
+            out[i] = ids
+        for i in set(range(len(texts))).difference(plain):
+            pieces = _CUT.split(texts[i])
+            out[i] = b"".join(self._ids([pieces[0], *(f" {x}" for x in pieces[1:])]))
+        return out
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        """Texts in which every space stands before a non-space."""
         if len(self.young) > self.memo:
             self.young, self.old = {}, self.young
-        cut = [t.split(" ") if not _ODD.search(t) else _CUT.split(t) for t in texts]
-        heads = [x[0] for x in cut]  # the first piece of a text has no space before it
-        young, old = self.young, self.old
-        new, once = [], {}
-        for piece in set().union(*(x[1:] for x in cut)).difference(young) if cut else ():
-            if (ids := old.get(piece)) is not None:
-                young[piece] = ids
-            else:
-                new.append(piece)
-        got = self._ids([f" {x}" for x in new] + heads)
-        for piece, ids in zip(new, got, strict=False):
-            (young if len(piece) <= self.longest else once)[piece] = ids
+        cut = pc.split_pattern(pa.array(texts, pa.string()), " ")
+        coded = cut.flatten().dictionary_encode()
+        firsts = cut.offsets.to_numpy()
+        at = coded.indices.to_numpy().copy()
+        pieces = coded.dictionary.to_pylist()
+        young, old, new, once = self.young, self.old, [], {}
+        for piece in pieces:
+            if piece not in young:
+                if (ids := old.get(piece)) is not None:
+                    young[piece] = ids
+                else:
+                    new.append(piece)
+        for i in range(0, len(new), 10_000):
+            part = new[i : i + 10_000]
+            for piece, ids in zip(part, self._many(part), strict=True):
+                (young if len(piece) <= self.longest else once)[piece] = ids
         find = young.__getitem__ if not once else {**young, **once}.__getitem__
-        return [b"".join([head, *map(find, x[1:])]) for head, x in zip(got[len(new) :], cut, strict=True)]
+        # the first piece of a text has no space before it
+        known = [*map(find, pieces), *self._ids([t.partition(" ")[0] for t in texts])]
+        at[firsts[:-1]] = len(pieces) + np.arange(len(texts))
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        begins = np.cumsum(sizes) - sizes
+        flat, counts = np.frombuffer(b"".join(known), "<u4"), sizes[at]
+        ends = np.cumsum(counts)
+        data = flat[np.repeat(begins[at] - (ends - counts), counts) + np.arange(ends[-1])].tobytes()
+        bounds = (np.concatenate([[0], ends])[firsts] * 4).tolist()
+        return [data[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+
+    def _many(self, pieces: list[str]) -> list[bytes]:
+        """The ids of pieces without a space in them, each as after a space."""
+        ids = np.asarray(self.tokenizer.encode_batch_fast([" " + " ".join(pieces)], add_special_tokens=False)[0].ids, "<u4")
+        starts = np.flatnonzero(self.opens[ids])
+        if len(starts) != len(pieces) or starts[0] != 0:
+            return self._ids([f" {x}" for x in pieces])
+        data, ends = ids.tobytes(), [*(starts[1:] * 4).tolist(), 4 * len(ids)]
+        return [data[a:b] for a, b in zip((starts * 4).tolist(), ends, strict=True)]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [
-            np.asarray(e.ids, dtype="<u4").tobytes()
-            for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        ]
+        out = []
+        for at in range(0, len(texts), 1000):
+            got = self.tokenizer.encode_batch_fast(texts[at : at + 1000], add_special_tokens=False)
+            out += [np.asarray(e.ids, dtype="<u4").tobytes() for e in got]
+        return out
+
+
+@functools.lru_cache(maxsize=1)
+def encoder_of(path: str) -> Encoder:
+    """A worker's encoder: its memory serves all tasks that the worker runs."""
+    return Encoder(path)
 
 
 def _varint(n: int) -> bytes:
@@ -244,10 +293,10 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 0, at: str | Non
     target.create_dir(root, recursive=True)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, writer, path = Encoder(tokenizer), None, ""
+        encoder, writer, path = encoder_of(tokenizer), None, ""
         end, prior, repeat, first = np.uint32(end_id).tobytes(), object(), 0, None
         for whole in batches:
-            for batch in slices(whole, 4 << 20):
+            for batch in slices(whole, 8 << 20):
                 if writer is None:
                     path = f"{at}/shard-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.sst"
                     system, inner = filesystem(path)
