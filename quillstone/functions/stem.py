@@ -12,6 +12,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 # Suffixes of steps 2 to 4 and their replacements, in the order of the paper.
 STEP2 = (
@@ -110,7 +111,7 @@ def _folded(ch: str) -> str:
     return ch.lower()
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def _analyze(words: pd.Series) -> pd.Series:
     return words.map(lambda x: [analyzed(w) for w in x] if x is not None else None)
 
