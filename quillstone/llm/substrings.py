@@ -25,15 +25,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_rows, table, through_disk, utf8
+from .common import by_rows, table, utf8
 
 WINDOW, ANCHOR = 13, 5
 #: Words of a shard's index at most; a partition of more is searched in parts by anchor.
-SHARD_WORDS = 4 << 20
+SHARD_WORDS = 1 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _NONE = np.iinfo(np.int64).max
 
@@ -71,10 +72,13 @@ def anchors(h: np.ndarray, lengths: np.ndarray, window: int = WINDOW, k: int = A
     return t, first - begin[t], last - begin[t], pos[first] - begin[t], best[first]
 
 
-def row_hash(doc_id: pa.Array, texts: list[bytes]) -> np.ndarray:
-    """Tells a row from others, also from one with the same identifier and another text."""
-    ids = doc_id.to_pylist()
-    return np.fromiter((xxhash.xxh3_64_intdigest(t, (d or 0) & (1 << 64) - 1) for d, t in zip(ids, texts, strict=True)), np.uint64, len(texts)).view(np.int64)
+def keyed(docs: DataFrame) -> DataFrame:
+    """row (a hash that tells a row from others, also from one with the same identifier and another text), doc_id, text.
+
+    Both joins of the operator start from this frame, so Spark shuffles the texts once and reads that exchange twice.
+    """
+    base = docs.select(F.col("doc_id").cast("long"), "text")
+    return base.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
 
 
 def _laid_out(texts: list[bytes]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
@@ -84,16 +88,14 @@ def _laid_out(texts: list[bytes]) -> tuple[list[list[bytes]], np.ndarray, np.nda
     return words, lengths, word_hashes(flat)
 
 
-def shared_anchors(docs: DataFrame) -> DataFrame:
-    """(row, at): positions of anchors that rows other than this one have, too; may hold a position twice."""
+def shared_anchors(rows: DataFrame) -> DataFrame:
+    """rows: as ``keyed`` gives them.  (row, at): positions of anchors that rows other than this one have, too; may hold a position twice."""
 
     def emit():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts = utf8(batch.column(1))
-            rows = row_hash(batch.column(0), texts)
-            _, lengths, h = _laid_out(texts)
+            _, lengths, h = _laid_out(utf8(batch.column(1)))
             t, _, _, at, g = anchors(h, lengths)
-            row = rows[t]
+            row = batch.column(0).to_numpy()[t]
             order = np.lexsort((row, g))
             g, row, at = g[order], row[order], at[order]
             first = np.r_[True, g[1:] != g[:-1]][: len(g)]
@@ -105,19 +107,18 @@ def shared_anchors(docs: DataFrame) -> DataFrame:
             # a settled anchor goes to its row directly; its first one also stands for the batch
             send = ~known | first
             key = np.concatenate([g[send].view(np.int64), row[known]])
-            return pa.RecordBatch.from_arrays(
-                [pa.array(key), pa.array(np.concatenate([row[send], row[known]])), pa.array(np.concatenate([at[send], at[known]]).astype(np.int32)), pa.array(np.r_[np.zeros(send.sum(), bool), np.ones(known.sum(), bool)])],
-                ["key", "row", "at", "settled"],
-            )
+            at = np.concatenate([at[send], -1 - at[known]]).astype(np.int32)  # below 0: settled
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.concatenate([row[send], row[known]])), pa.array(at)], ["key", "row", "at"])
 
         return step
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry = None
         for batch in batches:
-            got = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
-            yield _pick([x[got[3]] for x in got])
-            got = [x[~got[3]] for x in got[:3]]
+            got = [batch.column(i).to_numpy() for i in range(3)]
+            settled = got[2] < 0
+            yield _pick([got[0][settled], got[1][settled], -1 - got[2][settled]])
+            got = [x[~settled] for x in got]
             if carry is not None:
                 got = [np.concatenate(x) for x in zip(carry, got, strict=True)]
             if not len(got[0]):
@@ -147,8 +148,8 @@ def shared_anchors(docs: DataFrame) -> DataFrame:
             np.logical_or.at(mixed, group, row != base)
             yield _pick([x[mixed[group]] for x in got])
 
-    rows = by_rows(docs.select("doc_id", "text"), emit, "key long, row long, at int, settled boolean")
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "row long, at int")
+    sent = by_rows(rows.where("doc_id IS NOT NULL").select("row", "text"), emit, "key long, row long, at int")
+    return sent.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "row long, at int")
 
 
 class WaveletMatrix:
@@ -187,24 +188,18 @@ class FMIndex:
     """Over segments of word numbers laid end to end, each followed by a separator (0)."""
 
     def __init__(self, text: np.ndarray, sigma: int, window: int = WINDOW):
-        n = len(text)
-        rank, step = text.astype(np.int64), 1
-        order = np.argsort(rank, kind="stable")
-        while True:  # prefix doubling up to the window: longer suffixes needn't be told apart
-            if step > 1:
+        n, rank, step = len(text), text.astype(np.int64), 1
+        while step < window:  # prefix tripling, then doubling, up to the window: longer suffixes needn't be told apart
+            key, width = rank, int(rank.max()) + 2
+            more = 3 if width**3 < 1 << 62 else 2
+            for k in range(1, more):
                 after = np.zeros(n, np.int64)
-                after[: n - step // 2] = rank[step // 2 :] + 1
-                key = rank * (rank.max() + 2) + after
-                order = np.argsort(key, kind="stable")
-                sorted_key = key[order]
-            else:
-                sorted_key = rank[order]
-            new = np.r_[False, sorted_key[1:] != sorted_key[:-1]]
+                after[: max(0, n - k * step)] = rank[k * step :] + 1
+                key = key * width + after
+            order = np.argsort(key)
             rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(new)
-            if step >= window:
-                break
-            step *= 2
+            rank[order] = np.r_[0, np.cumsum(np.diff(key[order]) != 0)]
+            step *= more
         self.order = order
         self.count = np.r_[0, np.cumsum(np.bincount(text, minlength=sigma))]
         self.bwt = WaveletMatrix(text[order - 1], sigma)
@@ -232,55 +227,43 @@ class FMIndex:
         return first + self.bwt.rank(symbol, lo), first + self.bwt.rank(symbol, hi)
 
 
-def first_owners(segments: list[list[bytes]], owner: np.ndarray, window: int = WINDOW) -> list[np.ndarray]:
-    """For each segment and each of its windows the smallest owner of a segment that has the same window."""
-    vocab: dict[bytes, int] = {}
-    numbers = [vocab.setdefault(w, len(vocab) + 1) for s in segments for w in s]
-    lengths = np.array([len(s) for s in segments], np.int64)
-    begin = np.cumsum(lengths + 1) - lengths - 1
-    text = np.zeros(int((lengths + 1).sum()), np.int64)
-    seg = np.repeat(np.arange(len(segments)), lengths)
-    text[np.arange(len(numbers)) + seg] = numbers
-    index = FMIndex(text, len(vocab) + 1, window)
-    owners = np.repeat(owner, lengths + 1)[index.order]
-    tops = index.tops[window]
-    least = np.minimum.reduceat(owners, tops[:-1])
-    out = [np.empty(max(0, n - window + 1), np.int64) for n in lengths]
-    which = np.flatnonzero(lengths >= window)
+def first_owners(segments: pa.Array, owner: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """segments: words joined by spaces.  For each window of each segment the smallest owner of a segment that has the
+    same window, one after the other, and where each segment's begin."""
+    words = pc.split_pattern(segments, b" ")
+    coded = words.flatten().dictionary_encode()
+    offsets = words.offsets.to_numpy().astype(np.int64)
+    lengths = np.diff(offsets)
+    begin = offsets[:-1] + np.arange(len(lengths))
+    text = np.zeros(int(lengths.sum()) + len(lengths), np.int64)
+    text[np.arange(offsets[-1]) + np.repeat(np.arange(len(lengths)), lengths)] = coded.indices.to_numpy() + 1
+    index = FMIndex(text, len(coded.dictionary) + 1, window)
+    least = np.minimum.reduceat(np.repeat(owner, lengths + 1)[index.order], index.tops[window][:-1])
+    counts = np.maximum(0, lengths - window + 1)
+    into = np.cumsum(counts) - counts
+    out = np.empty(int(counts.sum()), np.int64)
+    which = np.flatnonzero(counts)
     lo, hi = np.zeros(len(which), np.int64), np.full(len(which), index.n, np.int64)
-    at = begin[which] + lengths[which]
-    done = 0
+    at, done = begin[which] + lengths[which], 0
     while len(which):
         at = at - 1
         lo, hi = index.back(text[at], lo, hi)
         done += 1
         if done < window:
             continue
-        answer = least[index.classes[window][lo]]
         start = at - begin[which]
-        for i, s, a in zip(which.tolist(), start.tolist(), answer.tolist(), strict=True):
-            out[i][s] = a
+        out[into[which] + start] = least[index.classes[window][lo]]
         # without the last word, the interval of the first window - 1 words; then one word more to the left
         cls = index.classes[window - 1][lo]
         lo, hi = index.tops[window - 1][cls], index.tops[window - 1][cls + 1]
         more = start > 0
         which, at, lo, hi = which[more], at[more], lo[more], hi[more]
-    return out
+    return out, into
 
 
-def repeated_windows(docs: DataFrame) -> DataFrame:
+def repeated_windows(rows: DataFrame) -> DataFrame:
     """(doc_id, row, first, last): runs of windows of a row that start in a document with a smaller identifier."""
-    sure = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
-
-    def keyed():
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            rows = row_hash(batch.column(0), utf8(batch.column(1)))
-            return pa.RecordBatch.from_arrays([pa.array(rows), batch.column(0), batch.column(1)], ["row", "doc_id", "text"])
-
-        return step
-
-    positions = shared_anchors(sure).groupBy("row").agg(F.collect_set("at").alias("at"))
-    rows = by_rows(sure, keyed, "row long, doc_id long, text string")
+    positions = shared_anchors(rows).groupBy("row").agg(F.collect_set("at").alias("at"))
     met = rows.join(positions, "row")
 
     def cut():
@@ -341,21 +324,20 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
         at, ids = coded.indices.to_numpy(), every.column(1).to_numpy()
         owner = np.full(len(coded.dictionary), _NONE)
         np.minimum.at(owner, at, ids)
-        least = first_owners([s.split(b" ") for s in coded.dictionary.to_pylist()], owner)
-        rows, firsts = every.column(2).to_numpy(), every.column(3).to_numpy()
-        out = []
-        for i, d, r, a in zip(at.tolist(), ids.tolist(), rows.tolist(), firsts.tolist(), strict=True):
-            less = least[i] < d
-            if less.all():
-                out.append((d, r, a, a + len(less) - 1))
-            elif less.any():
-                edge = np.flatnonzero(np.diff(np.r_[False, less, False]))
-                out += [(d, r, a + int(x), a + int(y) - 1) for x, y in zip(edge[::2], edge[1::2], strict=True)]
-            if len(out) >= 50_000:
-                yield _runs(out)
-                out = []
-        if out:
-            yield _runs(out)
+        least, into = first_owners(coded.dictionary, owner)
+        rows, first, last = (every.column(i).to_numpy() for i in (2, 3, 4))
+        # every row's windows against its own identifier, then the runs of those with a smaller owner
+        counts = (last - first + 1).astype(np.int64)
+        begin = np.cumsum(counts) - counts
+        of = np.repeat(np.arange(len(counts)), counts)
+        within = np.arange(len(of)) - begin[of]
+        less = least[into[at][of] + within] < ids[of]
+        starts = np.flatnonzero(less & ~np.r_[False, less[:-1] & (of[1:] == of[:-1])])
+        ends = np.flatnonzero(less & ~np.r_[less[1:] & (of[1:] == of[:-1]), False])
+        if len(starts):
+            r = of[starts]
+            cols = (ids[r], rows[r], (first[r] + within[starts]).astype(np.int32), (first[r] + within[ends]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["doc_id", "row", "first", "last"])
 
     segments = by_rows(met.select("row", "doc_id", "text", "at"), cut, "anchor long, doc_id long, row long, first int, last int, words binary")
     return segments.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(search, "doc_id long, row long, first int, last int")
@@ -364,11 +346,6 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
 _SEGMENTS = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("row", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("words", pa.binary())])
 
 
-def _runs(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "row", "first", "last"])
-
-
 def covered(n: int, runs: list[tuple[int, int]], window: int = WINDOW) -> np.ndarray:
     """Which of n words the windows of the runs cover."""
     edge = np.zeros(n + 1, np.int64)
@@ -380,14 +357,8 @@ def covered(n: int, runs: list[tuple[int, int]], window: int = WINDOW) -> np.nda
 
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the kept words joined by a space) of every row."""
-    runs = through_disk(repeated_windows(docs), "windows")
-    runs = runs.groupBy("row", "doc_id").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
-
-    def keyed():
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(row_hash(batch.column(0), utf8(batch.column(1)))), batch.column(0), batch.column(1)], ["row", "doc_id", "text"])
-
-        return step
+    rows = keyed(docs)
+    runs = repeated_windows(rows).groupBy("row").agg(F.collect_list(F.struct("doc_id", "first", "last")).alias("runs"))
 
     def finish():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -396,7 +367,7 @@ def dedup(docs: DataFrame) -> DataFrame:
                 words = text.split()
                 n = len(words)
                 if runs:
-                    gone = covered(n, [(r["first"], r["last"]) for r in runs])
+                    gone = covered(n, [(r["first"], r["last"]) for r in runs if r["doc_id"] == doc_id])
                     words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
                 out.append((doc_id, n, n - len(words), b" ".join(words).decode()))
             cols = list(zip(*out, strict=True))
@@ -405,9 +376,7 @@ def dedup(docs: DataFrame) -> DataFrame:
 
         return step
 
-    rows = by_rows(docs.select(F.col("doc_id").cast("long"), "text"), keyed, "row long, doc_id long, text string")
-    # the row's hash and the identifier name a row; the runs are one row for each, and none for most
-    joined = rows.join(runs, ["row", "doc_id"], "left").select("doc_id", "text", "runs")
+    joined = rows.join(runs, "row", "left").select("doc_id", "text", "runs")
     return by_rows(joined, finish, "doc_id long, n_words long, n_removed long, kept string")
 
 
