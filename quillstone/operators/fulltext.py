@@ -149,7 +149,7 @@ def phrase_hits(table: DataFrame, words: str, field: str = "all", buckets: int =
     rows = table.where(F.col("term").isin(*terms) & F.col("bucket").isin(*_buckets(table, terms, buckets)))
     if field != "all":
         rows = rows.where(F.col("field") == field)
-    shifted = [F.when(F.col("term") == t, F.transform("positions", lambda p, i=i: p - i)) for i, t in enumerate(terms)]
+    shifted = [F.when(F.col("term") == t, F.transform("positions", _minus(i))) for i, t in enumerate(terms)]
     if len(set(terms)) == len(terms):
         start = F.coalesce(*shifted)
         met = rows.select("id", "dl", "field", F.explode(start).alias("start")).groupBy("id", "dl", "field", "start").count().where(F.col("count") == len(terms))
@@ -159,6 +159,10 @@ def phrase_hits(table: DataFrame, words: str, field: str = "all", buckets: int =
     return met.groupBy("id", "dl").agg(F.count("*").alias("hits"))
 
 
+def _minus(n: int):
+    return lambda position: position - n
+
+
 def _buckets(table: DataFrame, terms: list[str], buckets: int) -> list[int]:
     spark = table.sparkSession
     one = spark.createDataFrame([(t,) for t in terms], "term string").select(F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("b"))
