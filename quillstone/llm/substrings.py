@@ -2,7 +2,9 @@
 
 The index is a compressed FM-index per shard over words.  A window of 13 words goes to the shard that its anchor names
 (the five-word piece with the smallest hash in it), so equal windows always meet in one shard and the shards' total
-size follows the input, whatever their number.  Consecutive windows with one anchor travel as one segment.  In two steps:
+size follows the input, whatever their number.  Consecutive windows with one anchor travel as one segment.
+
+Texts that a smaller document has word for word are settled by their hashes.  For the others, in two steps:
 
 1. Anchors that occur in one text only can be in no repeated window.  Tasks exchange anchors (a hash, a row's hash and a
    position); anchors that several rows of a batch share are settled before the exchange, and one of them stands for
@@ -30,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_rows, table, utf8
+from .common import by_rows, table, through_disk, utf8
 
 WINDOW, ANCHOR = 13, 5
 #: Words of a shard's index at most; a partition of more is searched in parts by anchor.
@@ -81,6 +83,17 @@ def keyed(docs: DataFrame) -> DataFrame:
     return base.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
 
 
+def copies(rows: DataFrame) -> DataFrame:
+    """row of each text that a document with a smaller identifier has word for word: all its windows are repeated.
+
+    Two hashes of each text travel, not the text; the smallest identifiers are grouped with partial minima and joined as
+    one row a text, so Spark can split a text that very many rows have.
+    """
+    slim = rows.select("row", "doc_id", *(F.xxhash64(F.lit(i), "text").alias(f"h{i}") for i in (1, 2))).where("doc_id IS NOT NULL")
+    first = slim.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"))
+    return slim.join(first, ["h1", "h2"]).where("doc_id > first").select("row").distinct()
+
+
 def _laid_out(texts: list[bytes]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
     words = [t.split() for t in texts]
     lengths = np.array([len(w) for w in words], np.int64)
@@ -89,11 +102,12 @@ def _laid_out(texts: list[bytes]) -> tuple[list[list[bytes]], np.ndarray, np.nda
 
 
 def shared_anchors(rows: DataFrame) -> DataFrame:
-    """rows: as ``keyed`` gives them.  (row, at): positions of anchors that rows other than this one have, too; may hold a position twice."""
+    """rows: as ``keyed`` gives them, without copies.  (row, at): positions of anchors that rows other than this one have, too; may hold a position twice."""
 
     def emit():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            _, lengths, h = _laid_out(utf8(batch.column(1)))
+            batch = batch.filter(batch.column(1).is_valid())
+            _, lengths, h = _laid_out(utf8(batch.column(2)))
             t, _, _, at, g = anchors(h, lengths)
             row = batch.column(0).to_numpy()[t]
             order = np.lexsort((row, g))
@@ -148,7 +162,8 @@ def shared_anchors(rows: DataFrame) -> DataFrame:
             np.logical_or.at(mixed, group, row != base)
             yield _pick([x[mixed[group]] for x in got])
 
-    sent = by_rows(rows.where("doc_id IS NOT NULL").select("row", "text"), emit, "key long, row long, at int")
+    # no filter here: it would sink below the exchange of the texts, which then couldn't be shared
+    sent = by_rows(rows, emit, "key long, row long, at int")
     return sent.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "row long, at int")
 
 
@@ -261,9 +276,11 @@ def first_owners(segments: pa.Array, owner: np.ndarray, window: int = WINDOW) ->
     return out, into
 
 
-def repeated_windows(rows: DataFrame) -> DataFrame:
-    """(doc_id, row, first, last): runs of windows of a row that start in a document with a smaller identifier."""
-    positions = shared_anchors(rows).groupBy("row").agg(F.collect_set("at").alias("at"))
+def repeated_windows(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """(doc_id, row, first, last): runs of windows of a row that start in a document with a smaller identifier; rows in
+    ``known`` (see ``copies``) are left out, as the text's first document stands for them."""
+    fresh = rows.join(known, "row", "left_anti").select("row", "doc_id", "text")
+    positions = shared_anchors(fresh).groupBy("row").agg(F.collect_set("at").alias("at"))
     met = rows.join(positions, "row")
 
     def cut():
@@ -358,15 +375,18 @@ def covered(n: int, runs: list[tuple[int, int]], window: int = WINDOW) -> np.nda
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the kept words joined by a space) of every row."""
     rows = keyed(docs)
-    runs = repeated_windows(rows).groupBy("row").agg(F.collect_list(F.struct("doc_id", "first", "last")).alias("runs"))
+    known = through_disk(copies(rows), "copies")
+    runs = repeated_windows(rows, known).groupBy("row").agg(F.collect_list(F.struct("doc_id", "first", "last")).alias("runs"))
 
     def finish():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             out = []
-            for doc_id, text, runs in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+            for doc_id, text, runs, copy in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), *(batch.column(i).to_pylist() for i in (2, 3)), strict=True):
                 words = text.split()
                 n = len(words)
-                if runs:
+                if copy and n >= WINDOW:
+                    words = []
+                elif runs:
                     gone = covered(n, [(r["first"], r["last"]) for r in runs if r["doc_id"] == doc_id])
                     words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
                 out.append((doc_id, n, n - len(words), b" ".join(words).decode()))
@@ -376,7 +396,7 @@ def dedup(docs: DataFrame) -> DataFrame:
 
         return step
 
-    joined = rows.join(runs, "row", "left").select("doc_id", "text", "runs")
+    joined = rows.join(runs, "row", "left").join(known.withColumn("copy", F.lit(True)), "row", "left").select("doc_id", "text", "runs", "copy")
     return by_rows(joined, finish, "doc_id long, n_words long, n_removed long, kept string")
 
 
