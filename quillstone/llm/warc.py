@@ -136,7 +136,7 @@ def write_archives(pages: DataFrame, least: int = LEAST, at: str | None = None)
                     if sink is None:
                         path = f"{at}/part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz"
                         system, inner = filesystem(path)
-                        sink, size, n = system.open_output_stream(inner), 0, 0
+                        sink, size, n = system.open_output_stream(inner, compression=None), 0, 0
                     data = record_bytes(r["page_id"], r["url"], r["html"], r["refers_to"])
                     sink.write(data)
                     size, n = size + len(data), n + 1
@@ -160,7 +160,7 @@ def read_archives(manifest: DataFrame) -> DataFrame:
             for path in batch.column(0).to_pylist():
                 system, inner = filesystem(path)
                 rows, size = [], 0
-                with system.open_input_stream(inner) as source:
+                with system.open_input_stream(inner, compression=None) as source:
                     for fields, block in read_records(source):
                         n, body = payload_of(block)
                         kind, digest = fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha1:")
