@@ -57,9 +57,11 @@ def rake(weights: dict[tuple, float], targets: list[dict[str, float]], budget: f
     """Probabilities of the cells: expected tokens meet each marginal of ``budget`` times all tokens in turn, a
     probability never passing 1."""
     cells = sorted(weights)
+    if not cells:
+        return {}
     w = np.array([weights[c] for c in cells], float)
     p = np.full(len(cells), float(budget))
-    index = [np.unique([c[d] for c in cells], return_inverse=True) for d in range(len(targets))] if cells else []
+    index = [np.unique([c[d] for c in cells], return_inverse=True) for d in range(len(targets))]
     for _ in range(rounds):
         for (values, at), target in zip(index, targets, strict=True):
             now = np.bincount(at, w * p, len(values))

@@ -57,14 +57,15 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return by_rows(docs.select("doc_id", "text"), make, "doc_id long, fp long")
 
 
-def wide_fingerprint(text: bytes, shingle: int) -> np.ndarray:
-    """A fingerprint of 128 bits, as two numbers, over XXH3's 128-bit hashes of the different shingles."""
+def wide_fingerprint(text: bytes, shingle: int, lanes: int) -> np.ndarray:
+    """A fingerprint of 64 bits a lane, as numbers, over XXH3 hashes of the different shingles."""
     words = text.lower().split()
     grams = list(set(map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)))) if len(words) >= shingle else [b" ".join(words)] * bool(words)
-    digest, counts, n = xxhash.xxh3_128_digest, np.zeros(128, np.int64), len(grams)
+    digest, counts, n = xxhash.xxh3_128_digest, np.zeros(64 * lanes, np.int64), len(grams)
     for at in range(0, n, 1 << 15):
-        h = np.frombuffer(b"".join(map(digest, grams[at : at + (1 << 15)])), np.uint8).reshape(-1, 16)
-        counts += np.unpackbits(h, axis=1).sum(0, dtype=np.int64)
+        part = grams[at : at + (1 << 15)]
+        h = np.concatenate([np.frombuffer(b"".join(digest(g, seed) for g in part), np.uint8).reshape(-1, 16) for seed in range(-(-lanes // 2))], axis=1)
+        counts += np.unpackbits(h[:, : 8 * lanes], axis=1).sum(0, dtype=np.int64)
     return np.packbits(counts * 2 > n).view("<u8")
 
 
@@ -161,11 +162,16 @@ def _pairs(got: list[np.ndarray], most: int) -> Iterator[pa.RecordBatch]:
 def _named(rows: DataFrame, prints: list[str], keys: list[str], checks: list[str], distance: int) -> DataFrame:
     """rows (doc_id and fingerprints, materialized) with component_id.
 
-    A class of equal fingerprints is named by its smallest doc_id, so the smallest name of a component is the answer.
+    A class of equal fingerprints is a node, named by its fingerprint (or a hash of several), so rows that share an
+    identifier only aren't taken for one; a component's answer is the smallest doc_id of its classes.
     """
-    classes = through_disk(rows.where("doc_id IS NOT NULL").groupBy(*prints).agg(F.min("doc_id").alias("node")), "classes")
-    found = components(link(classes, keys, checks, distance))
-    named = classes.join(found, "node", "left").select(*prints, F.coalesce("component", "node").alias("component_id"))
+    name = F.col(prints[0]) if len(prints) == 1 else F.xxhash64(*prints)
+    classes = rows.where("doc_id IS NOT NULL").groupBy(*prints).agg(F.min("doc_id").alias("first")).withColumn("node", name)
+    classes = through_disk(classes, "classes")
+    found = through_disk(components(link(classes, keys, checks, distance)), "linked")
+    least = found.join(classes.select("node", "first"), "node").groupBy("component").agg(F.min("first").alias("least"))
+    known = found.join(least, "component").select("node", "least")
+    named = classes.join(known, "node", "left").select(*prints, F.coalesce("least", "first").alias("component_id"))
     out = rows.join(named, prints, "left")
     return out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
 
@@ -179,43 +185,47 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
 
 
 #: For similar texts: words of a shingle that decides, the similarity (Jaccard) of these shingles, words of a shingle
-#: that finds candidates.
-DECIDING, SIMILARITY, FINDING = 5, 0.8, 2
+#: that finds candidates, and 64-bit lanes of either fingerprint.
+DECIDING, SIMILARITY, FINDING, LANES, DECIDING_LANES = 5, 0.8, 2, 4, 2
 
 
 def similar(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id and component_id of every row, for texts that are alike by ``similarity`` or more in five-word shingles.
+    """row (a hash of doc_id and text), doc_id and component_id of every row, for texts that are alike by ``similarity``
+    or more in five-word shingles.
 
     Five-word fingerprints of such texts differ in more bits than halves with one wildcard can find, so two-word
-    fingerprints (of which an edit changes fewer shingles) find the candidates: any of four halves within one bit.  The
-    five-word fingerprint of 128 bits decides, by the share of bits in which texts of that similarity differ.
+    fingerprints (of which an edit changes fewer shingles) find the candidates: any of their halves within one bit.  The
+    five-word fingerprint decides, by the share of bits in which texts of that similarity differ.
     """
-    most = round(128 * math.acos(2 * similarity / (1 + similarity)) / math.pi)
-    names = ["k0", "k1", "v0", "v1"]
+    most = round(64 * DECIDING_LANES * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+    keys, checks = [f"k{i}" for i in range(LANES)], [f"v{i}" for i in range(DECIDING_LANES)]
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts = utf8(batch.column(1))
-            both = np.array([np.concatenate([wide_fingerprint(t, FINDING), wide_fingerprint(t, DECIDING)]) for t in texts]).view(np.int64)
-            return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(np.ascontiguousarray(both[:, i])) for i in range(4))], ["doc_id", *names])
+            texts = utf8(batch.column(2))
+            both = np.array([np.concatenate([wide_fingerprint(t, FINDING, LANES), wide_fingerprint(t, DECIDING, DECIDING_LANES)]) for t in texts]).view(np.int64)
+            cols = [batch.column(0), batch.column(1), *(pa.array(np.ascontiguousarray(both[:, i])) for i in range(both.shape[1]))]
+            return pa.RecordBatch.from_arrays(cols, ["row", "doc_id", *keys, *checks])
 
         return step
 
-    prints = by_rows(docs.select("doc_id", "text"), make, "doc_id long, k0 long, k1 long, v0 long, v1 long")
-    return _named(through_disk(prints, "wide-fingerprints"), names, names[:2], names[2:], most).select("doc_id", "component_id")
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("row"), F.col("doc_id").cast("long"), "text")
+    prints = by_rows(rows, make, ", ".join(f"{c} long" for c in ("row", "doc_id", *keys, *checks)))
+    return _named(through_disk(prints, "wide-fingerprints"), keys + checks, keys, checks, most).select("row", "doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """docs without near-duplicates, all columns: of each component of similar texts the row with the smallest
-    identifier stays (one row, if the identifier is repeated); rows without an identifier stay."""
-    found = similar(docs, similarity)
-    slim = through_disk(found, "components")
-    gone = slim.where("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    if not slim.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        return kept
-    named = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    return named.unionByName(kept.where("doc_id IS NULL"))
+    identifier stays, once if it is repeated; rows without an identifier stay."""
+    found = through_disk(similar(docs, similarity), "similar")
+    name = "row"
+    while name in docs.columns:
+        name += "_"
+    gone = found.where("component_id <> doc_id").select(F.col("row").alias(name)).distinct()
+    kept = docs.withColumn(name, F.xxhash64("doc_id", "text")).join(gone, name, "left_anti")
+    if found.where("doc_id IS NOT NULL").groupBy("row").count().where("count > 1").limit(1).count():
+        kept = kept.where("doc_id IS NOT NULL").dropDuplicates([name]).unionByName(kept.where("doc_id IS NULL"))
+    return kept.select(*docs.columns)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -300,7 +300,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 0, at: str | Non
                 if writer is None:
                     path = f"{at}/shard-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.sst"
                     system, inner = filesystem(path)
-                    writer, first = Writer(system.open_output_stream(inner), encoder.width), batch.column(0)[0].as_py()
+                    writer, first = Writer(system.open_output_stream(inner, compression=None), encoder.width), batch.column(0)[0].as_py()
                 for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode([x or "" for x in batch.column(1).to_pylist()]), strict=True):
                     repeat = repeat + 1 if doc_id == prior else 0
                     key = key_of(doc_id, repeat) if doc_id is not None else b"\0" + struct.pack(">I", repeat)

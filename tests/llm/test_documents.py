@@ -1,0 +1,328 @@
+"""Operators on documents against brute force, and their defined cases."""
+
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from quillstone.llm import decontaminate, mixing, pii, quality, simhash, substrings, tokens
+from quillstone.llm.components import components
+
+
+def by_id(df):
+    return sorted((tuple(r) for r in df.collect()), key=lambda r: tuple((x is not None, x) if not isinstance(x, list) else (True, x) for x in r))
+
+
+# 1: personal data
+
+ANCHORS = pii.automaton()
+
+
+def base_spans(t):
+    digits = lambda m: re.sub(r"\D", "", m[0])
+    return {
+        "email": [m.span() for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)],
+        "ip": [m.span() for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))],
+        "card": [m.span() for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 16 <= len(digits(m)) <= 19 and pii.luhn(digits(m))],
+        "phone": [m.span() for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 8 <= len(digits(m)) <= 15],
+    }
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.one_of(st.text(alphabet="0123456789.-+@ ()abé", max_size=50), st.text(alphabet="41 -", max_size=40), st.text(alphabet="1.2", max_size=20)))
+def test_spans_equal_patterns(t):
+    assert {k: pii.spans(t, ANCHORS)[k] for k in pii.BASE} == base_spans(t)
+
+
+def test_pii_over_documents(documents, odd_docs, no_docs):
+    for docs in (documents, odd_docs):
+        got = {(r.doc_id, r.base_sha256) for r in pii.find(docs).collect()}
+        want = set()
+        for r in docs.collect():
+            s = base_spans(r.text or "")
+            want.add((r.doc_id, hashlib.sha256(",".join(f"{k}:{a}:{b}" for k in pii.BASE for a, b in s[k]).encode()).hexdigest()))
+        assert got == want
+    assert pii.find(no_docs).count() == 0
+
+
+def test_added_kinds_and_redaction():
+    t = "See https://a.example/x?y=1. IBAN: DE89 3704 0044 0532 0130 00, ssn 123-45-6789; account number 12345678 and theaccount 12345678."
+    s = pii.spans(t, ANCHORS)
+    assert [t[a:b] for a, b in s["url"]] == ["https://a.example/x?y=1"]
+    assert [t[a:b] for a, b in s["account"]] == ["DE89 3704 0044 0532 0130 00", "123-45-6789", "12345678"]
+    assert pii.redact("mail a@b.cd now", ANCHORS) == "mail [email] now"
+    assert pii.spans("account of the year, iban none", ANCHORS)["account"] == []
+
+
+# 2: mixing
+
+
+def test_mixing_meets_targets():
+    weights = {(s, t): 100.0 * (i + 1) * (j + 1) for i, s in enumerate("ab") for j, t in enumerate("xyz")}
+    targets = [{"a": 0.4, "b": 0.6}, {"x": 0.2, "y": 0.35, "z": 0.45}]
+    p = mixing.rake(weights, targets, budget=0.5)
+    total = sum(weights.values())
+    for d, target in enumerate(targets):
+        for v, share in target.items():
+            assert sum(w * p[c] for c, w in weights.items() if c[d] == v) == pytest.approx(share * 0.5 * total, rel=1e-6)
+    assert max(mixing.rake(weights, targets, budget=1.0).values()) <= 1.0
+    assert mixing.rake({}, targets) == {} and mixing.rake({("q", "x"): 5.0}, [{"a": 1.0}, {"x": 1.0}]) == {("q", "x"): 0.85}
+
+
+def test_mixing_cases(odd_docs, no_docs):
+    kept = mixing.mix(odd_docs)
+    assert kept.columns == odd_docs.columns and kept.count() <= odd_docs.count()
+    assert len({r.doc_id for r in kept.collect()} & {3}) in (0, 1) and kept.where("doc_id = 3").count() in (0, 2, 3)
+    assert mixing.mix(no_docs).count() == 0
+
+
+# 4: decontamination
+
+
+def brute_hits(text, items):
+    words = decontaminate.words_of((text or "").encode())
+    hit, names = set(), set()
+    for name, item in items:
+        own = decontaminate.words_of((item or "").encode())
+        n = min(10, len(own))
+        for i in range(len(own) - n + 1 if n else 0):
+            for j in range(len(words) - n + 1):
+                if words[j : j + n] == own[i : i + n]:
+                    hit.update(range(j, j + n))
+                    names |= {str(name)} - {"None"}
+    return len(words), len(hit), sorted(names)
+
+
+ITEMS = [(1, "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11 W12"), (2, "end"), (2, "one"), (30, "other TEXT"), (None, "w20 w21"), (4, None), (5, "..."), (6, "never seen"), (1, "w30 w31 w32")]
+
+
+@pytest.mark.parametrize("most", [decontaminate.BLOCK_TEXT, 20])
+def test_decontamination(spark, odd_docs, no_docs, most):
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    got = sorted(((r.doc_id is None, r.doc_id or 0, r.n_words, r.n_hit, r["items"]) for r in decontaminate.mark(odd_docs, bench, most).collect()))
+    want = sorted((r.doc_id is None, r.doc_id or 0, *brute_hits(r.text, ITEMS)) for r in odd_docs.where("doc_id IS NULL OR doc_id NOT IN (8, 9)").collect())
+    assert [g for g in got if g[1] not in (8, 9)] == want
+    clean = decontaminate.drop_contaminated(odd_docs, bench, most)
+    assert clean.columns == odd_docs.columns and clean.count() == sum(not brute_hits(r.text, ITEMS)[1] for r in odd_docs.collect())
+    assert decontaminate.mark(no_docs, bench).count() == 0
+    assert decontaminate.mark(odd_docs, bench.limit(0)).where("n_hit > 0").count() == 0
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from("ab"), max_size=40), st.lists(st.lists(st.sampled_from("ab"), min_size=1, max_size=12), min_size=1, max_size=4))
+def test_wu_manber(words, items):
+    items = [(i, " ".join(x)) for i, x in enumerate(items)]
+    got = decontaminate.hits([w.encode() for w in words], decontaminate.searchers([(i, t.encode()) for i, t in items]))
+    n, hit, names = brute_hits(" ".join(words), items)
+    assert (got[0], sorted(map(str, got[1]))) == (hit, names)
+
+
+# 5: substrings
+
+
+def brute_removed(rows, window=13):
+    first = {}
+    split = [(d, (t or "").encode().split()) for d, t in rows]
+    for d, w in split:
+        if d is not None:
+            for i in range(len(w) - window + 1):
+                k = tuple(w[i : i + window])
+                first[k] = min(first.get(k, d), d)
+    out = []
+    for d, w in split:
+        gone = set()
+        for i in range(len(w) - window + 1):
+            if d is not None and first[tuple(w[i : i + window])] < d:
+                gone.update(range(i, i + window))
+        out.append((d is None, d or 0, len(w), len(gone), b" ".join(x for i, x in enumerate(w) if i not in gone).decode()))
+    return sorted(out)
+
+
+def removed(docs):
+    return sorted((r.doc_id is None, r.doc_id or 0, r.n_words, r.n_removed, r.kept) for r in substrings.dedup(docs).collect())
+
+
+def test_substrings(documents, odd_docs, no_docs):
+    for docs in (documents, odd_docs):
+        assert removed(docs) == brute_removed([(r.doc_id, r.text) for r in docs.collect()])
+    assert substrings.dedup(no_docs).count() == 0
+
+
+def test_substrings_dense(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(rng.choice(list("ab"), rng.integers(0, 60)))) for i in range(120)]
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows += [(200 + i, f"{' '.join(rng.choice(list('xyzuvw'), 20))} {passage} {i}") for i in range(60)]
+    assert removed(spark.createDataFrame(rows, "doc_id long, text string")) == brute_removed(rows)
+
+
+def test_fm_index_ranks():
+    rng = np.random.default_rng(1)
+    s = rng.integers(0, 37, 1000)
+    m = substrings.WaveletMatrix(s, 37)
+    base = m.base(37)
+    c, i = rng.integers(0, 37, 200), rng.integers(0, 1001, 200)
+    assert (m.rank(c, i) - base[c]).tolist() == [int((s[:k] == x).sum()) for x, k in zip(c, i, strict=True)]
+
+
+# 6: token shards
+
+
+def test_shards(spark, documents, odd_docs, no_docs):
+    path = tokens.tokenizer_path()
+    encoder = tokens.Encoder(path)
+    for docs in (documents, odd_docs):
+        manifest = tokens.write_shards(docs, path)
+        got = sorted(((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in tokens.read_shards(manifest).collect()))
+        rows = sorted(((r.doc_id is not None, r.doc_id or 0, r.text is not None, (r.text or "").encode()) for r in docs.collect()))
+        start, want = 0, []
+        for known, d, _, t in rows:
+            ids = encoder._ids([t.decode()])[0] + bytes(4)
+            want.append((start, d if known else None, len(ids) // 4, zlib.crc32(ids)))
+            start += len(ids) // 4
+        assert got == want
+    assert tokens.read_shards(tokens.write_shards(no_docs, path)).count() == 0
+
+
+def test_lookup(tmp_path):
+    import pyarrow as pa
+
+    at = str(tmp_path / "x.sst")
+    w = tokens.Writer(pa.OSFile(at, "wb"), 2)
+    for i in range(0, 60_000, 3):
+        w.add(tokens.key_of(i), np.arange(i % 50, dtype="<u4").tobytes())
+    w.close()
+    r = tokens.Reader(pa.OSFile(at))
+    assert len(r.blocks) > 3 and r.entries == 20_000
+    for i in (0, 3, 2997, 59_997):
+        assert [x.tolist() for x in r.lookup(i)] == [list(range(i % 50))]
+    assert all(r.lookup(i) == [] for i in (1, 2, -7, 10**9)) and sum(1 for _ in r) == 20_000
+    assert sum(r.bloom.may_hold(tokens.key_of(i)) for i in range(1, 30_000, 3)) < 500
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet="ab,. \n\t  é1'<|endoftx>\x1c\x85", max_size=30), max_size=4))
+def test_encoder_equals_library(texts):
+    e = tokens.encoder_of(tokens.tokenizer_path())
+    assert e.encode(texts) == e._ids(texts)
+
+
+# 9: SimHash
+
+
+def slow_fingerprint(text, n=3):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    grams = [" ".join(words[i : i + n]) for i in range(len(words) - n + 1)] if len(words) >= n else [" ".join(words)] * bool(words)
+    hashes = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def slow_components(rows, near):
+    """The smallest identifier reachable, for each row."""
+    n = len(rows)
+    label = list(range(n))
+    pairs = [(i, j) for i in range(n) for j in range(i) if near(rows[i][1], rows[j][1])]
+    for _ in range(n):
+        before = list(label)
+        for i, j in pairs:
+            label[i] = label[j] = min(label[i], label[j])
+        if label == before:
+            break
+    return [min(d for (d, _), x in zip(rows, label, strict=True) if x == mine) for mine in label]
+
+
+def test_simhash(documents, odd_docs, no_docs):
+    for docs in (documents, odd_docs.where("doc_id NOT IN (8, 9) OR doc_id IS NULL")):
+        got = simhash.near_duplicates(docs).collect()
+        rows = [(r.doc_id, slow_fingerprint(r.text)) for r in docs.collect()]
+        assert sorted((str(r.doc_id), r.fp % (1 << 64)) for r in got) == sorted((str(d), f) for d, f in rows)
+        named = [r for r in rows if r[0] is not None]
+        want = slow_components(named, lambda x, y: (x ^ y).bit_count() <= 3)
+        assert sorted((r.doc_id, r.fp % (1 << 64), r.component_id) for r in got if r.doc_id is not None) == sorted((*r, c) for r, c in zip(named, want, strict=True))
+        assert all(r.component_id is None for r in got if r.doc_id is None)
+    assert simhash.near_duplicates(no_docs).count() == 0
+
+
+def test_links_lose_nothing(spark):
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
+    fps = set(base.tolist())
+    for f in base.tolist() * 12:
+        for _ in range(rng.integers(0, 6)):
+            f ^= 1 << int(rng.integers(0, 64))
+        fps.add(f)
+    rows = list(enumerate(sorted(fps)))
+    df = spark.createDataFrame([(i, int(np.uint64(f).view(np.int64))) for i, f in rows], "node long, fp long")
+    found = {r.node: r.component for r in components(simhash.link(df, ["fp"], ["fp"], 3)).collect()}
+    want = slow_components(rows, lambda x, y: (x ^ y).bit_count() <= 3)
+    assert [found.get(i, i) for i, _ in rows] == want
+
+
+def test_components(spark):
+    rng = np.random.default_rng(2)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 400, (300, 2))] + [(i, i + 1) for i in range(1000, 1200)] + [(5000, 5000 + i) for i in range(300)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    label = {x: x for p in pairs for x in p}
+    for _ in range(400):
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+    assert got == {x: c for x, c in label.items() if any(x in p and p[0] != p[1] for p in pairs)}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_keep_one(spark, odd_docs, no_docs):
+    kept = simhash.keep_one(odd_docs)
+    assert kept.columns == odd_docs.columns
+    ids = [r.doc_id for r in kept.collect()]
+    assert ids.count(1) == 1 and 2 not in ids and 9 not in ids and ids.count(3) == 1 and ids.count(None) == 2 and {7, 10, -5} <= set(ids)
+    assert simhash.keep_one(no_docs).count() == 0
+
+
+def test_similar_texts_are_found(spark):
+    rng = np.random.default_rng(7)
+    rows, k = [], 0
+    for g in range(60):
+        words = [f"{g}x{i}" for i in rng.integers(0, 5000, 400)]
+        rows.append((k, " ".join(words)))
+        for at in rng.integers(0, 400, 4):
+            words[at] = f"new{rng.integers(0, 10**9)}"
+        rows.append((k + 1, " ".join(words)))
+        k += 2
+    got = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[i + 1] == i for i in range(0, k, 2)) >= 57 and all(got[i] == i for i in range(0, k, 2))
+
+
+# 10: quality
+
+
+def test_quality(spark, small, documents, odd_docs, no_docs):
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = quality.fit(docs, labels)
+    found = quality.score(docs, model).join(labels, "doc_id").where("held_out").collect()
+    assert np.mean([(r.score >= 0.5) == r.quality for r in found]) > 0.93
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in quality.score(documents, model).collect())
+    scores = [r.score for r in quality.score(odd_docs, model).collect()]
+    assert len(scores) == odd_docs.count() and all(0 <= s <= 1 for s in scores)
+    assert quality.score(no_docs, model).count() == 0 and quality.keep_good(odd_docs, model).columns == odd_docs.columns
+
+
+def test_quality_without_labels(spark, documents):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert {round(r.score, 3) for r in quality.score(documents, quality.fit(documents, none)).collect()} == {0.5}
+    one = spark.createDataFrame([(i, 1, 0) for i in range(50)] + [(60, 0, 0), (60, 1, 0), (None, 0, 0)], "doc_id long, quality int, toxic int")
+    assert all(r.score > 0.5 for r in quality.score(documents, quality.fit(documents, one)).collect())
+
+
+def test_held_out_rows_do_not_matter(spark):
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    flipped = labels.selectExpr("doc_id", "IF(crc32(cast(cast(doc_id AS string) AS binary)) % 3 = 1, 1 - quality, quality) AS quality", "toxic")
+    assert quality.fit(docs, labels) == quality.fit(docs, flipped)
+
+
