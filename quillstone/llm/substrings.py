@@ -1,7 +1,7 @@
 """Substring dedup: word windows that also start in a document with a smaller identifier are removed.
 
 The index is a compressed FM-index per shard over words.  A window of 13 words goes to the shard that its anchor names
-(the five-word piece with the smallest hash in it), so equal windows always meet in one shard and the shards' total
+(the five-word piece with the smallest hash in it, very common ones last), so equal windows always meet in one shard and the shards' total
 size follows the input, whatever their number.  Consecutive windows with one anchor travel as one segment.
 
 Texts that a smaller document has word for word are settled by their hashes.  For the others, in two steps:
@@ -37,6 +37,8 @@ from .common import by_rows, table, through_disk, utf8
 WINDOW, ANCHOR = 13, 5
 #: Words of a shard's index at most; a partition of more is searched in parts by anchor.
 SHARD_WORDS = 1 << 20
+#: Texts that are looked at for common pieces, and how many of them must have one.
+SAMPLE, OFTEN = 5000, 10
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _NONE = np.iinfo(np.int64).max
 
@@ -45,18 +47,30 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-def anchors(h: np.ndarray, lengths: np.ndarray, window: int = WINDOW, k: int = ANCHOR):
+def pieces(h: np.ndarray, k: int = ANCHOR) -> np.ndarray:
+    """A hash of the k words from each position, below 2**63."""
+    g = np.zeros(max(0, len(h) - k + 1), np.uint64)
+    for i in range(k):
+        g = (g ^ h[i : i + len(g)]) * _ODD
+        g ^= g >> np.uint64(29)
+    return g >> np.uint64(1)
+
+
+def anchors(h: np.ndarray, lengths: np.ndarray, common: np.ndarray | None = None, window: int = WINDOW, k: int = ANCHOR):
     """For texts laid end to end (word hashes h, words of each text): runs of windows with one anchor, as arrays
-    (text, first window, last window, anchor position, anchor hash); positions count from the text's start."""
+    (text, first window, last window, anchor position, anchor hash); positions count from the text's start.
+
+    A window's anchor is the piece with the smallest hash, ``common`` (sorted) pieces coming after all others.
+    """
     m = len(h) - window + 1
     if m <= 0:
-        return tuple(np.zeros(0, np.int64) for _ in range(4)) + (np.zeros(0, np.uint64),)
+        return (*(np.zeros(0, np.int64) for _ in range(4)), np.zeros(0, np.uint64))
     text = np.repeat(np.arange(len(lengths)), lengths)
     begin = np.cumsum(lengths) - lengths
-    g = np.zeros(len(h) - k + 1, np.uint64)
-    for i in range(k):
-        g = (g ^ h[i : i + len(g)]) * _ODD
-        g ^= g >> np.uint64(29)
+    g = pieces(h, k)
+    if common is not None and len(common):
+        at = np.minimum(np.searchsorted(common, g), len(common) - 1)
+        g = np.where(common[at] == g, g | np.uint64(1 << 63), g)
     best, at = g[:m].copy(), np.zeros(m, np.int8)
     for i in range(1, window - k + 1):
         less = g[i : i + m] < best
@@ -66,7 +80,7 @@ def anchors(h: np.ndarray, lengths: np.ndarray, window: int = WINDOW, k: int = A
     pos = np.arange(m) + at
     w = np.flatnonzero(ok)
     if not len(w):
-        return anchors(h[:0], lengths[:0], window, k)
+        return anchors(h[:0], lengths[:0], None, window, k)
     new = np.r_[True, (pos[w][1:] != pos[w][:-1]) | (text[w][1:] != text[w][:-1])]
     first = w[new]
     last = np.r_[w[np.flatnonzero(new)[1:] - 1], w[-1]]
@@ -101,14 +115,34 @@ def _laid_out(texts: list[bytes]) -> tuple[list[list[bytes]], np.ndarray, np.nda
     return words, lengths, word_hashes(flat)
 
 
-def shared_anchors(rows: DataFrame) -> DataFrame:
+def common_pieces(rows: DataFrame) -> np.ndarray:
+    """Pieces that stand in very many texts, sorted: of about ``SAMPLE`` different sampled texts in at least ``OFTEN``.
+
+    They are bad anchors, as all that surrounds them would meet in one shard; a window takes another piece if it has
+    one.  Any set gives right results; this one is bounded by the sample and so may be sent to all tasks.
+    """
+    every = max(1, rows.count() // SAMPLE)
+    texts = rows.where(F.pmod("row", F.lit(every)) == 0).select("text").dropDuplicates()
+
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            found = [np.unique(pieces(word_hashes(t.split()))) for t in utf8(batch.column(0))]
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["piece"])
+
+        return step
+
+    often = by_rows(texts, make, "piece long").groupBy("piece").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN)
+    return np.sort(np.array([r.piece for r in often.select("piece").toLocalIterator()], np.int64).view(np.uint64))
+
+
+def shared_anchors(rows: DataFrame, common) -> DataFrame:
     """rows: as ``keyed`` gives them, without copies.  (row, at): positions of anchors that rows other than this one have, too; may hold a position twice."""
 
     def emit():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             batch = batch.filter(batch.column(1).is_valid())
             _, lengths, h = _laid_out(utf8(batch.column(2)))
-            t, _, _, at, g = anchors(h, lengths)
+            t, _, _, at, g = anchors(h, lengths, common.value)
             row = batch.column(0).to_numpy()[t]
             order = np.lexsort((row, g))
             g, row, at = g[order], row[order], at[order]
@@ -280,13 +314,14 @@ def repeated_windows(rows: DataFrame, known: DataFrame) -> DataFrame:
     """(doc_id, row, first, last): runs of windows of a row that start in a document with a smaller identifier; rows in
     ``known`` (see ``copies``) are left out, as the text's first document stands for them."""
     fresh = rows.join(known, "row", "left_anti").select("row", "doc_id", "text")
-    positions = shared_anchors(fresh).groupBy("row").agg(F.collect_set("at").alias("at"))
+    common = rows.sparkSession.sparkContext.broadcast(common_pieces(rows))
+    positions = shared_anchors(fresh, common).groupBy("row").agg(F.collect_set("at").alias("at"))
     met = rows.join(positions, "row")
 
     def cut():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             words, lengths, h = _laid_out(utf8(batch.column(2)))
-            t, first, last, at, g = anchors(h, lengths)
+            t, first, last, at, g = anchors(h, lengths, common.value)
             ids, rows = batch.column(1).to_numpy(), batch.column(0).to_numpy()
             # (text, position) pairs of the shared anchors
             many = batch.column(3)
@@ -355,6 +390,7 @@ def repeated_windows(rows: DataFrame, known: DataFrame) -> DataFrame:
             r = of[starts]
             cols = (ids[r], rows[r], (first[r] + within[starts]).astype(np.int32), (first[r] + within[ends]).astype(np.int32))
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["doc_id", "row", "first", "last"])
+        pa.default_memory_pool().release_unused()
 
     segments = by_rows(met.select("row", "doc_id", "text", "at"), cut, "anchor long, doc_id long, row long, first int, last int, words binary")
     return segments.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(search, "doc_id long, row long, first int, last int")
