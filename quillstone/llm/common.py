@@ -66,6 +66,7 @@ def by_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Reco
                 out = step(batch)
                 if out is not None and out.num_rows:
                     yield out
+            pa.default_memory_pool().release_unused()  # the worker lives on after the task
 
     return df.mapInArrow(run, schema)
 

@@ -1,9 +1,9 @@
 """SimHash near-duplicates: deletion-variant signatures, equality of keys, verification, connected components.
 
 A fingerprint of 64 bits is cut into two halves: of two fingerprints that differ in at most three bits, one half
-differs in at most one.  Each half therefore gets 32 keys, one for each bit left out (the wildcard); two fingerprints
-within the distance share at least one key.  Rows with equal keys meet in one place and every pair is verified there
-by the bits that differ.  A fingerprint enters once, however many documents have it, so a key's group holds different
+differs in at most one.  Each half therefore gets as keys itself and its variants with one bit as a wildcard, of which
+those with a set bit deleted suffice; two fingerprints within the distance share at least one key.  Rows with equal
+keys meet in one place and every pair is verified there by the bits that differ.  A fingerprint enters once, however many documents have it, so a key's group holds different
 fingerprints only, and of a group only a spanning forest of its links leaves the task, never all pairs.
 
 Cases: a null or wordless text has fingerprint 0 and is linked like any other; fewer words than a shingle has make one
@@ -69,14 +69,27 @@ def wide_fingerprint(text: bytes, shingle: int, lanes: int) -> np.ndarray:
     return np.packbits(counts * 2 > n).view("<u8")
 
 
-def variants(fp: np.ndarray, lane: int = 0) -> np.ndarray:
-    """The 64 keys of each fingerprint, as a matrix: lane, half, wildcard bit and the half's other bits in one number."""
-    halves = np.stack([fp & np.uint64(0xFFFFFFFF), fp >> np.uint64(32)], axis=1)
-    bits = np.arange(32, dtype=np.uint64)
-    rest = halves[:, :, None] & ~(np.uint64(1) << bits)[None, None, :]
-    half = np.arange(2 * lane, 2 * lane + 2, dtype=np.uint64)
-    tag = (half[:, None] * np.uint64(32) + bits[None, :]) << np.uint64(32)
-    return (rest | tag[None, :, :]).reshape(len(fp), 64)
+def variants(fp: np.ndarray, lane: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of fingerprints and the index of the fingerprint that each is of.
+
+    Keys of a half are the half itself and what is left of it when one of its set bits is deleted: of two halves that
+    differ in one bit, one is the other without it.  Lane and half stand in the key's upper bits.
+    """
+    keys, rows = [], []
+    every = np.arange(len(fp))
+    for half in (0, 1):
+        value = fp >> np.uint64(32 * half) & np.uint64(0xFFFFFFFF)
+        tag = np.uint64(2 * lane + half) << np.uint64(32)
+        keys.append(value | tag)
+        rows.append(every)
+        for bit in range(32):
+            one = np.uint64(1 << bit)
+            has = np.flatnonzero(value & one)
+            keys.append((value[has] ^ one) | tag)
+            rows.append(has)
+    keys, rows = np.concatenate(keys), np.concatenate(rows)
+    order = np.argsort(rows, kind="stable")  # a fingerprint's keys side by side pack better
+    return keys[order], rows[order]
 
 
 def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -102,28 +115,27 @@ def _forest(checks: np.ndarray, most: int) -> list[tuple[int, int]]:
 
 
 def link(classes: DataFrame, keys: list[str], checks: list[str], distance: int) -> DataFrame:
-    """classes: node and fingerprints, one row a different set of fingerprints.
+    """classes: fingerprints, one row a different set of them.
 
     Rows meet if one half of one of the ``keys`` differs in at most one bit; they are linked if the ``checks`` together
-    differ in at most ``distance`` bits.  Gives links (a, b) between nodes: enough of them to connect all that the
-    verified links connect.
+    differ in at most ``distance`` bits.  Gives links (a, b) between first checks (the nodes): enough of them to connect
+    all that the verified links connect.
     """
     n, m = len(keys), len(checks)
 
     def spread():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            rows = np.repeat(np.arange(batch.num_rows), 64 * n)
-            found = [variants(batch.column(1 + i).to_numpy().view(np.uint64), i) for i in range(n)]
-            cols = [np.concatenate(found, axis=1).view(np.int64).ravel()]
-            cols += [batch.column(i).to_numpy()[rows] for i in (0, *range(1 + n, 1 + n + m))]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "node", *(f"c{i}" for i in range(m))])
+            found = [variants(batch.column(i).to_numpy().view(np.uint64), i) for i in range(n)]
+            rows = np.concatenate([r for _, r in found])
+            cols = [np.concatenate([k for k, _ in found]).view(np.int64), *(batch.column(i).to_numpy()[rows] for i in range(n, n + m))]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", *(f"c{i}" for i in range(m))])
 
         return step
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry = None
         for batch in batches:
-            got = [batch.column(i).to_numpy() for i in range(2 + m)]
+            got = [batch.column(i).to_numpy() for i in range(1 + m)]
             if carry is not None:
                 got = [np.concatenate(x) for x in zip(carry, got, strict=True)]
             whole = int(np.searchsorted(got[0], got[0][-1]))  # the last key may go on in the next batch
@@ -132,16 +144,17 @@ def link(classes: DataFrame, keys: list[str], checks: list[str], distance: int)
         if carry is not None:
             yield from _pairs(carry, distance)
 
-    keyed = by_rows(classes.select("node", *keys, *(F.col(c).alias(f"c{i}") for i, c in enumerate(checks))), spread, ", ".join(["key long", "node long", *(f"c{i} long" for i in range(m))]))
+    columns = [F.col(c).alias(f"k{i}") for i, c in enumerate(keys)] + [F.col(c).alias(f"c{i}") for i, c in enumerate(checks)]
+    keyed = by_rows(classes.select(*columns), spread, ", ".join(["key long", *(f"c{i} long" for i in range(m))]))
     # keys of one fingerprint only are the rule; sorting lets a task hold one key's rows and not a whole partition
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long")
 
 
 def _pairs(got: list[np.ndarray], most: int) -> Iterator[pa.RecordBatch]:
-    key, node = got[:2]
+    key, node = got[:2]  # the first check names the node
     if len(key) < 2:
         return
-    checks = np.stack(got[2:], axis=1).view(np.uint64)
+    checks = np.stack(got[1:], axis=1).view(np.uint64)
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     sizes = np.diff(np.r_[starts, len(key)])
     two = starts[sizes == 2]
@@ -162,17 +175,18 @@ def _pairs(got: list[np.ndarray], most: int) -> Iterator[pa.RecordBatch]:
 def _named(rows: DataFrame, prints: list[str], keys: list[str], checks: list[str], distance: int) -> DataFrame:
     """rows (doc_id and fingerprints, materialized) with component_id.
 
-    A class of equal fingerprints is a node, named by its fingerprint (or a hash of several), so rows that share an
-    identifier only aren't taken for one; a component's answer is the smallest doc_id of its classes.
+    Rows with an equal first check are a node (whether or not they share an identifier); a component's answer is the
+    smallest doc_id of its nodes.
     """
-    name = F.col(prints[0]) if len(prints) == 1 else F.xxhash64(*prints)
-    classes = rows.where("doc_id IS NOT NULL").groupBy(*prints).agg(F.min("doc_id").alias("first")).withColumn("node", name)
+    node = checks[0]
+    classes = rows.where("doc_id IS NOT NULL").groupBy(*prints).agg(F.min("doc_id").alias("first"))
     classes = through_disk(classes, "classes")
+    firsts = classes.groupBy(F.col(node).alias("node")).agg(F.min("first").alias("first"))
     found = through_disk(components(link(classes, keys, checks, distance)), "linked")
-    least = found.join(classes.select("node", "first"), "node").groupBy("component").agg(F.min("first").alias("least"))
+    least = found.join(firsts, "node").groupBy("component").agg(F.min("first").alias("least"))
     known = found.join(least, "component").select("node", "least")
-    named = classes.join(known, "node", "left").select(*prints, F.coalesce("least", "first").alias("component_id"))
-    out = rows.join(named, prints, "left")
+    named = firsts.join(known, "node", "left").select(F.col("node").alias(node), F.coalesce("least", "first").alias("component_id"))
+    out = rows.join(named, node, "left")
     return out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
 
 
@@ -186,15 +200,17 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
 
 #: For similar texts: words of a shingle that decides, the similarity (Jaccard) of these shingles, words of a shingle
 #: that finds candidates, and 64-bit lanes of either fingerprint.
-DECIDING, SIMILARITY, FINDING, LANES, DECIDING_LANES = 5, 0.8, 2, 4, 2
+DECIDING, SIMILARITY, FINDING, LANES, DECIDING_LANES = 5, 0.8, 1, 2, 2
+#: Identifiers (16 bytes each in a hash table) that are sent to all tasks at most; more of them are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def similar(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """row (a hash of doc_id and text), doc_id and component_id of every row, for texts that are alike by ``similarity``
     or more in five-word shingles.
 
-    Five-word fingerprints of such texts differ in more bits than halves with one wildcard can find, so two-word
-    fingerprints (of which an edit changes fewer shingles) find the candidates: any of their halves within one bit.  The
+    Five-word fingerprints of such texts differ in more bits than halves with one wildcard can find, so fingerprints of
+    their different words (of which an edit changes fewer) find the candidates: any of their halves within one bit.  The
     five-word fingerprint decides, by the share of bits in which texts of that similarity differ.
     """
     most = round(64 * DECIDING_LANES * math.acos(2 * similarity / (1 + similarity)) / math.pi)
@@ -222,7 +238,8 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     while name in docs.columns:
         name += "_"
     gone = found.where("component_id <> doc_id").select(F.col("row").alias(name)).distinct()
-    kept = docs.withColumn(name, F.xxhash64("doc_id", "text")).join(gone, name, "left_anti")
+    few = gone.count() <= BROADCAST_ROWS  # then no text is shuffled
+    kept = docs.withColumn(name, F.xxhash64("doc_id", "text")).join(F.broadcast(gone) if few else gone, name, "left_anti")
     if found.where("doc_id IS NOT NULL").groupBy("row").count().where("count > 1").limit(1).count():
         kept = kept.where("doc_id IS NOT NULL").dropDuplicates([name]).unionByName(kept.where("doc_id IS NULL"))
     return kept.select(*docs.columns)

@@ -50,7 +50,7 @@ class Encoder:
     one text: each begins with a token that begins with the space, which shows where its ids start.
     """
 
-    def __init__(self, path: str, memo: int = 250_000, longest: int = 40):
+    def __init__(self, path: str, memo: int = 200_000, longest: int = 40):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.memo, self.longest = Tokenizer.from_file(path), memo, longest
@@ -296,7 +296,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 0, at: str | Non
         encoder, writer, path = encoder_of(tokenizer), None, ""
         end, prior, repeat, first = np.uint32(end_id).tobytes(), object(), 0, None
         for whole in batches:
-            for batch in slices(whole, 8 << 20):
+            for batch in slices(whole, 4 << 20):
                 if writer is None:
                     path = f"{at}/shard-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.sst"
                     system, inner = filesystem(path)
@@ -306,6 +306,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 0, at: str | Non
                     key = key_of(doc_id, repeat) if doc_id is not None else b"\0" + struct.pack(">I", repeat)
                     writer.add(key, ids + end)
                     prior = doc_id
+                pa.default_memory_pool().release_unused()
         if writer is not None:
             writer.close()
             yield pa.RecordBatch.from_pylist(

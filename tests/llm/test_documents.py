@@ -257,10 +257,10 @@ def test_links_lose_nothing(spark):
             f ^= 1 << int(rng.integers(0, 64))
         fps.add(f)
     rows = list(enumerate(sorted(fps)))
-    df = spark.createDataFrame([(i, int(np.uint64(f).view(np.int64))) for i, f in rows], "node long, fp long")
-    found = {r.node: r.component for r in components(simhash.link(df, ["fp"], ["fp"], 3)).collect()}
+    df = spark.createDataFrame([(i, int(np.uint64(f).view(np.int64))) for i, f in rows], "doc_id long, fp long")
+    found = {r.doc_id: r.component_id for r in simhash._named(df, ["fp"], ["fp"], ["fp"], 3).collect()}
     want = slow_components(rows, lambda x, y: (x ^ y).bit_count() <= 3)
-    assert [found.get(i, i) for i, _ in rows] == want
+    assert [found[i] for i, _ in rows] == want
 
 
 def test_components(spark):
