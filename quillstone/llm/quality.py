@@ -3,9 +3,10 @@
 Fitting takes a bounded, deterministic sample of labelled rows: of each class the ``sample_docs`` identifiers with the
 smallest hashes (a parameter, so the driver's part doesn't grow with the corpus).  Two thirds of them make the
 dictionaries; on the others a logistic curve is fitted that turns the normalised difference of compressed sizes into a
-probability.  Scoring reads every whole text, compresses it twice and shuffles nothing.
+probability, given how far the text packs at all and how long it is (a difference of few bytes means little in a short
+or very repetitive text).  Scoring reads every whole text, compresses it twice and shuffles nothing.
 
-Cases: a null text is an empty one, and an empty text gets the score of no difference; identifiers whose labels
+Cases: a null text is an empty one, and an empty text gets the score of one without difference and length; identifiers whose labels
 disagree aren't learned from; a class without labelled rows makes the classifier answer with the labelled share of
 good texts (0.5 without any); columns other than doc_id and text are ignored in scoring.
 """
@@ -38,7 +39,7 @@ def held_out(doc_id) -> F.Column:
 class Model:
     good: bytes
     bad: bytes
-    slope: float
+    weights: tuple[float, ...]
     offset: float
     level: int = LEVEL
 
@@ -47,7 +48,7 @@ class Model:
         sizes = [_size_by(d, self.level) for d in (self.good, self.bad)] if self.good and self.bad else None
 
         def score(text: bytes) -> float:
-            z = self.offset + (self.slope * difference(text, *sizes) if sizes else 0.0)
+            z = self.offset + (sum(w * x for w, x in zip(self.weights, measures(text, *sizes), strict=True)) if sizes else 0.0)
             return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
 
         return score
@@ -60,10 +61,11 @@ def _size_by(dictionary: bytes, level: int):
     return lambda text: len(pack(text))
 
 
-def difference(text: bytes, good, bad) -> float:
-    """Above 0 if the dictionary of good texts packs it better; 0 for no text."""
-    a, b = good(text), bad(text)
-    return (b - a) / (a + b) if text else 0.0
+def measures(text: bytes, good, bad) -> tuple[float, float, float]:
+    """The normalised difference of the compressed sizes (above 0 if the dictionary of good texts packs the text better,
+    0 for no text), the logarithm of compressed by plain size, and that of the plain size."""
+    a, b, n = good(text), bad(text), len(text)
+    return (b - a) / (a + b) if text else 0.0, math.log((a + b + 2) / (2 * n + 2)), math.log(n + 1)
 
 
 def sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_DOCS) -> DataFrame:
@@ -93,20 +95,20 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_DOCS, dictio
     learn = {q: [t for k, (c, t) in enumerate(kept) if c == q and k % 3] for q in (0, 1)}
     check = [(t, c) for k, (c, t) in enumerate(kept) if not k % 3]
     share = (sum(c for c, _ in kept) + 1) / (len(kept) + 2)
-    flat = Model(b"", b"", 0.0, math.log(share / (1 - share)))
+    flat = Model(b"", b"", (), math.log(share / (1 - share)))
     made = [_dictionary(learn[q], dictionary) for q in (1, 0)]
     if not all(made):
         return flat
     # the sample has as many of either class as there are; the prior of all labelled rows is put back by weights
     sizes = [_size_by(d, level) for d in made]
-    x = np.array([difference(t, *sizes) for t, _ in check])
+    x = np.array([measures(t, *sizes) for t, _ in check])
     y = np.array([c for _, c in check], float)
     if not 0 < y.sum() < len(y):
         return flat
     counts = {r.quality: r["count"] for r in labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("quality").count().collect()}
     weight = np.where(y == 1, counts[1] / y.sum(), counts[0] / (1 - y).sum())
-    slope, offset = logistic(x, y, weight / weight.mean())
-    return Model(*made, slope, offset, level)
+    weights, offset = logistic(x, y, weight / weight.mean())
+    return Model(*made, weights, offset, level)
 
 
 def _dictionary(texts: list[bytes], size: int) -> bytes:
@@ -117,20 +119,20 @@ def _dictionary(texts: list[bytes], size: int) -> bytes:
         return b"".join(pieces)[:size]
 
 
-def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3, rounds: int = 60) -> tuple[float, float]:
-    """Slope and offset of a weighted logistic curve, by Newton steps on standardised x."""
-    mean, scale = x.mean(), x.std() or 1.0
-    a = np.stack([(x - mean) / scale, np.ones_like(x)], axis=1)
-    w = np.zeros(2)
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2, rounds: int = 100) -> tuple[tuple[float, ...], float]:
+    """Weights and offset of a weighted logistic curve, by Newton steps on standardised columns."""
+    mean, scale = x.mean(0), np.where(x.std(0) > 0, x.std(0), 1.0)
+    a = np.c_[(x - mean) / scale, np.ones(len(x))]
+    w = np.zeros(a.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -40, 40)))
         g = a.T @ (weight * (y - p)) - ridge * w
-        h = (a * (weight * p * (1 - p))[:, None]).T @ a + ridge * np.eye(2)
+        h = (a * (weight * p * (1 - p))[:, None]).T @ a + ridge * np.eye(len(w))
         step = np.linalg.solve(h, g)
         w += step
         if np.abs(step).max() < 1e-9:
             break
-    return float(w[0] / scale), float(w[1] - w[0] * mean / scale)
+    return tuple((w[:-1] / scale).tolist()), float(w[-1] - (w[:-1] * mean / scale).sum())
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
