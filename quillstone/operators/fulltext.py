@@ -23,10 +23,15 @@ def index(items: DataFrame, stemmed: bool = True, keep: tuple[str, ...] = ()) ->
     terms = {f"t_{c}": text.tokens(F.col(c)) for c in COLUMNS}
     if stemmed:
         terms = {k: stem.analyze(v) for k, v in terms.items()}
-    rows = items.select("id", *keep, *(v.alias(k) for k, v in terms.items()))
+    rows = items.select("id", *keep, once(**terms))
     return rows.withColumn("dl", sum(F.size(k) for k in terms).cast("long"))
 
 
+def once(**columns: Column) -> Column:
+    """The columns, computed once a row: a generator of one row, into which later expressions aren't copied."""
+    return F.inline(F.array(F.struct(*(c.alias(k) for k, c in columns.items()))))
+
+
 def occurrences(terms: Column, phrase: list[str]) -> Column:
     """How often the phrase's terms stand side by side; 0 for an empty phrase."""
     k = len(phrase)
@@ -34,9 +39,16 @@ def occurrences(terms: Column, phrase: list[str]) -> Column:
         return F.lit(0)
     if k == 1:
         return F.size(F.filter(terms, lambda t: t == phrase[0]))
-    starts = F.filter(F.sequence(F.lit(1), F.size(terms) - k + 1), lambda i: F.slice(terms, i, k) == F.array(*map(F.lit, phrase)))
-    # the first term sits in few arrays: looking for it first spares most of the work
-    return F.when((F.size(terms) >= k) & F.array_contains(terms, phrase[0]), F.size(starts)).otherwise(0)
+    # whether the phrase starts at each place, word by word; past the end there is null, which is no match
+    here = F.transform(terms, lambda t: t == phrase[0])
+    for i, word in enumerate(phrase[1:], 1):
+        here = _also(here, terms, i, word)
+    return F.when((F.size(terms) >= k) & F.array_contains(terms, phrase[0]), F.size(F.filter(here, lambda x: x))).otherwise(0)
+
+
+def _also(here: Column, terms: Column, i: int, word: str) -> Column:
+    later = F.slice(terms, i + 1, F.greatest(F.size(terms), F.lit(1)))
+    return F.zip_with(here, later, lambda x, t: x & (t == word))
 
 
 class _Compiled:
@@ -105,8 +117,8 @@ def search(idx: DataFrame, tree: boolexpr.Node, field: str = "all", where: Colum
     if plan.match is None:
         return idx.select("id", F.lit(0.0).alias("bm25")).where("false")
     columns = ("name",) if field == "name" else COLUMNS
-    hits = [sum(occurrences(F.col(f"t_{c}"), p) for c in columns).alias(f"h{i}") for i, p in enumerate(plan.phrases)]
-    seen = idx.select("*", *hits)
+    hits = {f"h{i}": sum(occurrences(F.col(f"t_{c}"), p) for c in columns) for i, p in enumerate(plan.phrases)}
+    seen = idx.select("*", once(**hits))
     # one row: a bound for broadcasting that no data can break
     stats = seen.agg(
         F.count("*").alias("rows_in_index"),
