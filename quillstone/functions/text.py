@@ -44,10 +44,14 @@ def chunk_count(text: Column) -> Column:
 
 def chunks(text: Column) -> Column:
     """Windows of 1,500 characters, each beginning 1,300 after the one before; of at most 50,000 characters of text."""
-    t = strip(F.substring(text, 1, TEXT_CAP))
     step = CHUNK_SIZE - CHUNK_OVERLAP
-    windows = F.transform(F.sequence(F.lit(0), chunk_count(t) - 1), lambda i: F.substr(t, 1 + i * step, F.lit(CHUNK_SIZE)))
-    return F.when(chunk_count(t) == 0, F.array().cast("array<string>")).otherwise(windows)
+
+    def cut(t: Column) -> Column:
+        windows = F.transform(F.sequence(F.lit(0), chunk_count(t) - 1), lambda i: F.substr(t, 1 + i * step, F.lit(CHUNK_SIZE)))
+        return F.when(F.length(t) == 0, F.array().cast("array<string>")).otherwise(windows)
+
+    # the stripped text is bound to a lambda's argument, so it is computed once and not again for every window
+    return F.get(F.transform(F.array(strip(F.substring(text, 1, TEXT_CAP))), cut), F.lit(0))
 
 
 def steps_text(steps: Column) -> Column:
