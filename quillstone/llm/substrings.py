@@ -146,6 +146,9 @@ def shared_anchors(rows: DataFrame, common) -> DataFrame:
             row = batch.column(0).to_numpy()[t]
             order = np.lexsort((row, g))
             g, row, at = g[order], row[order], at[order]
+            if len(g):  # a row says once that it has an anchor, however often it repeats it
+                once = np.r_[True, (g[1:] != g[:-1]) | (row[1:] != row[:-1])]
+                g, row, at = g[once], row[once], at[once]
             first = np.r_[True, g[1:] != g[:-1]][: len(g)]
             group = np.cumsum(first) - 1
             mixed = np.zeros(group[-1] + 1 if len(g) else 0, bool)
@@ -323,23 +326,28 @@ def repeated_windows(rows: DataFrame, known: DataFrame) -> DataFrame:
             words, lengths, h = _laid_out(utf8(batch.column(2)))
             t, first, last, at, g = anchors(h, lengths, common.value)
             ids, rows = batch.column(1).to_numpy(), batch.column(0).to_numpy()
-            # (text, position) pairs of the shared anchors
+            # (text, position) pairs of the shared anchors; the same pieces elsewhere in the text are shared as well
             many = batch.column(3)
             span = int(lengths.max(initial=0)) + 1
             wanted = np.repeat(np.arange(len(lengths)), np.diff(many.offsets.to_numpy())) * span + many.flatten().to_numpy()
-            pick = np.flatnonzero(np.isin(t * span + at, wanted))
-            best: dict[bytes, tuple] = {}
-            sent, told = [], []
+            both = g ^ (t.astype(np.uint64) + np.uint64(1)) * _ODD
+            pick = np.flatnonzero(np.isin(both, both[np.isin(t * span + at, wanted)]))
+            best: dict[bytes, tuple[int, int]] = {}
+            rows_of: dict[tuple[int, bytes], list[int]] = {}
+            out: list[tuple] = []
             for i in pick[np.argsort(ids[t[pick]], kind="stable")].tolist():
-                d, a, b = t[i], int(first[i]), int(last[i])
-                segment = b" ".join(words[d][a : b + WINDOW])
-                known = best.get(segment)
-                if known is None or known == ids[d]:
-                    best[segment] = ids[d]
-                    sent.append((int(g[i].view(np.int64)), int(ids[d]), int(rows[d]), a, b, segment))
+                d, a = int(t[i]), int(first[i])
+                segment = b" ".join(words[d][a : int(last[i]) + WINDOW])
+                if (firsts := rows_of.get((d, segment))) is not None:
+                    firsts.append(a)  # a text that repeats a segment sends it once, with all its places
+                    continue
+                rows_of[(d, segment)] = firsts = [a]
+                doc_id, row, count = int(ids[d]), int(rows[d]), int(last[i]) - a + 1
+                if best.setdefault(segment, doc_id) == doc_id:
+                    out.append((int(g[i].view(np.int64)), doc_id, row, firsts, count, segment))
                 else:  # the batch has a smaller document with the same segment
-                    told.append((int(rows[d]), int(ids[d]), int(rows[d]), a, b, None))
-            cols = list(zip(*(sent + told), strict=True)) or [()] * 6
+                    out.append((row, doc_id, row, firsts, count, None))
+            cols = list(zip(*out, strict=True)) or [()] * 6
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _SEGMENTS, strict=True)], schema=_SEGMENTS)
 
         return step
@@ -350,7 +358,8 @@ def repeated_windows(rows: DataFrame, known: DataFrame) -> DataFrame:
         for batch in batches:
             told = batch.filter(batch.column(5).is_null())
             if told.num_rows:
-                yield told.select(["doc_id", "row", "first", "last"])
+                each = np.arange(told.num_rows)
+                yield from places(told, each, np.zeros(len(each), np.int32), told.column(4).to_numpy() - 1)
             rest = batch.filter(batch.column(5).is_valid())
             if not rest.num_rows:
                 continue
@@ -370,6 +379,20 @@ def repeated_windows(rows: DataFrame, known: DataFrame) -> DataFrame:
         if held:
             yield from shard(held)
 
+    def places(rows, r: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Runs of windows at every place of the segments r: from start to end, counted from the segment's first."""
+        lists = rows.column(3)
+        lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+        offsets, firsts = lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.flatten().to_numpy()
+        n = (offsets[1:] - offsets[:-1])[r]
+        if not n.sum():
+            return
+        of = np.repeat(np.arange(len(r)), n)
+        at = firsts[offsets[r][of] + np.arange(len(of)) - (np.cumsum(n) - n)[of]]
+        ids, row = rows.column(1).to_numpy(), rows.column(2).to_numpy()
+        cols = (ids[r[of]], row[r[of]], at + start[of], at + end[of])
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["doc_id", "row", "first", "last"])
+
     def shard(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         every = pa.Table.from_batches(held).combine_chunks()
         coded = every.column(5).combine_chunks().dictionary_encode()
@@ -377,26 +400,22 @@ def repeated_windows(rows: DataFrame, known: DataFrame) -> DataFrame:
         owner = np.full(len(coded.dictionary), _NONE)
         np.minimum.at(owner, at, ids)
         least, into = first_owners(coded.dictionary, owner)
-        rows, first, last = (every.column(i).to_numpy() for i in (2, 3, 4))
         # every row's windows against its own identifier, then the runs of those with a smaller owner
-        counts = (last - first + 1).astype(np.int64)
+        counts = every.column(4).to_numpy().astype(np.int64)
         begin = np.cumsum(counts) - counts
         of = np.repeat(np.arange(len(counts)), counts)
         within = np.arange(len(of)) - begin[of]
         less = least[into[at][of] + within] < ids[of]
         starts = np.flatnonzero(less & ~np.r_[False, less[:-1] & (of[1:] == of[:-1])])
         ends = np.flatnonzero(less & ~np.r_[less[1:] & (of[1:] == of[:-1]), False])
-        if len(starts):
-            r = of[starts]
-            cols = (ids[r], rows[r], (first[r] + within[starts]).astype(np.int32), (first[r] + within[ends]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["doc_id", "row", "first", "last"])
+        yield from places(every, of[starts], within[starts].astype(np.int32), within[ends].astype(np.int32))
         pa.default_memory_pool().release_unused()
 
-    segments = by_rows(met.select("row", "doc_id", "text", "at"), cut, "anchor long, doc_id long, row long, first int, last int, words binary")
+    segments = by_rows(met.select("row", "doc_id", "text", "at"), cut, "anchor long, doc_id long, row long, firsts array<int>, windows int, words binary")
     return segments.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(search, "doc_id long, row long, first int, last int")
 
 
-_SEGMENTS = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("row", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("words", pa.binary())])
+_SEGMENTS = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("row", pa.int64()), ("firsts", pa.list_(pa.int32())), ("windows", pa.int32()), ("words", pa.binary())])
 
 
 def covered(n: int, runs: list[tuple[int, int]], window: int = WINDOW) -> np.ndarray:
