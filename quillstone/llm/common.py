@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import hashlib
 import tempfile
 import uuid
@@ -36,8 +38,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A new, empty place under the shared folder for one run of an operator."""
-    return f"{shared_dir(spark)}/quillstone/{name}-{uuid.uuid4().hex}"
+    """A new, empty place under the shared folder for one run of an operator; gone when the driver program ends."""
+    at = f"{shared_dir(spark)}/quillstone/{name}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(_sweep)
+    _made.append(at)
+    return at
+
+
+_made: list[str] = []
+
+
+def _sweep() -> None:
+    for at in _made:
+        with contextlib.suppress(Exception):  # what can't be deleted now may stay
+            system, path = filesystem(at)
+            system.delete_dir(path)
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:

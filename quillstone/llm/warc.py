@@ -30,6 +30,8 @@ from .common import filesystem, slices, table, through_disk, work_dir
 ARCHIVE_BYTES, CHUNK = 256 << 20, 64 << 10
 #: Payloads of fewer bytes are never stored as revisits.
 LEAST = 0
+#: Digests (some 150 bytes each in a hash table) that are sent to all tasks at most.
+BROADCAST_ROWS = 200_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
 
@@ -108,8 +110,8 @@ def payload_of(block: bytes) -> tuple[int, bytes]:
 def write_archives(pages: DataFrame, least: int = LEAST, at: str | None = None) -> DataFrame:
     """Writes an archive or more from each task under ``at``; gives the manifest: path, records.
 
-    Only payloads that occur more than once travel to the join, as a digest and an identifier; Spark sends that small
-    side to all tasks if its own size limit allows it and else shuffles both sides, splitting hot digests.
+    Only digests of payloads that occur more than once go to the join.  They are counted first: up to ``BROADCAST_ROWS``
+    of them are sent to all tasks, more are joined by a shuffle, in which Spark splits hot digests.
     """
     spark = pages.sparkSession
     at = at or work_dir(spark, "warc")
@@ -118,7 +120,9 @@ def write_archives(pages: DataFrame, least: int = LEAST, at: str | None = None)
     html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long"), "url", html.alias("html"), F.concat(F.sha2(html, 256), F.lit("/"), F.length(html)).alias("same"))
     shared = rows.where(F.length("html") >= least).groupBy("same").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL").select("same", "first")
-    marked = rows.join(shared, "same", "left").select(
+    shared = through_disk(shared, "shared-payloads")
+    few = shared.count() <= BROADCAST_ROWS  # then no payload is shuffled
+    marked = rows.join(F.broadcast(shared) if few else shared, "same", "left").select(
         "page_id", "url", "html", F.expr("CASE WHEN page_id IS NULL OR page_id <> first THEN first END").alias("refers_to")
     )
 
