@@ -9,6 +9,7 @@ pages of an endpoint are made from its file <endpoint>.jsonl, which stands in fo
 
 from __future__ import annotations
 
+import base64
 import json
 import os
 import time
@@ -23,21 +24,41 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, Filter, Greater
 
 #: Rows of a page; tries at a server that fails or asks to wait; tries with a refused token.
 PAGE, TRIES, TOKEN_TRIES = 50, 6, 2
+#: Seconds that a token serves, and the first wait between tries.
+TOKEN_SECONDS, WAIT = 3300, 1.0
+_tokens: dict[tuple[str, str], tuple[str, float]] = {}
 
 
 @dataclass
 class Client:
+    """token: a bearer token, or ``id:secret`` of an account that may ask for one."""
+
     base: str
     token: str = ""
 
+    def bearer(self, fresh: bool = False) -> str:
+        """The token to send; one that was asked for serves for 55 minutes, unless a fresh one is wanted."""
+        if ":" not in self.token:
+            return self.token
+        known = _tokens.get((self.base, self.token))
+        if fresh or known is None or time.monotonic() > known[1]:
+            form = urllib.parse.urlencode({"grant_type": "client_credentials"}).encode()
+            account = base64.b64encode(self.token.encode()).decode()
+            ask = urllib.request.Request(f"{self.base.split('/rest')[0]}/rest/oauth/token", form, {"Authorization": f"Basic {account}"})
+            with urllib.request.urlopen(ask, timeout=60) as answer:
+                known = json.loads(answer.read())["access_token"], time.monotonic() + TOKEN_SECONDS
+            _tokens[(self.base, self.token)] = known
+        return known[0]
+
     def page(self, endpoint: str, start: int, size: int, query: dict[str, str]) -> dict:
         if "://" not in self.base:
             return self._from_folder(endpoint, start, size, query)
         args = urllib.parse.urlencode({**query, "startAt": start, "maxResults": size})
-        ask = urllib.request.Request(f"{self.base}/{endpoint}?{args}", headers={"Authorization": f"Bearer {self.token}"} if self.token else {})
         refused = 0
         for n in range(TRIES + 1):
             try:
+                bearer = self.bearer(fresh=refused > 0)
+                ask = urllib.request.Request(f"{self.base}/{endpoint}?{args}", headers={"Authorization": f"Bearer {bearer}"} if bearer else {})
                 with urllib.request.urlopen(ask, timeout=60) as answer:
                     return json.loads(answer.read())
             except urllib.error.HTTPError as e:
@@ -47,7 +68,7 @@ class Client:
             except (urllib.error.URLError, TimeoutError):
                 if n == TRIES:
                     raise
-            time.sleep(min(30, 2**n))
+            time.sleep(min(30, WAIT * 2**n))
         raise TimeoutError(endpoint)
 
     def _from_folder(self, endpoint: str, start: int, size: int, query: dict[str, str]) -> dict:

@@ -58,3 +58,51 @@ def test_life_of_a_project(spark, source, tmp_path, monkeypatch):
     assert e.status().first()["items"] == 30
     assert e.purge(5) == [5] and e.store.projects() == []
     assert e.cache_state(5) == "missing"
+
+
+def test_commands(spark, source, tmp_path, capsys):
+    from quillstone.__main__ import main
+
+    path, _ = source
+    go = lambda *a: main(["--root", str(tmp_path / "root"), "--base", str(path), *a])
+    assert go("query", "5", "SELECT 1 AS x", "--offline") == 2 and "init" in capsys.readouterr().err
+    assert go("init", "Five") == 0 and "built" in capsys.readouterr().out
+    assert go("--json", "search", "5", "--expr", "upload and files", "--top", "2", "--offline") == 0
+    assert len(json.loads(capsys.readouterr().out)) == 2
+    assert go("query", "5", "SELECT count(*) AS n FROM items", "--offline") == 0 and "61" in capsys.readouterr().out
+    assert go("search", "5", "--expr", "(", "--offline") == 2 and go("search", "5", "x", "--top", "-1", "--offline") == 2
+    assert go("purge", "5") == 0 and go("status") == 0
+
+
+def test_a_server_that_refuses_and_waits(monkeypatch):
+    import http.server
+    import threading
+
+    asked = []
+
+    class Server(http.server.BaseHTTPRequestHandler):
+        def answer(self, code, body):
+            self.send_response(code)
+            self.end_headers()
+            self.wfile.write(json.dumps(body).encode())
+
+        def do_POST(self):
+            asked.append("token")
+            self.answer(200, {"access_token": f"t{asked.count('token')}"})
+
+        def do_GET(self):
+            asked.append(self.headers["Authorization"])
+            code = {1: 401, 2: 429}.get(sum(x != "token" for x in asked), 200)
+            self.answer(code, {"meta": {"pageInfo": {"totalResults": 3}}, "data": [{"id": 1}]})
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Server)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    monkeypatch.setattr(paged, "WAIT", 0.01)
+    client = paged.Client(f"http://127.0.0.1:{server.server_port}/rest/latest", "me:secret")
+    assert client.page("items", 0, 50, {})["data"] == [{"id": 1}] and client.count("items", {}) == 3
+    assert asked[:4] == ["token", "Bearer t1", "token", "Bearer t2"]
+    server.shutdown()
+    assert paged.Client("http://127.0.0.1:1/rest", "x").count("items", {}) is None
