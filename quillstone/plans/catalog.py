@@ -478,6 +478,50 @@ def incremental_stream(spark, d):
     return replay(spark, d)
 
 
+@query("SELECT n_nationkey, n_name FROM nation WHERE regexp_matches(n_name, '(?i)^u|land$') ORDER BY n_name")
+def name_regex(spark, d):
+    return table(spark, d, "nation").where(F.col("n_name").rlike("(?i)^u|land$")).orderBy("n_name").select("n_nationkey", "n_name")
+
+
+@query("SELECT DISTINCT doc_id AS id FROM labels WHERE doc_id IS NOT NULL")
+def id_sweep(spark, d):
+    return table(spark, d, "labels").select(F.col("doc_id").alias("id")).where("id IS NOT NULL").distinct()
+
+
+@query("SELECT 'items' AS t, count(*) AS n FROM documents UNION ALL SELECT 'links', count(*) FROM lineitem UNION ALL SELECT 'options', count(DISTINCT o_orderstatus) FROM orders")
+def status_counts(spark, d):
+    one = lambda name, df: df.select(F.lit(name).alias("t"), "n")
+    parts = [one("items", table(spark, d, "documents").agg(F.count("*").alias("n"))), one("links", table(spark, d, "lineitem").agg(F.count("*").alias("n"))), one("options", table(spark, d, "orders").agg(F.countDistinct("o_orderstatus").alias("n")))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(f"SELECT greatest('{_CUT}', coalesce(max(strftime(ts, '%Y-%m-%dT%H:%M:%S.%f')), '')) AS watermark FROM events WHERE ts < TIMESTAMP '2024-01-10'")
+def watermark_incremental(spark, d):
+    return ingest.watermark(_events(spark, d).where(F.col("modifiedDate") < "2024-01-10"), F.lit(_CUT))
+
+
+@query(f"WITH {ITEMS}, i AS (SELECT id, name, description, stepsText, CASE WHEN id % 3 <> 0 THEN globalSortOrder END AS globalSortOrder FROM items) SELECT id, globalSortOrder FROM i WHERE {_HAY} ILIKE '%tion%' ORDER BY globalSortOrder NULLS LAST, id LIMIT 200")
+def like_order_nulls_last(spark, d):
+    rows = items(spark, d).withColumn("globalSortOrder", F.when(F.col("id") % 3 != 0, F.col("globalSortOrder")))
+    return search.like_leg(rows, boolexpr.parse("tion"))
+
+
+@query(
+    rf"""WITH {ITEMS}, t AS (SELECT id, unnest([regexp_extract_all(lower(coalesce(name, '')), '[\p{{L}}\p{{N}}\p{{Co}}]+'), regexp_extract_all(lower(coalesce(description, '')), '[\p{{L}}\p{{N}}\p{{Co}}]+')]) AS w FROM items)
+SELECT id, sum(len(list_filter(range(1, len(w)), lambda i: w[i] = 'of' AND w[i + 1] = 'the')))::BIGINT AS hits FROM t GROUP BY id HAVING hits > 0"""
+)
+def postings_phrase(spark, d):
+    rows = fulltext.postings(fulltext.index(items(spark, d), stemmed=False), 64)
+    return fulltext.phrase_hits(rows, "of the", buckets=64, stemmed=False).select("id", "hits")
+
+
+@query(f"WITH {ITEMS}, {_CHUNKS}, e AS (SELECT doc_id, t, unnest(generate_series(0, c - 1)) AS chunk_no FROM n WHERE c > 0) SELECT lang, count(*) AS chunks, round(avg(length(substr(t, 1 + chunk_no * 1300, 1500))), 6) AS mean_length FROM e JOIN documents USING (doc_id) GROUP BY lang")
+def chunk_statistics(spark, d):
+    docs = table(spark, d, "documents")
+    rows = docs.select("lang", F.explode(text.chunks(F.coalesce("text", F.lit("")))).alias("c"))
+    return rows.groupBy("lang").agg(F.count("*").alias("chunks"), F.round(F.avg(F.length("c")), 6).alias("mean_length"))
+
+
 # SQL pass-through
 
 
