@@ -176,14 +176,68 @@ def test_recall_follows_the_number():
 # the pipeline
 
 
-def test_pipeline(spark, small):
+def test_pipeline_equals_brute_force(spark, small):
+    import re
+    import zlib
+
     import corpus_pipeline
+    from quillstone.llm import mixing, quality, simhash, tokens
+
+    from .test_documents import brute_hits, slow_components
 
     docs = spark.read.parquet(f"{small}/documents.parquet")
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, docs, small)
-        assert out.columns == docs.columns, name
-        assert set(out.select("doc_id").collect()) <= set(docs.select("doc_id").collect())
-        docs = spark.createDataFrame(out.collect(), out.schema)
-    done = corpus_pipeline.run(spark, small)
-    assert sorted(r.doc_id for r in done.collect()) == sorted(r.doc_id for r in docs.collect())
+    outs = []
+    for name, stage in corpus_pipeline.STAGES:
+        before = docs
+        outs.append(sorted(r.doc_id for r in stage(spark, before, small).collect()))
+        if name != corpus_pipeline.STAGES[-1][0]:
+            out = stage(spark, before, small)
+            assert out.columns == docs.columns, name
+            docs = spark.createDataFrame(out.collect(), out.schema)
+    rows = [(r.doc_id, r.text or "", r.lang, r.source) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
+
+    # the classifier, one text after the other
+    of = quality.fit(spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet")).scorer()
+    rows = [r for r in rows if of(r[1].encode()) >= 0.5]
+    assert sorted(r[0] for r in rows) == outs[0]
+
+    # near-duplicates, all pairs
+    prints = [(r[0], (simhash.wide_fingerprint(r[1].encode(), 1, 2), simhash.wide_fingerprint(r[1].encode(), 5, 2))) for r in rows]
+    halves = lambda f: [int(x) >> s & 0xFFFFFFFF for x in f for s in (0, 32)]
+    apart = lambda x, y: sum((int(a) ^ int(b)).bit_count() for a, b in zip(x, y, strict=True))
+
+    def near(x, y):
+        # a key in common: halves within one bit, or equal without a set bit each
+        meet = any((p ^ q).bit_count() <= 1 or (p ^ q).bit_count() == 2 and p.bit_count() == q.bit_count() for p, q in zip(halves(x[0]), halves(y[0]), strict=True))
+        return int(x[1][0]) == int(y[1][0]) or meet and apart(x[1], y[1]) <= 19
+
+    assert round(128 * math.acos(2 * 0.8 / 1.8) / math.pi) == 19
+    first = slow_components(prints, near)
+    rows = [r for r, c in zip(rows, first, strict=True) if r[0] == c]
+    assert sorted(r[0] for r in rows) == outs[1]
+
+    # benchmark passages
+    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
+    rows = [r for r in rows if not brute_hits(r[1], bench)[1]]
+    assert sorted(r[0] for r in rows) == outs[2]
+
+    # mixing
+    def cell(r):
+        text, low = r[1], r[1].lower()
+        topic = "short" if len(text) < 400 else "tabular" if text.count("|") >= 10 else "contact" if "@" in text else "legal" if "license" in low or "copyright" in low else "prose"
+        return tuple(v if v in mixing.TARGETS[k] else "other" for k, v in (("source", r[3]), ("lang", r[2]), ("topic", topic)))
+
+    weight = {}
+    for r in rows:
+        weight[cell(r)] = weight.get(cell(r), 0.0) + len(re.findall(r"[^\x20\x09-\x0D]+", r[1]))
+    p = mixing.rake(weight, list(mixing.TARGETS.values()))
+    rows = [r for r in rows if int(hashlib.md5(str(r[0]).encode()).hexdigest()[:8], 16) / 2**32 < p[cell(r)]]
+    assert sorted(r[0] for r in rows) == outs[3] == outs[4]
+
+    # token output of the whole run
+    encoder, start, want = tokens.Encoder(tokens.tokenizer_path()), 0, []
+    for r in sorted(rows):
+        ids = encoder._ids([r[1]])[0] + bytes(4)
+        want.append((r[0], start, len(ids) // 4, zlib.crc32(ids)))
+        start += len(ids) // 4
+    assert sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in corpus_pipeline.run(spark, small).collect()) == want
