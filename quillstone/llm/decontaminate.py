@@ -13,8 +13,9 @@ row; an empty benchmark leaves every document clean; columns with other names pa
 
 from __future__ import annotations
 
+import contextlib
+
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,6 +104,14 @@ def blocks_of(benchmark: DataFrame, most: int = BLOCK_TEXT) -> list[list[tuple]]
     return [[(r.item_id, bytes(r.text)) for r in rows.where(part == k).collect()] for k in range(n)]
 
 
+def _tables(part) -> list[WuManber]:
+    """The tables of one of several blocks; neither they nor the block's texts outlive their use in a worker."""
+    out = searchers(part.value)
+    with contextlib.suppress(AttributeError):
+        del part._value
+    return out
+
+
 def mark(docs: DataFrame, benchmark: DataFrame, most: int = BLOCK_TEXT) -> DataFrame:
     """doc_id, n_words, n_hit, items (sorted identifiers as text) of every row.
 
@@ -122,7 +131,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, most: int = BLOCK_TEXT) -> DataF
             else:
                 marks = [(bytearray(len(w)), set()) for w in texts]
                 for part in parts:
-                    tables = searchers(part.value)
+                    tables = _tables(part)
                     for words, (seen, items) in zip(texts, marks, strict=True):
                         for s in tables:
 
@@ -159,7 +168,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, most: int = BLOCK_T
             texts = [words_of(t) for t in utf8(batch.column(at))]
             clean = [True] * len(texts)
             for part in parts:
-                tables = kept or searchers(part.value)
+                tables = kept or _tables(part)
                 clean = [ok and not hits(w, tables)[0] for ok, w in zip(clean, texts, strict=True)]
             return batch.filter(pa.array(clean, pa.bool_())) if not all(clean) else batch
 

@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_rows, table, utf8
+from .common import by_rows, table, through_disk, utf8
 
 #: Identifiers of each class in the fitting sample; bytes of a dictionary; compression level; bytes of a training piece.
 SAMPLE_DOCS, DICTIONARY, LEVEL, PIECE = 3000, 112 << 10, 3, 4 << 10
@@ -86,12 +86,15 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_DOCS) ->
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_DOCS, dictionary: int = DICTIONARY, level: int = LEVEL) -> Model:
-    rows = sorted(((r.h, r.quality, bytes(r.text or b"")) for r in sample(docs, labels, per_class).toLocalIterator()), key=lambda r: r)
     kept, size = [], {0: 0, 1: 0}
-    for h, q, text in rows:
-        size[q] += len(text)
-        if size[q] <= SAMPLE_BYTES:
-            kept.append((q, text))
+    # in the order of the hashes, a partition at a time, until there is enough: the driver holds the kept texts only
+    for r in through_disk(sample(docs, labels, per_class), "labelled").orderBy("h", "quality", "text").toLocalIterator():
+        text = bytes(r.text or b"")
+        size[r.quality] += len(text)
+        if size[r.quality] <= SAMPLE_BYTES:
+            kept.append((r.quality, text))
+        elif min(size.values()) > SAMPLE_BYTES:
+            break
     learn = {q: [t for k, (c, t) in enumerate(kept) if c == q and k % 3] for q in (0, 1)}
     check = [(t, c) for k, (c, t) in enumerate(kept) if not k % 3]
     share = (sum(c for c, _ in kept) + 1) / (len(kept) + 2)
