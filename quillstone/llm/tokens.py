@@ -99,12 +99,15 @@ class Encoder:
         # the first piece of a text has no space before it
         known = [*map(find, pieces), *self._ids([t.partition(" ")[0] for t in texts])]
         at[firsts[:-1]] = len(pieces) + np.arange(len(texts))
-        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
-        begins = np.cumsum(sizes) - sizes
+        # numbers of 32 bits do: a slice of texts has far fewer ids
+        sizes = np.fromiter(map(len, known), np.int32, len(known)) // 4
+        begins = np.cumsum(sizes, dtype=np.int32) - sizes
         flat, counts = np.frombuffer(b"".join(known), "<u4"), sizes[at]
-        ends = np.cumsum(counts)
-        data = flat[np.repeat(begins[at] - (ends - counts), counts) + np.arange(ends[-1])].tobytes()
-        bounds = (np.concatenate([[0], ends])[firsts] * 4).tolist()
+        ends = np.cumsum(counts, dtype=np.int32)
+        places = np.repeat(begins[at] - (ends - counts), counts)
+        places += np.arange(ends[-1], dtype=np.int32)
+        data = flat[places].tobytes()
+        bounds = (np.concatenate([[0], ends])[firsts].astype(np.int64) * 4).tolist()
         return [data[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
 
     def _many(self, pieces: list[str]) -> list[bytes]:
@@ -296,7 +299,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 0, at: str | Non
         encoder, writer, path = encoder_of(tokenizer), None, ""
         end, prior, repeat, first = np.uint32(end_id).tobytes(), object(), 0, None
         for whole in batches:
-            for batch in slices(whole, 8 << 20):
+            for batch in slices(whole, 4 << 20):
                 if writer is None:
                     path = f"{at}/shard-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.sst"
                     system, inner = filesystem(path)
