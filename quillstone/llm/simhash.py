@@ -26,6 +26,8 @@ from .common import by_rows, table, through_disk, utf8
 from .components import components
 
 SEED, DISTANCE, SHINGLE = 42, 3, 3
+#: Rows of one or two numbers that are sent to all tasks at most (some 32 MB as a hash table); more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -179,15 +181,17 @@ def _named(rows: DataFrame, prints: list[str], keys: list[str], checks: list[str
     smallest doc_id of its nodes.
     """
     node = checks[0]
-    classes = rows.where("doc_id IS NOT NULL").groupBy(*prints).agg(F.min("doc_id").alias("first"))
+    classes = rows.where("doc_id IS NOT NULL").groupBy(*prints).agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
     classes = through_disk(classes, "classes")
-    firsts = classes.groupBy(F.col(node).alias("node")).agg(F.min("first").alias("first"))
+    firsts = classes.groupBy(F.col(node).alias("node")).agg(F.min("first").alias("first"), F.sum("n").alias("n"))
     found = through_disk(components(link(classes, keys, checks, distance)), "linked")
     least = found.join(firsts, "node").groupBy("component").agg(F.min("first").alias("least"))
     known = found.join(least, "component").select("node", "least")
-    named = firsts.join(known, "node", "left").select(F.col("node").alias(node), F.coalesce("least", "first").alias("component_id"))
-    out = rows.join(named, node, "left")
-    return out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
+    # a row alone in its node, and the node without a link, is its own component; only the others are looked up
+    named = firsts.join(known, "node", "left").where("n > 1 OR least IS NOT NULL")
+    named = through_disk(named.select(F.col("node").alias(node), F.coalesce("least", "first").alias("component_id")), "named")
+    out = rows.join(F.broadcast(named) if named.count() <= BROADCAST_ROWS else named, node, "left")
+    return out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
@@ -201,8 +205,6 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
 #: For similar texts: words of a shingle that decides, the similarity (Jaccard) of these shingles, words of a shingle
 #: that finds candidates, and 64-bit lanes of either fingerprint.
 DECIDING, SIMILARITY, FINDING, LANES, DECIDING_LANES = 5, 0.8, 1, 2, 2
-#: Identifiers (16 bytes each in a hash table) that are sent to all tasks at most; more of them are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
 
 
 def similar(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
