@@ -88,7 +88,8 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_DOCS) ->
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_DOCS, dictionary: int = DICTIONARY, level: int = LEVEL) -> Model:
     kept, size = [], {0: 0, 1: 0}
     # in the order of the hashes, a partition at a time, until there is enough: the driver holds the kept texts only
-    for r in through_disk(sample(docs, labels, per_class), "labelled").orderBy("h", "quality", "text").toLocalIterator():
+    chosen = through_disk(sample(docs, labels, per_class), "labelled").repartitionByRange(32, "h")
+    for r in chosen.sortWithinPartitions("h", "quality", "text").toLocalIterator():
         text = bytes(r.text or b"")
         size[r.quality] += len(text)
         if size[r.quality] <= SAMPLE_BYTES:
