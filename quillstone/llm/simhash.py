@@ -22,12 +22,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_rows, table, through_disk, utf8
+from .common import by_rows, slices, table, through_disk, utf8
 from .components import components
 
 SEED, DISTANCE, SHINGLE = 42, 3, 3
 #: Rows of one or two numbers that are sent to all tasks at most (some 32 MB as a hash table); more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Shingles (8 bytes each) of a block of candidates; two blocks are compared in a task.
+BLOCK_SHINGLES = 1_000_000
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -71,6 +73,21 @@ def wide_fingerprint(text: bytes, shingle: int, lanes: int) -> np.ndarray:
     return np.packbits(counts * 2 > n).view("<u8")
 
 
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """Hashes of the different shingles, in order; fewer words than a shingle has make one."""
+    words = text.lower().split()
+    grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)) if len(words) >= shingle else [b" ".join(words)] * bool(words)
+    return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, grams), "<u8"))
+
+
+def band_keys(hashes: np.ndarray, bands: int) -> np.ndarray:
+    """A key a band: the smallest hashes under two orders; sets alike by s share it in s * s of the bands."""
+    if not len(hashes):
+        return np.zeros(bands, np.uint64)
+    least = np.array([(hashes * np.uint64(xxhash.xxh3_64_intdigest(b"order", i) | 1)).min() for i in range(2 * bands)])
+    return least[::2] * np.uint64(0x9E3779B97F4A7C15) + least[1::2]
+
+
 def variants(fp: np.ndarray, lane: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Keys of fingerprints and the index of the fingerprint that each is of.
 
@@ -116,18 +133,19 @@ def _forest(checks: np.ndarray, most: int) -> list[tuple[int, int]]:
     return links
 
 
-def link(classes: DataFrame, keys: list[str], checks: list[str], distance: int) -> DataFrame:
+def link(classes: DataFrame, keys: list[str], checks: list[str], distance: int, bands: tuple[str, ...] = ()) -> DataFrame:
     """classes: fingerprints, one row a different set of them.
 
-    Rows meet if one half of one of the ``keys`` differs in at most one bit; they are linked if the ``checks`` together
-    differ in at most ``distance`` bits.  Gives links (a, b) between first checks (the nodes): enough of them to connect
+    Rows meet if one half of one of the ``keys`` differs in at most one bit or one of the ``bands`` is equal; they are
+    linked if the ``checks`` together differ in at most ``distance`` bits.  Gives links (a, b) between first checks (the nodes): enough of them to connect
     all that the verified links connect.
     """
-    n, m = len(keys), len(checks)
+    n, m, more = len(keys), len(checks), len(bands)
 
     def spread():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             found = [variants(batch.column(i).to_numpy().view(np.uint64), i) for i in range(n)]
+            found += [(batch.column(i).to_numpy().view(np.uint64), np.arange(batch.num_rows)) for i in range(n + m, n + m + more)]
             rows = np.concatenate([r for _, r in found])
             cols = [np.concatenate([k for k, _ in found]).view(np.int64), *(batch.column(i).to_numpy()[rows] for i in range(n, n + m))]
             return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", *(f"c{i}" for i in range(m))])
@@ -146,7 +164,7 @@ def link(classes: DataFrame, keys: list[str], checks: list[str], distance: int)
         if carry is not None:
             yield from _pairs(carry, distance)
 
-    columns = [F.col(c).alias(f"k{i}") for i, c in enumerate(keys)] + [F.col(c).alias(f"c{i}") for i, c in enumerate(checks)]
+    columns = [F.col(c).alias(f"k{i}") for i, c in enumerate(keys)] + [F.col(c).alias(f"c{i}") for i, c in enumerate(checks)] + [F.col(c).alias(f"m{i}") for i, c in enumerate(bands)]
     keyed = by_rows(classes.select(*columns), spread, ", ".join(["key long", *(f"c{i} long" for i in range(m))]))
     # keys of one fingerprint only are the rule; sorting lets a task hold one key's rows and not a whole partition
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long")
@@ -184,7 +202,12 @@ def _named(rows: DataFrame, prints: list[str], keys: list[str], checks: list[str
     classes = rows.where("doc_id IS NOT NULL").groupBy(*prints).agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
     classes = through_disk(classes, "classes")
     firsts = classes.groupBy(F.col(node).alias("node")).agg(F.min("first").alias("first"), F.sum("n").alias("n"))
-    found = through_disk(components(link(classes, keys, checks, distance)), "linked")
+    return _answered(rows, firsts, link(classes, keys, checks, distance), node)
+
+
+def _answered(rows: DataFrame, firsts: DataFrame, links: DataFrame, node: str) -> DataFrame:
+    """rows with component_id; firsts: each node's smallest doc_id (first) and number of rows (n)."""
+    found = through_disk(components(links), "linked")
     least = found.join(firsts, "node").groupBy("component").agg(F.min("first").alias("least"))
     known = found.join(least, "component").select("node", "least")
     # a row alone in its node, and the node without a link, is its own component; only the others are looked up
@@ -203,8 +226,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
 
 
 #: For similar texts: words of a shingle that decides, the similarity (Jaccard) of these shingles, words of a shingle
-#: that finds candidates, and 64-bit lanes of either fingerprint.
-DECIDING, SIMILARITY, FINDING, LANES, DECIDING_LANES = 5, 0.8, 1, 2, 2
+#: that finds candidates, 64-bit lanes of either fingerprint, and keys of two smallest hashes that find candidates, too.
+DECIDING, SIMILARITY, FINDING, LANES, DECIDING_LANES, BANDS = 5, 0.8, 1, 2, 2, 8
 
 
 def similar(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -212,24 +235,118 @@ def similar(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     or more in five-word shingles.
 
     Five-word fingerprints of such texts differ in more bits than halves with one wildcard can find, so fingerprints of
-    their different words (of which an edit changes fewer) find the candidates: any of their halves within one bit.  The
-    five-word fingerprint decides, by the share of bits in which texts of that similarity differ.
+    their different words (of which an edit changes fewer) find the candidates: any of their halves within one bit, or
+    one of the bands equal.  Candidates whose five-word fingerprints are clearly too far apart for that similarity are
+    left out; of all others the sets of five-word shingles are compared.  A node is a different set of shingles.
+    """
+    apart = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    bits = 64 * DECIDING_LANES
+    most = math.ceil(bits * apart + 6 * math.sqrt(bits * apart * (1 - apart)))  # few shingles vary more than many
+    keys, checks, bands = [f"k{i}" for i in range(LANES)], [f"v{i}" for i in range(DECIDING_LANES)], [f"m{i}" for i in range(BANDS)]
+    prints = ["node", "size", *keys, *checks, *bands]
+
+    def make():
+        def one(text: bytes) -> np.ndarray:
+            own = shingle_hashes(text, DECIDING)
+            node = np.array([xxhash.xxh3_64_intdigest(own.tobytes()), len(own)], np.uint64)
+            return np.concatenate([node, wide_fingerprint(text, FINDING, LANES), wide_fingerprint(text, DECIDING, DECIDING_LANES), band_keys(own, BANDS)])
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            all_ = np.array([one(t) for t in utf8(batch.column(2))]).view(np.int64)
+            cols = [batch.column(0), batch.column(1), *(pa.array(np.ascontiguousarray(all_[:, i])) for i in range(all_.shape[1]))]
+            return pa.RecordBatch.from_arrays(cols, ["row", "doc_id", *prints])
+
+        return step
+
+    texts = docs.select(F.xxhash64("doc_id", "text").alias("row"), F.col("doc_id").cast("long"), "text")
+    rows = through_disk(by_rows(texts, make, ", ".join(f"{c} long" for c in ("row", "doc_id", *prints))), "wide-fingerprints")
+    classes = rows.where("doc_id IS NOT NULL").groupBy(*prints).agg(F.min("doc_id").alias("first"), F.count("*").alias("n"), F.min("row").alias("row"))
+    classes = through_disk(classes, "classes")
+    near = through_disk(components(link(classes, keys, checks, most, tuple(bands))), "candidates")
+    links = _compared(texts.select("row", "text"), classes, near.withColumnRenamed("node", checks[0]), checks[0], similarity)
+    return _answered(rows, classes.select("node", "first", "n"), links, "node").select("row", "doc_id", "component_id")
+
+
+def _compared(texts: DataFrame, classes: DataFrame, near: DataFrame, check: str, similarity: float) -> DataFrame:
+    """Links (a, b) between nodes whose sets of shingles are alike by ``similarity``: enough of them to connect all that
+    such links connect within a component of candidates (``near``, by the check; classes of an equal check are
+    candidates, too).
+
+    One text of a node travels.  A component with many shingles is cut into blocks and every pair of its blocks meets
+    in a group, so no task holds more than two.
     """
-    most = round(64 * DECIDING_LANES * math.acos(2 * similarity / (1 + similarity)) / math.pi)
-    keys, checks = [f"k{i}" for i in range(LANES)], [f"v{i}" for i in range(DECIDING_LANES)]
+    members = classes.select("node", "row", "size", check).join(near, check, "left").withColumn("component", F.coalesce("component", check))
+    sums = members.groupBy("component").agg(F.count("*").alias("n"), F.ceil(F.sum("size") / BLOCK_SHINGLES).alias("blocks")).where("n > 1")
+    block, blocks = F.pmod(F.xxhash64("node"), F.greatest("blocks", F.lit(1))), F.greatest("blocks", F.lit(1))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda j: j != block)
+    groups = F.when(blocks == 1, F.array(F.xxhash64("component"))).otherwise(F.transform(others, lambda j: F.xxhash64("component", F.least(block, j), F.greatest(block, j))))
+    members = through_disk(members.join(sums, "component").select("row", "node", groups.alias("groups")), "members")
+    few = members.count() <= BROADCAST_ROWS  # then only the members' texts travel
+    found = texts.join(F.broadcast(members) if few else members, "row").select("groups", "node", "text")
 
     def make():
+        seen = set()  # a row that the table repeats is sent once a task
+
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts = utf8(batch.column(2))
-            both = np.array([np.concatenate([wide_fingerprint(t, FINDING, LANES), wide_fingerprint(t, DECIDING, DECIDING_LANES)]) for t in texts]).view(np.int64)
-            cols = [batch.column(0), batch.column(1), *(pa.array(np.ascontiguousarray(both[:, i])) for i in range(both.shape[1]))]
-            return pa.RecordBatch.from_arrays(cols, ["row", "doc_id", *keys, *checks])
+            nodes = batch.column(1).to_pylist()
+            new = [i for i, x in enumerate(nodes) if not (x in seen or seen.add(x))]
+            batch = batch.take(pa.array(new, pa.int64()))
+            sets = [shingle_hashes(t, DECIDING).tobytes() for t in utf8(batch.column(2))]
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], ["groups", "node", "shingles"])
 
         return step
 
-    rows = docs.select(F.xxhash64("doc_id", "text").alias("row"), F.col("doc_id").cast("long"), "text")
-    prints = by_rows(rows, make, ", ".join(f"{c} long" for c in ("row", "doc_id", *keys, *checks)))
-    return _named(through_disk(prints, "wide-fingerprints"), keys + checks, keys, checks, most).select("row", "doc_id", "component_id")
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, sets, links = None, {}, []
+        out = lambda x: pa.RecordBatch.from_arrays([pa.array([p[i] for p in x], pa.int64()) for i in (0, 1)], ["a", "b"])
+        for whole in batches:
+            for batch in slices(whole):
+                for at, node, shingles in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if at != group:
+                        links += _alike(sets, similarity)
+                        group, sets = at, {}
+                        if len(links) > 10_000:
+                            yield out(links)
+                            links = []
+                    sets[node] = np.frombuffer(shingles, "<u8")
+        if links := links + _alike(sets, similarity):
+            yield out(links)
+
+    sets = by_rows(found, make, "groups array<long>, node long, shingles binary").select(F.explode("groups").alias("group"), "node", "shingles")
+    return sets.repartition("group").sortWithinPartitions("group").mapInArrow(compare, "a long, b long")
+
+
+def _alike(found: dict[int, np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links between nodes, given their sets, that connect what is connected by pairs alike by ``similarity``: a node is
+    compared with all others, until those not yet compared are all connected."""
+    nodes, sets = list(found), list(found.values())
+    n, links = len(nodes), []
+    if n < 2:
+        return links
+    sizes = np.array([len(x) for x in sets])
+    if n == 2:
+        common = len(np.intersect1d(*sets, assume_unique=True))
+        return [(nodes[0], nodes[1])] if common / (sizes.sum() - common) >= similarity else links
+    of, names = np.repeat(np.arange(n), sizes), np.unique(np.concatenate(sets), return_inverse=True)[1]
+    order, begin = np.argsort(names, kind="stable"), np.r_[0, np.cumsum(sizes)]
+    starts, have = np.r_[0, np.cumsum(np.bincount(names))], of[order]
+    label, todo, at = np.arange(n), np.ones(n, bool), 0
+    while True:
+        todo[at] = False
+        own = names[begin[at] : begin[at + 1]]
+        many = starts[own + 1] - starts[own]
+        places = np.repeat(starts[own] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        common = np.bincount(have[places], minlength=n)
+        near = np.flatnonzero(common >= 1)
+        near = near[common[near] / (sizes[at] + sizes[near] - common[near]) >= similarity]
+        labels, first = np.unique(label[near], return_index=True)
+        links += [(nodes[at], nodes[x]) for x in near[first[labels != label[at]]]]
+        label[np.isin(label, labels)] = label[at]
+        rest = np.flatnonzero(todo)
+        others = rest[label[rest] != np.bincount(label[rest]).argmax()] if len(rest) else rest
+        if not len(others):
+            return links
+        at = int(others[0])
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

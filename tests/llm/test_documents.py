@@ -297,6 +297,59 @@ def test_similar_texts_are_found(spark):
     assert sum(got[i + 1] == i for i in range(0, k, 2)) >= 57 and all(got[i] == i for i in range(0, k, 2))
 
 
+def test_similar_equals_exact_jaccard(spark, monkeypatch):
+    """Long near copies around the threshold: the shingle sets decide, not the fingerprints' variance."""
+
+    def grams(text):
+        w = text.split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    rng = np.random.default_rng(11)
+    rows = []
+    for g in range(80):
+        words = [f"{g}x{i}" for i in rng.integers(0, 5000, 300)]
+        rows.append((2 * g, " ".join(words)))
+        for at in range(7, 300, 300 // (5 + g % 5)):  # 5 to 10 changed words: alike by about 0.84 down to 0.7
+            words[at] = f"new{rng.integers(0, 10**9)}"
+        rows.append((2 * g + 1, " ".join(words)))
+    words = [f"hot{i}" for i in range(200)]  # a group of many different near copies, and a chain that leaves it
+    for k in range(30):
+        rows.append((1000 + k, " ".join(words[:190] + [f"end{k}"])))
+        words[20 + 4 * k] = f"step{k}"
+    sets = [grams(t) for _, t in rows]
+    want = slow_components([(d, s) for (d, _), s in zip(rows, sets, strict=True)], lambda x, y: len(x & y) / len(x | y) >= 0.8)
+    assert 20 < sum(c != d for (d, _), c in zip(rows[:160], want, strict=False)) < 60
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (simhash.BLOCK_SHINGLES, 1500):
+        monkeypatch.setattr(simhash, "BLOCK_SHINGLES", block)
+        got = {r.doc_id: r.component_id for r in simhash.similar(frame).collect()}
+        assert [got[d] for d, _ in rows] == want
+
+
+def test_similar_documents_of_the_table(spark):
+    """All pairs alike by 0.8 or more in five-word shingles, of sf0.01."""
+    from collections import Counter, defaultdict
+    from itertools import combinations
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, simhash.shingle_hashes((r.text or "").encode(), 5)) for r in docs.collect()]
+    having, common = defaultdict(list), Counter()
+    for i, (_, s) in enumerate(rows):
+        for h in s.tolist():
+            having[h].append(i)
+    for found in having.values():
+        common.update(combinations(found, 2))
+    root = list(range(len(rows)))
+    for _ in range(20):
+        for (i, j), n in common.items():
+            if n / (len(rows[i][1]) + len(rows[j][1]) - n) >= 0.8:
+                root[i] = root[j] = min(root[i], root[j])
+    least = {}
+    for (d, _), c in zip(rows, root, strict=True):
+        least[c] = min(d, least.get(c, d))
+    assert {r.doc_id: r.component_id for r in simhash.similar(docs).collect()} == {d: least[c] for (d, _), c in zip(rows, root, strict=True)}
+
+
 # 10: quality
 
 
