@@ -12,7 +12,9 @@ The topic of a document without such a column is the kind of its text: tabular,
 
 Cases: null in source, language, topic or text is ``other``, ``other`` and the kind short; a document without words has
 weight 0 and its cell's rate; a target for a value that doesn't occur is left out and the rest scaled up; a value
-without a target of its own shares other's, and one with target 0 isn't kept; repeated identifiers share their fate; rows with
+without a target of its own shares other's; if the named targets leave nothing for other, it gets its own share of the
+tokens and they are scaled down, so it is sampled like the rest; only a target of 0 given to a value by name (other, too)
+erases it; repeated identifiers share their fate; rows with
 a null identifier are hashed as an empty one; an empty table gives no rows.
 """
 
@@ -27,7 +29,7 @@ from .common import table
 #: Rounds of raking, and the share of all tokens that the mixture is to keep.
 ROUNDS, BUDGET = 40, 0.85
 OTHER = "other"
-#: Shares of the tokens that the mixture is to have; the rest up to 1 is other's.
+#: Shares of the tokens that the mixture is to have; the rest up to 1 is other's, or if there is none its natural share.
 TARGETS: dict[str, dict[str, float]] = {
     "source": {"src0": 0.30} | {f"src{i}": 0.70 / 19 for i in range(1, 20)},
     "lang": {"en": 0.55, "de": 0.16, "fr": 0.16, "es": 0.13},
@@ -61,12 +63,12 @@ def rake(weights: dict[tuple, float], targets: list[dict[str, float]], budget: f
         return {}
     w = np.array([weights[c] for c in cells], float)
     p = np.full(len(cells), float(budget))
+    goals = [_with_other(t, sum(x for c, x in weights.items() if c[d] == OTHER) / max(w.sum(), 1.0)) for d, t in enumerate(targets)]
     index = [np.unique([c[d] for c in cells], return_inverse=True) for d in range(len(targets))]
     for _ in range(rounds):
-        for (values, at), target in zip(index, targets, strict=True):
+        for (values, at), goal in zip(index, goals, strict=True):
             now = np.bincount(at, w * p, len(values))
-            rest = max(0.0, 1.0 - sum(v for k, v in target.items() if k != OTHER))
-            want = np.array([target.get(v, rest if v == OTHER else 0.0) for v in values.tolist()])
+            want = np.array([goal.get(v, 0.0) for v in values.tolist()])
             want = np.where(now > 0, want, 0.0)
             if want.sum() > 0:
                 want = want * (budget * w.sum()) / want.sum()
@@ -74,6 +76,17 @@ def rake(weights: dict[tuple, float], targets: list[dict[str, float]], budget: f
     return dict(zip(cells, p.tolist(), strict=True))
 
 
+def _with_other(target: dict[str, float], share: float) -> dict[str, float]:
+    """target with one for other: what the named leave of 1, or, if they leave nothing, other's own ``share`` of the
+    tokens, for which they are scaled down."""
+    if OTHER in target:
+        return target
+    rest = 1.0 - sum(target.values())
+    if rest > 1e-9 or not share:
+        return target | {OTHER: max(0.0, rest)}
+    return {k: v * (1.0 - share) for k, v in target.items()} | {OTHER: share}
+
+
 def uniform(doc_id: Column) -> Column:
     """A number from 0 to 1 that depends on the identifier alone."""
     return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296.0

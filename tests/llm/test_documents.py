@@ -81,6 +81,23 @@ def test_mixing_cases(odd_docs, no_docs):
     assert mixing.mix(no_docs).count() == 0
 
 
+def test_mixing_keeps_some_of_other(spark):
+    """Values without a target are sampled, though the named targets sum to 1; a target of 0 by name still erases."""
+    weights = {(f"src{i}" if i < 20 else "other", lang): 1000.0 for i in range(21) for lang in ("en", "de", "fr", "es", "other")}
+    targets = [mixing.TARGETS["source"], mixing.TARGETS["lang"]]
+    p = mixing.rake(weights, targets, budget=0.1)
+    kept = lambda d, v: sum(w * p[c] for c, w in weights.items() if c[d] == v)
+    assert kept(0, "other") == pytest.approx(0.1 * 5000, rel=1e-6) and kept(1, "other") == pytest.approx(0.1 * 21000, rel=1e-6)
+    assert kept(1, "en") / kept(1, "de") == pytest.approx(0.55 / 0.16, rel=1e-6)
+    assert mixing.rake({("a",): 9.0, ("other",): 1.0}, [{"a": 1.0, "other": 0.0}])[("other",)] == 0.0
+    text = " ".join(["word"] * 100)
+    rows = [(i, text, (*mixing.TARGETS["lang"], "it", None)[i // 21 % 6], f"src{i % 21}" if i % 11 else None) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = mixing.mix(docs)
+    for unlisted in ("source = 'src20'", "source IS NULL", "lang = 'it'", "lang IS NULL", "source = 'src20' AND lang = 'it'"):
+        assert 0.5 < kept.where(unlisted).count() / docs.where(unlisted).count() <= 1, unlisted
+
+
 # 4: decontamination
 
 
