@@ -5,8 +5,11 @@ left out).  For each node two entropies over the host's pages are computed, of w
 of its children) and of what it says, each divided by the logarithm of the number of pages: 0 if all pages have the
 same, 1 if all differ.  The larger is the node's importance; branches of low importance on a host with enough pages
 are taken off every page.  Branches that say by tag, role or class what they are (menus, headers, footers, sidebars,
-notices, adverts, forms, scripts, styles, comments) go on every host, for a host may have one page only.  What a page
-marks as its article is kept by importance, so a text that a whole host repeats isn't lost.
+notices, adverts, forms, scripts, styles, comments) go on every host, for a host may have one page only.
+
+Inside what a page marks as its article the trees take off whole branches (boxes, sections, tables, lists, paragraphs);
+words within a line, headings and single entries or rows stay, for they belong to what stands around them.  An article
+that is of low importance as a whole stays whole, so a text that a whole host repeats isn't lost.
 
 The text is cut into blocks at block elements; white space in a block (line breaks, too) becomes one space; blocks are
 joined by an empty line; character references are decoded.
@@ -58,6 +61,8 @@ OUTSIDE = frozenset("header masthead notice notices alert search topbar legal co
 CONTENT = frozenset("article content main post entry story body".split())
 CLOSES_P = BLOCK - {"html", "body", "legend", "caption", "tbody", "tfoot", "thead", "tr"}
 SAME_CLOSE = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+#: Blocks that say something only with their neighbours: inside an article they go with the branch that holds them.
+PARTS = frozenset("html body main h1 h2 h3 h4 h5 h6 hgroup li dt dd thead tbody tfoot tr caption figcaption legend summary".split())
 FENCES = frozenset("article main section div table td th ul ol dl body html nav aside header footer form".split())
 
 
@@ -183,7 +188,7 @@ def main_text(root: Node, low: frozenset[int] = frozenset()) -> str:
 
     _deep(seek, root)
     if articles:
-        return "\n\n".join(b for node, path in articles for b in _blocks(node, path, True, frozenset()))
+        return "\n\n".join(b for node, path in articles for b in _blocks(node, path, True, frozenset() if _hash(path) in low else low, True))
     for rank in (2, 1):
         texts = ["\n\n".join(_blocks(node, path, True, low)) for r, node, path in others if r == rank]
         if best := max(texts, key=len, default=""):
@@ -191,7 +196,7 @@ def main_text(root: Node, low: frozenset[int] = frozenset()) -> str:
     return "\n\n".join(_blocks(root, f"/{root.name}", False, low))
 
 
-def _blocks(node: Node, path: str, inside: bool, low: frozenset[int]) -> list[str]:
+def _blocks(node: Node, path: str, inside: bool, low: frozenset[int], article: bool = False) -> list[str]:
     out, run = [], []
 
     def flush() -> None:
@@ -205,7 +210,8 @@ def _blocks(node: Node, path: str, inside: bool, low: frozenset[int]) -> list[st
                 run.append(c)
                 continue
             under = f"{path}/{c.name}"
-            if _is_noise(c, inside) or low and _hash(under) in low and c.tag not in ("html", "body", "main"):
+            may_go = c.tag in BLOCK and c.tag not in PARTS if article else c.tag not in ("html", "body", "main")
+            if _is_noise(c, inside) or low and may_go and _hash(under) in low:
                 if c.tag in BLOCK:
                     flush()
                 continue

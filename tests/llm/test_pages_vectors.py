@@ -108,6 +108,17 @@ def test_site_tree_removes_what_repeats(spark, no_pages):
     assert html.extract(no_pages).count() == 0
 
 
+def test_site_tree_removes_what_repeats_in_articles(spark):
+    box = "<div class=x12><p>Get our letter every week</p></div>"
+    rows = [(i, "http://h.example/p", f"<article><h1>Title {i}</h1><p>Own <em>very</em> text {i}</p>{box}<h2>Sources</h2><ul><li>Book {i}</ul></article>", "l", "p") for i in range(8)]
+    rows += [(50 + i, "http://same/p", f"<article><p>One text</p>{box}</article><p>{i}", "l", "p") for i in range(8)]
+    rows += [(100, "http://other/p", rows[0][2], "l", "p")]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got[3] == "Title 3\n\nOwn very text 3\n\nSources\n\nBook 3"
+    assert got[55] == "One text\n\nGet our letter every week"  # the whole article repeats
+    assert got[100] == "Title 0\n\nOwn very text 0\n\nGet our letter every week\n\nSources\n\nBook 0"
+
+
 def test_pages_of_the_table(spark, small):
     import html as markup
     import re
