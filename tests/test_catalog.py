@@ -22,3 +22,13 @@ def test_entry_and_registry(spark, small):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_graph_hop_answers_all_orders(spark, small, duck):
+    parts, orders = {}, {}
+    for order, part in duck.execute("SELECT l_orderkey, l_partkey FROM lineitem").fetchall():
+        parts.setdefault(part, set()).add(order)
+        orders.setdefault(order, set()).add(part)
+    want = {o: len(set().union(*(parts[p] for p in mine)) - {o}) for o, mine in orders.items()}
+    got = {r.src: r.siblings for r in catalog.QUERIES["sql_graph_hop"](spark, small).collect()}
+    assert got == {o: n for o, n in want.items() if n} and len({o % 500 for o in got}) > 1
