@@ -11,6 +11,10 @@ Inside what a page marks as its article the trees take off whole branches (boxes
 words within a line, headings and single entries or rows stay, for they belong to what stands around them.  An article
 that is of low importance as a whole stays whole, so a text that a whole host repeats isn't lost.
 
+On a page without an article all outermost blocks of the best kind are its text, in page order: main elements, else
+blocks whose class or id says content (without those a host repeats, if others are left); what stands outside them goes,
+and if there are none the whole page counts.
+
 The text is cut into blocks at block elements; white space in a block (line breaks, too) becomes one space; blocks are
 joined by an empty line; character references are decoded.
 
@@ -171,28 +175,32 @@ def main_text(root: Node, low: frozenset[int] = frozenset()) -> str:
     articles: list[tuple[Node, str]] = []
     others: list[tuple[int, Node, str]] = []
 
-    def seek(node: Node, path: str) -> None:
+    def seek(node: Node, path: str, within: int = 0) -> None:
         path = f"{path}/{node.name}"
         if _is_noise(node, False):
             return
         if node.tag == "article":
             articles.append((node, path))
             return
+        rank = 0
         if node.tag == "main" or node.attrs.get("role") == "main":
-            others.append((2, node, path))
+            rank = 2
         elif node.tag in ("div", "section", "td") and CONTENT & set(_NAME.findall(f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}".lower())):
-            others.append((1, node, path))
+            rank = 1
+        if rank and not within & rank:  # the outermost of each rank
+            others.append((rank, node, path))
         for c in node.children:
             if not isinstance(c, str):
-                seek(c, path)
+                seek(c, path, within | rank)
 
     _deep(seek, root)
     if articles:
         return "\n\n".join(b for node, path in articles for b in _blocks(node, path, True, frozenset() if _hash(path) in low else low, True))
     for rank in (2, 1):
-        texts = ["\n\n".join(_blocks(node, path, True, low)) for r, node, path in others if r == rank]
-        if best := max(texts, key=len, default=""):
-            return best
+        found = [(node, path) for r, node, path in others if r == rank]
+        found = [x for x in found if _hash(x[1]) not in low] or found
+        if text := "\n\n".join(b for node, path in found for b in _blocks(node, path, True, low)):
+            return text
     return "\n\n".join(_blocks(root, f"/{root.name}", False, low))
 
 

@@ -90,6 +90,19 @@ def test_small_pages(page, want):
     assert html.main_text(html.parse(page)) == want
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<div class=entry><p>part one</div><div class=ad>no</div><div class=entry><p>two</div><div>out</div>", "part one\n\ntwo"),
+        ("<main><p>first</main><p>out</p><main><div class=content>second</div></main>", "first\n\nsecond"),
+        ("<div class=content><div class=post>in <div class=body>once</div></div></div><td class=story>cell</td>", "in\n\nonce\n\ncell"),
+        ("<main> </main><div id=content>a</div><section class=story>b</section>", "a\n\nb"),
+    ],
+)
+def test_all_outermost_blocks(page, want):
+    assert html.main_text(html.parse(page)) == want
+
+
 def test_deep_pages():
     assert html.main_text(html.parse("<div>" * 5000 + "deep")) == "deep"
 
