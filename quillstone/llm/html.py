@@ -19,7 +19,7 @@ The text is cut into blocks at block elements; white space in a block (line brea
 joined by an empty line; character references are decoded.
 
 Cases: null or empty html gives an empty text; a null or odd url belongs to the host of its own empty name; pages that
-break off or nest wrongly are closed as browsers close them; repeated pages are answered row by row (and weigh in their
+break off or nest wrongly are closed as browsers close them; a self-closed svg, object or iframe is empty; repeated pages are answered row by row (and weigh in their
 host's tree); an empty table gives no rows; columns other than page_id, url and html are ignored.
 """
 
@@ -43,7 +43,9 @@ BROADCAST_NODES, SALTS = 100_000, 64
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|select|svg|iframe|object|title)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?:svg|object|iframe)\b(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+(?<=/)>"
+    r"|<(?P<raw>script|style|noscript|textarea|iframe|title)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<apart>template|select|svg|object)\b[^>]*>(?:(?!<(?P=apart)\b).)*?</(?P=apart)\s*>"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|<[/a-zA-Z][^<>]*>|<[!?][^>]*>",
     re.S | re.I,
@@ -65,6 +67,8 @@ OUTSIDE = frozenset("header masthead notice notices alert search topbar legal co
 CONTENT = frozenset("article content main post entry story body".split())
 CLOSES_P = BLOCK - {"html", "body", "legend", "caption", "tbody", "tfoot", "thead", "tr"}
 SAME_CLOSE = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+#: Elements that are left out with all they hold; if one isn't closed, it ends with the element around it.
+UNSEEN = frozenset("template select svg object".split())
 #: Blocks that say something only with their neighbours: inside an article they go with the branch that holds them.
 PARTS = frozenset("html body main h1 h2 h3 h4 h5 h6 hgroup li dt dd thead tbody tfoot tr caption figcaption legend summary".split())
 FENCES = frozenset("article main section div table td th ul ol dl body html nav aside header footer form".split())
@@ -98,6 +102,13 @@ def parse(text: str) -> Node:
                 if stack[i].tag in FENCES and tag not in FENCES:
                     break
             continue
+        if tag in BLOCK:  # as in browsers, a block ends an open drawing
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i].tag == "svg":
+                    del stack[i:]
+                    break
+                if stack[i].tag in ("foreignobject", "template", "object") or stack[i].tag in FENCES:
+                    break
         for closed in (("p",) if tag in CLOSES_P else ()), SAME_CLOSE.get(tag, ()):
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag in closed:
@@ -108,7 +119,8 @@ def parse(text: str) -> Node:
         raw = m["attrs"]
         attrs = {k.lower(): markup.unescape(a or b or c) for k, a, b, c in _ATTR.findall(raw)} if raw and not raw.isspace() else {}
         node = Node(tag, attrs)
-        stack[-1].children.append(node)
+        if tag not in UNSEEN:
+            stack[-1].children.append(node)
         if tag not in VOID and not raw.endswith("/"):
             stack.append(node)
     if at < len(text):

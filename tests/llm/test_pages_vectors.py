@@ -103,6 +103,19 @@ def test_all_outermost_blocks(page, want):
     assert html.main_text(html.parse(page)) == want
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ('<article><p>a</p><svg class="i"/><p>rest</p></article>', "a\n\nrest"), ('<article><p>a</p><svg class="i"/><p>rest</p><svg><text>no</text></svg><p>end</article>', "a\n\nrest\n\nend"),
+        ('<article><p>a</p><svg class="i"><path d="x"><p>rest</p></article>', "a\n\nrest"), ("<article><p>a <object data='x/y'/>b</p><iframe src=\"q>r\" /><p>c</p></article>", "a b\n\nc"),
+        ("<article><div>a<select><option>no</div><p>rest</article>", "a\n\nrest"), ("<article><div>a<object><b>no</b></div><p>rest</article>", "a\n\nrest"),
+        ("<article>a<svg><svg>no</svg>no</svg> b<template><div>no</template> c</article>", "a b c"), ("<article>a<iframe src='x'>no</iframe> b<script>no", "a b"),
+    ],
+)
+def test_unclosed_elements_do_not_swallow_the_page(page, want):
+    assert html.main_text(html.parse(page)) == want
+
+
 def test_deep_pages():
     assert html.main_text(html.parse("<div>" * 5000 + "deep")) == "deep"
 
