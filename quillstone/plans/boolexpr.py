@@ -1,13 +1,17 @@
 """The boolean search language: text to a tree, a tree to a Spark condition.
 
-or := and (OR and)*, and := not ([AND] not)*, not := NOT not | '(' or ')' | term.  Words and, or, not in any case and the
-signs & && | || ! are operators; two operands side by side, also with a comma between, are joined by AND; what stands in
-double quotes is one term, even an operator's name.
+An expression is alternatives, parted by OR, of operands that all must hold, parted by AND or nothing (a comma is
+nothing); an operand is a term or a bracketed expression, after any number of NOTs.  The operators are the words and, or,
+not in any case and the signs & && | || !; what stands in double quotes is one term, even an operator's name.
+
+One pass reads it: every open bracket keeps its alternatives so far, so nesting costs no recursion.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterable
+from functools import reduce
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -35,89 +39,68 @@ class Or:
 
 Node = Term | Not | And | Or
 
-_WORDS = {"and": "AND", "or": "OR", "not": "NOT"}
-_SIGNS = {"&": "AND", "|": "OR", "!": "NOT", "(": "(", ")": ")", "（": "(", "）": ")"}
-
-
-def lex(text: str) -> list[tuple[str, str]]:
-    """(kind, text) of each token; kind is AND, OR, NOT, a bracket or TERM."""
-    out, i = [], 0
-    while i < len(text):
-        ch = text[i]
-        if ch.isspace() or ch == ",":
-            i += 1
-        elif ch in _SIGNS:
-            out.append((_SIGNS[ch], ch))
-            i += 2 if ch in "&|" and text[i + 1 : i + 2] == ch else 1
-        elif ch == '"':
-            end = text.find('"', i + 1)
-            end = len(text) if end < 0 else end
-            out.append(("TERM", text[i + 1 : end]))
-            i = end + 1
-        else:
-            start = i
-            while i < len(text) and not text[i].isspace() and text[i] not in ',"' and text[i] not in _SIGNS:
-                i += 1
-            word = text[start:i]
-            out.append((_WORDS.get(word.lower(), "TERM"), word))
-    return out
+# The signs and words of the language.
+OPERATORS = {"and": "AND", "&": "AND", "&&": "AND", "or": "OR", "|": "OR", "||": "OR", "not": "NOT", "!": "NOT", "(": "OPEN", "（": "OPEN", ")": "CLOSE", "）": "CLOSE"}
+_TOKEN = re.compile(r'"(?P<quoted>[^"]*)"?|&&?|\|\|?|[!()（）]|[^\s,"&|!()（）]+')
+
+
+class _Level:
+    """What an open bracket (or the whole text) holds so far; ``waits``: an operand must come next."""
+
+    def __init__(self):
+        self.alternatives: list[list[Node]] = [[]]
+        self.negations, self.waits = 0, True
+
+    def operand(self, node: Node) -> None:
+        self.alternatives[-1].append(reduce(lambda n, _: Not(n), range(self.negations), node))
+        self.negations, self.waits = 0, False
+
+    def operator(self, kind: str, shown: str) -> None:
+        if kind == "NOT":
+            self.negations += 1
+        elif self.waits:
+            raise ValueError(f"{shown!r} stands where a term is expected")
+        elif kind == "OR":
+            self.alternatives.append([])
+        self.waits = True
+
+    def node(self) -> Node:
+        if self.waits:
+            raise ValueError("the expression ends, or a bracket closes, where a term is expected")
+        return joined(Or, (joined(And, operands) for operands in self.alternatives))
 
 
 def parse(text: str) -> Node:
     """Raises ValueError for an empty, unbalanced or otherwise broken expression."""
-    found, at = lex(text), 0
-    if not found:
-        raise ValueError("the expression is empty")
-
-    def kind() -> str | None:
-        return found[at][0] if at < len(found) else None
-
-    def either() -> Node:
-        nonlocal at
-        parts = [every()]
-        while kind() == "OR":
-            at += 1
-            parts.append(every())
-        return parts[0] if len(parts) == 1 else Or(tuple(parts))
-
-    def every() -> Node:
-        nonlocal at
-        parts = [negated()]
-        while kind() in ("AND", "NOT", "TERM", "("):
-            if kind() == "AND":
-                at += 1
-            parts.append(negated())
-        return parts[0] if len(parts) == 1 else And(tuple(parts))
-
-    def negated() -> Node:
-        nonlocal at
-        k = kind()
-        if k is None:
-            raise ValueError("the expression ends where a term is expected")
-        text = found[at][1]
-        at += 1
-        if k == "NOT":
-            return Not(negated())
-        if k == "TERM":
-            return Term(text)
-        if k == "(":
-            inner = either()
-            if kind() != ")":
-                raise ValueError("a bracket isn't closed")
-            at += 1
-            return inner
-        raise ValueError(f"{text!r} stands where a term is expected")
-
-    tree = either()
-    if at < len(found):
-        raise ValueError(f"{found[at][1]!r} follows a complete expression")
-    return tree
+    levels = [_Level()]
+    for token in _TOKEN.finditer(text):
+        shown, quoted = token[0], token["quoted"]
+        kind = "TERM" if quoted is not None else OPERATORS.get(shown.lower(), "TERM")
+        if kind == "TERM":
+            levels[-1].operand(Term(shown if quoted is None else quoted))
+        elif kind == "OPEN":
+            levels.append(_Level())
+        elif kind == "CLOSE":
+            inner = levels.pop().node()
+            if not levels:
+                raise ValueError("a bracket closes that was never opened")
+            levels[-1].operand(inner)
+        else:
+            levels[-1].operator(kind, shown)
+    if len(levels) > 1:
+        raise ValueError("a bracket isn't closed")
+    return levels[0].node()
+
+
+def joined(kind: type[And] | type[Or], nodes: Iterable[Node]) -> Node | None:
+    """All nodes under one of the kind; a single one stays as it is, none gives None."""
+    found = tuple(nodes)
+    return kind(found) if len(found) > 1 else next(iter(found), None)
 
 
 def from_keywords(keywords: list[str], match: str = "any") -> Node | None:
-    """any: OR, all: AND; one keyword is a term by itself, none gives None."""
-    terms = tuple(Term(k) for k in keywords)
-    return None if not terms else terms[0] if len(terms) == 1 else Or(terms) if match == "any" else And(terms)
+    """The keywords as terms, of which any or all must hold."""
+    return joined(Or if match == "any" else And, map(Term, keywords))
 
 
 def split_keywords(values: list[str]) -> list[str]:
@@ -125,13 +108,16 @@ def split_keywords(values: list[str]) -> list[str]:
     return [k for v in values for k in (p.strip() for p in v.split(",")) if k]
 
 
-def positive_terms(node: Node) -> list[str]:
+def positive_terms(tree: Node) -> list[str]:
     """The leaves that stand under no NOT, from left to right."""
-    if isinstance(node, Term):
-        return [node.text]
-    if isinstance(node, Not):
-        return []
-    return [t for c in node.children for t in positive_terms(c)]
+    found, todo = [], [tree]
+    while todo:
+        node = todo.pop()
+        if isinstance(node, Term):
+            found.append(node.text)
+        elif not isinstance(node, Not):
+            todo += node.children[::-1]
+    return found
 
 
 def condition(node: Node, leaf: Callable[[str], Column]) -> Column:
