@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes that separate words where a word is any run of non-white-space; bytes.split() uses the same six.
 ASCII_SPACE = b" \t\n\v\f\r"
@@ -72,6 +73,15 @@ def through_disk(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+#: Rows of a few numbers that are sent to all tasks at most (some 32 MB as a hash table); more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def few(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """rows, to be sent to all tasks of a join if they are counted to be at most ``most``; narrow rows only, materialized."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+
+
 def by_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:
     """mapInArrow with a per-task set-up: ``make()`` runs once in each task and gives the function of a batch."""
 

@@ -1,20 +1,25 @@
 """Embedding near-duplicates: sign hashing by random hyperplanes in several tables, exact verification, components.
 
 Vectors are compared inside their label only.  Equal vectors form a class that takes part once and counts as often as
-it has members.  Each class is put into one bucket of each table by the signs of its products with the table's
-hyperplanes; in a bucket all pairs are verified by their cosine in double precision.  The number of planes follows the
-number of classes, so that buckets stay small, and the number of tables follows from the planes, so that a pair exactly
-at the threshold is found with probability ``recall`` at every size.
-
-A bucket above ``block`` members is dealt over blocks: each pair of blocks is a group of its own, so no task holds more
-than two blocks and none of the pairs is left out.  Pairs never leave a task: each class gets its number of links, a
-pair that meets in several tables being counted in the first of them, and a spanning forest of the links goes on to
-the components.
+it has members.  The work goes in four steps, of which only the third moves vectors, and only those of candidates:
+
+1. Each class gets the signs of its products with random hyperplanes: a bucket in each of several tables, and a sketch
+   of ``CHECK`` further signs.  The number of planes of a table follows the number of classes, so that buckets stay
+   small, and the number of tables follows from the planes, so that a pair exactly at the threshold is found with
+   probability ``recall`` at every size.
+2. In a bucket those sketches meet.  Pairs whose sketches differ in no more signs than a pair at the threshold does (and
+   three standard deviations) are candidates; a spanning forest of them leaves the task, never all pairs.
+3. The vectors of a component of candidates meet once, and all its pairs are verified by their cosine in double
+   precision.  A component above ``MOST`` members takes the cheaper of two ways, by the number of pairs: all of its own,
+   or those of its members' buckets in each table (there, a pair that meets in several tables counts in the first).
+   Groups above ``BLOCK`` members are dealt over pairs of blocks; no task holds more than two blocks.
+4. Each class gets its number of links, and a forest of the links goes on to the components.
 
 Cases: vectors that are null, empty, zero or hold null or non-finite components, and rows without a label, link with
 nothing; vectors of different lengths aren't compared; repeated rows count as different vectors and link with each
-other; rows without vec_id are answered with null component and count as partners; an empty table gives no rows;
-columns other than vec_id, embedding and label are ignored.
+other; different vectors that share an identifier are one node and answer with the sum of their links; rows without
+vec_id are answered with null component, count as partners and lead from one vector to another; very long vectors make
+smaller blocks; an empty table gives no rows; columns other than vec_id, embedding and label are ignored.
 """
 
 from __future__ import annotations
@@ -24,36 +29,203 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_rows, table, through_disk
+from .common import by_rows, few, table, through_disk
 from .components import components
 
-THRESHOLD, RECALL, SEED, BLOCK = 0.98, 0.99, 20240131, 1024
+THRESHOLD, RECALL, SEED = 0.98, 0.99, 20240131
+#: Signs of a sketch; members of a bucket on the average; members of a component that are compared without asking for
+#: the cheaper way; members of a block.
+CHECK, OCCUPANCY, MOST, BLOCK = 128, 32, 4096, 16384
+#: Pairs of a tile of vectors that are compared at once; numbers of a block's vectors at most.
+TILE, VALUES = 1 << 18, 1 << 21
 
 
 def shape_of(n: int, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[int, int]:
     """Planes a table and tables for n classes."""
-    planes = min(60, max(6, math.ceil(math.log2(max(n, 2))) - 2))
+    planes = min(60, max(6, math.ceil(math.log2(max(n, 2) / OCCUPANCY))))
     meet = (1 - math.acos(threshold) / math.pi) ** planes
     return planes, math.ceil(math.log(1 - recall) / math.log(1 - meet))
 
 
-def usable(vector: Column) -> Column:
-    """Whether a vector can link: not null or empty, all components finite, not zero."""
-    ok = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    return F.coalesce((F.size(vector) > 0) & ok & F.exists(vector, lambda x: x != 0), F.lit(False))
+def apart(threshold: float = THRESHOLD) -> int:
+    """Signs in which the sketches of candidates differ at most."""
+    p = math.acos(threshold) / math.pi
+    return math.ceil(CHECK * p + 3 * math.sqrt(CHECK * p * (1 - p)))
+
+
+def matrices(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each length, the places and the matrix of the vectors that can link: all components finite, not all zero."""
+    lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    flat = column.flatten().to_numpy(zero_copy_only=False)  # null components are NaN here
+    starts = np.cumsum(lengths) - lengths
+    for dim in np.unique(lengths[lengths > 0]).tolist():
+        at = np.flatnonzero(lengths == dim)
+        m = flat.reshape(-1, dim) if len(at) * dim == len(flat) else flat[starts[at][:, None] + np.arange(dim)]
+        ok = np.isfinite(m).all(1) & (m != 0).any(1)
+        yield (at, m) if ok.all() else (at[ok], m[ok])
+
+
+def unit(m: np.ndarray) -> np.ndarray:
+    """The rows in double precision, of length one (scaled first, lest squares over- or underflow)."""
+    m = m.astype(np.float64)
+    m /= np.abs(m).max(1, keepdims=True)
+    return m / np.sqrt(np.einsum("ij,ij->i", m, m))[:, None]
+
+
+class Hyperplanes:
+    """Signs of vectors: a number for each table, and a sketch of ``CHECK`` signs as two numbers."""
+
+    def __init__(self, planes: int, tables: int):
+        self.planes, self.tables, self.drawn = planes, tables, {}
+
+    def __call__(self, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        dim = m.shape[1]
+        if dim not in self.drawn:
+            normal = np.random.default_rng([SEED, dim]).standard_normal
+            self.drawn[dim] = normal((self.tables * self.planes + CHECK, dim)).T.astype(np.float32)
+        bits = unit(m).astype(np.float32) @ self.drawn[dim] > 0
+        cut = self.tables * self.planes
+        powers = np.ldexp(1.0, np.arange(self.planes))  # sums are exact up to 52 planes
+        own = bits[:, :cut].reshape(len(m), self.tables, self.planes)
+        signs = (own @ powers).astype(np.int64) if self.planes <= 52 else own @ (1 << np.arange(self.planes, dtype=np.int64))
+        return signs, np.packbits(bits[:, cut:], axis=1).view("<i8")
+
+
+def bucket_keys(label: np.ndarray, dim: np.ndarray, signs: np.ndarray) -> np.ndarray:
+    """A number for label, length, table and signs (rows by tables).  Others may share it: only sketches meet by it."""
+
+    def mixed(x: np.ndarray) -> np.ndarray:
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+    at = mixed(label.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + dim.astype(np.uint64))
+    which = mixed(np.arange(1, signs.shape[1] + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+    return mixed(mixed(signs.astype(np.uint64) + which) + at[:, None]).view(np.int64)
+
+
+# step 1: classes and their sketches
+
+
+def sketches(chosen: DataFrame, planes: int, tables: int) -> DataFrame:
+    """node, label, dim, c0, c1 and signs (bytes) of every usable vector of chosen (node, label, vector)."""
+
+    def make():
+        hyperplanes = Hyperplanes(planes, tables)
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+            parts = []
+            for at, m in matrices(batch.column(2)):
+                signs, check = hyperplanes(m)
+                packed = signs.astype("<i8")
+                parts.append((at, np.full(len(at), m.shape[1], np.int32), check, [r.tobytes() for r in packed]))
+            if not parts:
+                return None
+            at, dim, check = (np.concatenate([p[i] for p in parts]) for i in range(3))
+            node, label = (batch.column(i).take(pa.array(at)) for i in (0, 1))
+            cols = [node, label, pa.array(dim), *(pa.array(np.ascontiguousarray(check[:, i])) for i in (0, 1)), pa.array([b for p in parts for b in p[3]], pa.binary())]
+            return pa.RecordBatch.from_arrays(cols, ["node", "label", "dim", "c0", "c1", "signs"])
+
+        return step
+
+    return by_rows(chosen.select("node", "label", "vector"), make, "node long, label long, dim int, c0 long, c1 long, signs binary")
+
+
+def keyed(drawn: DataFrame, tables: int, with_sketch: bool) -> DataFrame:
+    """A row (key, node and, if wanted, c0 and c1) for each class and table of ``drawn`` (sketches)."""
 
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            node, label, dim, c0, c1 = (batch.column(i).to_numpy() for i in range(5))
+            signs = np.frombuffer(b"".join(batch.column(5).to_pylist()), "<i8").reshape(-1, tables)
+            keys = bucket_keys(label, dim, signs)
+            cols = [keys.ravel(), np.repeat(node, tables), np.repeat(c0, tables), np.repeat(c1, tables)][: 4 if with_sketch else 2]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "node", "c0", "c1"][: len(cols)])
 
-def _forest(near: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of a symmetric matrix of links."""
-    left, links = np.arange(len(near)), []
+        return step
+
+    schema = "key long, node long, c0 long, c1 long" if with_sketch else "key long, node long"
+    return by_rows(drawn.select("node", "label", "dim", "c0", "c1", "signs"), make, schema)
+
+
+# step 2: candidates
+
+
+def candidates(drawn: DataFrame, n: int, tables: int, threshold: float, block: int) -> DataFrame:
+    """Links (a, b) of a forest of the pairs whose sketches meet in a bucket and are near."""
+    most = apart(threshold)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []  # the parts of the last key, which may go on in the next batch
+        for batch in batches:
+            got = np.stack([batch.column(i).to_numpy() for i in range(4)], axis=1)
+            cut = np.flatnonzero(np.r_[True, got[1:, 0] != got[:-1, 0]])
+            if held and got[0, 0] == held[0][0, 0] and len(cut) == 1:
+                held.append(got)
+                continue
+            head = cut[1] if held and got[0, 0] == held[0][0, 0] else 0
+            if held:
+                yield from _near_sketches(np.concatenate([*held, got[:head]]), most)
+            yield from _near_sketches(got[head : cut[-1]], most)
+            held = [got[cut[-1] :]]
+        if held:
+            yield from _near_sketches(np.concatenate(held), most)
+
+    rows = keyed(drawn, tables, True)
+    if n > block and (hot := hot_keys(keyed(drawn, tables, False), block)) is not None:
+        rows = dealt(rows, hot, "key")
+    return rows.select("key", "node", "c0", "c1").repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long")
+
+
+def hot_keys(rows: DataFrame, block: int) -> DataFrame | None:
+    """key and blocks of the keys with more than ``block`` rows; None if there are none."""
+    counts = rows.groupBy("key").agg(F.count("*").alias("members")).where(F.col("members") > block)
+    hot = through_disk(counts.select("key", F.ceil(F.col("members") / block).cast("int").alias("blocks")), "hot-buckets")
+    return None if hot.isEmpty() else few(hot)
+
+
+def dealt(rows: DataFrame, hot: DataFrame, key: str) -> DataFrame:
+    """rows with a hot key replaced by one key for each pair of blocks: a row of block i meets block j in (min, max) and
+    its own in (i, i).  Adds side: null, or in a pair of different blocks 0 or 1 for the block that the row is of."""
+    blocks = F.coalesce("blocks", F.lit(1))
+    out = rows.join(hot, key, "left").withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    out = out.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    pair = F.xxhash64(key, F.least("own", "other"), F.greatest("own", "other"))
+    side = F.when(F.col("own") != F.col("other"), (F.col("own") > F.col("other")).cast("int"))
+    return out.withColumn("side", side).withColumn(key, F.when(F.col("blocks").isNull(), F.col(key)).otherwise(pair)).drop("own", "other", "blocks")
+
+
+def _near_sketches(got: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
+    """Forests of near sketches of rows (key, node, c0, c1) in the order of their keys."""
+    starts = np.flatnonzero(np.r_[True, got[1:, 0] != got[:-1, 0]]) if len(got) else np.zeros(0, int)
+    sizes = np.diff(np.r_[starts, len(got)])
+    check, links = got[:, 2:].view(np.uint64), []
+    for size in np.unique(sizes[(sizes > 1) & (sizes <= 64)]).tolist():  # small buckets of one size at a time
+        for some in np.array_split(starts[sizes == size], max(1, int((sizes == size).sum()) * size * size >> 20)):
+            at = some[:, None] + np.arange(size)
+            near = np.bitwise_count(check[at][:, :, None] ^ check[at][:, None]).sum(-1, dtype=np.uint16) <= most
+            for g in np.flatnonzero(near.sum((1, 2)) > size):
+                links += [(at[g, i], at[g, j]) for i, j in _forest(lambda a, left, near=near[g]: near[a, left], size)]
+    for s, size in zip(starts[sizes > 64], sizes[sizes > 64], strict=True):
+        own = check[s : s + size]
+        links += [(s + i, s + j) for i, j in _forest(lambda a, left, own=own: np.bitwise_count(own[left] ^ own[a]).sum(-1, dtype=np.uint16) <= most, size)]
+    if links:
+        nodes = got[:, 1][np.array(links)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(nodes[:, i])) for i in (0, 1)], ["a", "b"])
+
+
+def _forest(near, n: int) -> list[tuple[int, int]]:
+    """A spanning forest of 0 ... n - 1; near(i, left) says which of left are near i."""
+    left, links = np.arange(n), []
     while len(left):
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             at = queue.pop()
-            hit = near[at, left]
+            hit = near(at, left)
             if hit.any():
                 links += [(at, x) for x in left[hit]]
                 queue += list(left[hit])
@@ -61,116 +233,184 @@ def _forest(near: np.ndarray) -> list[tuple[int, int]]:
     return links
 
 
-def verify(vectors: np.ndarray, signs: np.ndarray, weight: np.ndarray, side: np.ndarray | None, which: int, threshold: float):
-    """Numbers of links of each row and a forest.  side: 0 or 1 if only pairs across two blocks count; which: the table
-    at hand (pairs that share a bucket of an earlier one were counted there)."""
-    near = vectors @ vectors.T >= threshold
-    np.fill_diagonal(near, False)
-    if side is not None:
-        near &= side[:, None] != side[None, :]
-    for t in range(which):
-        if not near.any():
-            break
-        near &= signs[:, None, t] != signs[None, :, t]
-    return near @ weight, _forest(near)
+# step 3: verification
+
+
+def verify(vectors: np.ndarray, weight: np.ndarray, side: np.ndarray | None, signs: np.ndarray | None, which: int, threshold: float):
+    """Numbers of links of each row, and links that connect what they connect.  side: only pairs across two blocks
+    count; which: the table at hand (pairs that share a bucket of an earlier one were counted there)."""
+    n, links = len(vectors), []
+    counts, parent = np.zeros(n, np.int64), np.arange(n)
+    rows = np.arange(n) if side is None else np.flatnonzero(side == 0)
+    columns = rows if side is None else np.flatnonzero(side == 1)
+    step = max(1, TILE // max(1, min(len(columns), 4096)))
+    for a in range(0, len(rows), step):
+        i = rows[a : a + step]
+        for b in range(0 if side is not None else a, len(columns), 4096):
+            j = columns[b : b + 4096]
+            x, y = np.nonzero(vectors[i] @ vectors[j].T >= threshold)
+            x, y = i[x], j[y]
+            if side is None:
+                x, y = x[x < y], y[x < y]
+            for t in range(which):
+                other = signs[x, t] != signs[y, t]
+                x, y = x[other], y[other]
+            counts += (np.bincount(x, weight[y], n) + np.bincount(y, weight[x], n)).astype(np.int64)
+            while len(x):  # hook the larger of two roots to the smaller, until no link of the tile joins two
+                while (up := parent[parent]).tobytes() != parent.tobytes():
+                    parent = up
+                p, q = parent[x], parent[y]
+                some = np.flatnonzero(p != q)
+                if not len(some):
+                    break
+                high, low = np.maximum(p, q)[some], np.minimum(p, q)[some]
+                np.minimum.at(parent, high, low)
+                won = np.flatnonzero(parent[high] == low)
+                k = some[won[np.unique(high[won], return_index=True)[1]]]
+                links += zip(x[k].tolist(), y[k].tolist(), strict=True)
+    return counts, links
 
 
-def links(classes: DataFrame, n: int, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
-    """classes: node, label, vector (array<double>), weight.  Gives rows (a, b, n): links of a forest with n null, and
-    numbers n of links of a class with b null (to be summed)."""
-    planes, tables = shape_of(n, threshold, recall)
+_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
 
-    def hashed():
-        cache: dict[int, np.ndarray] = {}
 
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-            out = []
-            for node, label, vector, weight in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                dim = len(vector)
-                if dim not in cache:
-                    cache[dim] = np.random.default_rng([SEED, dim]).standard_normal((tables * planes, dim))
-                x = np.array(vector, np.float64)
-                x /= np.abs(x).max()
-                x /= np.sqrt(x @ x)
-                bits = (cache[dim] @ x > 0).reshape(tables, planes)
-                signs = bits @ (1 << np.arange(planes, dtype=np.int64))
-                data, s = x.tobytes(), signs.astype("<i8").tobytes()
-                out += [(label, dim, t, int(signs[t]), node, weight, data, s) for t in range(tables)]
-            return _batch(out, _HASHED) if out else None
+def groups(drawn: DataFrame, linked: DataFrame, n: int, tables: int, most: int, block: int) -> DataFrame:
+    """node, key, t, side and signs: where each candidate is to be verified.  t is 0 and signs are null where all pairs
+    of a component meet."""
+    sizes = linked.groupBy("component").agg(F.count("*").alias("size"))
+    large = through_disk(sizes.where(F.col("size") > most), "large-components")
+    if large.isEmpty():
+        return linked.select("node", F.xxhash64("component").alias("key"), F.lit(0).alias("t"), F.lit(None).cast("int").alias("side"), F.lit(None).cast("binary").alias("signs"))
+    own = linked.join(few(large), "component", "left")
+    small = own.where("size IS NULL").select("node", F.xxhash64("component").alias("key"), F.lit(0).alias("t"), F.lit(None).cast("int").alias("side"), F.lit(None).cast("binary").alias("signs"))
+    members = through_disk(own.where("size IS NOT NULL"), "large-members")
+    drawn = drawn.join(few(members.select("node", "component")), "node")
+    met = keyed(drawn, tables, False).join(few(members.select("node", "component")), "node").groupBy("component", "key").agg(F.count("*").cast("double").alias("m"))
+    cheaper = met.groupBy("component").agg(F.sum(F.col("m") * F.col("m")).alias("pairs")).join(large, "component")
+    cheaper = through_disk(cheaper.select("component", (F.col("pairs") < F.col("size").cast("double") * F.col("size")).alias("by_bucket")), "ways")
+    ways = few(cheaper)
+    whole = members.join(ways, "component").where("NOT by_bucket").select("node", F.xxhash64("component").alias("key"), F.lit(0).alias("t"), F.lit(None).cast("binary").alias("signs"))
+    bucketed = drawn.join(ways, "component").where("by_bucket")
+
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            node, label, dim = (batch.column(i).to_numpy() for i in range(3))
+            packed = batch.column(3)
+            keys = bucket_keys(label, dim, np.frombuffer(b"".join(packed.to_pylist()), "<i8").reshape(-1, tables))
+            cols = [pa.array(np.repeat(node, tables)), pa.array(keys.ravel()), pa.array(np.tile(np.arange(tables, dtype=np.int32), len(node))), packed.take(pa.array(np.repeat(np.arange(len(node)), tables)))]
+            return pa.RecordBatch.from_arrays(cols, ["node", "key", "t", "signs"])
 
         return step
 
+    rows = whole.unionByName(by_rows(bucketed.select("node", "label", "dim", "signs"), make, "node long, key long, t int, signs binary"))
+    hot = hot_keys(rows, block)
+    rows = dealt(rows, hot, "key") if hot is not None else rows.withColumn("side", F.lit(None).cast("int"))
+    return small.unionByName(rows.select("node", "key", "t", "side", "signs"))
+
+
+def verified(chosen: DataFrame, where: DataFrame, threshold: float) -> DataFrame:
+    """Rows (a, b, n): links of a forest with n null, and numbers n of links of a class with b null (to be summed)."""
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            for row in batch.to_pylist():
-                if held and row["bucket"] != held[0]["bucket"]:
+            keys = batch.column(0).to_numpy()
+            cut = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
+            for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                if held and held[0].column(0)[0].as_py() != keys[a]:
                     yield from group(held)
                     held = []
-                held.append(row)
-        yield from group(held)
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from group(held)
 
-    def group(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-        if len(rows) < 2:
+    def group(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if sum(p.num_rows for p in parts) < 2:
             return
-        vectors = np.stack([np.frombuffer(r["vector"], np.float64) for r in rows])
-        signs = np.stack([np.frombuffer(r["signs"], "<i8") for r in rows])
-        side = np.array([r["side"] for r in rows]) if rows[0]["side"] is not None else None
-        node = np.array([r["node"] for r in rows], np.int64)
-        got, forest = verify(vectors, signs, np.array([r["weight"] for r in rows], np.int64), side, rows[0]["t"], threshold)
-        out = [(int(node[i]), None, int(got[i])) for i in np.flatnonzero(got)]
-        out += [(int(node[i]), int(node[j]), None) for i, j in forest]
-        if out:
-            yield _batch(out, _LINKS)
-
-    bucket = ["label", "dim", "t", "sign"]
-    rows = by_rows(classes.select("node", "label", "vector", "weight"), hashed, "label long, dim int, t int, sign long, node long, weight long, vector binary, signs binary")
-    rows = through_disk(rows, "signs")
-    # the hot buckets: at most rows / block of them; Spark broadcasts them only if they are few
-    hot = rows.groupBy(*bucket).agg(F.count("*").alias("members")).where(F.col("members") > block).select(*bucket, F.ceil(F.col("members") / block).cast("int").alias("blocks"))
-    dealt = rows.join(hot, bucket, "left").withColumn("own", F.pmod(F.xxhash64("node", "t"), F.coalesce("blocks", F.lit(1))).cast("int"))
-    # a member of block i meets block j in the group (min, max); with itself in (i, i)
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
-    pair = [F.least("own", "other"), F.greatest("own", "other")]
-    keyed = dealt.select(
-        F.struct(*bucket, pair[0].alias("i"), pair[1].alias("j")).alias("bucket"), "t", "node", "weight", "vector", "signs",
-        F.when(F.col("own") != F.col("other"), (F.col("own") > F.col("other")).cast("int")).alias("side"),
-    )
-    return keyed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "a long, b long, n long")
-
-
-_HASHED = pa.schema([("label", pa.int64()), ("dim", pa.int32()), ("t", pa.int32()), ("sign", pa.int64()), ("node", pa.int64()), ("weight", pa.int64()), ("vector", pa.binary()), ("signs", pa.binary())])
-_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
-
-
-def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-
-
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+        whole = pa.Table.from_batches(parts).combine_chunks()
+        node, label, weight = (whole.column(c).to_numpy() for c in ("node", "label", "weight"))
+        vector = whole.column("vector").chunk(0)
+        which = whole.column("t")[0].as_py()
+        side = whole.column("side").to_numpy() if whole.column("side").null_count == 0 else None
+        for at, m in matrices(vector):
+            for one in np.unique(label[at]):
+                here = label[at] == one
+                if here.sum() < 2:
+                    continue
+                own = at[here]
+                signs = np.stack([np.frombuffer(x, "<i8") for x in whole.column("signs").take(pa.array(own)).to_pylist()]) if which else None
+                got, links = verify(unit(m[here]), weight[own], None if side is None else side[own], signs, which, threshold)
+                named = node[own]
+                hit = np.flatnonzero(got)
+                if len(hit):
+                    a = np.r_[named[hit], named[[i for i, _ in links]]] if links else named[hit]
+                    b = pa.array([None] * len(hit) + [int(named[j]) for _, j in links], pa.int64())
+                    n = pa.array([*got[hit].tolist(), *[None] * len(links)], pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(a), b, n], schema=_LINKS)
+
+    rows = chosen.join(few(where), "node").select("key", "t", "side", "node", "label", "weight", "vector", "signs")
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long, n long")
+
+
+# step 4: answers
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, most: int = MOST, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links and component_id of every row of vectors (vec_id, embedding, label)."""
-    vector = F.col("embedding").cast("array<double>")
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    vector = F.col("embedding") if kind in ("array<float>", "array<double>") else F.col("embedding").cast("array<double>")
+    hashes = [F.xxhash64(F.lit(i), "label", "vector").alias(f"h{i}") for i in (1, 2)]
     base = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("long"), vector.alias("vector"))
-    ok = usable(F.col("vector")) & F.col("label").isNotNull()
     # equal vectors of a label: 128 bits of hash travel, the vectors don't
-    same = base.select("vec_id", *(F.when(ok, F.xxhash64(F.lit(i), "label", "vector")).alias(f"h{i}") for i in (1, 2)))
-    same = through_disk(same, "vector-hashes")
-    classes = same.where("h1 IS NOT NULL").groupBy("h1", "h2").agg(F.min("vec_id").alias("first"), F.count("*").alias("size"))
-    # a class is named by its first vec_id; without one, by its hash, below zero lest it be taken for an identifier
-    classes = through_disk(classes.withColumn("node", F.coalesce("first", -F.abs(F.col("h1")) - 1)).dropDuplicates(["h1", "h2"]), "vector-classes")
-    n = classes.count()
-    chosen = base.where(ok).withColumns({f"h{i}": F.xxhash64(F.lit(i), "label", "vector") for i in (1, 2)})
-    # one row of each class: where its first vec_id stands (any, if that identifier is repeated)
-    chosen = chosen.join(classes.select("h1", "h2", "first", "node", "size"), ["h1", "h2"]).where(F.col("vec_id").eqNullSafe(F.col("first")))
-    chosen = chosen.dropDuplicates(["h1", "h2"]).select("node", "h1", "label", "vector", F.col("size").alias("weight"))
-    found = through_disk(links(chosen, n, threshold, recall, block), "vector-links")
-    counts = found.where("n IS NOT NULL").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("others"))
-    joined = components(found.where("b IS NOT NULL").select("a", "b"))
-    named = classes.join(counts, "node", "left").join(joined, "node", "left").select(
-        "h1", "h2", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "first").alias("component_id")
-    )
-    out = same.join(named, ["h1", "h2"], "left")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.when(F.col("vec_id").isNotNull(), F.coalesce("component_id", "vec_id")).alias("component_id"))
+    same = through_disk(_usable(base.select("vec_id", "label", *hashes, "vector")), "vector-hashes")
+    total = same.where("h1 IS NOT NULL").count()
+    counts = same.where("h1 IS NOT NULL").groupBy("h1", "h2").agg(F.count("*").alias("size"), F.min("vec_id").alias("first"))
+    # a class is named by its smallest vec_id; without one, by its hash, above all identifiers
+    many = through_disk(counts.where("size > 1").select("h1", "h2", "size", "first", _nameless("first").alias("node")), "vector-classes")
+    n = total - (many.agg(F.sum(F.col("size") - 1)).first()[0] or 0)
+    planes, tables = shape_of(n, threshold, recall)
+    known = few(many)
+    # of an equal vector the row with the smallest vec_id stands for all (one of them, if that identifier is repeated)
+    chosen = base.where("label IS NOT NULL AND vector IS NOT NULL").select("*", *hashes).join(known, ["h1", "h2"], "left")
+    single = chosen.where("size IS NULL").select(_nameless("vec_id").alias("node"), "label", F.lit(1).cast("long").alias("weight"), "vector")
+    copied = chosen.where(F.col("size").isNotNull() & F.col("vec_id").eqNullSafe(F.col("first"))).dropDuplicates(["h1", "h2"])
+    chosen = single.unionByName(copied.select("node", "label", F.col("size").alias("weight"), "vector"))
+    drawn = through_disk(sketches(chosen, planes, tables), "sketches")
+    linked = through_disk(components(candidates(drawn, n, tables, threshold, block)), "candidates")
+    within = max(128, VALUES // (drawn.agg(F.max("dim")).first()[0] or 1))
+    most, block = min(most, within), min(block, within)
+    found = through_disk(verified(chosen, groups(drawn, linked, n, tables, most, block), threshold), "vector-links")
+    others = found.where("n IS NOT NULL").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("others"))
+    joined = others.join(components(found.where("b IS NOT NULL").select("a", "b")), "node", "left")
+    joined = through_disk(joined.select("node", "others", "component"), "vector-answers")
+    out = same.join(known, ["h1", "h2"], "left").withColumn("node", F.when(F.col("h1").isNotNull(), F.coalesce("node", _nameless("vec_id"))))
+    out = out.join(few(joined), "node", "left")
+    links = F.coalesce("size", F.lit(1)) - 1 + F.coalesce("others", F.lit(0))
+    # the smallest node that can be reached is an identifier wherever one can be reached
+    own = F.coalesce("component", "first", "vec_id")
+    return out.select("vec_id", links.cast("long").alias("n_links"), F.when(F.col("vec_id").isNotNull(), own).alias("component_id"))
+
+
+def _nameless(name: str) -> Column:
+    """The identifier, or a number above all that are likely if there is none."""
+    return F.coalesce(F.col(name), F.lit(1 << 62) + F.shiftrightunsigned("h1", 3))
+
+
+def _usable(rows: DataFrame) -> DataFrame:
+    """vec_id, h1 and h2 of rows (vec_id, label, h1, h2, vector); the hashes null where the vector can't link."""
+
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            ok = np.zeros(batch.num_rows, bool)
+            for at, _ in matrices(batch.column(4)):
+                ok[at] = True
+            ok &= batch.column(1).is_valid().to_numpy(zero_copy_only=False)
+            ok = pa.array(ok)
+            return pa.RecordBatch.from_arrays([batch.column(0), *(pc.if_else(ok, batch.column(i), None) for i in (2, 3))], ["vec_id", "h1", "h2"])
+
+        return step
+
+    return by_rows(rows, make, "vec_id long, h1 long, h2 long")
 
 
 def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
