@@ -375,7 +375,7 @@ def test_quality(spark, small, documents, odd_docs, no_docs):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = quality.fit(docs, labels)
     found = quality.score(docs, model).join(labels, "doc_id").where("held_out").collect()
-    assert np.mean([(r.score >= 0.5) == r.quality for r in found]) > 0.93
+    assert np.mean([(r.score >= 0.5) == r.quality for r in found]) > 0.95
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in quality.score(documents, model).collect())
     scores = [r.score for r in quality.score(odd_docs, model).collect()]
     assert len(scores) == odd_docs.count() and all(0 <= s <= 1 for s in scores)
@@ -389,6 +389,60 @@ def test_quality_without_labels(spark, documents):
     assert all(r.score > 0.5 for r in quality.score(documents, quality.fit(documents, one)).collect())
 
 
+def test_quality_equals_a_slow_fit(spark):
+    """The sample, dictionaries, sizes and scores again, row by row; the curve by its conditions."""
+    import zstandard
+
+    labels = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    frame = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    docs = {r.doc_id: (r.text or "").encode() for r in frame.collect()}
+    chosen = sorted((xxhash.xxh64_intdigest(i.to_bytes(8, "little"), 42) - (1 << 64) * (xxhash.xxh64_intdigest(i.to_bytes(8, "little"), 42) >> 63), q, docs[i], i) for i, q in labels.items() if zlib.crc32(str(i).encode()) % 3 != 1)
+    learn = {q: [t for k, (_, c, t, _) in enumerate(chosen) if c == q and k % 3] for q in (0, 1)}
+    check = [(t, c) for k, (_, c, t, _) in enumerate(chosen) if not k % 3]
+    packers = []
+    for q in (1, 0):
+        pieces = [t[i : i + 4096] for t in learn[q] for i in range(0, len(t), 4096)]
+        made = zstandard.train_dictionary(min(112 << 10, max(256, sum(map(len, pieces)) // 8)), pieces)
+        packers.append(zstandard.ZstdCompressor(dict_data=made, level=3, write_content_size=False, write_checksum=False, write_dict_id=False))
+
+    def slow(text):
+        n = [0, 0]
+        for k, packer in enumerate(packers):
+            for at in range(0, len(text), 512):
+                n[k] += len(packer.compress(text[at : at + 512]))
+        return (n[1] - n[0]) / len(text) if text else 0.0
+
+    model = quality.fit(frame, spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))
+    got = {r.doc_id: r.score for r in quality.score(frame, model).collect()}
+    for i, text in docs.items():
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-(model.offset + model.weight * slow(text)))), abs=1e-9)
+    # at the curve's place no step raises the penalised likelihood
+    x, y = np.array([slow(t) for t, _ in check]), np.array([c for _, c in check], float)
+    of_all = [sum(labels[i] == q for *_, i in chosen) for q in (0, 1)]
+    share = np.array([of_all[c] / sum(b == c for _, b in check) for _, c in check])
+    share /= share.mean()
+
+    def loss(weight, offset):
+        z = offset + weight * x
+        own = (weight * x.std(), offset + weight * x.mean())
+        return (share * np.logaddexp(0, np.where(y == 1, -z, z))).sum() + 0.005 * (own[0] ** 2 + own[1] ** 2)
+
+    least = loss(model.weight, model.offset)
+    assert all(loss(model.weight * (1 + a), model.offset + b) >= least - 1e-9 for a in (-0.01, 0, 0.01) for b in (-0.01, 0, 0.01))
+
+
+def test_a_huge_text_does_not_crowd_out_its_class(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SAMPLE_BYTES", 64_000)
+    monkeypatch.setattr(quality, "LONGEST", 4_000)
+    good, bad = "a quiet and ordinary sentence of plain words number {} ", "%%% BUY ### now $$$ {} *** "
+    rows = [(i, ((good if i % 2 else bad).format(i)) * 8) for i in range(400)] + [(1000 + i, (good if i % 2 else bad) * 5000) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i, _ in rows], "doc_id long, quality int, toxic int")
+    model = quality.fit(docs, labels)
+    assert model.good and model.bad
+    assert all(r.score > 0.5 if r.doc_id % 2 else r.score < 0.5 for r in quality.score(docs, model).collect())
+
+
 def test_held_out_rows_do_not_matter(spark):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
