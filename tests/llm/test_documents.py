@@ -74,6 +74,43 @@ def test_mixing_meets_targets():
     assert mixing.rake({}, targets) == {} and mixing.rake({("q", "x"): 5.0}, [{"a": 1.0}, {"x": 1.0}]) == {("q", "x"): 0.85}
 
 
+def test_mixing_shrinks_the_budget_for_scarce_values():
+    """No target is missed for want of tokens; correlated cells shrink it further."""
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        weights = {(s, l, t): float(rng.integers(1, 10**6)) for s in "abcd" for l in "xyz" for t in "uv" if rng.random() < 0.9}
+        targets = [{"a": 0.7, "b": 0.1, "c": 0.1, "d": 0.1}, {"x": 0.2, "y": 0.3, "z": 0.5}, {"u": 0.4, "v": 0.6}]
+        p, total = mixing.rake(weights, targets), sum(weights.values())
+        kept = sum(w * p[c] for c, w in weights.items())
+        assert 0 < kept <= 0.851 * total and max(p.values()) <= 1
+        for d, target in enumerate(targets):
+            for v, share in target.items():
+                assert sum(w * p[c] for c, w in weights.items() if c[d] == v) / kept == pytest.approx(share, rel=0.01)
+
+
+def test_mixing_meets_its_targets_on_documents(spark):
+    """sf0.1: expected shares within a thousandth of the targets, those of the sampled documents within 0.01."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    weights = mixing.tokens_in_cells(mixing.measured(docs, mixing.WEIGHTS), mixing.WEIGHTS)
+    p, goals = mixing.rates(weights, mixing.WEIGHTS), mixing.targets_of(weights, mixing.WEIGHTS)
+    expected = {c: w * p[c] for c, w in weights.items()}
+    for d, goal in enumerate(goals):
+        assert mixing.shares(expected, d) == pytest.approx(goal, rel=2e-3) and sum(goal.values()) == pytest.approx(1)
+    assert 0.8 < sum(expected.values()) / sum(weights.values()) <= 0.8501
+    found = mixing.report(docs)
+    assert {r[0] for r in found} == set(mixing.WEIGHTS) and all(abs(target - achieved) < 0.01 for *_, target, achieved in found)
+    natural = {(k, v): n for k, v, n, _, _ in found}
+    assert natural["source", "src0"] * 0.8 / goals[0]["src0"] == pytest.approx(natural["source", "src5"] / goals[0]["src5"])
+
+
+def test_topics():
+    of = lambda t: mixing.topic_of(t.encode())
+    assert of("") == of("plain words only") == of("one court only") == "general"
+    assert of("The COURT and the judge") == "law" and of("bank court money judge") == "law" and of("bank court money judge tax") == "finance"
+    assert of("court judge " + "word " * 399) == "general" and of("court judge " + "word " * 398) == "law"
+    assert mixing.cells_of(__import__("pyarrow").array(["src1", None, "x"]), __import__("pyarrow").array(["en", "it", None]), [b"", b"x", b"law court"], mixing.WEIGHTS) == [["src1", "other", "other"], ["en", "other", "other"], ["general", "general", "law"]]
+
+
 def test_mixing_cases(odd_docs, no_docs):
     kept = mixing.mix(odd_docs)
     assert kept.columns == odd_docs.columns and kept.count() <= odd_docs.count()
@@ -84,14 +121,15 @@ def test_mixing_cases(odd_docs, no_docs):
 def test_mixing_keeps_some_of_other(spark):
     """Values without a target are sampled, though the named targets sum to 1; a target of 0 by name still erases."""
     weights = {(f"src{i}" if i < 20 else "other", lang): 1000.0 for i in range(21) for lang in ("en", "de", "fr", "es", "other")}
-    targets = [mixing.TARGETS["source"], mixing.TARGETS["lang"]]
+    named = {"en": 0.55, "de": 0.16, "fr": 0.16, "es": 0.13}
+    targets = [{f"src{i}": 0.05 for i in range(20)}, named]
     p = mixing.rake(weights, targets, budget=0.1)
     kept = lambda d, v: sum(w * p[c] for c, w in weights.items() if c[d] == v)
     assert kept(0, "other") == pytest.approx(0.1 * 5000, rel=1e-6) and kept(1, "other") == pytest.approx(0.1 * 21000, rel=1e-6)
     assert kept(1, "en") / kept(1, "de") == pytest.approx(0.55 / 0.16, rel=1e-6)
     assert mixing.rake({("a",): 9.0, ("other",): 1.0}, [{"a": 1.0, "other": 0.0}])[("other",)] == 0.0
     text = " ".join(["word"] * 100)
-    rows = [(i, text, (*mixing.TARGETS["lang"], "it", None)[i // 21 % 6], f"src{i % 21}" if i % 11 else None) for i in range(3000)]
+    rows = [(i, text, (*named, "it", None)[i // 21 % 6], f"src{i % 21}" if i % 11 else None) for i in range(3000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     kept = mixing.mix(docs)
     for unlisted in ("source = 'src20'", "source IS NULL", "lang = 'it'", "lang IS NULL", "source = 'src20' AND lang = 'it'"):

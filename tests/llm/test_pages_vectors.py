@@ -396,18 +396,13 @@ def test_pipeline_equals_brute_force(spark, small):
     rows = [r for r in rows if of(r[1].encode()) >= 0.5]
     assert sorted(r[0] for r in rows) == outs[0]
 
-    # near-duplicates, all pairs
-    prints = [(r[0], (simhash.wide_fingerprint(r[1].encode(), 1, 2), simhash.wide_fingerprint(r[1].encode(), 5, 2))) for r in rows]
-    halves = lambda f: [int(x) >> s & 0xFFFFFFFF for x in f for s in (0, 32)]
-    apart = lambda x, y: sum((int(a) ^ int(b)).bit_count() for a, b in zip(x, y, strict=True))
-
-    def near(x, y):
-        # a key in common: halves within one bit, or equal without a set bit each
-        meet = any((p ^ q).bit_count() <= 1 or (p ^ q).bit_count() == 2 and p.bit_count() == q.bit_count() for p, q in zip(halves(x[0]), halves(y[0]), strict=True))
-        return int(x[1][0]) == int(y[1][0]) or meet and apart(x[1], y[1]) <= 19
-
-    assert round(128 * math.acos(2 * 0.8 / 1.8) / math.pi) == 19
-    first = slow_components(prints, near)
+    # near-duplicates, all pairs: sets of five-word shingles alike by 0.8
+    def grams(text):
+        w = ["".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x) for x in re.findall(r"[^\x20\x09-\x0D]+", text)]
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+    sets = [(r[0], grams(r[1])) for r in rows]
+    first = slow_components(sets, lambda x, y: x == y or len(x & y) >= 0.8 * len(x | y) > 0)
     rows = [r for r, c in zip(rows, first, strict=True) if r[0] == c]
     assert sorted(r[0] for r in rows) == outs[1]
 
@@ -417,15 +412,18 @@ def test_pipeline_equals_brute_force(spark, small):
     assert sorted(r[0] for r in rows) == outs[2]
 
     # mixing
+    def topic(text):
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
+        hits = [sum(w in own for w in words) for own in mixing.TOPICS.values()]
+        return list(mixing.TOPICS)[hits.index(max(hits))] if max(hits) >= 2 and max(hits) * 200 >= len(words) else "general"
+
     def cell(r):
-        text, low = r[1], r[1].lower()
-        topic = "short" if len(text) < 400 else "tabular" if text.count("|") >= 10 else "contact" if "@" in text else "legal" if "license" in low or "copyright" in low else "prose"
-        return tuple(v if v in mixing.TARGETS[k] else "other" for k, v in (("source", r[3]), ("lang", r[2]), ("topic", topic)))
+        return tuple(v if v in mixing.WEIGHTS[k] else "other" for k, v in (("source", r[3]), ("lang", r[2]), ("topic", topic(r[1]))))
 
     weight = {}
     for r in rows:
         weight[cell(r)] = weight.get(cell(r), 0.0) + len(re.findall(r"[^\x20\x09-\x0D]+", r[1]))
-    p = mixing.rake(weight, list(mixing.TARGETS.values()))
+    p = mixing.rake(weight, mixing.targets_of(weight, mixing.WEIGHTS))
     rows = [r for r in rows if int(hashlib.md5(str(r[0]).encode()).hexdigest()[:8], 16) / 2**32 < p[cell(r)]]
     assert sorted(r[0] for r in rows) == outs[3] == outs[4]
 
