@@ -6,8 +6,9 @@ and a fixed-size footer, so a lookup reads the footer, asks the filter, searches
 one block.
 
 Cases: a null text is an empty one (its only id is the end id); a null identifier sorts before all others; repeated
-identifiers keep all their rows, in the order of their texts; an empty table makes no shard and no row; columns other
-than doc_id and text are ignored.
+identifiers keep all their rows, in the order of their texts (and of the shards, if they go on in the next); very long
+texts are encoded as a whole and are an entry, block and, if long enough, shard of their own; an empty table makes no
+shard and no row; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +35,9 @@ from .common import filesystem, slices, table, through_disk, work_dir
 MAGIC = b"QSSTABL1"
 #: index offset, index size, filter offset, filter size, entries, ids, bytes an id, magic
 FOOTER = struct.Struct("<QQQQQQQ8s")
-MANIFEST = pa.schema([("shard", pa.int32()), ("path", pa.string()), ("first_id", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
+#: Bytes of ids (before compression) with which a shard is closed and the next begun.
+SHARD_BYTES = 128 << 20
+MANIFEST = pa.schema([("shard", pa.int32()), ("part", pa.int32()), ("path", pa.string()), ("first_id", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
 BLOCK_BYTES = 64 << 10
 #: A space before a character that is white space by no definition: the byte-level pre-tokenizer always cuts before it.
 _CUT = re.compile(r" (?=\S)")
@@ -283,12 +286,13 @@ class Reader:
         return found
 
 
-def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 0, at: str | None = None) -> DataFrame:
+def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 0, at: str | None = None, most: int = SHARD_BYTES) -> DataFrame:
     """Writes doc_id and text as shards under ``at`` in the shared folder; gives the manifest, one row a shard.
 
-    Range partitioning on doc_id makes shard k+1 start after shard k; texts cross the network once, then each task
-    tokenizes in key order.  A file's name is new in each attempt and only the manifest of committed tasks names it,
-    so a retried task leaves no wrong shard.
+    Range partitioning on doc_id makes the shards of task k+1 start after those of task k; texts cross the network once,
+    then each task tokenizes in key order and begins a new shard (part) when one has ``most`` bytes of ids, so a shard's
+    index, keys and Bloom filter stay small however large a partition is.  A file's name is new in each attempt and only
+    the manifest of committed tasks names it, so a retried task leaves no wrong shard.
     """
     spark = docs.sparkSession
     at = at or work_dir(spark, "sstable")
@@ -296,29 +300,34 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 0, at: str | Non
     target.create_dir(root, recursive=True)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, writer, path = encoder_of(tokenizer), None, ""
+        encoder, writer, path, part = encoder_of(tokenizer), None, "", 0
         end, prior, repeat, first = np.uint32(end_id).tobytes(), object(), 0, None
+
+        def closed() -> pa.RecordBatch:
+            writer.close()
+            row = {"shard": TaskContext.get().partitionId(), "part": part, "path": path, "first_id": first, "n_docs": len(writer.keys), "n_ids": writer.ids}
+            return pa.RecordBatch.from_pylist([row], schema=MANIFEST)
+
         for whole in batches:
             for batch in slices(whole, 4 << 20):
-                if writer is None:
-                    path = f"{at}/shard-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.sst"
-                    system, inner = filesystem(path)
-                    writer, first = Writer(system.open_output_stream(inner, compression=None), encoder.width), batch.column(0)[0].as_py()
                 for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode([x or "" for x in batch.column(1).to_pylist()]), strict=True):
+                    if writer is None:
+                        path, first = f"{at}/shard-{TaskContext.get().partitionId():06d}-{part:06d}-{uuid.uuid4().hex}.sst", doc_id
+                        system, inner = filesystem(path)
+                        writer = Writer(system.open_output_stream(inner, compression=None), encoder.width)
                     repeat = repeat + 1 if doc_id == prior else 0
                     key = key_of(doc_id, repeat) if doc_id is not None else b"\0" + struct.pack(">I", repeat)
                     writer.add(key, ids + end)
                     prior = doc_id
+                    if writer.ids * encoder.width >= most:
+                        yield closed()
+                        writer, part = None, part + 1
                 pa.default_memory_pool().release_unused()
         if writer is not None:
-            writer.close()
-            yield pa.RecordBatch.from_pylist(
-                [{"shard": TaskContext.get().partitionId(), "path": path, "first_id": first, "n_docs": len(writer.keys), "n_ids": writer.ids}],
-                schema=MANIFEST,
-            )
+            yield closed()
 
     rows = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id", "text")
-    return through_disk(rows.mapInArrow(write, "shard int, path string, first_id long, n_docs long, n_ids long"), "manifest")
+    return through_disk(rows.mapInArrow(write, "shard int, part int, path string, first_id long, n_docs long, n_ids long"), "manifest")
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
@@ -327,8 +336,8 @@ def read_shards(manifest: DataFrame) -> DataFrame:
     The only thing that the driver sees is one small row a shard (for the running sum of ids).
     """
     spark, base, rows = manifest.sparkSession, 0, []
-    for r in sorted(manifest.collect(), key=lambda r: r.shard):
-        rows.append((r.shard, r.path, base))
+    for r in sorted(manifest.collect(), key=lambda r: (r.shard, r.part)):
+        rows.append((len(rows), r.path, base))
         base += r.n_ids
     files = spark.createDataFrame(rows, "shard int, path string, base long").repartition(max(1, len(rows)), "shard")
 

@@ -228,11 +228,12 @@ def test_fm_index_ranks():
 # 6: token shards
 
 
-def test_shards(spark, documents, odd_docs, no_docs):
+@pytest.mark.parametrize("most", [tokens.SHARD_BYTES, 20_000])
+def test_shards(spark, documents, odd_docs, no_docs, most):
     path = tokens.tokenizer_path()
     encoder = tokens.Encoder(path)
     for docs in (documents, odd_docs):
-        manifest = tokens.write_shards(docs, path)
+        manifest = tokens.write_shards(docs, path, most=most)
         got = sorted(((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in tokens.read_shards(manifest).collect()))
         rows = sorted(((r.doc_id is not None, r.doc_id or 0, r.text is not None, (r.text or "").encode()) for r in docs.collect()))
         start, want = 0, []
@@ -241,6 +242,8 @@ def test_shards(spark, documents, odd_docs, no_docs):
             want.append((start, d if known else None, len(ids) // 4, zlib.crc32(ids)))
             start += len(ids) // 4
         assert got == want
+        sizes = [r.n_ids for r in manifest.collect()]
+        assert most > 20_000 or docs is odd_docs or len(sizes) > 10 and max(sizes) < 10_000 + max(r[2] for r in want)
     assert tokens.read_shards(tokens.write_shards(no_docs, path)).count() == 0
 
 
