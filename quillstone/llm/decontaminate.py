@@ -6,20 +6,29 @@ to the distance by which the search may jump ahead, and ``buckets`` maps the blo
 strings that end so, which are then compared word by word.  A block that stands in no test string lets the search jump
 over as many words as a string has, less the block's own.
 
-Cases: a null or wordless text has no words and no hits; an item without words makes no test string; items without an
-identifier make hits but aren't named; repeated items count once by identifier; repeated documents are answered row by
-row; an empty benchmark leaves every document clean; columns with other names pass through or are ignored.
+The benchmark is written to the shared folder in blocks of bounded size, and workers read their tables from there: it
+never passes the driver, and a worker holds the tables of one block, which it keeps for the tasks that follow.  A
+benchmark of one block is searched in one pass over the documents.  For a longer one there is a pass for each block, of
+which only documents with hits come back (the ranges hit, by two hashes of the text), and these are joined to the
+documents' counts of words; texts are never shuffled.
+
+Cases: a null or wordless text has no words and no hits; very long texts are searched as a whole; an item without words
+makes no test string; items without an identifier make hits but aren't named; repeated items count once by identifier;
+repeated documents are answered row by row; an empty benchmark leaves every document clean, an empty table of documents
+gives no rows; columns with other names pass through or are ignored.
 """
 
 from __future__ import annotations
 
-import contextlib
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.parquet as pq
+from pyarrow import fs as pafs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, by_rows, table, utf8
+from .common import WORD_BYTES, by_rows, few, filesystem, table, through_disk, utf8, work_dir
 
 WINDOW = 10
 #: Bytes of benchmark text whose tables a worker holds at a time; a longer benchmark is searched in blocks of this size.
@@ -73,8 +82,8 @@ def searchers(items: list[tuple]) -> list[WuManber]:
     return list(by.values())
 
 
-def hits(words: list[bytes], tables: list[WuManber]) -> tuple[int, set]:
-    """How many words stand in any occurrence, and the items that occur."""
+def ranges_hit(words: list[bytes], tables: list[WuManber]) -> tuple[list[tuple[int, int]], set]:
+    """The ranges of words that stand in any occurrence, apart and in order, and the items that occur."""
     ranges, items = [], set()
     for s in tables:
 
@@ -83,98 +92,139 @@ def hits(words: list[bytes], tables: list[WuManber]) -> tuple[int, set]:
             items.update(who)
 
         s.search(words, found)
-    total, reached = 0, 0
-    for a, b in sorted(ranges):
-        if b > reached:
-            total += b - max(a, reached)
-            reached = b
     items.discard(None)
-    return total, items
+    return joined(ranges), items
 
 
-def blocks_of(benchmark: DataFrame, most: int = BLOCK_TEXT) -> list[list[tuple]]:
-    """The benchmark in blocks of at most about ``most`` bytes of text (an item is never split).
+def joined(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(ranges):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
 
-    One worker's tables hold one block, however long the benchmark is; each block is fetched by itself.
-    """
-    rows = benchmark.select("item_id", F.col("text").cast("binary").alias("text")).where("length(text) > 0")
-    size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = -(-size // most)
-    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, n)))
-    return [[(r.item_id, bytes(r.text)) for r in rows.where(part == k).collect()] for k in range(n)]
 
+def hits(words: list[bytes], tables: list[WuManber]) -> tuple[int, set]:
+    """How many words stand in any occurrence, and the items that occur."""
+    ranges, items = ranges_hit(words, tables)
+    return sum(b - a for a, b in ranges), items
 
-def _tables(part) -> list[WuManber]:
-    """The tables of one of several blocks; neither they nor the block's texts outlive their use in a worker."""
-    out = searchers(part.value)
-    with contextlib.suppress(AttributeError):
-        del part._value
-    return out
 
+def write_blocks(benchmark: DataFrame, most: int = BLOCK_TEXT) -> list[str]:
+    """The benchmark in the shared folder, a folder for each block of about ``most`` bytes of text (an item is never
+    split); their paths."""
+    rows = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("binary").alias("text")).where("length(text) > 0")
+    n = -(-(rows.agg(F.sum(F.length("text"))).first()[0] or 0) // most)
+    if not n:
+        return []
+    at = work_dir(benchmark.sparkSession, "benchmark")
+    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n)).cast("int").alias("block")
+    rows.select("*", block).repartition(min(n, 200), "block").write.partitionBy("block").parquet(at)
+    return [f"{at}/block={k}" for k in range(n)]
+
+
+_held: dict[str, list[WuManber]] = {}
+
+
+def tables_of(path: str) -> list[WuManber]:
+    """The tables of a block; a worker keeps the last."""
+    if path not in _held:
+        _held.clear()
+        system, root = filesystem(path)
+        names = system.get_file_info(pafs.FileSelector(root, allow_not_found=True))  # a block may be empty
+        files = [pq.read_table(system.open_input_file(f.path), columns=["item_id", "text"]) for f in names if f.path.endswith(".parquet")]
+        _held[path] = searchers([(r["item_id"], r["text"]) for f in files for r in f.to_pylist()])
+    return _held[path]
 
-def mark(docs: DataFrame, benchmark: DataFrame, most: int = BLOCK_TEXT) -> DataFrame:
-    """doc_id, n_words, n_hit, items (sorted identifiers as text) of every row.
 
-    One pass over the documents without a shuffle; a benchmark of more than one block is searched block by block in
-    the same task, its tables built anew for a batch, so memory stays at one block.
-    """
-    spark = docs.sparkSession
-    parts = [spark.sparkContext.broadcast(x) for x in blocks_of(benchmark, most)]
+def _identity(text: str = "text") -> list[Column]:
+    return [F.xxhash64(F.lit(i), text).alias(f"h{i}") for i in (1, 2)]
 
-    def make():
-        kept = searchers(parts[0].value) if len(parts) == 1 else None
 
+def mark(docs: DataFrame, benchmark: DataFrame, most: int = BLOCK_TEXT) -> DataFrame:
+    """doc_id, n_words, n_hit, items (sorted identifiers as text) of every row."""
+    paths = write_blocks(benchmark, most)
+    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    if len(paths) <= 1:
+        return by_rows(rows, lambda: _marker(tables_of(paths[0]) if paths else []), "doc_id long, n_words long, n_hit long, items array<string>")
+    found = through_disk(_found(rows, paths).groupBy("h1", "h2").agg(F.collect_list("ranges").alias("ranges"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")), "hits")
+
+    def count():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts = [words_of(t) for t in utf8(batch.column(1))]
-            if len(parts) <= 1:
-                got = [hits(w, kept or []) for w in texts]
-            else:
-                marks = [(bytearray(len(w)), set()) for w in texts]
-                for part in parts:
-                    tables = _tables(part)
-                    for words, (seen, items) in zip(texts, marks, strict=True):
-                        for s in tables:
-
-                            def found(at: int, who: set, seen=seen, items=items, n=s.length) -> None:
-                                seen[at : at + n] = b"\1" * n
-                                items.update(who)
-
-                            s.search(words, found)
-                got = [(sum(seen), items - {None}) for seen, items in marks]
-            return pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).cast(pa.int64()),
-                    pa.array([len(w) for w in texts], pa.int64()),
-                    pa.array([n for n, _ in got], pa.int64()),
-                    pa.array([sorted(map(str, items)) for _, items in got], pa.list_(pa.string())),
-                ],
-                ["doc_id", "n_words", "n_hit", "items"],
-            )
+            n = pa.array([len(words_of(t)) for t in utf8(batch.column(1))], pa.int64())
+            return pa.RecordBatch.from_arrays([batch.column(0), n, batch.column(2), batch.column(3)], ["doc_id", "n_words", "h1", "h2"])
 
         return step
 
-    return by_rows(docs.select("doc_id", "text"), make, "doc_id long, n_words long, n_hit long, items array<string>")
+    counted = by_rows(rows.select("doc_id", "text", *_identity()), count, "doc_id long, n_words long, h1 long, h2 long")
+    # a text's ranges of all blocks, one after the other: how far each reaches beyond those before it
+    ranges = F.array_sort(F.flatten("ranges"))
+    covered = F.aggregate(
+        ranges, F.struct(F.lit(0).alias("n"), F.lit(0).alias("reached")),
+        lambda acc, r: F.struct((acc["n"] + F.greatest(F.lit(0), r["b"] - F.greatest(r["a"], acc["reached"]))).alias("n"), F.greatest(r["b"], acc["reached"]).alias("reached")), lambda acc: acc["n"],
+    )
+    hit = found.select("h1", "h2", covered.cast("long").alias("n_hit"), "items")
+    out = counted.join(hit, ["h1", "h2"], "left")
+    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, most: int = BLOCK_TEXT) -> DataFrame:
-    """The rows of docs in which no test string occurs, with all their columns."""
-    schema, at = docs.schema, docs.columns.index("text")
-    parts = [docs.sparkSession.sparkContext.broadcast(x) for x in blocks_of(benchmark, most)]
+def _marker(tables: list[WuManber]):
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = [words_of(t) for t in utf8(batch.column(1))]
+        got = [hits(w, tables) for w in texts]
+        cols = [pa.array([len(w) for w in texts], pa.int64()), pa.array([n for n, _ in got], pa.int64()), pa.array([sorted(items) for _, items in got], pa.list_(pa.string()))]
+        return pa.RecordBatch.from_arrays([batch.column(0), *cols], ["doc_id", "n_words", "n_hit", "items"])
 
-    def make():
-        kept = searchers(parts[0].value) if len(parts) == 1 else None
+    return step
 
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts = [words_of(t) for t in utf8(batch.column(at))]
-            clean = [True] * len(texts)
-            for part in parts:
-                tables = kept or _tables(part)
-                clean = [ok and not hits(w, tables)[0] for ok, w in zip(clean, texts, strict=True)]
-            return batch.filter(pa.array(clean, pa.bool_())) if not all(clean) else batch
 
-        return step
+def _found(rows: DataFrame, paths: list[str]) -> DataFrame:
+    """h1, h2 (of the text), ranges and items of the texts that a block hits, a row for each such block."""
+    kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+
+    def search(path: str):
+        def make():
+            tables = tables_of(path)
+
+            def step(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+                got = [ranges_hit(words_of(t), tables) for t in utf8(batch.column(0))]
+                hit = [i for i, (r, _) in enumerate(got) if r]
+                ranges = pa.array([[{"a": a, "b": b} for a, b in got[i][0]] for i in hit], kind)
+                h1, h2 = (batch.column(i).take(pa.array(hit, pa.int64())) for i in (1, 2))
+                return pa.RecordBatch.from_arrays([h1, h2, ranges, pa.array([sorted(got[i][1]) for i in hit], pa.list_(pa.string()))], ["h1", "h2", "ranges", "items"])
 
-    return by_rows(docs, make, schema)
+            return step
+
+        return by_rows(rows.select("text", *_identity()), make, "h1 long, h2 long, ranges array<struct<a int, b int>>, items array<string>")
+
+    # copies of a text say the same
+    return reduce(DataFrame.unionByName, (search(p).dropDuplicates(["h1", "h2"]) for p in paths))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, most: int = BLOCK_TEXT) -> DataFrame:
+    """The rows of docs in which no test string occurs, with all their columns."""
+    paths = write_blocks(benchmark, most)
+    if len(paths) <= 1:
+        schema, at = docs.schema, docs.columns.index("text")
+
+        def make():
+            tables = tables_of(paths[0]) if paths else []
+
+            def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+                clean = [not hits(words_of(t), tables)[0] for t in utf8(batch.column(at))]
+                return batch.filter(pa.array(clean, pa.bool_())) if not all(clean) else batch
+
+            return step
+
+        return by_rows(docs, make, schema)
+    h1, h2 = "h1", "h2"
+    while {h1, h2} & set(docs.columns):
+        h1, h2 = f"{h1}_", f"{h2}_"
+    hit = through_disk(_found(docs.select("text"), paths).select(F.col("h1").alias(h1), F.col("h2").alias(h2)).distinct(), "hits")
+    own = docs.select("*", *(c.alias(n) for c, n in zip(_identity(), (h1, h2), strict=True)))
+    return own.join(few(hit), [h1, h2], "left_anti").select(*docs.columns)
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
