@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_rows, few, table, through_disk
+from .common import by_rows, dealt, few, hot_keys, table, through_disk
 from .components import components
 
 THRESHOLD, RECALL, SEED = 0.98, 0.99, 20240131
@@ -181,24 +181,6 @@ def candidates(drawn: DataFrame, n: int, tables: int, threshold: float, block: i
     return rows.select("key", "node", "c0", "c1").repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long")
 
 
-def hot_keys(rows: DataFrame, block: int) -> DataFrame | None:
-    """key and blocks of the keys with more than ``block`` rows; None if there are none."""
-    counts = rows.groupBy("key").agg(F.count("*").alias("members")).where(F.col("members") > block)
-    hot = through_disk(counts.select("key", F.ceil(F.col("members") / block).cast("int").alias("blocks")), "hot-buckets")
-    return None if hot.isEmpty() else few(hot)
-
-
-def dealt(rows: DataFrame, hot: DataFrame, key: str) -> DataFrame:
-    """rows with a hot key replaced by one key for each pair of blocks: a row of block i meets block j in (min, max) and
-    its own in (i, i).  Adds side: null, or in a pair of different blocks 0 or 1 for the block that the row is of."""
-    blocks = F.coalesce("blocks", F.lit(1))
-    out = rows.join(hot, key, "left").withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-    out = out.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    pair = F.xxhash64(key, F.least("own", "other"), F.greatest("own", "other"))
-    side = F.when(F.col("own") != F.col("other"), (F.col("own") > F.col("other")).cast("int"))
-    return out.withColumn("side", side).withColumn(key, F.when(F.col("blocks").isNull(), F.col(key)).otherwise(pair)).drop("own", "other", "blocks")
-
-
 def _near_sketches(got: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
     """Forests of near sketches of rows (key, node, c0, c1) in the order of their keys."""
     starts = np.flatnonzero(np.r_[True, got[1:, 0] != got[:-1, 0]]) if len(got) else np.zeros(0, int)

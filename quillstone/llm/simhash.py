@@ -3,11 +3,12 @@
 A fingerprint of 64 bits is cut into two halves: of two fingerprints that differ in at most three bits, one half
 differs in at most one.  Each half therefore gets as keys itself and its variants with one bit as a wildcard, of which
 those with a set bit deleted suffice; two fingerprints within the distance share at least one key.  Rows with equal
-keys meet in one place and every pair is verified there by the bits that differ.  A fingerprint enters once, however many documents have it, so a key's group holds different
-fingerprints only, and of a group only a spanning forest of its links leaves the task, never all pairs.
+keys meet in one place and every pair is verified there by the bits that differ.  A fingerprint enters once, however many
+documents have it, so a key's group holds different fingerprints only, and of a group only a spanning forest of its links
+leaves the task, never all pairs.  A key with more than ``BLOCK`` fingerprints is dealt over pairs of blocks.
 
-Cases: a null or wordless text has fingerprint 0 and is linked like any other; fewer words than a shingle has make one
-shingle; repeated documents and identifiers share a fingerprint and component; rows without an identifier are answered
+Cases: a null or wordless text has fingerprint 0 and is linked like any other; very long texts are read as a whole, their
+shingles hashed part by part; fewer words than a shingle has make one shingle; repeated documents and identifiers share a fingerprint and component; rows without an identifier are answered
 with a null component; an empty table gives no rows; columns other than doc_id and text are ignored.
 """
 
@@ -22,12 +23,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_rows, slices, table, through_disk, utf8
+from .common import BROADCAST_ROWS, by_rows, dealt, few, hot_keys, slices, table, through_disk, utf8
 from .components import components
 
 SEED, DISTANCE, SHINGLE = 42, 3, 3
-#: Rows of one or two numbers that are sent to all tasks at most (some 32 MB as a hash table); more are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Different fingerprints of a key that meet in one task at most (times two).
+BLOCK = 16_384
 #: Shingles (8 bytes each) of a block of candidates; two blocks are compared in a task.
 BLOCK_SHINGLES = 1_000_000
 
@@ -133,7 +134,7 @@ def _forest(checks: np.ndarray, most: int) -> list[tuple[int, int]]:
     return links
 
 
-def link(classes: DataFrame, keys: list[str], checks: list[str], distance: int, bands: tuple[str, ...] = ()) -> DataFrame:
+def link(classes: DataFrame, keys: list[str], checks: list[str], distance: int, bands: tuple[str, ...] = (), block: int = BLOCK) -> DataFrame:
     """classes: fingerprints, one row a different set of them.
 
     Rows meet if one half of one of the ``keys`` differs in at most one bit or one of the ``bands`` is equal; they are
@@ -152,22 +153,34 @@ def link(classes: DataFrame, keys: list[str], checks: list[str], distance: int,
 
         return step
 
+    def only_keys():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            found = [variants(batch.column(i).to_numpy().view(np.uint64), i)[0] for i in range(n)]
+            found += [batch.column(i).to_numpy().view(np.uint64) for i in range(n + m, n + m + more)]
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["key"])
+
+        return step
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry = None
+        held: list[list[np.ndarray]] = []  # parts of the last key, which may go on in the next batch
         for batch in batches:
             got = [batch.column(i).to_numpy() for i in range(1 + m)]
-            if carry is not None:
-                got = [np.concatenate(x) for x in zip(carry, got, strict=True)]
-            whole = int(np.searchsorted(got[0], got[0][-1]))  # the last key may go on in the next batch
-            carry = [x[whole:] for x in got]
-            yield from _pairs([x[:whole] for x in got], distance)
-        if carry is not None:
-            yield from _pairs(carry, distance)
+            last = int(np.searchsorted(got[0], got[0][-1]))
+            if held and held[0][0][0] == got[0][-1]:
+                held.append(got)
+                continue
+            yield from _pairs([np.concatenate(x) for x in zip(*held, [x[:last] for x in got], strict=True)], distance)
+            held = [[x[last:] for x in got]]
+        if held:
+            yield from _pairs([np.concatenate(x) for x in zip(*held, strict=True)], distance)
 
     columns = [F.col(c).alias(f"k{i}") for i, c in enumerate(keys)] + [F.col(c).alias(f"c{i}") for i, c in enumerate(checks)] + [F.col(c).alias(f"m{i}") for i, c in enumerate(bands)]
-    keyed = by_rows(classes.select(*columns), spread, ", ".join(["key long", *(f"c{i} long" for i in range(m))]))
+    known = classes.select(*columns)
+    rows = by_rows(known, spread, ", ".join(["key long", *(f"c{i} long" for i in range(m))]))
+    if known.count() > block and (hot := hot_keys(by_rows(known, only_keys, "key long"), block)) is not None:
+        rows = dealt(rows.withColumn("node", F.col("c0")), hot, "key").select("key", *(f"c{i}" for i in range(m)))
     # keys of one fingerprint only are the rule; sorting lets a task hold one key's rows and not a whole partition
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long")
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long")
 
 
 def _pairs(got: list[np.ndarray], most: int) -> Iterator[pa.RecordBatch]:
@@ -260,10 +273,10 @@ def similar(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     texts = docs.select(F.xxhash64("doc_id", "text").alias("row"), F.col("doc_id").cast("long"), "text")
     rows = through_disk(by_rows(texts, make, ", ".join(f"{c} long" for c in ("row", "doc_id", *prints))), "wide-fingerprints")
-    classes = rows.where("doc_id IS NOT NULL").groupBy(*prints).agg(F.min("doc_id").alias("first"), F.count("*").alias("n"), F.min("row").alias("row"))
-    classes = through_disk(classes, "classes")
+    classes = rows.where("doc_id IS NOT NULL").groupBy(*prints).agg(F.min("doc_id").alias("first"), F.count("*").alias("n"), F.min(F.struct("row", "doc_id")).alias("of"))
+    classes = through_disk(classes.select("*", "of.row", F.col("of.doc_id").alias("id")).drop("of"), "classes")
     near = through_disk(components(link(classes, keys, checks, most, tuple(bands))), "candidates")
-    links = _compared(texts.select("row", "text"), classes, near.withColumnRenamed("node", checks[0]), checks[0], similarity)
+    links = _compared(texts, classes, near.withColumnRenamed("node", checks[0]), checks[0], similarity)
     return _answered(rows, classes.select("node", "first", "n"), links, "node").select("row", "doc_id", "component_id")
 
 
@@ -275,14 +288,14 @@ def _compared(texts: DataFrame, classes: DataFrame, near: DataFrame, check: str,
     One text of a node travels.  A component with many shingles is cut into blocks and every pair of its blocks meets
     in a group, so no task holds more than two.
     """
-    members = classes.select("node", "row", "size", check).join(near, check, "left").withColumn("component", F.coalesce("component", check))
+    members = classes.select("node", "row", "id", "size", check).join(near, check, "left").withColumn("component", F.coalesce("component", check))
     sums = members.groupBy("component").agg(F.count("*").alias("n"), F.ceil(F.sum("size") / BLOCK_SHINGLES).alias("blocks")).where("n > 1")
     block, blocks = F.pmod(F.xxhash64("node"), F.greatest("blocks", F.lit(1))), F.greatest("blocks", F.lit(1))
     others = F.filter(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda j: j != block)
     groups = F.when(blocks == 1, F.array(F.xxhash64("component"))).otherwise(F.transform(others, lambda j: F.xxhash64("component", F.least(block, j), F.greatest(block, j))))
-    members = through_disk(members.join(sums, "component").select("row", "node", groups.alias("groups")), "members")
-    few = members.count() <= BROADCAST_ROWS  # then only the members' texts travel
-    found = texts.join(F.broadcast(members) if few else members, "row").select("groups", "node", "text")
+    members = through_disk(members.join(sums, "component").select("row", F.col("id").alias("doc_id"), "node", groups.alias("groups")), "members")
+    # if they are few, only the members' texts travel
+    found = texts.join(few(members), ["row", "doc_id"]).select("groups", "node", "text")
 
     def make():
         seen = set()  # a row that the table repeats is sent once a task
@@ -356,11 +369,11 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     name = "row"
     while name in docs.columns:
         name += "_"
-    gone = found.where("component_id <> doc_id").select(F.col("row").alias(name)).distinct()
-    few = gone.count() <= BROADCAST_ROWS  # then no text is shuffled
-    kept = docs.withColumn(name, F.xxhash64("doc_id", "text")).join(F.broadcast(gone) if few else gone, name, "left_anti")
-    if found.where("doc_id IS NOT NULL").groupBy("row").count().where("count > 1").limit(1).count():
-        kept = kept.where("doc_id IS NOT NULL").dropDuplicates([name]).unionByName(kept.where("doc_id IS NULL"))
+    # a row is known by its hash and its identifier; if those that go are few, no text is shuffled
+    gone = found.where("component_id <> doc_id").select(F.col("row").alias(name), "doc_id").distinct()
+    kept = docs.withColumn(name, F.xxhash64("doc_id", "text")).join(few(gone), [name, "doc_id"], "left_anti")
+    if found.where("doc_id IS NOT NULL").groupBy("row", "doc_id").count().where("count > 1").limit(1).count():
+        kept = kept.where("doc_id IS NOT NULL").dropDuplicates([name, "doc_id"]).unionByName(kept.where("doc_id IS NULL"))
     return kept.select(*docs.columns)
 
 

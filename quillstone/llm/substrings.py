@@ -98,14 +98,15 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def copies(rows: DataFrame) -> DataFrame:
-    """row of each text that a document with a smaller identifier has word for word: all its windows are repeated.
+    """row and copy (its doc_id) of each text that a document with a smaller identifier has word for word: all its windows
+    are repeated.  Who asks compares both, lest another document with the same row hash be taken for it.
 
     Two hashes of each text travel, not the text; the smallest identifiers are grouped with partial minima and joined as
     one row a text, so Spark can split a text that very many rows have.
     """
     slim = rows.select("row", "doc_id", *(F.xxhash64(F.lit(i), "text").alias(f"h{i}") for i in (1, 2))).where("doc_id IS NOT NULL")
     first = slim.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"))
-    return slim.join(first, ["h1", "h2"]).where("doc_id > first").select("row").distinct()
+    return slim.join(first, ["h1", "h2"]).where("doc_id > first").select("row", F.col("doc_id").alias("copy")).distinct()
 
 
 def _laid_out(texts: list[bytes]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
@@ -316,7 +317,8 @@ def first_owners(segments: pa.Array, owner: np.ndarray, window: int = WINDOW) ->
 def repeated_windows(rows: DataFrame, known: DataFrame) -> DataFrame:
     """(doc_id, row, first, last): runs of windows of a row that start in a document with a smaller identifier; rows in
     ``known`` (see ``copies``) are left out, as the text's first document stands for them."""
-    fresh = rows.join(known, "row", "left_anti").select("row", "doc_id", "text")
+    ids = known.groupBy("row").agg(F.collect_set("copy").alias("copies"))  # one, but for equal hashes
+    fresh = rows.join(ids, "row", "left").where(~F.coalesce(F.array_contains("copies", F.col("doc_id")), F.lit(False))).select("row", "doc_id", "text")
     common = rows.sparkSession.sparkContext.broadcast(common_pieces(rows))
     positions = shared_anchors(fresh, common).groupBy("row").agg(F.collect_set("at").alias("at"))
     met = rows.join(positions, "row")
@@ -451,7 +453,8 @@ def dedup(docs: DataFrame) -> DataFrame:
 
         return step
 
-    joined = rows.join(runs, "row", "left").join(known.withColumn("copy", F.lit(True)), "row", "left").select("doc_id", "text", "runs", "copy")
+    ids = known.groupBy("row").agg(F.collect_set("copy").alias("copies"))
+    joined = rows.join(runs, "row", "left").join(ids, "row", "left").select("doc_id", "text", "runs", F.array_contains("copies", F.col("doc_id")).alias("copy"))
     return by_rows(joined, finish, "doc_id long, n_words long, n_removed long, kept string")
 
 

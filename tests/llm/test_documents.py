@@ -319,6 +319,14 @@ def test_links_lose_nothing(spark):
     found = {r.doc_id: r.component_id for r in simhash._named(df, ["fp"], ["fp"], ["fp"], 3).collect()}
     want = slow_components(rows, lambda x, y: (x ^ y).bit_count() <= 3)
     assert [found[i] for i, _ in rows] == want
+    # keys with more than three fingerprints are dealt over pairs of blocks
+    links = simhash.link(df, ["fp"], ["fp"], 3, block=3).collect()
+    number, least = {int(np.uint64(f).view(np.int64)): i for i, f in rows}, [i for i, _ in rows]
+    for _ in rows:
+        for r in links:
+            a, b = number[r.a], number[r.b]
+            least[a] = least[b] = min(least[a], least[b])
+    assert least == want
 
 
 def test_components(spark):
