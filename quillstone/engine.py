@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 from .operators import filters, fulltext, ingest, search, vectors
 from .plans import boolexpr, sql
 from .sources import paged
-from .sources.store import Store, fresh_dimension
+from .sources.store import Stage, Store, fresh_dimension
 from .streaming import gate
 
 VERSION = "1.0"
 VECTOR_SCHEMA = "2"
+#: Columns of items that a filter of a text search may use.
+KEPT = ("createdDate", "modifiedDate")
 #: Projects that one name may stand for.
 MOST_PROJECTS = 5
 
@@ -37,6 +39,9 @@ class Engine:
 
     # dimensions and projects
 
+    def _since(self, mark: str) -> dict[str, str]:
+        return {paged.SINCE: mark} if mark else {}
+
     def _scan(self, endpoint: str, **options) -> DataFrame:
         return paged.scan(self.spark, self.base, endpoint, token=self.token or None, **options)
 
@@ -72,64 +77,106 @@ class Engine:
 
     # building and keeping current
 
-    def _flat(self, raw: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """items, fields_kv and picklist of raw records."""
+    def _options(self, project: int, flat: DataFrame, stage: Stage) -> DataFrame:
+        """The picklist options that items name: those the store has, and the others looked up one by one, each once."""
+        wanted, old = ingest.option_ids(flat), None
+        if stage.base is not None and "picklist" in self.store.tables(project):
+            old = self.store.read(project, "picklist")
+            wanted = wanted.join(old, "id", "left_anti")
+        r = F.col("r")
+        found = ingest.records(paged.looked_up(wanted, self.client, paged.option)).select(
+            ingest.scalar(r, "id", "long").alias("id"), F.try_variant_get(r, "$.name", "string").alias("name"), F.try_variant_get(r, "$.pickList", "long").alias("pickList")
+        )
+        found = found.where("id IS NOT NULL").dropDuplicates(["id"])
+        return stage.put("picklist", found if old is None else old.select(*found.columns).unionByName(found))
+
+    def _flat(self, project: int, raw: DataFrame, stage: Stage) -> tuple[DataFrame, DataFrame]:
+        """items and fields_kv of raw records; the picklist options go to the stage."""
         rows = ingest.latest(raw, "page")
-        picks = self._dim("picklistoptions", "name", "pickList").withColumn("pickList", F.col("pickList").cast("long"))
-        flat = ingest.items(rows, self._dim("itemtypes", "typeKey", "display"), picks)
-        options = picks.join(ingest.option_ids(flat), "id", "left_semi")
-        return flat, ingest.key_values(rows), options
-
-    def _meta(self, project: int, mark: str, linked: bool, tables: dict[str, DataFrame]) -> dict[str, str]:
-        counts = {k: tables[t].count() for k, t in (("item_count", "items"), ("field_kv_count", "fields_kv"), ("picklist_count", "picklist"), ("relationship_count", "relationships"))}
-        now = repr(time.time())
-        return {"project_id": str(project), "watermark": mark, "with_links": str(int(linked)), "fetched_at": now, "last_sync_at": now, "base_url": self.base, "engine_version": VERSION, "schema_version": ingest.SCHEMA_VERSION, **{k: str(v) for k, v in counts.items()}}
-
-    def _keep(self, project: int, tables: dict[str, DataFrame], mark: str, linked: bool, vectors_too: bool | None = True) -> None:
-        """Stages tables under a new version, then what is derived from them, then the metadata."""
-        tables = tables | {"fts": fulltext.index(tables["items"], keep=("createdDate", "modifiedDate"))}
-        vmeta = None
-        if vectors_too:
-            tables["chunks"] = vectors.embed(vectors.chunk_rows(tables["items"]), self.embedder)
-            vmeta = self._vmeta(mark)
-        self.store.write(project, tables, self._meta(project, mark, linked, tables), vmeta)
+        picks = self._options(project, ingest.items(rows), stage)
+        return ingest.items(rows, self._dim("itemtypes", "typeKey", "display"), picks), ingest.key_values(rows)
+
+    def _finish(self, project: int, stage: Stage, mark: str, linked: bool, vmeta: dict[str, str] | None) -> None:
+        """What follows from the written tables: counts, by reading them, and the metadata; then the version is in force."""
+        names = {"item_count": "items", "field_kv_count": "fields_kv", "picklist_count": "picklist", "relationship_count": "relationships"}
+        now, old = repr(time.time()), self.store.meta(project) or {}
+        meta = {k: str(stage.read(t).count()) if t in stage.done else old.get(k, "0") for k, t in names.items()}
+        meta |= {"project_id": str(project), "watermark": mark, "with_links": str(int(linked)), "fetched_at": now, "last_sync_at": now, "base_url": self.base, "engine_version": VERSION, "schema_version": ingest.SCHEMA_VERSION}
+        meta |= self._indexed(stage) if "fts" in stage.done else {"fts_buckets": old.get("fts_buckets", "16")}
+        stage.commit(meta, vmeta)
+
+    def _indexed(self, stage: Stage) -> dict[str, str]:
+        """Postings and counts of the stage's token arrays."""
+        fts = stage.read("fts")
+        buckets = fulltext.buckets_for(fts.count())
+        stage.put("postings", fulltext.postings(fts, buckets))
+        stage.put("fts_stats", fulltext.stats_of(fts))
+        return {"fts_buckets": str(buckets)}
 
     def _vmeta(self, mark: str) -> dict[str, str]:
         return {"embed_model": self.embedder.name, "dim": str(self.embedder.dim), "vec_schema": VECTOR_SCHEMA, "vec_watermark": mark, "built_at": repr(time.time())}
 
     def build(self, project: int, with_links: bool = False, link_cap: int = 0, with_vectors: bool = True) -> None:
-        flat, kv, picks = self._flat(self._scan("items", project=project))
-        mark = ingest.watermark(flat).first()[0]
-        if with_links:
-            raw = paged.links(flat.select("id"), self.base, cap=link_cap, token=self.token)
-            edges = ingest.relationships(raw, self._dim("relationshiptypes", "name"))
-        else:
-            edges = ingest.relationships(self.spark.createDataFrame([], "record string"))
-        self._keep(project, {"items": flat, "fields_kv": kv, "picklist": picks, "relationships": edges}, mark, with_links, with_vectors)
+        """One sweep of the source, written as it came; everything else is made from that, table by table."""
+        stage, vmeta = self.store.stage(project), None
+        try:
+            raw = stage.put("raw", self._scan("items", project=project))
+            flat, kv = self._flat(project, raw, stage)
+            flat, _ = stage.put("items", flat), stage.put("fields_kv", kv)
+            mark = ingest.watermark(flat).first()[0]
+            edges = paged.links(flat.select("id"), self.client, link_cap) if with_links else self.spark.createDataFrame([], "record string")
+            stage.put("relationships", ingest.relationships(edges, self._dim("relationshiptypes", "name") if with_links else None))
+            stage.put("fts", fulltext.index(flat, keep=KEPT))
+            if with_vectors:
+                stage.put("chunks", vectors.embed(vectors.chunk_rows(flat), self.embedder))
+                vmeta = self._vmeta(mark)
+        except BaseException:
+            stage.abandon()
+            raise
+        self._finish(project, stage, mark, with_links, vmeta)
 
     def sync(self, project: int, with_vectors: bool = True, force: bool = False, with_links: bool = False, link_cap: int = 0, prune_deleted: bool = False) -> str:
-        """'built', 'updated' or 'unchanged'.  The delta is inclusive; if it only repeats what is stored, nothing is written."""
+        """'built', 'updated' or 'unchanged'.  The delta is inclusive; if it only repeats what is stored, nothing is written.
+        Only the delta is analyzed; of the other items the stored terms and postings are taken over."""
         meta = self.store.meta(project)
         if force or self.cache_state(project) != "ready":
             self.build(project, with_links, link_cap, with_vectors)
             return "built"
-        mark = meta["watermark"]
-        raw = self._scan("items", project=project)
-        raw = raw.where(F.col("modifiedDate") >= mark) if mark else raw
-        flat, kv, picks = self._flat(raw)
-        base = self.store.read(project, "items")
-        delta = flat.exceptAll(base.select(*flat.columns).join(flat.select("id"), "id", "left_semi").select(*flat.columns))
-        did = "unchanged"
-        if delta.limit(1).count():
-            old = {t: self.store.read(project, t) for t in ("fields_kv", "picklist", "relationships")}
-            tables = {
-                "items": ingest.upsert(base, flat),
-                "fields_kv": old["fields_kv"].join(flat.select(F.col("id").alias("itemId")), "itemId", "left_anti").select(*kv.columns).unionByName(kv),
-                "picklist": ingest.upsert(old["picklist"], picks),
-                "relationships": old["relationships"],
-            }
-            self._keep(project, tables, ingest.watermark(flat, F.lit(mark)).first()[0], bool(int(meta["with_links"])), None)
-            did = "updated"
+        mark, stage = meta["watermark"], self.store.stage(project)
+        try:
+            raw = self._scan("items", project=project)
+            raw = stage.put("raw", raw.where(F.col("modifiedDate") >= mark) if mark else raw)
+            flat, kv = self._flat(project, raw, stage)
+            flat = stage.put("delta", flat)
+            base = self.store.read(project, "items")
+            new = flat.exceptAll(base.select(*flat.columns).join(flat.select("id"), "id", "left_semi").select(*flat.columns))
+            did = "updated" if new.limit(1).count() else "unchanged"
+            if did == "updated":
+                ids = flat.select("id")
+                old = self.store.read(project, "fields_kv")
+                stage.put("items", ingest.upsert(base, flat))
+                stage.put("fields_kv", ingest.without(old, ids, "itemId").select(*kv.columns).unionByName(kv))
+                terms = self.store.read(project, "fts")
+                delta = stage.put("fts_delta", fulltext.index(flat, keep=KEPT))
+                stage.put("fts", ingest.upsert(terms, delta))
+                buckets = int(meta.get("fts_buckets", 0))
+                if buckets != fulltext.buckets_for(stage.read("fts").count()) or "postings" not in self.store.tables(project):
+                    buckets = int(self._indexed(stage)["fts_buckets"])
+                else:
+                    kept = ingest.without(self.store.read(project, "postings"), ids, "id")
+                    stage.put("postings", kept.unionByName(fulltext.postings(delta, buckets)))
+                    stage.put("fts_stats", fulltext.stats_of(stage.read("fts")))
+                for t in ("delta", "fts_delta"):
+                    stage.drop(t)
+        except BaseException:
+            stage.abandon()
+            raise
+        if did == "updated":
+            now = {"watermark": ingest.watermark(stage.read("items"), F.lit(mark)).first()[0], "last_sync_at": repr(time.time()), "fts_buckets": str(buckets)}
+            counts = {k: str(stage.read(t).count()) for k, t in (("item_count", "items"), ("field_kv_count", "fields_kv"), ("picklist_count", "picklist"))}
+            stage.commit(meta | counts | now)
+        else:
+            stage.abandon()
         if with_vectors:
             self.refresh_vectors(project)
         if prune_deleted:
@@ -176,7 +223,9 @@ class Engine:
         n = gone.count()
         if n:
             read = lambda t: self.store.read(project, t)
-            tables = {"items": ingest.without(flat, gone, "id"), "fields_kv": ingest.without(read("fields_kv"), gone, "itemId"), "relationships": ingest.without(read("relationships"), gone, "fromItem", "toItem"), "fts": ingest.without(read("fts"), gone, "id")}
+            tables = {"items": ingest.without(flat, gone, "id"), "fields_kv": ingest.without(read("fields_kv"), gone, "itemId"), "relationships": ingest.without(read("relationships"), gone, "fromItem", "toItem")}
+            tables |= {"fts": ingest.without(read("fts"), gone, "id"), "postings": ingest.without(read("postings"), gone, "id")}
+            tables["fts_stats"] = fulltext.stats_of(tables["fts"])
             if "chunks" in self.store.tables(project):
                 tables["chunks"] = ingest.without(read("chunks"), gone, "item_id")
             counts = {k: str(tables[t].count()) for k, t in (("item_count", "items"), ("field_kv_count", "fields_kv"), ("relationship_count", "relationships"))}
@@ -219,7 +268,7 @@ class Engine:
         meta = self.store.meta(project) or {}
 
         def delta() -> int | None:
-            query = {"project": str(project)} | ({"modifiedSince": meta["watermark"]} if meta.get("watermark") else {})
+            query = {"project": str(project)} | self._since(meta.get("watermark", ""))
             return self.client.count("items", query)
 
         did = gate.check(state, need_vectors, offline, force, delta, lambda: self.vector_lag(project))
@@ -240,7 +289,7 @@ class Engine:
         self._ready(project, True, offline, force)
         read = lambda t: self.store.read(project, t)
         vector = self.embedder.query(words) if words else None
-        return search.hybrid(read("items"), read("fts"), tree, read("chunks"), vector, field, types, dates, top, max_distance, compat=compat)
+        return search.hybrid(read("items"), self.postings(project), tree, read("chunks"), vector, field, types, dates, top, max_distance, compat=compat)
 
     def semantic(self, given: str | int, query: str, types: str | None = None, dates: filters.Dates | None = None, top: int = 0, max_distance: float = vectors.MAX_DISTANCE, offline: bool = False, force: bool = False) -> DataFrame:
         project = self.single(given)
@@ -248,15 +297,24 @@ class Engine:
         return search.semantic(self.store.read(project, "items"), self.store.read(project, "chunks"), self.embedder.query(query), types, dates, top, max_distance)
 
     def query(self, given: str | int, statement: str, offline: bool = False, force: bool = False) -> DataFrame:
-        """Read-only SQL over items, fields_kv, picklist, relationships, meta, fts and chunks."""
-        sql.check(self.spark, statement)
+        """Read-only SQL over items, fields_kv, picklist, relationships, meta, fts and chunks, and fts_match('expression'):
+        the id and bm25 of what a full-text search finds."""
+        sql.check(self.spark, sql.without_match(statement))
         project = self.single(given)
         self._ready(project, False, offline, force)
-        return sql.query(self.spark, statement, {t: self.store.read(project, t) for t in self.store.tables(project) if t in sql.VIEWS})
+        tables = {t: self.store.read(project, t) for t in self.store.tables(project) if t in sql.VIEWS}
+        return sql.query(self.spark, statement, tables, lambda expression, field: self.match(project, expression, field, limit=None))
 
     def match(self, given: str | int, expression: str, field: str = "all", limit: int | None = fulltext.LEG) -> DataFrame:
         """What a full-text table would answer to MATCH, with its rank: id and bm25."""
-        return fulltext.search(self.store.read(self.single(given), "fts"), boolexpr.parse(expression), field, limit=limit)
+        return fulltext.search(self.postings(self.single(given)), boolexpr.parse(expression), field, limit=limit)
+
+    def postings(self, project: int) -> fulltext.Postings | DataFrame:
+        """The project's stored index; its token arrays where a snapshot has no postings."""
+        read = lambda t: self.store.read(project, t)
+        if "postings" not in self.store.tables(project):
+            return read("fts")
+        return fulltext.Postings(read("postings"), read("fts_stats"), int(self.store.meta(project)["fts_buckets"]), read("items").select("id", *KEPT))
 
     def purge(self, given: str | int | None = None, everything: bool = False) -> list[int]:
         if given is None and not everything:

@@ -1,13 +1,19 @@
-"""Full-text search over token arrays with BM25 ranking.
+"""Full-text search with BM25 ranking, over token arrays or stored postings.
 
-An index has one row an item: its terms in each column and their number.  It is built once; a query then is two scans of
-it (one for the counts that weights need, one for the scores), both with built-in functions, and a top-k.  No shuffle
-carries more than a few numbers a partition.
+``index`` has one row an item: its terms in each column and their number.  A query over it is two scans (one for the
+counts that weights need, one for the scores), both with built-in functions, and a top-k.
+
+``Postings`` is the index turned around and stored: a row for each term, item and column, partitioned by a hash of the
+term and sorted by it.  A query then reads the row groups of its own terms, groups the hits of their items and takes the
+top-k, so its cost follows what its terms hit and not the collection.  Both give the same answers.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import stem, text
@@ -105,27 +111,30 @@ class _Compiled:
         return -(idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / F.col("mean_length"))))
 
 
-def search(idx: DataFrame, tree: boolexpr.Node, field: str = "all", where: Column | None = None, limit: int | None = LEG, stemmed: bool = True, compat: bool = False) -> DataFrame:
+def search(idx: DataFrame | Postings, tree: boolexpr.Node, field: str = "all", where: Column | None = None, limit: int | None = LEG, stemmed: bool = True, compat: bool = False) -> DataFrame:
     """id and bm25 (smaller is better) of the best ``limit`` matches; ties by id.
 
-    ``where`` is applied before the limit; it may use the columns that the index keeps.  A tree that an index can't
-    answer (see ``boolexpr.searchable``) gives no rows.  ``field``: "all" or "name".
+    ``where`` is applied before the limit; it may use the columns that the index keeps (with postings: of their items).
+    A tree that an index can't answer (see ``boolexpr.searchable``) gives no rows.  ``field``: "all" or "name".
     """
+    none = (idx.table if isinstance(idx, Postings) else idx).select("id", F.lit(0.0).alias("bm25")).where("false")
     if not boolexpr.searchable(tree):
-        return idx.select("id", F.lit(0.0).alias("bm25")).where("false")
+        return none
     plan = _Compiled(tree, stem.analyze_phrase if stemmed else plain_phrase, compat)
     if plan.match is None:
-        return idx.select("id", F.lit(0.0).alias("bm25")).where("false")
+        return none
     columns = ("name",) if field == "name" else COLUMNS
-    hits = {f"h{i}": sum(occurrences(F.col(f"t_{c}"), p) for c in columns) for i, p in enumerate(plan.phrases)}
-    seen = idx.select("*", once(**hits))
-    # one row: a bound for broadcasting that no data can break
-    stats = seen.agg(
-        F.count("*").alias("rows_in_index"),
-        (F.sum("dl") / F.count("*")).alias("mean_length"),
-        *(F.count_if(F.col(f"h{i}") > 0).alias(f"n{i}") for i in range(len(plan.phrases))),
-    )
-    found = seen.where(plan.match) if where is None else seen.where(plan.match & where)
+    counts = [F.count_if(F.col(f"h{i}") > 0).alias(f"n{i}") for i in range(len(plan.phrases))]
+    # one row of counts: a bound for broadcasting that no data can break
+    if isinstance(idx, Postings):
+        seen = idx.hits(plan.phrases, columns)
+        stats = seen.agg(*counts).crossJoin(F.broadcast(idx.stats))
+        found = seen.where(plan.match)
+        found = found if where is None else found.join(idx.items.where(where).select("id"), "id", "left_semi")
+    else:
+        seen = idx.select("*", once(**{f"h{i}": sum(occurrences(F.col(f"t_{c}"), p) for c in columns) for i, p in enumerate(plan.phrases)}))
+        stats = seen.agg(F.count("*").alias("rows_in_index"), (F.sum("dl") / F.count("*")).alias("mean_length"), *counts)
+        found = seen.where(plan.match if where is None else plan.match & where)
     scored = found.crossJoin(F.broadcast(stats)).select("id", plan.score.alias("bm25"))
     return scored.orderBy("bm25", "id").limit(limit) if limit is not None else scored
 
@@ -137,45 +146,80 @@ def plain_phrase(words: str) -> list[str]:
 
 
 def postings(idx: DataFrame, buckets: int = 256) -> DataFrame:
-    """The index turned around: bucket, term, id, field, dl and the ascending positions of the term in the field.
-
-    Written partitioned by bucket and sorted by term, a query reads only the row groups of its own terms, however large
-    the collection is.
-    """
-    parts = None
-    for c in COLUMNS:
-        one = idx.select("id", "dl", F.lit(c).alias("field"), F.posexplode(f"t_{c}").alias("at", "term"))
-        parts = one if parts is None else parts.unionByName(one)
+    """The index turned around: bucket, term, id, field, dl, n (how often) and the ascending positions of the term in the
+    field."""
+    parts = reduce(DataFrame.unionByName, (idx.select("id", "dl", F.lit(c).alias("field"), F.posexplode(f"t_{c}").alias("at", "term")) for c in COLUMNS))
     grouped = parts.groupBy("term", "id", "field", "dl").agg(F.sort_array(F.collect_list("at")).alias("positions"))
-    return grouped.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+    return grouped.select(bucket_of(F.col("term"), buckets).alias("bucket"), "term", "id", "field", "dl", F.size("positions").alias("n"), "positions")
+
+
+def bucket_of(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+def buckets_for(rows: int) -> int:
+    """Buckets for so many items: a power of two, of some thousands of items each."""
+    return 1 << max(4, min(12, (rows // 4000).bit_length()))
 
 
 def write_postings(idx: DataFrame, path: str, buckets: int = 256) -> None:
+    """Postings under path/postings and the index's counts under path/stats."""
     rows = postings(idx, buckets)
-    rows.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(16))).sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").parquet(path)
+    rows.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(4))).sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").parquet(f"{path}/postings")
+    stats_of(idx).coalesce(1).write.parquet(f"{path}/stats")
+
+
+def stats_of(idx: DataFrame) -> DataFrame:
+    """One row: the number of rows and their mean length."""
+    return idx.agg(F.count("*").alias("rows_in_index"), (F.sum("dl") / F.count("*")).alias("mean_length"))
+
+
+def read_postings(spark: SparkSession, path: str, buckets: int = 256, items: DataFrame | None = None) -> Postings:
+    return Postings(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats"), buckets, items)
+
+
+@dataclass(frozen=True)
+class Postings:
+    """table: as ``postings`` gives it, stored; stats: as ``stats_of``; items: id and what filters look at."""
+
+    table: DataFrame
+    stats: DataFrame
+    buckets: int
+    items: DataFrame | None = None
+
+    def rows(self, terms: list[str], columns: tuple[str, ...]) -> DataFrame:
+        """The rows of some terms: the buckets are constants, so only their folders are read."""
+        in_bucket = reduce(Column.__or__, (F.col("bucket") == bucket_of(F.lit(t), self.buckets) for t in dict.fromkeys(terms)))
+        found = self.table.where(in_bucket & F.col("term").isin(*dict.fromkeys(terms)))
+        return found if columns == COLUMNS else found.where(F.col("field").isin(*columns))
+
+    def hits(self, phrases: list[list[str]], columns: tuple[str, ...] = COLUMNS) -> DataFrame:
+        """id, dl and the hits h0, h1 ... of the phrases, of the items that any of them hits."""
+        single = {p[0]: i for i, p in enumerate(phrases) if len(p) == 1}
+        parts = []
+        if single:
+            which = reduce(lambda c, x: c.when(F.col("term") == x[0], x[1]), list(single.items())[1:], F.when(F.col("term") == next(iter(single)), single[next(iter(single))]))
+            parts.append(self.rows(list(single), columns).select("id", "dl", which.alias("phrase"), F.col("n").cast("long").alias("hits")))
+        for i, terms in enumerate(phrases):
+            if len(terms) > 1:
+                parts.append(self.phrase(terms, columns).select("id", "dl", F.lit(i).alias("phrase"), "hits"))
+        every = reduce(DataFrame.unionByName, parts)
+        return every.groupBy("id", "dl").agg(*(F.sum(F.when(F.col("phrase") == i, F.col("hits")).otherwise(0)).alias(f"h{i}") for i in range(len(phrases))))
+
+    def phrase(self, terms: list[str], columns: tuple[str, ...] = COLUMNS) -> DataFrame:
+        """id, dl and hits of a phrase of several words: each word's positions say where the phrase would begin, and it
+        does where all of them say so."""
+        rows = self.rows(terms, columns)
+        starts = F.flatten(F.array_compact(F.array(*(F.when(F.col("term") == t, F.transform("positions", _minus(i))) for i, t in enumerate(terms)))))
+        met = rows.select("id", "dl", "field", F.explode(starts).alias("start")).groupBy("id", "dl", "field", "start").count().where(F.col("count") == len(terms))
+        return met.groupBy("id", "dl").agg(F.count("*").alias("hits"))
 
 
 def phrase_hits(table: DataFrame, words: str, field: str = "all", buckets: int = 256, stemmed: bool = True) -> DataFrame:
-    """id, dl and hits of a phrase, from postings: only its terms' buckets and row groups are read."""
+    """id, dl and hits of a phrase, from postings."""
     terms = stem.analyze_phrase(words) if stemmed else plain_phrase(words)
-    rows = table.where(F.col("term").isin(*terms) & F.col("bucket").isin(*_buckets(table, terms, buckets)))
-    if field != "all":
-        rows = rows.where(F.col("field") == field)
-    shifted = [F.when(F.col("term") == t, F.transform("positions", _minus(i))) for i, t in enumerate(terms)]
-    if len(set(terms)) == len(terms):
-        start = F.coalesce(*shifted)
-        met = rows.select("id", "dl", "field", F.explode(start).alias("start")).groupBy("id", "dl", "field", "start").count().where(F.col("count") == len(terms))
-    else:
-        every = F.flatten(F.array_compact(F.array(*shifted)))
-        met = rows.select("id", "dl", "field", F.explode(every).alias("start")).groupBy("id", "dl", "field", "start").count().where(F.col("count") == len(terms))
-    return met.groupBy("id", "dl").agg(F.count("*").alias("hits"))
+    return Postings(table, table.limit(0), buckets).hits([terms], COLUMNS if field == "all" else (field,)).withColumnRenamed("h0", "hits")
 
 
 def _minus(n: int):
     return lambda position: position - n
-
-
-def _buckets(table: DataFrame, terms: list[str], buckets: int) -> list[int]:
-    spark = table.sparkSession
-    one = spark.createDataFrame([(t,) for t in terms], "term string").select(F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("b"))
-    return sorted({r.b for r in one.collect()})

@@ -3,6 +3,9 @@
 Pages have the form {"meta": {"pageInfo": {"totalResults": n}}, "data": [record, ...]}.  Where the base is a folder, the
 pages of an endpoint are made from its file <endpoint>.jsonl, which stands in for a server in tests and offline.
 
+A scan whose total the server doesn't tell fails rather than give a part of the records.  The driver asks for the token
+and hands it to the tasks, which ask anew only if it is refused.
+
     spark.dataSource.register(PagedItems)
     spark.read.format("paged_items").option("base", ...).option("endpoint", "items").load()
 """
@@ -12,6 +15,7 @@ from __future__ import annotations
 import base64
 import json
 import os
+import re
 import time
 import urllib.error
 import urllib.parse
@@ -26,68 +30,129 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, Filter, Greater
 PAGE, TRIES, TOKEN_TRIES = 50, 6, 2
 #: Seconds that a token serves, and the first wait between tries.
 TOKEN_SECONDS, WAIT = 3300, 1.0
+# Where the interface lies under a server's address, the paths of endpoints that are named otherwise there,
+# and the name of the date filter.
+API, PATHS, SINCE = "rest/v1", {"items": "abstractitems"}, "modifiedDate"
 _tokens: dict[tuple[str, str], tuple[str, float]] = {}
 
 
 @dataclass
 class Client:
-    """token: a bearer token, or ``id:secret`` of an account that may ask for one."""
+    """base: a server's address (what follows /rest is left out) or a folder.  token: a bearer token, or ``id:secret`` of an
+    account that may ask for one.  shared: a bearer token and the time until which it serves, from who asked for it."""
 
     base: str
     token: str = ""
+    shared: tuple[str, float] | None = None
+
+    @property
+    def root(self) -> str:
+        return self.base.split("/rest")[0].rstrip("/")
+
+    def handed(self) -> Client:
+        """This client with a token that tasks can use without asking for one themselves."""
+        if "://" in self.base and ":" in self.token:
+            self.bearer()
+            return Client(self.base, self.token, _tokens[(self.base, self.token)])
+        return self
 
     def bearer(self, fresh: bool = False) -> str:
         """The token to send; one that was asked for serves for 55 minutes, unless a fresh one is wanted."""
         if ":" not in self.token:
             return self.token
-        known = _tokens.get((self.base, self.token))
-        if fresh or known is None or time.monotonic() > known[1]:
+        known = _tokens.get((self.base, self.token)) or self.shared
+        if fresh or known is None or time.time() > known[1]:
             form = urllib.parse.urlencode({"grant_type": "client_credentials"}).encode()
             account = base64.b64encode(self.token.encode()).decode()
-            ask = urllib.request.Request(f"{self.base.split('/rest')[0]}/rest/oauth/token", form, {"Authorization": f"Basic {account}"})
-            with urllib.request.urlopen(ask, timeout=60) as answer:
-                known = json.loads(answer.read())["access_token"], time.monotonic() + TOKEN_SECONDS
+            ask = urllib.request.Request(f"{self.root}/rest/oauth/token", form, {"Authorization": f"Basic {account}"})
+            known = self._asked(lambda: ask, lambda code: code == 429 or code >= 500)["access_token"], time.time() + TOKEN_SECONDS
             _tokens[(self.base, self.token)] = known
         return known[0]
 
-    def page(self, endpoint: str, start: int, size: int, query: dict[str, str]) -> dict:
-        if "://" not in self.base:
-            return self._from_folder(endpoint, start, size, query)
-        args = urllib.parse.urlencode({**query, "startAt": start, "maxResults": size})
-        refused = 0
+    def _asked(self, request, again) -> dict:
+        """The answer to what ``request`` makes, tried again after growing waits where the network fails or ``again``
+        says so of the server's code."""
         for n in range(TRIES + 1):
             try:
-                bearer = self.bearer(fresh=refused > 0)
-                ask = urllib.request.Request(f"{self.base}/{endpoint}?{args}", headers={"Authorization": f"Bearer {bearer}"} if bearer else {})
-                with urllib.request.urlopen(ask, timeout=60) as answer:
+                with urllib.request.urlopen(request(), timeout=60) as answer:
                     return json.loads(answer.read())
             except urllib.error.HTTPError as e:
-                refused += e.code == 401
-                if e.code not in (401, 429) or refused > TOKEN_TRIES or n == TRIES:
+                if n == TRIES or not again(e.code):
                     raise
-            except (urllib.error.URLError, TimeoutError):
+            except (urllib.error.URLError, TimeoutError, ConnectionError):
                 if n == TRIES:
                     raise
             time.sleep(min(30, WAIT * 2**n))
-        raise TimeoutError(endpoint)
+        raise TimeoutError(self.base)
 
-    def _from_folder(self, endpoint: str, start: int, size: int, query: dict[str, str]) -> dict:
+    def get(self, path: str, query: dict[str, str | int]) -> dict:
+        refused = 0
+
+        def request() -> urllib.request.Request:
+            bearer = self.bearer(fresh=refused > 0)
+            head = {"Authorization": f"Bearer {bearer}"} if bearer else {}
+            return urllib.request.Request(f"{self.root}/{API}/{PATHS.get(path, path)}" + (f"?{urllib.parse.urlencode(query)}" if query else ""), headers=head)
+
+        def again(code: int) -> bool:
+            nonlocal refused
+            refused += code == 401
+            return code == 429 or code >= 500 or code == 401 and refused <= TOKEN_TRIES
+
+        return self._asked(request, again)
+
+    def page(self, endpoint: str, start: int, size: int, query: dict[str, str]) -> dict:
+        if "://" not in self.base:
+            return self._from_folder(endpoint, start, size, query)
+        return self.get(endpoint, {**query, "startAt": start, "maxResults": size})
+
+    def pages(self, endpoint: str, query: dict[str, str]) -> Iterator[dict]:
+        """All records of an endpoint, a page after the other."""
+        start = 0
+        while True:
+            answer = self.page(endpoint, start, PAGE, query)
+            yield from answer.get("data") or []
+            start += PAGE
+            if start >= int(answer["meta"]["pageInfo"]["totalResults"]):
+                return
+
+    def one(self, endpoint: str, identifier: int) -> dict | None:
+        """A single record by its identifier; None where the server has none."""
+        if "://" not in self.base:
+            return next((r for r in self._rows(endpoint) if r.get("id") == identifier), None)
+        try:
+            return self.get(f"{endpoint}/{identifier}", {}).get("data")
+        except urllib.error.HTTPError as e:
+            if e.code in (401, 429) or e.code >= 500:
+                raise
+            return None
+
+    def _rows(self, endpoint: str) -> list[dict]:
         at = os.path.join(self.base, f"{endpoint}.jsonl")
-        rows = []
-        if os.path.exists(at):
-            with open(at, encoding="utf-8") as f:
-                rows = [json.loads(x) for x in f if x.strip()]
-        if since := query.get("modifiedSince"):
+        if not os.path.exists(at):
+            return []
+        with open(at, encoding="utf-8") as f:
+            return [json.loads(x) for x in f if x.strip()]
+
+    def _from_folder(self, endpoint: str, start: int, size: int, query: dict[str, str]) -> dict:
+        if m := re.fullmatch(r"items/(\d+)/downstreamrelationships", endpoint):
+            rows = [r for r in self._rows("relationships") if r.get("fromItem") == int(m[1])]
+        else:
+            rows = self._rows(endpoint)
+        if since := query.get(SINCE):
             rows = [r for r in rows if (r.get("modifiedDate") or "") >= since]
         if "project" in query:
             rows = [r for r in rows if str(r.get("project")).strip("[]") == query["project"]]
         return {"meta": {"pageInfo": {"totalResults": len(rows)}}, "data": rows[start : start + size]}
 
+    def total(self, endpoint: str, query: dict[str, str]) -> int:
+        """What the server says there is, without fetching it."""
+        return int(self.page(endpoint, 0, 1, query)["meta"]["pageInfo"]["totalResults"])
+
     def count(self, endpoint: str, query: dict[str, str]) -> int | None:
-        """What the server says there is, without fetching it; None if it can't be known."""
+        """The same, None if it can't be known."""
         try:
-            return int(self.page(endpoint, 0, 1, query)["meta"]["pageInfo"]["totalResults"])
-        except (OSError, KeyError, ValueError):
+            return self.total(endpoint, query)
+        except (OSError, KeyError, TypeError, ValueError):
             return None
 
 
@@ -103,17 +168,21 @@ class PagedReader(DataSourceReader):
         self.limit = int(options.get("limit", 1 << 62))
         self.query = {k: options[k] for k in ("project",) if k in options}
         if "modifiedsince" in options:
-            self.query["modifiedSince"] = options["modifiedsince"]
+            self.query[SINCE] = options["modifiedsince"]
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         for f in filters:
             if isinstance(f, GreaterThanOrEqual) and f.attribute == ("modifiedDate",) and isinstance(f.value, str):
-                self.query["modifiedSince"] = max(self.query.get("modifiedSince", ""), f.value)
+                self.query[SINCE] = max(self.query.get(SINCE, ""), f.value)
             else:
                 yield f
 
     def partitions(self) -> list[Page]:
-        total = min(self.client.count(self.endpoint, self.query) or 0, self.limit)
+        self.client = self.client.handed()
+        try:
+            total = min(self.client.total(self.endpoint, self.query), self.limit)
+        except (KeyError, TypeError, ValueError) as e:
+            raise RuntimeError(f"{self.endpoint}: the server doesn't say how many records there are") from e
         return [Page(s) for s in range(0, total, self.size)] or [Page(0)]
 
     def read(self, partition: Page) -> Iterator[tuple]:
@@ -146,23 +215,40 @@ def scan(spark: SparkSession, base: str, endpoint: str, **options) -> DataFrame:
     return reader.load()
 
 
-def links(ids: DataFrame, base: str, endpoint: str = "relationships", cap: int = 0, tasks: int = 16, token: str = "") -> DataFrame:
-    """record: the downstream relationships of each identifier, looked up in parallel; a failing lookup ends its task's
-    list early and keeps what it has."""
-    wanted = ids.orderBy("id").limit(cap) if cap > 0 else ids
+def looked_up(ids: DataFrame, client: Client, fetch, tasks: int = 16) -> DataFrame:
+    """record: the JSON records that ``fetch(client, id)`` gives for each identifier of ids (id), in parallel."""
+    client = client.handed()
 
-    def fetch(batches):
+    def run(batches):
         import pyarrow as pa
 
-        client = Client(base, token)
         for batch in batches:
-            out = []
-            try:
-                for i in batch.column(0).to_pylist():
-                    found = client.page(endpoint, 0, 1 << 30, {})["data"] if "://" not in base else client.page(f"items/{i}/downstreamrelationships", 0, PAGE, {})["data"]
-                    out += [json.dumps(r, ensure_ascii=False) for r in found if r.get("fromItem") == i or "://" in base]
-            except OSError:
-                pass
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["record"])
-
-    return wanted.select("id").repartition(tasks).mapInArrow(fetch, "record string")
+            for at in range(0, batch.num_rows, 200):
+                out = [json.dumps(r, ensure_ascii=False) for i in batch.column(0).slice(at, 200).to_pylist() for r in fetch(client, i)]
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["record"])
+
+    return ids.select("id").repartition(tasks).mapInArrow(run, "record string")
+
+
+def downstream(client: Client, item: int) -> list[dict]:
+    """All downstream relationships of an item, page by page.  Items of some kinds have no such endpoint: what the server
+    refuses has none, or none beyond the pages it gave; other failures are raised once the tries are used up."""
+    out: list[dict] = []
+    try:
+        for r in client.pages(f"items/{item}/downstreamrelationships", {}):
+            out.append(r)
+    except urllib.error.HTTPError as e:
+        if e.code in (401, 429) or e.code >= 500:
+            raise
+    return out
+
+
+def option(client: Client, identifier: int) -> list[dict]:
+    """The picklist option with this number, if there is one."""
+    found = client.one("picklistoptions", identifier)
+    return [found] if found else []
+
+
+def links(ids: DataFrame, client: Client, cap: int = 0, tasks: int = 16) -> DataFrame:
+    """record: the downstream relationships of the identifiers (of the first ``cap``, if that is above 0)."""
+    return looked_up(ids.orderBy("id").limit(cap) if cap > 0 else ids, client, downstream, tasks)

@@ -1,17 +1,41 @@
-"""Versioned snapshots: Parquet tables of a project under v=<n>, and a pointer file that names the version in force.
+"""Versioned snapshots: Parquet tables of a project in a folder for each version, and a small file for each version that
+is complete.
 
-All file access goes through Hadoop's file systems, so a store may lie wherever Spark can write.  A version is written
-completely before the pointer moves; who fails in between leaves a version that nobody reads.
+All file access goes through Hadoop's file systems, so a store may lie wherever Spark can write.  The version in force is
+the highest that has a file commit-<n>, which names its folder.  The file is written last, under another name, and then
+renamed where no such file is: at every moment some version is in force, a writer that fails leaves a folder that nobody
+reads, and of two that started from the same version only one can commit.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TABLES = ("items", "fields_kv", "picklist", "relationships", "meta", "fts", "chunks", "vmeta")
+TABLES = ("items", "fields_kv", "picklist", "relationships", "meta", "fts", "postings", "fts_stats", "chunks", "vmeta")
+#: Tables that are partitioned by a column and sorted by another within.
+LAID_OUT = {"postings": ("bucket", "term")}
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new place for one run under the cluster's shared folder (a temporary one only in local mode without it), deleted
+    when Spark ends."""
+    given = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not given:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        import tempfile
+
+        given = tempfile.gettempdir()
+    at = f"{given.rstrip('/')}/quillstone-{name}-{uuid.uuid4().hex}"
+    fs, p = Store(spark, at)._at(at)
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+    return at
 
 
 class Store:
@@ -29,15 +53,21 @@ class Store:
         fs, p = self._at(path)
         return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
 
-    def _write(self, path: str, content: str) -> None:
+    def _write(self, path: str, content: str, replace: bool = True) -> bool:
+        """Writes a small file at once; without ``replace`` False if there is one already."""
         fs, p = self._at(path)
-        fresh = self.spark._jvm.org.apache.hadoop.fs.Path(f"{path}.new")
+        fresh = self.spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.new")
         out = fs.create(fresh, True)
         out.write(bytearray(content.encode()))
         out.close()
-        fs.delete(p, False)
-        if not fs.rename(fresh, p):
+        if fs.exists(p) and replace:
+            fs.delete(p, False)
+        if not fs.exists(p) and fs.rename(fresh, p):
+            return True
+        fs.delete(fresh, False)
+        if replace:
             raise OSError(f"{path} couldn't be replaced")
+        return False
 
     def _read(self, path: str) -> str | None:
         fs, p = self._at(path)
@@ -59,19 +89,25 @@ class Store:
         found = (re.fullmatch(r"project_id=(\d+)", n) for n in self._names(self.root))
         return sorted(int(m[1]) for m in found if m and self.version(int(m[1])) is not None)
 
+    def _commits(self, project: int) -> list[int]:
+        return sorted(int(m[1]) for n in self._names(self._home(project)) if (m := re.fullmatch(r"commit-(\d+)", n)))
+
     def version(self, project: int) -> int | None:
-        said = self._read(f"{self._home(project)}/CURRENT")
-        return int(said) if said and said.strip().isdigit() else None
+        return max(self._commits(project), default=None)
 
-    def path(self, project: int, table: str, version: int | None = None) -> str:
+    def folder(self, project: int, version: int | None = None) -> str:
+        """Where the tables of a version lie (of that in force)."""
         v = self.version(project) if version is None else version
-        if v is None:
+        said = None if v is None else self._read(f"{self._home(project)}/commit-{v}")
+        if said is None:
             raise LookupError(f"project {project} has no snapshot")
-        return f"{self._home(project)}/v={v}/{table}"
+        return f"{self._home(project)}/{said.strip()}"
+
+    def path(self, project: int, table: str, version: int | None = None) -> str:
+        return f"{self.folder(project, version)}/{table}"
 
     def tables(self, project: int) -> list[str]:
-        v = self.version(project)
-        return [] if v is None else [t for t in self._names(f"{self._home(project)}/v={v}") if t in TABLES]
+        return [] if self.version(project) is None else [t for t in self._names(self.folder(project)) if t in TABLES]
 
     def read(self, project: int, table: str) -> DataFrame:
         return self.spark.read.parquet(self.path(project, table))
@@ -85,25 +121,16 @@ class Store:
         except Exception:  # noqa: BLE001  a broken snapshot is reported as one, whatever broke it
             return None
 
-    def write(self, project: int, tables: dict[str, DataFrame], meta: dict[str, str], vmeta: dict[str, str] | None = None, keep: int = 2) -> int:
+    def stage(self, project: int) -> Stage:
+        """A new version that isn't in force yet."""
+        return Stage(self, project)
+
+    def write(self, project: int, tables: dict[str, DataFrame], meta: dict[str, str], vmeta: dict[str, str] | None = None) -> int:
         """Writes a new version: the given tables, the others copied by reading them from the version in force."""
-        old = self.version(project)
-        new = max([old or 0, *(int(m[1]) for n in self._names(self._home(project)) if (m := re.fullmatch(r"v=(\d+)", n)))]) + 1
-        carried = {t: self.read(project, t) for t in self.tables(project) if t not in tables and t not in ("meta", "vmeta")}
-        for name, df in {**carried, **tables}.items():
-            df.write.mode("overwrite").parquet(self.path(project, name, new))
-        for name, pairs in (("meta", meta), ("vmeta", vmeta if vmeta is not None else self.meta(project, "vmeta"))):
-            if pairs is not None:
-                rows = self.spark.createDataFrame(sorted((k, str(v)) for k, v in pairs.items()), "key string, value string")
-                rows.coalesce(1).write.mode("overwrite").parquet(self.path(project, name, new))
-        if self.version(project) != old:
-            raise RuntimeError(f"project {project} was changed by someone else meanwhile")
-        self._write(f"{self._home(project)}/CURRENT", str(new))
-        for n in self._names(self._home(project)):
-            if (m := re.fullmatch(r"v=(\d+)", n)) and int(m[1]) <= new - keep:
-                fs, p = self._at(f"{self._home(project)}/{n}")
-                fs.delete(p, True)
-        return new
+        stage = self.stage(project)
+        for name, df in tables.items():
+            stage.put(name, df)
+        return stage.commit(meta, vmeta)
 
     def purge(self, project: int) -> bool:
         fs, p = self._at(self._home(project))
@@ -114,6 +141,59 @@ class Store:
         return int(fs.getContentSummary(p).getLength()) if fs.exists(p) else 0
 
 
+class Stage:
+    """A version in the making: tables are put one by one and can be read back, so what follows from a table is made from
+    what was written and not from its plan again; ``commit`` puts it in force."""
+
+    def __init__(self, store: Store, project: int):
+        self.store, self.project, self.base = store, project, store.version(project)
+        self.name = f"v={(self.base or 0) + 1}-{uuid.uuid4().hex}"
+        self.at, self.done = f"{store._home(project)}/{self.name}", set()
+
+    def put(self, table: str, df: DataFrame) -> DataFrame:
+        writer = df.write
+        if table in LAID_OUT:
+            part, order = LAID_OUT[table]
+            # a bucket in a few files, each sorted, lest a very common term make one task of it
+            writer = df.repartition(part, F.pmod(F.xxhash64("id"), F.lit(4))).sortWithinPartitions(part, order, "id").write.partitionBy(part)
+        writer.parquet(f"{self.at}/{table}")
+        self.done.add(table)
+        return self.read(table)
+
+    def read(self, table: str) -> DataFrame:
+        return self.store.spark.read.parquet(f"{self.at}/{table}")
+
+    def commit(self, meta: dict[str, str], vmeta: dict[str, str] | None = None, keep: int = 2) -> int:
+        store, project = self.store, self.project
+        for t in store.tables(project) if self.base is not None else ():
+            if t not in self.done and t not in ("meta", "vmeta"):
+                self.put(t, store.read(project, t))
+        for name, pairs in (("meta", meta), ("vmeta", vmeta if vmeta is not None else store.meta(project, "vmeta"))):
+            if pairs is not None:
+                rows = store.spark.createDataFrame(sorted((k, str(v)) for k, v in pairs.items()), "key string, value string")
+                rows.coalesce(1).write.parquet(f"{self.at}/{name}")
+        self.drop("raw")
+        new = (self.base or 0) + 1
+        if store.version(project) != self.base or not store._write(f"{store._home(project)}/commit-{new}", self.name, replace=False):
+            self.abandon()
+            raise RuntimeError(f"project {project} was changed by someone else meanwhile")
+        for old in store._commits(project):
+            if old <= new - keep:
+                fs, p = store._at(store.folder(project, old))
+                fs.delete(p, True)
+                fs, p = store._at(f"{store._home(project)}/commit-{old}")
+                fs.delete(p, False)
+        return new
+
+    def drop(self, table: str) -> None:
+        fs, p = self.store._at(f"{self.at}/{table}")
+        fs.delete(p, True)
+
+    def abandon(self) -> None:
+        fs, p = self.store._at(self.at)
+        fs.delete(p, True)
+
+
 def fresh_dimension(store: Store, name: str, load, ttl: int = 21_600) -> DataFrame:
     """A small table kept under the store's root for ``ttl`` seconds; a broken or old copy is loaded anew."""
     import time

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import ingest
-from ..sources.store import Store
+from ..sources.store import Store, scratch
 
 
 def newest(rows: DataFrame, key: str = "id") -> DataFrame:
@@ -41,9 +41,7 @@ def into(store: Store, project: int, table: str = "items"):
 
 def replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a stream of one file after the other, run until nothing is left; gives the table that results."""
-    import uuid
-
-    root = f"{scratch(spark)}/stream-{uuid.uuid4().hex}"
+    root = scratch(spark, "stream")
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select(
         F.col("user_id").alias("id"), "event_id", "event_type", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("modifiedDate")
     )
@@ -53,15 +51,3 @@ def replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = stream.writeStream.foreachBatch(into(store, 1)).option("checkpointLocation", f"{root}/progress").trigger(availableNow=True).start()
     run.awaitTermination()
     return store.read(1, "items")
-
-
-def scratch(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only in local mode without it."""
-    given = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if given:
-        return given.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    import tempfile
-
-    return tempfile.mkdtemp(prefix="quillstone-")

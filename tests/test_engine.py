@@ -106,3 +106,137 @@ def test_a_server_that_refuses_and_waits(monkeypatch):
     assert asked[:4] == ["token", "Bearer t1", "token", "Bearer t2"]
     server.shutdown()
     assert paged.Client("http://127.0.0.1:1/rest", "x").count("items", {}) is None
+
+
+class Site:
+    """A server of items, options and links in this process.  asked: the paths of all requests; fails: path to the codes
+    that its next requests get."""
+
+    def __init__(self, items, links=None, options=None):
+        import http.server
+        import threading
+        import urllib.parse
+
+        self.items, self.links, self.options, self.asked, self.fails, self.total = items, links or {}, options or {}, [], {}, True
+        site = self
+
+        class Handler(http.server.BaseHTTPRequestHandler):
+            def do_POST(self):
+                self.answer("/rest/oauth/token", {"access_token": "t"})
+
+            def do_GET(self):
+                at = urllib.parse.urlparse(self.path)
+                args = dict(urllib.parse.parse_qsl(at.query))
+                path = at.path.removeprefix("/rest/v1/")
+                start, size = int(args.get("startAt", 0)), int(args.get("maxResults", 20))
+                if path.startswith("picklistoptions/"):
+                    return self.answer(path, {"data": site.options[int(path.split("/")[1])]} if int(path.split("/")[1]) in site.options else None)
+                rows = site.links.get(int(path.split("/")[1])) if path.startswith("items/") else {"abstractitems": site.items, "itemtypes": [], "projects": [], "relationshiptypes": []}.get(path)
+                if rows is not None and "modifiedDate" in args:
+                    rows = [r for r in rows if r["modifiedDate"] >= args["modifiedDate"]]
+                meta = {"pageInfo": {"totalResults": len(rows)}} if site.total and rows is not None else {}
+                self.answer(path, None if rows is None else {"meta": meta, "data": rows[start : start + min(size, 50)]}, size)
+
+            def answer(self, path, body, size=0):
+                codes = site.fails.get(path)
+                code = codes.pop(0) if codes else 404 if body is None else 200
+                site.asked.append((path, size))
+                self.send_response(code)
+                self.end_headers()
+                self.wfile.write(json.dumps(body).encode())
+
+            def log_message(self, *_):
+                pass
+
+        self.server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+        threading.Thread(target=self.server.serve_forever, daemon=True).start()
+        self.base = f"http://127.0.0.1:{self.server.server_port}"
+
+
+def edge(n, a):
+    return {"id": n, "fromItem": a, "toItem": a + 1, "relationshipType": 3}
+
+
+def test_links_of_every_page_and_item(spark, monkeypatch):
+    monkeypatch.setattr(paged, "WAIT", 0.01)
+    site = Site([], {1: [edge(k, 1) for k in range(120)], 3: [edge(200, 3)], 4: [], 5: [edge(300 + k, 5) for k in range(50)]})  # 2 has no such endpoint
+    ids = spark.createDataFrame([(i,) for i in (1, 2, 3, 4, 5)], "id long")
+    client = paged.Client(site.base, "me:secret")
+    assert sorted(json.loads(r.record)["id"] for r in paged.links(ids, client, tasks=1).collect()) == [*range(120), 200, *range(300, 350)]
+    assert sum(p == "/rest/oauth/token" for p, _ in site.asked) == 1  # the driver's token serves the tasks
+    assert paged.links(ids, client, cap=1).count() == 120
+    site.fails["items/3/downstreamrelationships"] = [429, 503, 429]
+    assert paged.links(ids, client, tasks=2).count() == 171
+    site.fails["items/3/downstreamrelationships"] = [500] * 100
+    with pytest.raises(Exception, match="500"):
+        paged.links(ids, client, tasks=2).count()
+
+
+def test_a_token_is_tried_again(monkeypatch):
+    monkeypatch.setattr(paged, "WAIT", 0.01)
+    monkeypatch.setattr(paged, "_tokens", {})
+    site = Site([])
+    site.fails["/rest/oauth/token"] = [503, 429]
+    assert paged.Client(site.base, "you:secret").bearer() == "t" and len(site.asked) == 3
+    site.fails["/rest/oauth/token"] = [401]
+    with pytest.raises(OSError):
+        paged.Client(site.base, "you:wrong").bearer()
+    assert len(site.asked) == 4
+
+
+def test_a_scan_of_unknown_length_fails(spark, tmp_path):
+    site = Site([item(i) for i in range(1, 121)])
+    assert paged.scan(spark, site.base, "items").count() == 120
+    site.total = False
+    with pytest.raises(Exception, match="how many"):
+        paged.scan(spark, site.base, "items").count()
+    e = Engine(spark, str(tmp_path / "root"), site.base)
+    with pytest.raises(Exception, match="how many"):
+        e.build(5)
+    assert e.cache_state(5) == "missing" and e.store._names(e.store._home(5)) == []
+
+
+def test_a_build_sweeps_the_source_once(spark, tmp_path):
+    site = Site([item(i, "2024-01-01T00:00:00.000+0000" if i == 120 else "2023-06-01T00:00:00.000+0000") for i in range(1, 121)], {i: [edge(i, i)] for i in range(1, 121)}, {1: {"id": 1, "name": "Open", "pickList": 9}})
+    e = Engine(spark, str(tmp_path / "root"), site.base)
+    e.build(5, with_links=True)
+    sweeps = [p for p, size in site.asked if p == "abstractitems" and size == 50]
+    assert len(sweeps) == 3  # the three pages of one sweep
+    assert sorted(p for p, _ in site.asked if p.startswith("picklistoptions/")) == ["picklistoptions/1", "picklistoptions/2"]
+    assert sum(p.endswith("downstreamrelationships") for p, _ in site.asked) == 120
+    meta = e.store.meta(5)
+    assert (meta["item_count"], meta["relationship_count"], meta["picklist_count"]) == ("120", "120", "1")
+    assert {r.statusName for r in e.store.read(5, "items").collect()} == {"Open"} and "raw" not in e.store._names(e.store.folder(5))
+    # an update asks for the delta only, and for no option again that is known
+    site.asked.clear()
+    site.items[2] = item(3, "2024-02-01T00:00:00.000+0000", name="Renamed thing")
+    assert e.sync(5, with_vectors=False) == "updated"
+    assert len([p for p, size in site.asked if p == "abstractitems" and size == 50]) == 1 and [p for p, _ in site.asked if p.startswith("pick")] == ["picklistoptions/2"]
+    assert [r.id for r in e.match(5, "renamed").collect()] == [3] and e.store.read(5, "items").count() == 120
+    whole = {tuple(r) for r in e.store.read(5, "postings").select("term", "id", "field", "dl", "n").collect()}
+    from quillstone.operators import fulltext
+
+    again = fulltext.postings(fulltext.index(e.store.read(5, "items")), 16).select("term", "id", "field", "dl", "n")
+    assert whole == {tuple(r) for r in again.collect()}
+    assert e.query(5, "SELECT count(*) AS n FROM fts_match('upload') JOIN items USING (id)", offline=True).first().n == 120
+
+
+def test_a_version_is_always_in_force(spark, tmp_path):
+    from quillstone.sources.store import Store
+
+    store = Store(spark, str(tmp_path))
+    rows = spark.range(3)
+    assert store.version(1) is None and store.projects() == []
+    assert store.write(1, {"items": rows}, {"a": "1"}) == 1
+    one, two = store.stage(1), store.stage(1)
+    one.put("items", spark.range(5))
+    two.put("items", spark.range(9))
+    assert store.read(1, "items").count() == 3
+    assert one.commit({"a": "2"}) == 2 and store.read(1, "items").count() == 5
+    with pytest.raises(RuntimeError, match="someone else"):
+        two.commit({"a": "3"})
+    left = store.stage(1)
+    left.put("items", spark.range(100))  # a writer that never commits
+    assert store.version(1) == 2 and store.read(1, "items").count() == 5 and store.meta(1) == {"a": "2"}
+    assert store.write(1, {}, {"a": "4"}) == 3 and store.read(1, "items").count() == 5
+    assert store._commits(1) == [2, 3]

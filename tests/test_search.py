@@ -61,6 +61,14 @@ def index(spark):
     return fulltext.index(spark.createDataFrame(C1, "id long, name string, description string, stepsText string")).cache()
 
 
+@pytest.fixture(scope="module")
+def stored(spark, index, tmp_path_factory):
+    at = str(tmp_path_factory.mktemp("index"))
+    fulltext.write_postings(index, f"{at}/p", 8)
+    dates = spark.createDataFrame([(i, f"2024-01-0{i}") for i in range(1, 10)], "id long, createdDate string")
+    return fulltext.read_postings(spark, f"{at}/p", 8, dates)
+
+
 @pytest.fixture(scope="module")
 def fts():
     con = sqlite3.connect(":memory:")
@@ -78,27 +86,43 @@ def fts():
         ('"user upload"', '"user upload"', "all"), ("a and not (b and not c)", '("a") NOT (("b") NOT "c")', "all"), ('a and not "$"', '("a") NOT "$"', "all"),
     ],
 )
-def test_equals_fts5(index, fts, expression, match, field):
+def test_equals_fts5(index, stored, fts, expression, match, field):
     want = fts.execute("SELECT rowid, bm25(f) FROM f WHERE f MATCH ? ORDER BY bm25(f), rowid", (match,)).fetchall()
-    got = [tuple(r) for r in fulltext.search(index, B.parse(expression), field).collect()]
-    assert [i for i, _ in got] == [i for i, _ in want]
-    assert [s for _, s in got] == pytest.approx([s for _, s in want], abs=1e-9)
+    for kind in (index, stored):
+        got = [tuple(r) for r in fulltext.search(kind, B.parse(expression), field).collect()]
+        assert [i for i, _ in got] == [i for i, _ in want]
+        assert [s for _, s in got] == pytest.approx([s for _, s in want], abs=1e-9)
 
 
-def test_compat_precedence(index):
-    assert [r.id for r in fulltext.search(index, B.parse("a and not (b and not c)"), compat=True).collect()] == [8]
+def test_compat_precedence(index, stored):
+    for kind in (index, stored):
+        assert [r.id for r in fulltext.search(kind, B.parse("a and not (b and not c)"), compat=True).collect()] == [8]
 
 
-def test_postings_count_like_arrays(spark, index, tmp_path):
-    fulltext.write_postings(index, str(tmp_path / "p"), 8)
-    table = spark.read.parquet(str(tmp_path / "p"))
-    for words in ("upload", "user upload", "b"):
-        hits = {r.id: r.hits for r in fulltext.phrase_hits(table, words, buckets=8).collect()}
+def test_postings_count_like_arrays(index, stored):
+    for words in ("upload", "user upload", "b", "upload upload"):
+        hits = {r.id: r.hits for r in fulltext.phrase_hits(stored.table, words, buckets=8).collect()}
         p = fulltext.stem.analyze_phrase(words)
         want = index.select("id", sum(fulltext.occurrences(F.col(f"t_{c}"), p) for c in fulltext.COLUMNS).alias("h")).where("h > 0")
         assert hits == {r.id: r.h for r in want.collect()}
 
 
+def test_a_stored_index_reads_its_terms_only(stored):
+    rows = stored.rows(["upload", "b"], fulltext.COLUMNS)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    pruned = plan.split("PartitionFilters")[1].split("]")[0]
+    assert "bucket" in pruned and "xxhash64" not in pruned and "PushedFilters: [In(term" in plan.replace("IsNotNull(term), ", "")
+    dated = fulltext.search(stored, B.parse("upload"), where=F.col("createdDate") >= "2024-01-03").collect()
+    assert {r.id for r in dated} == {3, 4}
+
+
+def test_search_in_sql(spark, index, stored):
+    run = lambda q: sql.query(spark, q, {"items": spark.range(10).withColumnRenamed("id", "x")}, lambda e, f: fulltext.search(stored, B.parse(e), f, limit=None))
+    got = run("SELECT id FROM fts_match('upload and not \"it''s\"') JOIN items ON x = id WHERE id <> 1 ORDER BY bm25")
+    assert [r.id for r in got.collect()] == [2, 4, 3]
+    assert run("WITH a AS (SELECT * FROM fts_match('upload', 'name')), b AS (SELECT * FROM fts_match('a')) SELECT count(*) AS n FROM a").first().n == 2
+
+
 def test_no_cartesian_and_pushdown(spark, small):
     from quillstone.plans import catalog
 
@@ -123,11 +147,33 @@ def test_chunks_and_embedding(spark):
     assert sorted((r.chunk_id, len(r.text)) for r in rows) == [("1-0", 1500), ("1-1", 300), ("2-0", 0), ("3-0", 7)]
 
 
-def test_read_only_sql(spark):
-    for bad in ("DROP TABLE x", "WITH q AS (SELECT 1) INSERT INTO items SELECT * FROM q", "INSERT INTO items VALUES (1)"):
-        with pytest.raises(sql.ReadOnly):
-            sql.check(spark, bad)
-    sql.check(spark, " with q as (select 1) select * from q")
+@pytest.mark.parametrize(
+    "bad",
+    [
+        "DROP TABLE x", "WITH q AS (SELECT 1) INSERT INTO items SELECT * FROM q", "INSERT INTO items VALUES (1)", "SELECT TRANSFORM(id) USING 'uname -s' AS (b STRING) FROM items",
+        "SELECT 1 WHERE EXISTS (SELECT TRANSFORM(id) USING 'cat' AS (b STRING) FROM items)", "WITH q AS (SELECT TRANSFORM(id) USING 'cat' AS (b STRING) FROM items) SELECT * FROM q",
+        "SELECT reflect('java.lang.System', 'getProperty', 'x')", "SELECT upper(java_method('a', 'b'))", "SELECT * FROM items ORDER BY try_reflect('a', 'b')", "SELECT system.builtin.reflect('a', 'b')",
+        "SELECT sum(id) OVER (PARTITION BY reflect('a', 'b')) FROM items", "SELECT transform(array(1), x -> java_method('a', x))", "SELECT * FROM items LATERAL VIEW explode(array(reflect('a', 'b'))) t AS z",
+        "SELECT * FROM parquet.`/tmp/x`", "SELECT (SELECT count(*) FROM csv.`/etc/passwd`)", "SELECT * FROM IDENTIFIER('parquet.`/x`')", "SELECT IDENTIFIER('reflect')('a', 'b')", "SELECT * FROM other",
+        "SELECT * FROM spark_catalog.default.items",
+    ],
+)
+def test_read_only_sql(spark, bad):
+    with pytest.raises(sql.ReadOnly):
+        sql.check(spark, bad, {"items"})
+
+
+@pytest.mark.parametrize(
+    "good",
+    [" with q as (select 1) select * from q", "SELECT (id, 1), replace('a', 'b', 'c'), array(1, 2) FROM Items WHERE id IN (SELECT id FROM items)", "SELECT * FROM range(3) AS drop_me", "SELECT transform(array(1), x -> x + 1) AS created"],
+)
+def test_plain_queries_pass(spark, good):
+    sql.check(spark, good, {"items"})
+
+
+def test_dates_in_sql(spark):
+    got = sql.query(spark, "SELECT julianday(t) AS j, datetime(t) AS d FROM x", {"x": spark.createDataFrame([("2024-01-01T12:00:00.000+0000",)], "t string")}).first()
+    assert tuple(got) == (2460311.0, "2024-01-01 12:00:00")
 
 
 def test_gate():
