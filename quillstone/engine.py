@@ -19,6 +19,8 @@ VERSION = "1.0"
 VECTOR_SCHEMA = "2"
 #: Columns of items that a filter of a text search may use.
 KEPT = ("createdDate", "modifiedDate")
+#: Names of the numbers of rows in the metadata, and the tables they count.
+COUNTS = {"item_count": "items", "field_kv_count": "fields_kv", "picklist_count": "picklist", "relationship_count": "relationships"}
 #: Projects that one name may stand for.
 MOST_PROJECTS = 5
 
@@ -56,7 +58,7 @@ class Engine:
     def projects(self, pattern: str | None = None) -> DataFrame:
         """id, projectKey and name, by name; the pattern is a regular expression in any case."""
         found = self._dim("projects", "projectKey", "fields.name")
-        return (found.where(F.col("name").rlike(f"(?i){pattern}")) if pattern else found).orderBy("name", "id")
+        return filters.named(found, pattern)
 
     def resolve(self, given: str | int) -> list[int]:
         """Numbers stand for themselves, other words for at most five projects by name."""
@@ -98,13 +100,18 @@ class Engine:
 
     def _finish(self, project: int, stage: Stage, mark: str, linked: bool, vmeta: dict[str, str] | None) -> None:
         """What follows from the written tables: counts, by reading them, and the metadata; then the version is in force."""
-        names = {"item_count": "items", "field_kv_count": "fields_kv", "picklist_count": "picklist", "relationship_count": "relationships"}
+        names = COUNTS
         now, old = repr(time.time()), self.store.meta(project) or {}
-        meta = {k: str(stage.read(t).count()) if t in stage.done else old.get(k, "0") for k, t in names.items()}
+        meta = self._counted(stage, {k: t for k, t in names.items() if t in stage.done}, old)
         meta |= {"project_id": str(project), "watermark": mark, "with_links": str(int(linked)), "fetched_at": now, "last_sync_at": now, "base_url": self.base, "engine_version": VERSION, "schema_version": ingest.SCHEMA_VERSION}
         meta |= self._indexed(stage) if "fts" in stage.done else {"fts_buckets": old.get("fts_buckets", "16")}
         stage.commit(meta, vmeta)
 
+    def _counted(self, stage: Stage, names: dict[str, str], old: dict[str, str]) -> dict[str, str]:
+        """The numbers of rows under their names in the metadata, of tables as they were written."""
+        found = {r.t: str(r.n) for r in ingest.counts({k: stage.read(t) for k, t in names.items()}).collect()} if names else {}
+        return {k: old.get(k, "0") for k in COUNTS} | found
+
     def _indexed(self, stage: Stage) -> dict[str, str]:
         """Postings and counts of the stage's token arrays."""
         fts = stage.read("fts")
@@ -145,11 +152,11 @@ class Engine:
         mark, stage = meta["watermark"], self.store.stage(project)
         try:
             raw = self._scan("items", project=project)
-            raw = stage.put("raw", raw.where(F.col("modifiedDate") >= mark) if mark else raw)
+            raw = stage.put("raw", ingest.since(raw, mark))
             flat, kv = self._flat(project, raw, stage)
             flat = stage.put("delta", flat)
             base = self.store.read(project, "items")
-            new = flat.exceptAll(base.select(*flat.columns).join(flat.select("id"), "id", "left_semi").select(*flat.columns))
+            new = flat.exceptAll(ingest.within(base, flat, "id").select(*flat.columns))
             did = "updated" if new.limit(1).count() else "unchanged"
             if did == "updated":
                 ids = flat.select("id")
@@ -173,8 +180,7 @@ class Engine:
             raise
         if did == "updated":
             now = {"watermark": ingest.watermark(stage.read("items"), F.lit(mark)).first()[0], "last_sync_at": repr(time.time()), "fts_buckets": str(buckets)}
-            counts = {k: str(stage.read(t).count()) for k, t in (("item_count", "items"), ("field_kv_count", "fields_kv"), ("picklist_count", "picklist"))}
-            stage.commit(meta | counts | now)
+            stage.commit(meta | self._counted(stage, {k: t for k, t in COUNTS.items() if t in stage.done}, meta) | now)
         else:
             stage.abandon()
         if with_vectors:
@@ -204,9 +210,8 @@ class Engine:
             seen = self.store.meta(project, "vmeta")["vec_watermark"]
             if seen == meta["watermark"]:
                 return
-            changed = flat.where(F.col("modifiedDate") >= seen)
-            old = self.store.read(project, "chunks")
-            old = old.join(flat.select(F.col("id").alias("item_id")), "item_id", "left_semi").join(changed.select(F.col("id").alias("item_id")), "item_id", "left_anti")
+            changed = ingest.since(flat, seen)
+            old = ingest.without(ingest.within(self.store.read(project, "chunks"), flat, "item_id"), changed, "item_id")
             new = old.select("chunk_id", "item_id", "chunk_no", "text", "embedding").unionByName(vectors.embed(vectors.chunk_rows(changed), self.embedder))
         self.store.write(project, {"chunks": new}, meta, self._vmeta(meta["watermark"]))
 
@@ -218,9 +223,11 @@ class Engine:
         local, server = flat.count(), self.client.count("items", {"project": str(project)})
         if server is None or local <= server and not full:
             return {"method": "count", "deleted": 0}
-        there = ingest.records(self._scan("items", project=project)).select(ingest.scalar(F.col("r"), "id", "long").alias("id")).where("id IS NOT NULL").distinct()
-        gone = flat.select("id").join(there, "id", "left_anti")
-        n = gone.count()
+        # the sweep's answer is written first, so it is asked for once
+        stage = self.store.stage(project)
+        there = stage.put("raw", ingest.ids(self._scan("items", project=project)))
+        gone = ingest.without(flat.select("id"), there, "id")
+        n = ingest.reconciliation(flat, there).first()["deleted"]
         if n:
             read = lambda t: self.store.read(project, t)
             tables = {"items": ingest.without(flat, gone, "id"), "fields_kv": ingest.without(read("fields_kv"), gone, "itemId"), "relationships": ingest.without(read("relationships"), gone, "fromItem", "toItem")}
@@ -228,8 +235,11 @@ class Engine:
             tables["fts_stats"] = fulltext.stats_of(tables["fts"])
             if "chunks" in self.store.tables(project):
                 tables["chunks"] = ingest.without(read("chunks"), gone, "item_id")
-            counts = {k: str(tables[t].count()) for k, t in (("item_count", "items"), ("field_kv_count", "fields_kv"), ("relationship_count", "relationships"))}
-            self.store.write(project, tables, meta | counts)
+            for t, df in tables.items():
+                stage.put(t, df)
+            stage.commit(meta | self._counted(stage, {k: t for k, t in COUNTS.items() if t in tables}, meta))
+        else:
+            stage.abandon()
         return {"method": "sweep", "deleted": n}
 
     # commands

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import ascii_lower, contains
@@ -73,3 +73,8 @@ def searched_text(field: str = "all") -> Column:
 def substring(tree: boolexpr.Node, field: str = "all", escape: bool = False) -> Column:
     text = searched_text(field)
     return boolexpr.condition(tree, lambda term: contains(text, term, escape))
+
+
+def named(rows: DataFrame, pattern: str | None, name: str = "name", then: str = "id") -> DataFrame:
+    """rows whose name fits a regular expression in any case (all without one), by name."""
+    return (rows.where(F.col(name).rlike(f"(?i){pattern}")) if pattern else rows).orderBy(name, then)

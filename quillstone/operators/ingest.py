@@ -5,6 +5,8 @@ A record is one JSON text; its dynamic part is read as a variant, so no schema i
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +19,9 @@ ITEMS = {
     "parentItem": "long", "parentProject": "long", "createdDate": "string", "modifiedDate": "string", "lastActivityDate": "string", "createdBy": "long", "modifiedBy": "long",
     "stepsText": "string",
 }
-SCHEMA_VERSION = "5"
+SCHEMA_VERSION = "6"
+#: Arrays within an array whose elements are still joined as text.
+NESTED = 6
 
 
 def scalar(record: Column, path: str, kind: str) -> Column:
@@ -25,8 +29,11 @@ def scalar(record: Column, path: str, kind: str) -> Column:
     return F.coalesce(F.try_variant_get(record, f"$.{path}[0]", kind), F.try_variant_get(record, f"$.{path}", kind))
 
 
-def field_text(value: Column, depth: int = 3) -> Column:
-    """A variant as text: strings as they are, True/False, numbers, arrays joined by ';' without nulls, objects as JSON."""
+def field_text(value: Column, depth: int = NESTED) -> Column:
+    """A variant as text: strings as they are, True/False, numbers, arrays joined by ';' without nulls, objects as JSON.
+
+    Arrays in arrays are joined alike, up to ``depth`` of them within another; what is nested deeper is JSON.
+    """
     kind = F.schema_of_variant(value)
     plain = F.try_variant_get(value, "$", "string")
     out = (
@@ -45,11 +52,22 @@ def records(raw: DataFrame, column: str = "record") -> DataFrame:
     return raw.withColumn("r", F.try_parse_json(F.col(column))).where("r IS NOT NULL")
 
 
-def latest(raw: DataFrame, arrival: str | None = None) -> DataFrame:
-    """One record an identifier: the last seen, by the arrival column if there is one, else by modification date."""
+def ids(raw: DataFrame) -> DataFrame:
+    """The different identifiers of raw records."""
+    return records(raw).select(scalar(F.col("r"), "id", "long").alias("id")).where("id IS NOT NULL").distinct()
+
+
+def since(rows: DataFrame, mark: str | Column, column: str = "modifiedDate") -> DataFrame:
+    """The rows at or after a mark: the delta is inclusive.  An empty mark keeps all."""
+    return rows if isinstance(mark, str) and not mark else rows.where(F.col(column) >= mark)
+
+
+def latest(raw: DataFrame, arrival: str | None = None, tie: str = "record") -> DataFrame:
+    """One record an identifier: the last seen, by the arrival column if there is one, else by modification date; of equal
+    ones that with the largest ``tie``."""
     rows = records(raw).withColumn("id", scalar(F.col("r"), "id", "long")).where("id IS NOT NULL")
     newest = F.desc(arrival) if arrival else F.desc_nulls_last(F.try_variant_get(F.col("r"), "$.modifiedDate", "string"))
-    by = Window.partitionBy("id").orderBy(newest, F.desc("record"))
+    by = Window.partitionBy("id").orderBy(newest, F.desc(tie))
     return rows.withColumn("n", F.row_number().over(by)).where("n = 1").drop("n")
 
 
@@ -118,10 +136,28 @@ def relationships(raw: DataFrame, types: DataFrame | None = None) -> DataFrame:
     return rows.select("id", "fromItem", "toItem", "relationshipType", "relTypeName", "suspect")
 
 
+def newest(rows: DataFrame, column: str, empty: object, name: str, old: Column | None = None, where: Column | None = None) -> DataFrame:
+    """One row: the largest value of a column (among the rows where a condition holds), ``empty`` without any, and at
+    least ``old``."""
+    most = F.coalesce(F.max(F.col(column) if where is None else F.when(where, F.col(column))), F.lit(empty))
+    return rows.agg((F.greatest(most, old) if old is not None else most).alias(name))
+
+
 def watermark(flat: DataFrame, old: Column | None = None) -> DataFrame:
     """One row: the largest modification date, '' without any."""
-    newest = F.coalesce(F.max(F.when(F.col("modifiedDate") != "", F.col("modifiedDate"))), F.lit(""))
-    return flat.agg((F.greatest(newest, old) if old is not None else newest).alias("watermark"))
+    return newest(flat, "modifiedDate", "", "watermark", old, F.col("modifiedDate") != "")
+
+
+def counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """t and n: the number of rows of each table."""
+    parts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("t"), "n") for name, df in tables.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def reconciliation(local: DataFrame, server: DataFrame) -> DataFrame:
+    """One row of local and server (how many identifiers either has) and deleted (those that only local has)."""
+    both = local.select("id").distinct().withColumn("l", F.lit(1)).join(server.select("id").distinct().withColumn("s", F.lit(1)), "id", "full")
+    return both.agg(F.count("l").alias("local"), F.count("s").alias("server"), F.count_if(F.col("l").isNotNull() & F.col("s").isNull()).alias("deleted"))
 
 
 def upsert(base: DataFrame, delta: DataFrame, key: str | list[str] = "id") -> DataFrame:
@@ -134,3 +170,8 @@ def without(rows: DataFrame, gone: DataFrame, *keys: str) -> DataFrame:
     for key in keys:
         rows = rows.join(gone.select(F.col("id").alias(key)), key, "left_anti")
     return rows
+
+
+def within(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """rows whose key stands in wanted.id."""
+    return rows.join(wanted.select(F.col("id").alias(key)), key, "left_semi")

@@ -40,6 +40,11 @@ def fold(hits: DataFrame) -> DataFrame:
     return hits.groupBy("item_id").agg(F.min("distance").alias("distance"))
 
 
+def coverage(chunks: DataFrame) -> DataFrame:
+    """One row: how many items have chunks, and how many chunks there are."""
+    return chunks.agg(F.countDistinct("item_id").alias("items"), F.count("*").alias("chunks"))
+
+
 class Embedder(Protocol):
     """Vectors of texts.  ``name`` and ``dim`` stand in the index's metadata; another model makes it stale."""
 

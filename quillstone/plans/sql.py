@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _READS = re.compile(r"\s*(?:SELECT|WITH)\b", re.I)
 #: Logical nodes that change something, run a command or start a program.
-_WRITES = re.compile(r"Insert|Command|Create|Drop|Delete|Update|Merge|Replace|Alter|Truncate|Write|Append|Overwrite|Script|Execute|Call|SetVariable|Cache", re.I)
+_WRITES = re.compile(r"Insert|Command|Create|Drop|Delete|Update|Merge|Replace|Alter|Truncate|Write|Append|Overwrite|Script|Execute|Call|SetVariable|Cache")
 #: Functions that call into the Java virtual machine.
 CALLS = frozenset({"reflect", "java_method", "try_reflect"})
 VIEWS = ("items", "fields_kv", "picklist", "relationships", "meta", "fts", "chunks")
