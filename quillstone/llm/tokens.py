@@ -48,26 +48,26 @@ class Encoder:
     """Whole texts to ids by a ``tokenizers`` file.
 
     Texts are cut only where the byte-level pre-tokenizer cuts anyway (before a space that stands before a
-    non-space), so a piece has the ids that it has inside its text.  The ids of short pieces are remembered in two
-    generations of at most ``memo`` pieces each, so that frequent ones stay.  New pieces are encoded many at a time as
-    one text: each begins with a token that begins with the space, which shows where its ids start.
+    non-space), so a piece has the ids that it has inside its text.  The ids of short pieces are remembered, of at most
+    ``memo`` pieces (those used last stay), in flat arrays: a few dozen bytes a piece.  New pieces are encoded many at a
+    time as one text: each begins with a token that begins with the space, which shows where its ids start.
     """
 
-    def __init__(self, path: str, memo: int = 250_000, longest: int = 40):
+    def __init__(self, path: str, memo: int = 400_000, longest: int = 40):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.memo, self.longest = Tokenizer.from_file(path), memo, longest
         size = self.tokenizer.get_vocab_size()
         self.width = 2 if size <= 1 << 16 else 4
         self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.pieces = pa.array([], pa.string())
+        self.flat, self.ends, self.used, self.now = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers.
 
-        Arrow cuts the texts and numbers their different pieces; only a piece that is new is handled by itself, and the
-        ids of all pieces are then gathered at once.
+        Arrow cuts the texts, numbers their different pieces and finds those that are known; only new ones are encoded,
+        and the ids of all pieces are then gathered at once.
         """
         plain = [i for i, t in enumerate(texts) if not _ODD.search(t)]
         out: list[bytes] = [b""] * len(texts)
@@ -80,47 +80,62 @@ class Encoder:
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         """Texts in which every space stands before a non-space."""
-        if len(self.young) > self.memo:
-            self.young, self.old = {}, self.young
         cut = pc.split_pattern(pa.array(texts, pa.string()), " ")
         coded = cut.flatten().dictionary_encode()
-        firsts = cut.offsets.to_numpy()
-        at = coded.indices.to_numpy().copy()
-        pieces = coded.dictionary.to_pylist()
-        young, old, new, once = self.young, self.old, [], {}
-        for piece in pieces:
-            if piece not in young:
-                if (ids := old.get(piece)) is not None:
-                    young[piece] = ids
-                else:
-                    new.append(piece)
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            for piece, ids in zip(part, self._many(part), strict=True):
-                (young if len(piece) <= self.longest else once)[piece] = ids
-        find = young.__getitem__ if not once else {**young, **once}.__getitem__
+        places = pc.index_in(coded.dictionary, value_set=self.pieces)
+        fresh = coded.dictionary.filter(pc.is_null(places))
+        found = pc.fill_null(places, -1).to_numpy(zero_copy_only=False).copy()
+        new_flat, new_sizes = self._many(fresh.to_pylist()) if len(fresh) else (np.zeros(0, "<u4"), np.zeros(0, np.int64))
         # the first piece of a text has no space before it
-        known = [*map(find, pieces), *self._ids([t.partition(" ")[0] for t in texts])]
-        at[firsts[:-1]] = len(pieces) + np.arange(len(texts))
+        firsts = self._ids([t.partition(" ")[0] for t in texts])
+        flat = np.concatenate([self.flat, new_flat, np.frombuffer(b"".join(firsts), "<u4")])
+        ends = np.cumsum(np.concatenate([np.diff(self.ends, prepend=0), new_sizes, np.fromiter(map(len, firsts), np.int64, len(firsts)) // 4]))
+        old, n = len(self.ends), len(fresh)
+        found[found < 0] = old + np.arange(n)
+        at = found[coded.indices.to_numpy()]
+        begin = cut.offsets.to_numpy()
+        at[begin[:-1]] = old + n + np.arange(len(texts))
         # numbers of 32 bits do: a slice of texts has far fewer ids
-        sizes = np.fromiter(map(len, known), np.int32, len(known)) // 4
-        begins = np.cumsum(sizes, dtype=np.int32) - sizes
-        flat, counts = np.frombuffer(b"".join(known), "<u4"), sizes[at]
-        ends = np.cumsum(counts, dtype=np.int32)
-        places = np.repeat(begins[at] - (ends - counts), counts)
-        places += np.arange(ends[-1], dtype=np.int32)
-        data = flat[places].tobytes()
-        bounds = (np.concatenate([[0], ends])[firsts].astype(np.int64) * 4).tolist()
+        starts, counts = np.concatenate([[0], ends[:-1]]).astype(np.int32)[at], np.diff(ends, prepend=0).astype(np.int32)[at]
+        upto = np.cumsum(counts, dtype=np.int32)
+        take = np.repeat(starts - (upto - counts), counts)
+        take += np.arange(upto[-1], dtype=np.int32)
+        data = flat[take].tobytes()
+        self._remember(found, fresh, new_flat, new_sizes)
+        bounds = (np.concatenate([[0], upto])[begin].astype(np.int64) * 4).tolist()
         return [data[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
 
-    def _many(self, pieces: list[str]) -> list[bytes]:
-        """The ids of pieces without a space in them, each as after a space."""
-        ids = np.asarray(self.tokenizer.encode_batch_fast([" " + " ".join(pieces)], add_special_tokens=False)[0].ids, "<u4")
-        starts = np.flatnonzero(self.opens[ids])
-        if len(starts) != len(pieces) or starts[0] != 0:
-            return self._ids([f" {x}" for x in pieces])
-        data, ends = ids.tobytes(), [*(starts[1:] * 4).tolist(), 4 * len(ids)]
-        return [data[a:b] for a, b in zip((starts * 4).tolist(), ends, strict=True)]
+    def _remember(self, found: np.ndarray, fresh: pa.Array, flat: np.ndarray, sizes: np.ndarray) -> None:
+        """Keeps the new pieces, and if that makes too many only the half that was used last."""
+        self.now += 1
+        self.used[found[found < len(self.ends)]] = self.now
+        short = pc.utf8_length(fresh).to_numpy(zero_copy_only=False) <= self.longest
+        if short.any():
+            keep = np.repeat(short, sizes)
+            self.pieces = pa.concat_arrays([self.pieces, fresh.filter(pa.array(short))])
+            self.ends = np.concatenate([self.ends, (self.ends[-1] if len(self.ends) else 0) + np.cumsum(sizes[short])])
+            self.flat, self.used = np.concatenate([self.flat, flat[keep]]), np.concatenate([self.used, np.full(int(short.sum()), self.now)])
+        if len(self.ends) > self.memo:
+            stay = np.sort(np.argsort(self.used, kind="stable")[-(self.memo // 2) :])
+            sizes = np.diff(self.ends, prepend=0)
+            mask = np.zeros(len(sizes), bool)
+            mask[stay] = True
+            self.flat, self.ends, self.used = self.flat[np.repeat(mask, sizes)], np.cumsum(sizes[stay]), self.used[stay]
+            self.pieces = self.pieces.take(pa.array(stay))
+
+    def _many(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces without a space in them, each as after a space, one after the other, and how many each has."""
+        flat, sizes = [], []
+        for i in range(0, len(pieces), 10_000):
+            part = pieces[i : i + 10_000]
+            ids = np.asarray(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            starts = np.flatnonzero(self.opens[ids])
+            if len(starts) != len(part) or starts[0] != 0:
+                each = self._ids([f" {x}" for x in part])
+                ids, starts = np.frombuffer(b"".join(each), "<u4"), np.cumsum([0, *(len(x) // 4 for x in each)])[:-1]
+            flat.append(ids)
+            sizes.append(np.diff(starts, append=len(ids)))
+        return np.concatenate(flat), np.concatenate(sizes)
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         out = []
