@@ -14,7 +14,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     Gives (node, component) for every node of an edge: component is the smallest node that can be reached.  Each round
     is a grouped minimum and a join with one row a node on one side (which Spark splits when a node has very many
     edges), then written to the shared folder, so the plan stays short and no edges ever reach the driver.  Nodes
-    without edges have no row.
+    without edges have no row; an edge with a null end is none; an empty list gives no rows.
     """
     now = through_disk(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"

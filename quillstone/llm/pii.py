@@ -6,16 +6,20 @@ anchor a local parser expands to both sides as far as the kind's characters go a
 parsers are deterministic and look at each stretch of text once for each kind.
 
 Kinds: email, ip, card and phone (the base kinds, defined as leftmost non-overlapping matches of the patterns below,
-failing matches dropped without a retry), and two more: url (a scheme, then anything but white space, quotes and
-brackets, without closing punctuation) and account (an announcing word, then an IBAN with right check digits, or 8 to
-17 digits, or a social security number of 3-2-4 digits).
-
-Cases: a null or empty text has no spans; offsets count code points, the end is exclusive; repeated rows are answered
-row by row; an empty table gives no rows; columns other than doc_id and text are ignored.
+failing matches dropped without a retry), and more: url (a scheme, then anything but white space, quotes and brackets,
+without closing punctuation), account (an announcing word, then an IBAN with right check digits, or 8 to 17 digits, or a
+social security number of 3-2-4 digits), ipv6 (a valid address of at least two groups), mac (six pairs of hexadecimal
+digits with one separator) and secret (the value that an announcing word and : or = give, of at least 8 characters with
+a digit among them; keys that tell themselves by how they begin; the first line of a private key).
+
+Cases: a null or empty text has no spans; very long texts are walked over once, as a whole; offsets count code points, the
+end is exclusive; repeated rows are answered row by row; an empty table gives no rows; columns other than doc_id and text
+are ignored.
 """
 
 from __future__ import annotations
 
+import ipaddress
 import re
 
 import pyarrow as pa
@@ -23,12 +27,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import by_rows, sha256, table
 
-KINDS = ("email", "ip", "card", "phone", "url", "account")
+KINDS = ("email", "ip", "card", "phone", "url", "account", "ipv6", "mac", "secret")
 BASE = KINDS[:4]
 
 # The words that announce an account, and the schemes.
 CUES = ("account", "account number", "acct", "iban", "ssn", "social security number", "konto", "kontonummer", "compte", "cuenta")
 SCHEMES = ("http://", "https://", "ftp://", "mailto:")
+SECRETS = ("token", "secret", "password", "passwd", "passphrase", "api key", "api_key", "api-key", "apikey", "access key", "access_key", "credential")
+KEYS = ("AKIA", "ASIA", "ghp_", "gho_", "ghs_", "github_pat_", "xoxb-", "xoxp-", "sk-", "sk_live_", "-----BEGIN ")
 
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -40,6 +46,11 @@ _AFTER_CUE = re.compile(r"[ \t]*(?:number|no\.?|nr\.?)?[ \t]*[:#=]?[ \t]*(?=[A-Z
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _SSN = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _NUMBER = re.compile(r"[0-9](?:[ -]?[0-9]){7,16}(?![0-9])")
+_VALUE = re.compile(r"""[\w-]{0,20}["']?[ \t]*(?::=|=>|[:=])[ \t]*["']?([^\s"'`,;<>]{8,})""")
+_KEY = re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|gh[ops]_[A-Za-z0-9]{30,}|github_pat_\w{22,}|xox[bp]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9_-]{20,}|sk_live_\w{16,}|-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----")
+_MAC = re.compile(r"[0-9A-Fa-f]{2}([:-])[0-9A-Fa-f]{2}(?:\1[0-9A-Fa-f]{2}){4}(?![0-9A-Za-z:-])")
+_GROUPS = re.compile(r"[0-9A-Fa-f:]{3,39}(?![0-9A-Za-z:])")
+_HEX = "0123456789abcdefABCDEF"
 _DIGITS = "0123456789"
 
 
@@ -53,7 +64,13 @@ def automaton():
             found.setdefault(f"{d}.{e}", set()).add("ip")
             for gap in ("", " ", "-"):
                 found.setdefault(f"{d}{gap}{e}", set()).add("card")
-    for words, kind in ((SCHEMES, "url"), (CUES, "account")):
+    for h in _HEX:
+        found.setdefault(f"{h}:", set()).update(("ipv6", "mac"))
+        found.setdefault(f"{h}-", set()).add("mac")
+    found.setdefault("::", set()).add("ipv6")
+    for w in KEYS:
+        found.setdefault(w, set()).add("secret")
+    for words, kind in ((SCHEMES, "url"), (CUES, "account"), (SECRETS, "secret")):
         for w in words:
             for form in (w, w.upper(), w.capitalize()):
                 found.setdefault(form, set()).add(kind)
@@ -127,7 +144,35 @@ def iban(text: str) -> bool:
     return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
-_PARSERS = {"email": _email, "ip": _ip, "card": _card, "phone": _phone, "url": _url, "account": _account}
+def _ipv6(text: str, at: int, after: int):
+    while at > after and text[at - 1] in _HEX + ":":
+        at -= 1
+    m = _GROUPS.match(text, at)
+    if not m or at and text[at - 1].isalnum():
+        return None
+    try:
+        ipaddress.IPv6Address(m[0])
+    except ValueError:
+        return None
+    return at, m.end(), sum(map(bool, m[0].split(":"))) > 1
+
+
+def _mac(text: str, at: int, after: int):
+    start = at - 1
+    m = _MAC.match(text, start) if start >= after else None
+    return m and (start, m.end(), start == 0 or not (text[start - 1].isalnum() or text[start - 1] in ":-"))
+
+
+def _secret(text: str, at: int, after: int):
+    if m := _KEY.match(text, at):
+        return at, m.end(), not at or not text[at - 1].isalnum()
+    for word in SECRETS:
+        if text[at : at + len(word)].lower() == word and (m := _VALUE.match(text, at + len(word))):
+            return m.start(1), m.end(1), any(c in _DIGITS for c in m[1])
+    return None
+
+
+_PARSERS = {"email": _email, "ip": _ip, "card": _card, "phone": _phone, "url": _url, "account": _account, "ipv6": _ipv6, "mac": _mac, "secret": _secret}
 
 
 def spans(text: str, anchors) -> dict[str, list[tuple[int, int]]]:
