@@ -4,7 +4,8 @@ The index is a compressed FM-index per shard over words.  A window of 13 words g
 (the five-word piece with the smallest hash in it, very common ones last), so equal windows always meet in one shard and the shards' total
 size follows the input, whatever their number.  Consecutive windows with one anchor travel as one segment.
 
-Texts that a smaller document has word for word are settled by their hashes.  For the others, in two steps:
+Equal texts are a class, of which the document with the smallest identifier passes the index for all; the others have
+every window of it.  For the classes, in two steps:
 
 1. Anchors that occur in one text only can be in no repeated window.  Tasks exchange anchors (a hash, a row's hash and a
    position); anchors that several rows of a batch share are settled before the exchange, and one of them stands for
@@ -14,7 +15,9 @@ Texts that a smaller document has word for word are settled by their hashes.  Fo
    suffixes, keeps the Burrows-Wheeler transform in a wavelet matrix of packed bits with rank counts, and streams every
    segment through it by backward search.  After 13 words the interval gives the smallest document that has the
    window; dropping the last word leads to the interval of the first twelve, from which one more step gives the next
-   window: matching statistics cut at the threshold.  Windows with a smaller document are reported as intervals.
+   window: matching statistics cut at the threshold.  Windows with a smaller document are reported as intervals.  Where
+   one anchor's segments alone pass a shard's size, of equal ones only the smallest document's stays while they come, so
+   a task holds an anchor's different segments at most.
 
 Cases: a null or wordless text has no windows and nothing removed; texts of fewer than 13 words stay whole; repeated rows
 with one identifier remove nothing from each other; rows without an identifier neither lose words nor take any from
@@ -356,31 +359,53 @@ def repeated_windows(rows: DataFrame, known: DataFrame) -> DataFrame:
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        size = 0
+        size, most = 0, SHARD_WORDS * 7
         for batch in batches:
             told = batch.filter(batch.column(5).is_null())
             if told.num_rows:
-                each = np.arange(told.num_rows)
-                yield from places(told, each, np.zeros(len(each), np.int32), told.column(4).to_numpy() - 1)
+                yield from all_of(told)
             rest = batch.filter(batch.column(5).is_valid())
             if not rest.num_rows:
                 continue
             # a part may end only where the anchor changes
-            if size > SHARD_WORDS * 7:
+            if size > most:
                 new = np.flatnonzero(np.diff(rest.column(0).to_numpy())) + 1
                 stays = rest.column(0)[0].as_py() == held[-1].column(0)[-1].as_py()
                 end = 0 if not stays else int(new[0]) if len(new) else rest.num_rows
                 held.append(rest.slice(0, end))
                 if end < rest.num_rows:
                     yield from shard(held)
-                    held, size, rest = [], 0, rest.slice(end)
+                    held, size, most, rest = [], 0, SHARD_WORDS * 7, rest.slice(end)
                 else:
+                    # one anchor goes on: what stands before it is searched, and of its equal segments one stays
+                    every = pa.Table.from_batches(held).combine_chunks()
+                    others = np.flatnonzero(every.column(0).to_numpy() != held[-1].column(0)[-1].as_py())
+                    if begin := int(others[-1]) + 1 if len(others) else 0:
+                        yield from shard(every.slice(0, begin).to_batches())
+                    told, kept = settled(every.slice(begin))
+                    yield from all_of(told)
+                    held = kept.to_batches()
+                    size = sum(x.column(5).nbytes for x in held)
+                    most = max(most, 2 * size)
                     continue
             held.append(rest)
             size += rest.column(5).nbytes
         if held:
             yield from shard(held)
 
+    def all_of(told) -> Iterator[pa.RecordBatch]:
+        """Every window of the segments, at all their places."""
+        if told.num_rows:
+            yield from places(told, np.arange(told.num_rows), np.zeros(told.num_rows, np.int32), told.column(4).to_numpy() - 1)
+
+    def settled(rows: pa.Table) -> tuple[pa.Table, pa.Table]:
+        """The segments that a smaller document has as a whole, and the others: of equal ones those of one document."""
+        coded, ids = rows.column(5).combine_chunks().dictionary_encode(), rows.column(1).to_numpy()
+        owner = np.full(len(coded.dictionary), _NONE)
+        np.minimum.at(owner, coded.indices.to_numpy(), ids)
+        more = ids > owner[coded.indices.to_numpy()]
+        return rows.filter(pa.array(more)), rows.filter(pa.array(~more)).combine_chunks()
+
     def places(rows, r: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Runs of windows at every place of the segments r: from start to end, counted from the segment's first."""
         lists = rows.column(3)

@@ -229,6 +229,20 @@ def test_substrings_dense(spark):
     assert removed(spark.createDataFrame(rows, "doc_id long, text string")) == brute_removed(rows)
 
 
+def test_substrings_of_a_hot_passage(spark, monkeypatch):
+    """One passage in most documents, shards of a few words: an anchor's equal segments are settled while they come."""
+    monkeypatch.setattr(substrings, "SHARD_WORDS", 8)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        passage = " ".join(f"p{i}" for i in range(40))
+        rows = [(i % 150, f"{passage} tail{i % 9}" if i % 3 else f"head{i} {passage}") for i in range(200)]
+        rows += [(500 + i, f"only this document {i} has these words and a few more of its own {i} here") for i in range(20)]
+        frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(13)
+        assert removed(frame) == brute_removed(rows)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_fm_index_ranks():
     rng = np.random.default_rng(1)
     s = rng.integers(0, 37, 1000)

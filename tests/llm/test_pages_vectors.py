@@ -434,3 +434,28 @@ def test_pipeline_equals_brute_force(spark, small):
         want.append((r[0], start, len(ids) // 4, zlib.crc32(ids)))
         start += len(ids) // 4
     assert sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in corpus_pipeline.run(spark, small).collect()) == want
+
+
+def test_pipeline_of_odd_and_empty_tables(spark, odd_docs, no_docs, tmp_path):
+    import corpus_pipeline
+
+    rows = [(i, q, 0) for i, q in ((1, 1), (2, 1), (3, 0), (3, 1), (5, 0), (None, 1), (7, None), (99, 1))]
+    labels = spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(20, 31))), (None, None), (2, ""), (3, "never")], "item_id long, text string")
+    for name, docs, own_labels, own_bench in (("odd", odd_docs, labels, bench), ("none", no_docs, labels.limit(0), bench.limit(0))):
+        at = str(tmp_path / name)
+        for table, df in (("documents", docs), ("labels", own_labels), ("benchmark", own_bench)):
+            df.write.parquet(f"{at}/{table}.parquet")
+        kept = spark.read.parquet(f"{at}/documents.parquet")
+        for stage, run in corpus_pipeline.STAGES[:-1]:
+            before, kept = kept, spark.createDataFrame((out := run(spark, kept, at)).collect(), docs.schema)
+            assert out.columns == docs.columns and not {tuple(r) for r in kept.collect()} - {tuple(r) for r in before.collect()}, stage
+        got = corpus_pipeline.run(spark, at).collect()
+        assert sorted((r.doc_id is None, r.doc_id or 0) for r in got) == sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect())
+        assert sum(r.n_tokens for r in got) == max((r.start + r.n_tokens for r in got), default=0)
+        ids = [r.doc_id for r in got]
+        if docs is no_docs:
+            assert not got
+        else:
+            assert 2 not in ids and 9 not in ids  # copies
+            assert not {1, 3} & set(ids)  # they hold a benchmark's words
