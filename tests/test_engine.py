@@ -240,3 +240,55 @@ def test_a_version_is_always_in_force(spark, tmp_path):
     assert store.version(1) == 2 and store.read(1, "items").count() == 5 and store.meta(1) == {"a": "2"}
     assert store.write(1, {}, {"a": "4"}) == 3 and store.read(1, "items").count() == 5
     assert store._commits(1) == [2, 3]
+
+
+def tiny_model(path, words, dim):
+    """A sentence model as an ONNX file: looks up a row of numbers for each token.  The format's fields are written out by
+    their numbers, as there is no library here that makes such files."""
+    import numpy as np
+
+    def number(n):
+        out = bytearray()
+        while n > 127:
+            out.append(n & 127 | 128)
+            n >>= 7
+        return bytes([*out, n])
+
+    def field(k, value):
+        return number(k << 3) + number(value) if isinstance(value, int) else number(k << 3 | 2) + number(len(value)) + value
+
+    def put(name, kind, *dims):
+        shape = b"".join(field(1, field(1, d) if isinstance(d, int) else field(2, d)) for d in dims)
+        return field(1, name) + field(2, field(1, field(1, kind) + field(2, shape)))
+
+    rows = np.random.default_rng(2).standard_normal((words, dim)).astype("<f4")
+    tensor = field(1, words) + field(1, dim) + field(2, 1) + field(8, b"rows") + field(9, rows.tobytes())
+    node = field(1, b"rows") + field(1, b"input_ids") + field(2, b"out") + field(4, b"Gather")
+    graph = field(1, node) + field(2, b"g") + field(5, tensor) + field(11, put(b"input_ids", 7, b"n", b"t")) + field(12, put(b"out", 1, b"n", b"t", dim))
+    path.write_bytes(field(1, 8) + field(7, graph) + field(8, field(1, b"") + field(2, 13)))
+    return rows
+
+
+def test_a_model_by_path(spark, source, tmp_path):
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from quillstone.operators import vectors
+
+    tokenizer = str(public_tokenizers.path("word_bpe_49k.json"))
+    encoder = Tokenizer.from_file(tokenizer)
+    rows = tiny_model(tmp_path / "tiny.onnx", encoder.get_vocab_size(), 8)
+    model = vectors.OnnxEmbedder(str(tmp_path / "tiny.onnx"), tokenizer, 8)
+    texts = ["renamed", "upload file", "a much longer text with many words"]
+    want = np.array([rows[encoder.encode(t).ids[0]] for t in texts])
+    want /= np.linalg.norm(want, axis=1, keepdims=True)
+    assert np.allclose(model.passages(texts), want, atol=1e-6) and np.allclose(model.query(texts[1]), want[1], atol=1e-6)
+    path, put = source
+    put("items", [item(1, name="Renamed by one"), item(2, name="Upload things"), item(3, name="renamed again")])
+    e = Engine(spark, str(tmp_path / "root"), str(path), embedder=model)
+    assert e.init(5) == {5: "built"} and e.vector_state(5) == "ready" and e.store.meta(5, "vmeta")["dim"] == "8"
+    found = e.semantic(5, "Upload nothing", max_distance=0.001, offline=True).collect()
+    assert [(r.id, r.score) for r in found] == [(2, 1.0)]
+    other = Engine(spark, str(tmp_path / "root"), str(path))
+    assert other.vector_state(5) == "stale"
