@@ -6,6 +6,7 @@ characters, globalSortOrder = n_chars, parentItem = the source's number, dates =
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import filters, fulltext, ingest, search, vectors
+from ..sources import paged
 from ..sources.store import Store, scratch
 from ..streaming import gate, upsert
 from . import boolexpr, sql
@@ -290,6 +292,61 @@ def fts_stemmed(spark, d):
     return fulltext.search(stored(spark, d, True), boolexpr.parse("thing or things")).select("id", F.round("bm25", 6).alias("bm25"))
 
 
+# Snapshots, the engine over one, and the source
+
+
+@functools.cache
+def _snapshot(app: str, spark, d) -> str:
+    """The root of a store with the documents' items as project 1, written as a build writes them."""
+    from ..engine import KEPT, VERSION
+
+    store = Store(spark, scratch(spark, "snapshot"))
+    stage = store.stage(1)
+    own = items(spark, d)
+    missing = {k: F.lit(None).cast(t) for k, t in ingest.ITEMS.items() if k not in own.columns}
+    flat = stage.put("items", own.withColumns(missing).select(*(F.col(k).cast(t).alias(k) for k, t in ingest.ITEMS.items())))
+    edges = table(spark, d, "labels").select(F.col("doc_id").alias("itemId"), F.lit("quality").alias("key"), F.col("quality").cast("string").alias("value"))
+    stage.put("fields_kv", edges)
+    fts = stage.put("fts", fulltext.index(flat, keep=KEPT))
+    buckets = fulltext.buckets_for(fts.count())
+    stage.put("postings", fulltext.postings(fts, buckets))
+    stage.put("fts_stats", fulltext.stats_of(fts))
+    stage.commit({"project_id": "1", "watermark": ingest.watermark(flat).first()[0], "schema_version": ingest.SCHEMA_VERSION, "engine_version": VERSION, "fts_buckets": str(buckets)})
+    return store.root
+
+
+def _engine(spark, d):
+    from ..engine import Engine
+
+    return Engine(spark, _snapshot(spark.sparkContext.applicationId, spark, d), "")
+
+
+@query(ORACLES["fts_stemmed"])
+def engine_match(spark, d):
+    """The stemmed search over a stored project."""
+    return _engine(spark, d).match(1, "thing or things").select("id", F.round("bm25", 6).alias("bm25"))
+
+
+@query(
+    f"WITH {ITEMS}, m AS (SELECT id FROM items WHERE len(list_filter(regexp_extract_all(lower(name || ' ' || description), '[\\p{{L}}\\p{{N}}\\p{{Co}}]+'), lambda w: regexp_full_match(w, 'thing(e|ed|ing)?s?'))) > 0) "
+    "SELECT typeKey, quality::VARCHAR AS quality, count(*) AS n FROM m JOIN items USING (id) LEFT JOIN labels ON doc_id = id GROUP BY typeKey, quality"
+)
+def engine_sql(spark, d):
+    """SQL over a project's tables, with a full-text search in it."""
+    statement = "SELECT typeKey, value AS quality, count(*) AS n FROM fts_match('things') JOIN items USING (id) LEFT JOIN fields_kv ON itemId = id AND key = 'quality' GROUP BY typeKey, value"
+    return _engine(spark, d).query(1, statement, offline=True)
+
+
+@query("SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.000+0000') AS modifiedDate FROM orders WHERE o_orderdate >= TIMESTAMP '1996-07-01'")
+def paged_delta(spark, d):
+    """Orders through the paged source, 20,000 a page, the date filter pushed to where the pages are made."""
+    at = scratch(spark, "paged")
+    date = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss.SSS'+0000'")
+    table(spark, d, "orders").select(F.to_json(F.struct(F.col("o_orderkey").alias("id"), date.alias("modifiedDate"))).alias("value")).write.text(f"{at}/orders.jsonl")
+    delta = ingest.since(paged.scan(spark, at.removeprefix("file:"), "orders", page=20_000), "1996-07-01")
+    return ingest.records(delta).select(ingest.scalar(F.col("r"), "id", "long").alias("id"), "modifiedDate")
+
+
 # Vectors.  Chunks are the embeddings; item = vec_id % (a fifth of them), so that items have several chunks.
 
 _FOLD = 100

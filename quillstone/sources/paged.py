@@ -1,7 +1,8 @@
 """A data source over paged JSON endpoints: one partition a page, a date filter pushed to the server, retries in the reader.
 
 Pages have the form {"meta": {"pageInfo": {"totalResults": n}}, "data": [record, ...]}.  Where the base is a folder, the
-pages of an endpoint are made from its file <endpoint>.jsonl, which stands in for a server in tests and offline.
+pages of an endpoint are made from its file <endpoint>.jsonl (or a folder of parts), which stands in for a server in tests
+and offline.
 
 A scan whose total the server doesn't tell fails rather than give a part of the records.  The driver asks for the token
 and hands it to the tasks, which ask anew only if it is refused.
@@ -127,11 +128,12 @@ class Client:
             return None
 
     def _rows(self, endpoint: str) -> list[dict]:
-        at = os.path.join(self.base, f"{endpoint}.jsonl")
-        if not os.path.exists(at):
-            return []
-        with open(at, encoding="utf-8") as f:
-            return [json.loads(x) for x in f if x.strip()]
+        at, out = os.path.join(self.base, f"{endpoint}.jsonl"), []
+        files = sorted(os.path.join(at, n) for n in os.listdir(at) if n.startswith("part-")) if os.path.isdir(at) else [at]
+        for name in files if os.path.exists(at) else ():
+            with open(name, encoding="utf-8") as f:
+                out += [json.loads(x) for x in f if x.strip()]
+        return out
 
     def _from_folder(self, endpoint: str, start: int, size: int, query: dict[str, str]) -> dict:
         if m := re.fullmatch(r"items/(\d+)/downstreamrelationships", endpoint):

@@ -292,3 +292,36 @@ def test_a_model_by_path(spark, source, tmp_path):
     assert [(r.id, r.score) for r in found] == [(2, 1.0)]
     other = Engine(spark, str(tmp_path / "root"), str(path))
     assert other.vector_state(5) == "stale"
+
+
+def test_what_a_search_looks_for(monkeypatch):
+    from types import SimpleNamespace
+
+    from quillstone import engine
+    from quillstone.plans import boolexpr as B
+
+    class Bare(Engine):
+        def __post_init__(self):
+            self.store = SimpleNamespace(read=lambda project, table: table)
+            self.embedder = SimpleNamespace(query=lambda words: words)
+
+        def single(self, given):
+            return given
+
+        def _ready(self, *_):
+            pass
+
+        def postings(self, project):
+            return "postings"
+
+    monkeypatch.setattr(engine.search, "hybrid", lambda items, index, tree, chunks, vector, *_, **__: (tree, vector))
+    find = Bare(None, "", "").search
+    T = B.Term
+    assert find(5, query="can't upload a file") == (T("can't upload a file"), "can't upload a file")
+    assert find(5, query="a b, c") == (B.Or((T("a b"), T("c"))), "a b, c")
+    assert find(5, keywords=["x,y", "z"], match="all") == (B.And((T("x"), T("y"), T("z"))), "x y z")
+    assert find(5, query="q", keywords=["x"]) == (T("x"), "q")
+    assert find(5, keywords=["ignored"], expr="a and not b or c") == (B.Or((B.And((T("a"), B.Not(T("b")))), T("c"))), "a c")
+    assert find(5, expr="not x") == (B.Not(T("x")), None)
+    with pytest.raises(ValueError):
+        find(5)
