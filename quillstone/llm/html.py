@@ -19,8 +19,7 @@ An article that repeats as a whole stays whole.
 The tree can't know what it sees on few pages, nor a reader's comment by its entropy.  Therefore
 elements that are menus, headers, footers, sidebars, forms, scripts or hidden by their tag, role or attribute go on every
 host; reader comments go by their class or id; and a block whose class or id names nothing but such a thing (``NAMES`` and
-``THINGS``) goes where the tree has no judgement (nodes on fewer than ``LEAST_PAGES`` pages) or is in doubt (importance
-below ``SURE``).  If a page has article elements (outside of what goes) their text is the page's, else that of its main
+``THINGS``) goes, too, unless the tree finds the host's heaviest text in it.  If a page has article elements (outside of what goes) their text is the page's, else that of its main
 elements, else that of the whole page.
 
 The text is cut into blocks at block elements; white space in a block (line breaks, too) becomes one space; blocks are
@@ -45,12 +44,14 @@ from xxhash import xxh3_64_digest, xxh3_64_intdigest
 
 from .common import by_rows, table, through_disk
 
-#: Pages that a node must stand on to be judged, the importance below which it goes, and that from which the tree is sure.
-LEAST_PAGES, LOW, SURE = 5, 0.2, 0.5
+#: Pages that a node must stand on to be judged, the importance below which it goes, and the presentation importance from
+#: which its parts are judged by what they say alone.
+LEAST_PAGES, LOW, HIGH = 5, 0.2, 0.5
 #: Judged nodes (some 50 bytes each) that are sent to all tasks at most, and tasks that a host's pages are dealt over beyond.
 BROADCAST_NODES, SALTS = 100_000, 64
-#: What the tree says of a node: it repeats; it is of low importance; it looks different from page to page; it is important.
-REPEATS, UNIMPORTANT, VARIES, IMPORTANT = 1, 2, 4, 8
+#: What the tree says of a node: it repeats; it is of low importance; it looks different from page to page; it holds the
+#: host's heaviest text, though its name says otherwise.
+REPEATS, UNIMPORTANT, VARIES, HEAVIEST = 1, 2, 4, 8
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -244,7 +245,7 @@ def _goes(node: Node, inside: bool, flags: dict[int, int]) -> bool:
     said = flags.get(node.at, 0)
     if said & (REPEATS if inside else UNIMPORTANT) and node.tag in BLOCK and node.tag not in (PARTS if inside else TRUNK):
         return True
-    return not said & IMPORTANT and _named(node, inside)
+    return not said & HEAVIEST and _named(node, inside)
 
 
 def main_text(root: Node, flags: dict[int, int] | None = None) -> str:
@@ -255,7 +256,7 @@ def main_text(root: Node, flags: dict[int, int] | None = None) -> str:
         todo = [(root, False)]
         while todo:
             node, within = todo.pop()
-            if node.tag == "article" and not _marked(node, False) and (known.get(node.at, 0) & IMPORTANT or not _named(node, False)):
+            if node.tag == "article" and not _marked(node, False) and (known.get(node.at, 0) & HEAVIEST or not _named(node, False)):
                 articles.append(node)
                 continue
             if node is not root and _goes(node, False, known):
@@ -309,7 +310,7 @@ def host_of(url) -> F.Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def site_trees(pages: DataFrame, least: int = LEAST_PAGES, low: float = LOW, sure: float = SURE) -> DataFrame:
+def site_trees(pages: DataFrame, least: int = LEAST_PAGES, low: float = LOW, high: float = HIGH) -> DataFrame:
     """host, node, content, presentation, importance and flags of the nodes that stand on at least ``least`` pages.
 
     First grouped by (host, node, kind, what, page) for copies of a page, then without the page, where counts are summed
@@ -359,7 +360,7 @@ def site_trees(pages: DataFrame, least: int = LEAST_PAGES, low: float = LOW, sur
     out = judged.join(heaviest, "host").withColumn("importance", F.col("content") * F.greatest("presentation", weight))
     flags = (
         F.when(F.col("content") < low, REPEATS).otherwise(0) + F.when(F.col("importance") < low, UNIMPORTANT).otherwise(0)
-        + F.when(F.col("presentation") >= sure, VARIES).otherwise(0) + F.when((F.col("importance") >= sure) & F.col("named"), IMPORTANT).otherwise(0)
+        + F.when(F.col("presentation") >= high, VARIES).otherwise(0) + F.when((F.col("heaviest") > 0) & (F.col("mass") >= F.col("heaviest")) & F.col("named"), HEAVIEST).otherwise(0)
     )
     return out.select("host", "node", "content", "presentation", "importance", flags.cast("int").alias("flags"))
 
