@@ -22,7 +22,7 @@ import urllib.error
 import urllib.parse
 import urllib.request
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, Filter, GreaterThanOrEqual, InputPartition
@@ -45,6 +45,7 @@ class Client:
     base: str
     token: str = ""
     shared: tuple[str, float] | None = None
+    wait: float = field(default_factory=lambda: WAIT)
 
     @property
     def root(self) -> str:
@@ -54,7 +55,7 @@ class Client:
         """This client with a token that tasks can use without asking for one themselves."""
         if "://" in self.base and ":" in self.token:
             self.bearer()
-            return Client(self.base, self.token, _tokens[(self.base, self.token)])
+            return replace(self, shared=_tokens[(self.base, self.token)])
         return self
 
     def bearer(self, fresh: bool = False) -> str:
@@ -83,7 +84,7 @@ class Client:
             except (urllib.error.URLError, TimeoutError, ConnectionError):
                 if n == TRIES:
                     raise
-            time.sleep(min(30, WAIT * 2**n))
+            time.sleep(min(30, self.wait * 2**n))
         raise TimeoutError(self.base)
 
     def get(self, path: str, query: dict[str, str | int]) -> dict:
