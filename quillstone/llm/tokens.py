@@ -39,6 +39,8 @@ FOOTER = struct.Struct("<QQQQQQQ8s")
 SHARD_BYTES = 128 << 20
 MANIFEST = pa.schema([("shard", pa.int32()), ("part", pa.int32()), ("path", pa.string()), ("first_id", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
 BLOCK_BYTES = 64 << 10
+#: New pieces that are encoded as one text; in longer texts the tokenizer takes more time for each.
+TOGETHER = 500
 #: A space before a character that is white space by no definition: the byte-level pre-tokenizer always cuts before it.
 _CUT = re.compile(r" (?=\S)")
 _ODD = re.compile(r" (?!\S)")
@@ -85,7 +87,7 @@ class Encoder:
         places = pc.index_in(coded.dictionary, value_set=self.pieces)
         fresh = coded.dictionary.filter(pc.is_null(places))
         found = pc.fill_null(places, -1).to_numpy(zero_copy_only=False).copy()
-        new_flat, new_sizes = self._many(fresh.to_pylist()) if len(fresh) else (np.zeros(0, "<u4"), np.zeros(0, np.int64))
+        new_flat, new_sizes = self._many(fresh) if len(fresh) else (np.zeros(0, "<u4"), np.zeros(0, np.int64))
         # the first piece of a text has no space before it
         firsts = self._ids([t.partition(" ")[0] for t in texts])
         flat = np.concatenate([self.flat, new_flat, np.frombuffer(b"".join(firsts), "<u4")])
@@ -123,15 +125,16 @@ class Encoder:
             self.flat, self.ends, self.used = self.flat[np.repeat(mask, sizes)], np.cumsum(sizes[stay]), self.used[stay]
             self.pieces = self.pieces.take(pa.array(stay))
 
-    def _many(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _many(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of pieces without a space in them, each as after a space, one after the other, and how many each has."""
         flat, sizes = [], []
-        for i in range(0, len(pieces), 10_000):
-            part = pieces[i : i + 10_000]
-            ids = np.asarray(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+        bounds = [*range(0, len(pieces), TOGETHER), len(pieces)]
+        texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pieces), " ").to_pylist()
+        for a, b, text in zip(bounds, bounds[1:], texts, strict=False):
+            ids = np.asarray(self.tokenizer.encode_batch_fast([f" {text}"], add_special_tokens=False)[0].ids, "<u4")
             starts = np.flatnonzero(self.opens[ids])
-            if len(starts) != len(part) or starts[0] != 0:
-                each = self._ids([f" {x}" for x in part])
+            if len(starts) != b - a or starts[0] != 0:
+                each = self._ids([f" {x}" for x in pieces.slice(a, b - a).to_pylist()])
                 ids, starts = np.frombuffer(b"".join(each), "<u4"), np.cumsum([0, *(len(x) // 4 for x in each)])[:-1]
             flat.append(ids)
             sizes.append(np.diff(starts, append=len(ids)))
