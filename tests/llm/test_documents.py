@@ -1,7 +1,9 @@
 """Operators on documents against brute force, and their defined cases."""
 
+import contextlib
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -72,6 +74,34 @@ def test_more_kinds(text, kind, want):
     assert [text[a:b] for a, b in pii.spans(text, ANCHORS)[kind]] == want
 
 
+def other_spans(t):
+    """ipv6 and mac the plain way: over all maximal runs, and at every place."""
+    import ipaddress
+
+    six = []
+    for m in re.finditer(r"[0-9A-Fa-f:]+", t):
+        with contextlib.suppress(ValueError):
+            ok = not t[: m.start()][-1:].isalnum() and not re.match("[0-9A-Za-z]", t[m.end() :]) and ipaddress.IPv6Address(m[0])
+            six += [m.span()] if ok and len([g for g in m[0].split(":") if g]) > 1 else []
+    mac = re.finditer(r"(?<![^\W_])(?<![:-])[0-9A-Fa-f]{2}([:-])[0-9A-Fa-f]{2}(?:\1[0-9A-Fa-f]{2}){4}(?![0-9A-Za-z:-])", t)
+    return {"ipv6": six, "mac": [m.span() for m in mac]}
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.one_of(st.text(alphabet="01af:g -", max_size=40), st.lists(st.sampled_from(["00:1a:2B:3c:4d:5e", "2001:db8::1", "::", "1:2:3:4:5:6:7:8", ":", " ", "-", "x", "é", "ff"]), max_size=8).map("".join)))
+def test_addresses_equal_the_plain_way(t):
+    got = pii.spans(t, ANCHORS)
+    assert {k: got[k] for k in ("ipv6", "mac")} == other_spans(t)
+
+
+@pytest.mark.parametrize("piece", ["a:", "00:", "::", "00:1f:", "aa-", "1.", "1 ", "+1", "a@", "@", "account ", "account \t", "token ", "password=", "http://", "0", " ", "gh", "sk-", "mailto:"])
+def test_a_megabyte_of_anything_takes_seconds(piece):
+    for text in (piece * ((1 << 20) // len(piece)), piece + " " * (1 << 20), "account" + piece * ((1 << 20) // len(piece))):
+        began = time.process_time()
+        pii.spans(text, ANCHORS)
+        assert time.process_time() - began < 4  # a second or two; squares would take hours
+
+
 # 2: mixing
 
 
