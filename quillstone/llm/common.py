@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes that separate words where a word is any run of non-white-space; bytes.split() uses the same six.
@@ -82,6 +82,29 @@ def few(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
 
 
+def numbered(rows: DataFrame, group: str, *order: str) -> DataFrame:
+    """rows with pos (their number in their group from 0, by ``order``, nulls first) and members (how many the group has).
+
+    No group is ever in one task: all rows are ranged by group and order (equal ones by where they stand), each task numbers
+    its range, and what stands before a task's part of a group is added from one row a task and group.  The rows are
+    written before they are ranged, so what they are made from is read once.  Columns at, copy, part and names that begin
+    with known_ are the function's own.
+    """
+    keys = [group, *order, "copy"]
+    rows = through_disk(rows.withColumn("copy", F.monotonically_increasing_id()), "unnumbered")
+    sorted_rows = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    rows = through_disk(sorted_rows.withColumn("at", F.monotonically_increasing_id()).drop("copy"), "numbered")
+    rows = rows.withColumn("part", F.shiftright("at", 33))
+    parts = rows.groupBy(F.col(group).alias("known_group"), F.col("part").alias("known_part")).agg(F.min("at").alias("known_first"), F.count("*").alias("n"))
+    every = Window.partitionBy("known_group")
+    earlier = every.orderBy("known_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumns({"known_before": F.coalesce(F.sum("n").over(earlier), F.lit(0)), "members": F.sum("n").over(every)}).drop("n")
+    parts = few(through_disk(parts, "parts"))
+    out = rows.join(parts, (F.col("part") == F.col("known_part")) & F.col(group).eqNullSafe(F.col("known_group")))
+    out = out.withColumn("pos", F.col("at") - F.col("known_first") + F.col("known_before"))
+    return out.drop("at", "part", "known_group", "known_part", "known_first", "known_before")
+
+
 def hot_keys(rows: DataFrame, block: int) -> DataFrame | None:
     """key and blocks of the keys with more than ``block`` rows; None if there are none."""
     counts = rows.groupBy("key").agg(F.count("*").alias("members")).where(F.col("members") > block)
