@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .operators import filters, fulltext, ingest, search, vectors
 from .plans import boolexpr, sql
 from .sources import paged
-from .sources.store import Stage, Store, fresh_dimension
+from .sources.store import KEYS, Stage, Store, fresh_dimension
 from .streaming import gate
 
 VERSION = "1.0"
@@ -79,46 +79,38 @@ class Engine:
 
     # building and keeping current
 
-    def _options(self, project: int, flat: DataFrame, stage: Stage) -> DataFrame:
+    def _options(self, flat: DataFrame, stage: Stage, whole: bool) -> DataFrame:
         """The picklist options that items name: those the store has, and the others looked up one by one, each once."""
         wanted, old = ingest.option_ids(flat), None
-        if stage.base is not None and "picklist" in self.store.tables(project):
-            old = self.store.read(project, "picklist")
+        if not whole and "picklist" in stage.tables:
+            old = stage.read("picklist")
             wanted = wanted.join(old, "id", "left_anti")
         r = F.col("r")
         found = ingest.records(paged.looked_up(wanted, self.client, paged.option)).select(
             ingest.scalar(r, "id", "long").alias("id"), F.try_variant_get(r, "$.name", "string").alias("name"), F.try_variant_get(r, "$.pickList", "long").alias("pickList")
         )
         found = found.where("id IS NOT NULL").dropDuplicates(["id"])
-        return stage.put("picklist", found if old is None else old.select(*found.columns).unionByName(found))
-
-    def _flat(self, project: int, raw: DataFrame, stage: Stage) -> tuple[DataFrame, DataFrame]:
+        if old is None:
+            return stage.put("picklist", found)
+        new = stage.temp("options", found)
+        if new.isEmpty():
+            return old
+        stage.add("picklist", new)
+        return stage.read("picklist")
+
+    def _flat(self, project: int, raw: DataFrame, stage: Stage, whole: bool = True) -> tuple[DataFrame, DataFrame]:
         """items and fields_kv of raw records; the picklist options go to the stage."""
         rows = ingest.latest(raw, "page")
-        picks = self._options(project, ingest.items(rows), stage)
+        picks = self._options(ingest.items(rows), stage, whole)
         return ingest.items(rows, self._dim("itemtypes", "typeKey", "display"), picks), ingest.key_values(rows)
 
-    def _finish(self, project: int, stage: Stage, mark: str, linked: bool, vmeta: dict[str, str] | None) -> None:
-        """What follows from the written tables: counts, by reading them, and the metadata; then the version is in force."""
-        names = COUNTS
-        now, old = repr(time.time()), self.store.meta(project) or {}
-        meta = self._counted(stage, {k: t for k, t in names.items() if t in stage.done}, old)
-        meta |= {"project_id": str(project), "watermark": mark, "with_links": str(int(linked)), "fetched_at": now, "last_sync_at": now, "base_url": self.base, "engine_version": VERSION, "schema_version": ingest.SCHEMA_VERSION}
-        meta |= self._indexed(stage) if "fts" in stage.done else {"fts_buckets": old.get("fts_buckets", "16")}
-        stage.commit(meta, vmeta)
-
-    def _counted(self, stage: Stage, names: dict[str, str], old: dict[str, str]) -> dict[str, str]:
-        """The numbers of rows under their names in the metadata, of tables as they were written."""
-        found = {r.t: str(r.n) for r in ingest.counts({k: stage.read(t) for k, t in names.items()}).collect()} if names else {}
-        return {k: old.get(k, "0") for k in COUNTS} | found
-
     def _indexed(self, stage: Stage) -> dict[str, str]:
-        """Postings and counts of the stage's token arrays."""
+        """Postings of the stage's token arrays, and what weights need of all items."""
         fts = stage.read("fts")
-        buckets = fulltext.buckets_for(fts.count())
+        size = fulltext.size_of(fts)
+        buckets = fulltext.buckets_for(size["fts_rows"])
         stage.put("postings", fulltext.postings(fts, buckets))
-        stage.put("fts_stats", fulltext.stats_of(fts))
-        return {"fts_buckets": str(buckets)}
+        return {k: str(v) for k, v in size.items()} | {"fts_buckets": str(buckets)}
 
     def _vmeta(self, mark: str) -> dict[str, str]:
         return {"embed_model": self.embedder.name, "dim": str(self.embedder.dim), "vec_schema": VECTOR_SCHEMA, "vec_watermark": mark, "built_at": repr(time.time())}
@@ -127,60 +119,64 @@ class Engine:
         """One sweep of the source, written as it came; everything else is made from that, table by table."""
         stage, vmeta = self.store.stage(project), None
         try:
-            raw = stage.put("raw", self._scan("items", project=project))
+            raw = stage.temp("raw", self._scan("items", project=project))
             flat, kv = self._flat(project, raw, stage)
             flat, _ = stage.put("items", flat), stage.put("fields_kv", kv)
             mark = ingest.watermark(flat).first()[0]
             edges = paged.links(flat.select("id"), self.client, link_cap) if with_links else self.spark.createDataFrame([], "record string")
             stage.put("relationships", ingest.relationships(edges, self._dim("relationshiptypes", "name") if with_links else None))
             stage.put("fts", fulltext.index(flat, keep=KEPT))
+            index = self._indexed(stage)
             if with_vectors:
                 stage.put("chunks", vectors.embed(vectors.chunk_rows(flat), self.embedder))
                 vmeta = self._vmeta(mark)
+            now = repr(time.time())
+            meta = {"project_id": str(project), "watermark": mark, "with_links": str(int(with_links)), "fetched_at": now, "last_sync_at": now, "base_url": self.base, "engine_version": VERSION, "schema_version": ingest.SCHEMA_VERSION}
+            found = {r.t: str(r.n) for r in ingest.counts({k: stage.read(t) for k, t in COUNTS.items() if t in stage.done}).collect()}
         except BaseException:
             stage.abandon()
             raise
-        self._finish(project, stage, mark, with_links, vmeta)
+        stage.commit(meta | index | {k: "0" for k in COUNTS} | found, vmeta)
 
     def sync(self, project: int, with_vectors: bool = True, force: bool = False, with_links: bool = False, link_cap: int = 0, prune_deleted: bool = False) -> str:
         """'built', 'updated' or 'unchanged'.  The delta is inclusive; if it only repeats what is stored, nothing is written.
-        Only the delta is analyzed; of the other items the stored terms and postings are taken over."""
+
+        Only what has changed is analyzed and written: its rows in each table, and its keys, which retire the rows that
+        stood there.  Tables that it doesn't touch (links, vectors) are named by the new version as they are.
+        """
         meta = self.store.meta(project)
         if force or self.cache_state(project) != "ready":
             self.build(project, with_links, link_cap, with_vectors)
             return "built"
-        mark, stage = meta["watermark"], self.store.stage(project)
+        mark, stage, did = meta["watermark"], self.store.stage(project), "unchanged"
         try:
-            raw = self._scan("items", project=project)
-            raw = stage.put("raw", ingest.since(raw, mark))
-            flat, kv = self._flat(project, raw, stage)
-            flat = stage.put("delta", flat)
-            base = self.store.read(project, "items")
-            new = flat.exceptAll(ingest.within(base, flat, "id").select(*flat.columns))
-            did = "updated" if new.limit(1).count() else "unchanged"
-            if did == "updated":
-                ids = flat.select("id")
-                old = self.store.read(project, "fields_kv")
-                stage.put("items", ingest.upsert(base, flat))
-                stage.put("fields_kv", ingest.without(old, ids, "itemId").select(*kv.columns).unionByName(kv))
-                terms = self.store.read(project, "fts")
-                delta = stage.put("fts_delta", fulltext.index(flat, keep=KEPT))
-                stage.put("fts", ingest.upsert(terms, delta))
-                buckets = int(meta.get("fts_buckets", 0))
-                if buckets != fulltext.buckets_for(stage.read("fts").count()) or "postings" not in self.store.tables(project):
-                    buckets = int(self._indexed(stage)["fts_buckets"])
+            raw = stage.temp("raw", ingest.since(self._scan("items", project=project), mark))
+            flat, kv = self._flat(project, raw, stage, whole=False)
+            flat = stage.temp("delta", flat)
+            before = ingest.among(self.store.read(project, "items"), flat, "id").select(*flat.columns)
+            new = stage.temp("changed", flat.exceptAll(before))
+            if not new.isEmpty():
+                did, ids = "updated", new.select("id")
+                lost, fresh = self._without(project, stage, ids, "items", "fields_kv", "fts"), {}
+                stage.add("items", new)
+                fresh["fields_kv"] = stage.add("fields_kv", ingest.within(kv, ids, "itemId"))
+                fresh["fts"] = stage.add("fts", fulltext.index(new, keep=KEPT))
+                size = self._sized(meta, lost, fulltext.size_of(fresh["fts"]))
+                if meta.get("fts_buckets") != str(fulltext.buckets_for(int(size["fts_rows"]))) or "postings" not in stage.tables:
+                    size |= self._indexed(stage)
                 else:
-                    kept = ingest.without(self.store.read(project, "postings"), ids, "id")
-                    stage.put("postings", kept.unionByName(fulltext.postings(delta, buckets)))
-                    stage.put("fts_stats", fulltext.stats_of(stage.read("fts")))
-                for t in ("delta", "fts_delta"):
-                    stage.drop(t)
+                    stage.retire(ids, "postings")
+                    stage.add("postings", fulltext.postings(fresh["fts"], int(meta["fts_buckets"])))
+                gained = ingest.counts({"item_count": new, "field_kv_count": fresh["fields_kv"]}).collect()
+                counts = {r.t: str(int(meta[r.t]) - lost[r.t] + r.n) for r in gained}
+                if "picklist" in stage.done:
+                    counts["picklist_count"] = str(stage.read("picklist").count())
+                counts |= size | {"watermark": ingest.watermark(new, F.lit(mark)).first()[0], "last_sync_at": repr(time.time())}
         except BaseException:
             stage.abandon()
             raise
         if did == "updated":
-            now = {"watermark": ingest.watermark(stage.read("items"), F.lit(mark)).first()[0], "last_sync_at": repr(time.time()), "fts_buckets": str(buckets)}
-            stage.commit(meta | self._counted(stage, {k: t for k, t in COUNTS.items() if t in stage.done}, meta) | now)
+            stage.commit(meta | counts)
         else:
             stage.abandon()
         if with_vectors:
@@ -189,6 +185,29 @@ class Engine:
             self.reconcile(project)
         return did
 
+    def _without(self, project: int, stage: Stage, ids: DataFrame, *tables: str) -> dict[str, int]:
+        """Retires items from tables; gives how many rows each loses, and how many terms the index does."""
+        lost = {"fts_rows": 0, "fts_length": 0} | dict.fromkeys(COUNTS, 0)
+        counted = {k: t for k, t in COUNTS.items() if t in tables and t in stage.tables}
+        if counted:
+            read = {k: self._of(self.store.read(project, t), t, ids) for k, t in counted.items()}
+            lost |= {r.t: r.n for r in ingest.counts(read).collect()}
+        if "fts" in tables:
+            lost |= fulltext.size_of(self._of(self.store.read(project, "fts"), "fts", ids))
+        stage.retire(ids, *tables)
+        return lost
+
+    def _of(self, rows: DataFrame, table: str, ids: DataFrame) -> DataFrame:
+        """The rows of a table that retiring the ids takes."""
+        first, *more = KEYS.get(table, ("id",))
+        found = ingest.among(rows, ids, first)
+        for key in more:
+            found = found.unionByName(ingest.without(ingest.among(rows, ids, key), ids, first))
+        return found
+
+    def _sized(self, meta: dict[str, str], lost: dict[str, int], gained: dict[str, int]) -> dict[str, str]:
+        return {k: str(int(meta[k]) - lost[k] + gained[k]) for k in ("fts_rows", "fts_length")}
+
     def vector_state(self, project: int) -> str:
         """absent, stale (another model, dimension or layout) or ready."""
         v = self.store.meta(project, "vmeta")
@@ -211,8 +230,15 @@ class Engine:
             if seen == meta["watermark"]:
                 return
             changed = ingest.since(flat, seen)
-            old = ingest.without(ingest.within(self.store.read(project, "chunks"), flat, "item_id"), changed, "item_id")
-            new = old.select("chunk_id", "item_id", "chunk_no", "text", "embedding").unionByName(vectors.embed(vectors.chunk_rows(changed), self.embedder))
+            stage = self.store.stage(project)
+            try:
+                stage.retire(changed.select("id"), "chunks")
+                stage.add("chunks", vectors.embed(vectors.chunk_rows(changed), self.embedder))
+            except BaseException:
+                stage.abandon()
+                raise
+            stage.commit(meta, self._vmeta(meta["watermark"]))
+            return
         self.store.write(project, {"chunks": new}, meta, self._vmeta(meta["watermark"]))
 
     def reconcile(self, project: int, full: bool = False) -> dict[str, object]:
@@ -225,19 +251,18 @@ class Engine:
             return {"method": "count", "deleted": 0}
         # the sweep's answer is written first, so it is asked for once
         stage = self.store.stage(project)
-        there = stage.put("raw", ingest.ids(self._scan("items", project=project)))
-        gone = ingest.without(flat.select("id"), there, "id")
-        n = ingest.reconciliation(flat, there).first()["deleted"]
+        try:
+            there = stage.temp("there", ingest.ids(self._scan("items", project=project)))
+            gone = stage.temp("gone", ingest.without(flat.select("id"), there, "id"))
+            n = ingest.reconciliation(flat, there).first()["deleted"]
+            if n:
+                lost = self._without(project, stage, gone, "items", "fields_kv", "relationships", "fts", "postings", "chunks")
+                counts = {k: str(int(meta[k]) - lost[k]) for k in COUNTS} | self._sized(meta, lost, {"fts_rows": 0, "fts_length": 0})
+        except BaseException:
+            stage.abandon()
+            raise
         if n:
-            read = lambda t: self.store.read(project, t)
-            tables = {"items": ingest.without(flat, gone, "id"), "fields_kv": ingest.without(read("fields_kv"), gone, "itemId"), "relationships": ingest.without(read("relationships"), gone, "fromItem", "toItem")}
-            tables |= {"fts": ingest.without(read("fts"), gone, "id"), "postings": ingest.without(read("postings"), gone, "id")}
-            tables["fts_stats"] = fulltext.stats_of(tables["fts"])
-            if "chunks" in self.store.tables(project):
-                tables["chunks"] = ingest.without(read("chunks"), gone, "item_id")
-            for t, df in tables.items():
-                stage.put(t, df)
-            stage.commit(meta | self._counted(stage, {k: t for k, t in COUNTS.items() if t in tables}, meta))
+            stage.commit(meta | counts)
         else:
             stage.abandon()
         return {"method": "sweep", "deleted": n}
@@ -324,7 +349,8 @@ class Engine:
         read = lambda t: self.store.read(project, t)
         if "postings" not in self.store.tables(project):
             return read("fts")
-        return fulltext.Postings(read("postings"), read("fts_stats"), int(self.store.meta(project)["fts_buckets"]), read("items").select("id", *KEPT))
+        meta = self.store.meta(project)
+        return fulltext.Postings(read("postings"), fulltext.stats_row(self.spark, int(meta["fts_rows"]), int(meta["fts_length"])), int(meta["fts_buckets"]), read("items").select("id", *KEPT))
 
     def purge(self, given: str | int | None = None, everything: bool = False) -> list[int]:
         if given is None and not everything:

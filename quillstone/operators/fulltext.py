@@ -174,6 +174,17 @@ def stats_of(idx: DataFrame) -> DataFrame:
     return idx.agg(F.count("*").alias("rows_in_index"), (F.sum("dl") / F.count("*")).alias("mean_length"))
 
 
+def size_of(idx: DataFrame) -> dict[str, int]:
+    """The number of rows and of terms, which add up and can be taken off again when rows come and go."""
+    n, length = idx.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
+    return {"fts_rows": int(n), "fts_length": int(length)}
+
+
+def stats_row(spark: SparkSession, rows: int, length: int) -> DataFrame:
+    """As ``stats_of``, from the two sums."""
+    return spark.createDataFrame([(rows, length / rows if rows else None)], "rows_in_index long, mean_length double")
+
+
 def read_postings(spark: SparkSession, path: str, buckets: int = 256, items: DataFrame | None = None) -> Postings:
     return Postings(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats"), buckets, items)
 

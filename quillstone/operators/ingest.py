@@ -19,7 +19,7 @@ ITEMS = {
     "parentItem": "long", "parentProject": "long", "createdDate": "string", "modifiedDate": "string", "lastActivityDate": "string", "createdBy": "long", "modifiedBy": "long",
     "stepsText": "string",
 }
-SCHEMA_VERSION = "6"
+SCHEMA_VERSION = "7"
 #: Arrays within an array whose elements are still joined as text.
 NESTED = 6
 
@@ -172,6 +172,12 @@ def without(rows: DataFrame, gone: DataFrame, *keys: str) -> DataFrame:
     return rows
 
 
+def among(rows: DataFrame, wanted: DataFrame, key: str, few: int = 1000) -> DataFrame:
+    """As ``within``; up to ``few`` keys are constants that reach the scan, so only their row groups are read."""
+    keys = [r[0] for r in wanted.select("id").where("id IS NOT NULL").limit(few + 1).collect()]
+    return rows.where(F.col(key).isin(*keys)) if len(keys) <= few else within(rows, wanted.select("id").distinct(), key)
+
+
 def within(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     """rows whose key stands in wanted.id."""
     return rows.join(wanted.select(F.col("id").alias(key)), key, "left_semi")

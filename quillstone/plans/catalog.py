@@ -210,12 +210,17 @@ SELECT id, round(bm25, 6) AS bm25 FROM (SELECT id, {score} AS bm25 FROM w WHERE
 _STORED: dict[tuple, fulltext.Postings] = {}
 
 
+def _files(spark, d, name: str) -> tuple:
+    """Changes when Spark or a table's files do."""
+    fs, at = Store(spark, d)._at(f"{d}/{name}.parquet")
+    files = fs.getContentSummary(at)
+    return (spark.sparkContext.applicationId, d, name, files.getLength(), files.getFileCount(), fs.getFileStatus(at).getModificationTime())
+
+
 def stored(spark, d, stemmed: bool = False) -> fulltext.Postings:
     """The index of all items, built and written when it is first asked for, as a project's is when it is cached; it serves
     until Spark ends or the documents change."""
-    fs, at = Store(spark, d)._at(f"{d}/documents.parquet")
-    files = fs.getContentSummary(at)
-    key = (spark.sparkContext.applicationId, d, stemmed, files.getLength(), files.getFileCount(), fs.getFileStatus(at).getModificationTime())
+    key = (*_files(spark, d, "documents"), stemmed)
     if key not in _STORED:
         path, own = scratch(spark, "index"), items(spark, d)
         fulltext.index(own, stemmed=stemmed).write.parquet(f"{path}/terms")
@@ -296,7 +301,7 @@ def fts_stemmed(spark, d):
 
 
 @functools.cache
-def _snapshot(app: str, spark, d) -> str:
+def _snapshot(files: tuple, spark, d) -> str:
     """The root of a store with the documents' items as project 1, written as a build writes them."""
     from ..engine import KEPT, VERSION
 
@@ -308,17 +313,17 @@ def _snapshot(app: str, spark, d) -> str:
     edges = table(spark, d, "labels").select(F.col("doc_id").alias("itemId"), F.lit("quality").alias("key"), F.col("quality").cast("string").alias("value"))
     stage.put("fields_kv", edges)
     fts = stage.put("fts", fulltext.index(flat, keep=KEPT))
-    buckets = fulltext.buckets_for(fts.count())
+    size = fulltext.size_of(fts)
+    buckets = fulltext.buckets_for(size["fts_rows"])
     stage.put("postings", fulltext.postings(fts, buckets))
-    stage.put("fts_stats", fulltext.stats_of(fts))
-    stage.commit({"project_id": "1", "watermark": ingest.watermark(flat).first()[0], "schema_version": ingest.SCHEMA_VERSION, "engine_version": VERSION, "fts_buckets": str(buckets)})
+    stage.commit({"project_id": "1", "watermark": ingest.watermark(flat).first()[0], "schema_version": ingest.SCHEMA_VERSION, "engine_version": VERSION, "fts_buckets": str(buckets)} | size)
     return store.root
 
 
 def _engine(spark, d):
     from ..engine import Engine
 
-    return Engine(spark, _snapshot(spark.sparkContext.applicationId, spark, d), "")
+    return Engine(spark, _snapshot((_files(spark, d, "documents"), _files(spark, d, "labels")), spark, d), "")
 
 
 @query(ORACLES["fts_stemmed"])
@@ -517,6 +522,22 @@ def upsert_latest(spark, d):
     return ingest.upsert(upsert.newest(rows.where(F.col("modifiedDate") < _CUT)), upsert.newest(rows.where(F.col("modifiedDate") >= _CUT)))
 
 
+@query(ORACLES["upsert_latest"])
+def snapshot_deltas(spark, d):
+    """The events before a day as a stored table, those of three later spans as deltas: new rows, and keys that retire the
+    rows they replace."""
+    store, rows = Store(spark, scratch(spark, "deltas")), _events(spark, d)
+    cuts = ["", _CUT, "2024-01-18", "2024-01-22", "9"]
+    for low, high in zip(cuts, cuts[1:], strict=False):
+        stage, span = store.stage(1), rows.where((F.col("modifiedDate") >= low) & (F.col("modifiedDate") < high))
+        delta = stage.temp("delta", upsert.newest(span))
+        if "events" in stage.tables:
+            stage.retire(delta.select("id"), "events")
+        stage.add("events", delta)
+        stage.commit({"watermark": high})
+    return store.read(1, "events")
+
+
 @query(ORACLES["upsert_latest"])
 def upsert_idempotent(spark, d):
     rows = _events(spark, d)

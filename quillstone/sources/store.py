@@ -1,24 +1,39 @@
-"""Versioned snapshots: Parquet tables of a project in a folder for each version, and a small file for each version that
-is complete.
-
-All file access goes through Hadoop's file systems, so a store may lie wherever Spark can write.  The version in force is
-the highest that has a file commit-<n>, which names its folder.  The file is written last, under another name, and then
-renamed where no such file is: at every moment some version is in force, a writer that fails leaves a folder that nobody
-reads, and of two that started from the same version only one can commit.
+"""Versioned snapshots: Parquet tables of a project, and a small file for each version that says which folders they are.
+
+A table is one or several folders (parts) and the keys that were retired since: a row counts unless its key was retired
+after the row's part was written.  An update therefore writes what has changed and the keys of it, nothing else; tables that
+it doesn't touch are named again by the next version and never copied.  Reading is a union of the parts and, if anything was
+retired, one anti-join with the retired keys, which are sent to all tasks while they are few; filters reach the parts' scans.
+Parts that have become many are merged into one, and a table of which a fifth has changed is written anew, by the writer
+that brings it there.
+
+All file access goes through Hadoop's file systems.  The version in force is the highest that has a file commit-<n>.  The
+file is written last, under another name, and then renamed where no such file is: at every moment some version is in force,
+and a writer that fails leaves a folder that nobody reads.  Where renaming is one step that refuses an existing target
+(local file systems, HDFS), of two writers that started from the same version only one can commit; in object stores whose
+renaming is a copy (s3a) a project must have one writer at a time.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-TABLES = ("items", "fields_kv", "picklist", "relationships", "meta", "fts", "postings", "fts_stats", "chunks", "vmeta")
 #: Tables that are partitioned by a column and sorted by another within.
 LAID_OUT = {"postings": ("bucket", "term")}
+#: What a table's rows are retired by, where it isn't id; edges go with either end.
+KEYS = {"fields_kv": ("itemId",), "relationships": ("fromItem", "toItem"), "chunks": ("item_id",)}
+#: Parts besides the first that are merged, and the share of a table's bytes in them at which it is written anew.
+MANY_PARTS, CHANGED_SHARE = 8, 0.2
+#: Retired keys (some 30 bytes each in a hash table) that are sent to all tasks at most, and bytes of a file of a part.
+BROADCAST_KEYS, FILE_BYTES = 500_000, 128 << 20
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -95,30 +110,55 @@ class Store:
     def version(self, project: int) -> int | None:
         return max(self._commits(project), default=None)
 
-    def folder(self, project: int, version: int | None = None) -> str:
-        """Where the tables of a version lie (of that in force)."""
+    def manifest(self, project: int, version: int | None = None) -> dict:
+        """What the version (that in force) says of itself: its tables, meta and vmeta."""
         v = self.version(project) if version is None else version
         said = None if v is None else self._read(f"{self._home(project)}/commit-{v}")
         if said is None:
             raise LookupError(f"project {project} has no snapshot")
-        return f"{self._home(project)}/{said.strip()}"
-
-    def path(self, project: int, table: str, version: int | None = None) -> str:
-        return f"{self.folder(project, version)}/{table}"
+        return json.loads(said)
 
     def tables(self, project: int) -> list[str]:
-        return [] if self.version(project) is None else [t for t in self._names(self.folder(project)) if t in TABLES]
-
-    def read(self, project: int, table: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(project, table))
+        if self.version(project) is None:
+            return []
+        try:
+            said = self.manifest(project)
+        except ValueError:
+            return []
+        return [*said["tables"], *(t for t in ("meta", "vmeta") if said[t] is not None)]
+
+    def read(self, project: int, table: str, version: int | None = None) -> DataFrame:
+        said = self.manifest(project, version)
+        if table in ("meta", "vmeta"):
+            return self.spark.createDataFrame(sorted(said[table].items()), "key string, value string")
+        if table not in said["tables"]:
+            raise LookupError(f"project {project} has no table {table}")
+        return self._frame(project, table, said["tables"][table])
+
+    def _part(self, project: int, part: dict) -> DataFrame:
+        return self.spark.read.schema(StructType.fromJson(part["schema"])).parquet(f"{self._home(project)}/{part['at']}")
+
+    def _frame(self, project: int, table: str, said: dict) -> DataFrame:
+        """The rows of a table's parts that weren't retired after their part was written."""
+        names = [f["name"] for f in said["parts"][0]["schema"]["fields"]]
+        parts = [(p["seq"], self._part(project, p).select(*names)) for p in said["parts"]]
+        if not said["gone"]:
+            return reduce(DataFrame.unionByName, (df for _, df in parts))
+        every = reduce(DataFrame.unionByName, (df.withColumn("_seq", F.lit(seq)) for seq, df in parts))
+        gone = reduce(DataFrame.unionByName, (self._part(project, g).select(F.col("key").alias("_key"), F.lit(g["seq"]).alias("_at")) for g in said["gone"]))
+        if len(said["gone"]) > 1:
+            gone = gone.groupBy("_key").agg(F.max("_at").alias("_at"))
+        if sum(g["rows"] for g in said["gone"]) <= BROADCAST_KEYS:
+            gone = F.broadcast(gone)
+        for key in KEYS.get(table, ("id",)):
+            every = every.join(gone, (F.col(key) == F.col("_key")) & (F.col("_seq") < F.col("_at")), "left_anti")
+        return every.drop("_seq")
 
     def meta(self, project: int, table: str = "meta") -> dict[str, str] | None:
-        """The key-value table as a dict; None if it is missing or broken."""
-        if table not in self.tables(project):
-            return None
+        """The key-value table as a dict; None if it is missing or the version's file is broken."""
         try:
-            return {r.key: r.value for r in self.read(project, table).collect()}
-        except Exception:  # noqa: BLE001  a broken snapshot is reported as one, whatever broke it
+            return self.manifest(project)[table] if self.version(project) is not None else None
+        except (ValueError, KeyError):
             return None
 
     def stage(self, project: int) -> Stage:
@@ -126,7 +166,7 @@ class Store:
         return Stage(self, project)
 
     def write(self, project: int, tables: dict[str, DataFrame], meta: dict[str, str], vmeta: dict[str, str] | None = None) -> int:
-        """Writes a new version: the given tables, the others copied by reading them from the version in force."""
+        """Writes a new version: the given tables anew, the others as they are."""
         stage = self.stage(project)
         for name, df in tables.items():
             stage.put(name, df)
@@ -142,56 +182,123 @@ class Store:
 
 
 class Stage:
-    """A version in the making: tables are put one by one and can be read back, so what follows from a table is made from
-    what was written and not from its plan again; ``commit`` puts it in force."""
+    """A version in the making.  Tables are put (anew) or added to, keys are retired; a table reads back as it will be in
+    force, so what follows from one is made from what was written.  ``commit`` puts the version in force."""
 
     def __init__(self, store: Store, project: int):
         self.store, self.project, self.base = store, project, store.version(project)
-        self.name = f"v={(self.base or 0) + 1}-{uuid.uuid4().hex}"
-        self.at, self.done = f"{store._home(project)}/{self.name}", set()
+        self.seq = (self.base or 0) + 1
+        self.name = f"v={self.seq}-{uuid.uuid4().hex}"
+        self.at = f"{store._home(project)}/{self.name}"
+        self.old = store.manifest(project) if self.base is not None else {"tables": {}, "meta": None, "vmeta": None}
+        self.tables = {t: {"parts": list(x["parts"]), "gone": list(x["gone"])} for t, x in self.old["tables"].items()}
+        self.done: set[str] = set()
+        self.wrote: set[str] = set()
+
+    def _wrote(self, folder: str, df: DataFrame) -> dict:
+        fs, p = self.store._at(f"{self.store._home(self.project)}/{folder}")
+        self.wrote.add(folder)
+        return {"at": folder, "seq": self.seq, "bytes": int(fs.getContentSummary(p).getLength()), "schema": df.schema.jsonValue()}
 
     def put(self, table: str, df: DataFrame) -> DataFrame:
-        writer = df.write
+        """Writes a table anew, sorted by its key in each file, so that few row groups hold a key."""
+        folder = f"{self.name}/{table}-{uuid.uuid4().hex[:8]}"
+        key = KEYS.get(table, ("id",))[0]
         if table in LAID_OUT:
             part, order = LAID_OUT[table]
             # a bucket in a few files, each sorted, lest a very common term make one task of it
-            writer = df.repartition(part, F.pmod(F.xxhash64("id"), F.lit(4))).sortWithinPartitions(part, order, "id").write.partitionBy(part)
-        writer.parquet(f"{self.at}/{table}")
+            df.repartition(part, F.pmod(F.xxhash64("id"), F.lit(4))).sortWithinPartitions(part, order, "id").write.partitionBy(part).parquet(f"{self.store._home(self.project)}/{folder}")
+            df = df.select(*(c for c in df.columns if c != part), part)
+        else:
+            (df.sortWithinPartitions(key) if key in df.columns else df).write.parquet(f"{self.store._home(self.project)}/{folder}")
+        self.tables[table] = {"parts": [self._wrote(folder, df)], "gone": []}
         self.done.add(table)
         return self.read(table)
 
+    def add(self, table: str, df: DataFrame) -> DataFrame:
+        """Writes further rows of a table, in as few files as they need, and gives them as written."""
+        if table not in self.tables:
+            return self.put(table, df)
+        folder, order = f"{self.name}/{table}-{uuid.uuid4().hex[:8]}", LAID_OUT.get(table, (None, KEYS.get(table, ("id",))[0]))[1]
+        temp = self.temp(f"{table}-rows", df)
+        fs, p = self.store._at(f"{self.at}/_temp/{table}-rows")
+        files = 1 + int(fs.getContentSummary(p).getLength()) // FILE_BYTES
+        (temp.coalesce(1) if files == 1 else temp.repartitionByRange(files, order)).sortWithinPartitions(order).write.parquet(f"{self.store._home(self.project)}/{folder}")
+        part = self._wrote(folder, df)
+        self.tables[table]["parts"].append(part)
+        self.done.add(table)
+        return self.store._part(self.project, part)
+
+    def retire(self, keys: DataFrame, *tables: str) -> int:
+        """The rows of these tables with one of the keys (one column), as written before this version, count no more.
+        Gives the number of keys."""
+        folder = f"{self.name}/gone-{uuid.uuid4().hex[:8]}"
+        keys = keys.select(F.col(keys.columns[0]).alias("key")).where("key IS NOT NULL").distinct()
+        keys.coalesce(1).write.parquet(f"{self.store._home(self.project)}/{folder}")
+        gone = self._wrote(folder, keys)
+        gone["rows"] = self.store._part(self.project, gone).count()
+        for t in tables:
+            if gone["rows"] and t in self.tables:
+                self.tables[t]["gone"].append(gone)
+                self.done.add(t)
+        return gone["rows"]
+
+    def temp(self, name: str, df: DataFrame) -> DataFrame:
+        """Rows that are written for this version's making only."""
+        df.write.mode("overwrite").parquet(f"{self.at}/_temp/{name}")
+        return self.store.spark.read.schema(df.schema).parquet(f"{self.at}/_temp/{name}")
+
     def read(self, table: str) -> DataFrame:
-        return self.store.spark.read.parquet(f"{self.at}/{table}")
+        return self.store._frame(self.project, table, self.tables[table])
+
+    def _compact(self, table: str) -> None:
+        said = self.tables[table]
+        first, more = said["parts"][0], said["parts"][1:]
+        changed = sum(p["bytes"] for p in [*more, *said["gone"]])
+        if changed > CHANGED_SHARE * first["bytes"] and len(more) + len(said["gone"]) > MANY_PARTS // 2:
+            self.put(table, self.read(table))
+        elif len(more) > MANY_PARTS or len(said["gone"]) > MANY_PARTS:
+            # all but the first become one part and one set of keys, which concern the first only
+            gone = reduce(DataFrame.unionByName, (self.store._part(self.project, g) for g in said["gone"])) if said["gone"] else None
+            rows = self.store._frame(self.project, table, {"parts": more, "gone": said["gone"]}) if more else None
+            self.tables[table] = {"parts": [first], "gone": []}
+            if rows is not None:
+                self.add(table, rows)
+            if gone is not None:
+                self.retire(gone, table)
 
     def commit(self, meta: dict[str, str], vmeta: dict[str, str] | None = None, keep: int = 2) -> int:
         store, project = self.store, self.project
-        for t in store.tables(project) if self.base is not None else ():
-            if t not in self.done and t not in ("meta", "vmeta"):
-                self.put(t, store.read(project, t))
-        for name, pairs in (("meta", meta), ("vmeta", vmeta if vmeta is not None else store.meta(project, "vmeta"))):
-            if pairs is not None:
-                rows = store.spark.createDataFrame(sorted((k, str(v)) for k, v in pairs.items()), "key string, value string")
-                rows.coalesce(1).write.parquet(f"{self.at}/{name}")
-        self.drop("raw")
-        new = (self.base or 0) + 1
-        if store.version(project) != self.base or not store._write(f"{store._home(project)}/commit-{new}", self.name, replace=False):
+        for t in sorted(self.done):
+            self._compact(t)
+        text = lambda pairs: None if pairs is None else {k: str(v) for k, v in pairs.items()}
+        said = {"tables": self.tables, "meta": text(meta), "vmeta": text(vmeta if vmeta is not None else self.old["vmeta"])}
+        for unused in [*(self.wrote - _folders(said)), f"{self.name}/_temp"]:  # merged since, or for the making only
+            self._delete(unused)
+        if store.version(project) != self.base or not store._write(f"{store._home(project)}/commit-{self.seq}", json.dumps(said), replace=False):
             self.abandon()
             raise RuntimeError(f"project {project} was changed by someone else meanwhile")
-        for old in store._commits(project):
-            if old <= new - keep:
-                fs, p = store._at(store.folder(project, old))
-                fs.delete(p, True)
-                fs, p = store._at(f"{store._home(project)}/commit-{old}")
-                fs.delete(p, False)
-        return new
-
-    def drop(self, table: str) -> None:
-        fs, p = self.store._at(f"{self.at}/{table}")
+        commits = store._commits(project)
+        kept = [v for v in commits if v > self.seq - keep]
+        named = {f for v in kept for f in _folders(store.manifest(project, v))}
+        for v in commits:
+            if v not in kept:
+                for folder in _folders(store.manifest(project, v)) - named:
+                    version = folder.split("/")[0]
+                    self._delete(folder if any(n.startswith(f"{version}/") for n in named) else version)
+                self._delete(f"commit-{v}")
+        return self.seq
+
+    def _delete(self, inner: str) -> None:
+        fs, p = self.store._at(f"{self.store._home(self.project)}/{inner}")
         fs.delete(p, True)
 
     def abandon(self) -> None:
-        fs, p = self.store._at(self.at)
-        fs.delete(p, True)
+        self._delete(self.name)
+
+
+def _folders(said: dict) -> set[str]:
+    return {p["at"] for t in said["tables"].values() for p in [*t["parts"], *t["gone"]]}
 
 
 def fresh_dimension(store: Store, name: str, load, ttl: int = 21_600) -> DataFrame:

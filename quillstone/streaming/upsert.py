@@ -1,5 +1,7 @@
 """Incremental upserts as a stream: batches replace rows by key in a versioned table, at least once and idempotently.
 
+A batch writes its own rows and retires those they replace; what the table held before isn't written again.
+
 The watermark is a high-water mark of modification dates, inclusive on the next pull; an event-time watermark would drop
 late rows, which this must not.
 """
@@ -23,18 +25,24 @@ def into(store: Store, project: int, table: str = "items"):
     """A foreachBatch function that upserts into the store; a batch that comes again changes nothing."""
 
     def write(batch: DataFrame, number: int) -> None:
-        delta = newest(batch)
         seen = store.meta(project) or {}
         if int(seen.get("batch", -1)) >= number:
             return
-        if table in store.tables(project):
-            base = store.read(project, table)
-            known = base.select("id", F.struct("modifiedDate", "event_id").alias("known"))
-            own = F.struct("modifiedDate", "event_id")
-            delta = delta.join(known, "id", "left").where(F.col("known").isNull() | (own >= F.col("known"))).select(*base.columns)
-            delta = ingest.upsert(base, delta)
-        mark = ingest.watermark(batch).first()[0]
-        store.write(project, {table: delta}, {"watermark": max(mark, seen.get("watermark", "")), "batch": str(number)})
+        stage = store.stage(project)
+        try:
+            delta = stage.temp("delta", newest(batch))
+            if table in stage.tables:
+                known = stage.read(table).select("id", F.struct("modifiedDate", "event_id").alias("known"))
+                own = F.struct("modifiedDate", "event_id")
+                later = delta.join(known, "id", "left").where(F.col("known").isNull() | (own > F.col("known"))).select(*delta.columns)
+                delta = stage.temp("later", later)
+                stage.retire(delta.select("id"), table)
+            stage.add(table, delta)
+            mark = ingest.watermark(delta, F.lit(seen.get("watermark", ""))).first()[0]
+        except BaseException:
+            stage.abandon()
+            raise
+        stage.commit({"watermark": mark, "batch": str(number)})
 
     return write
 

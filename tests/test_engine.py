@@ -206,7 +206,9 @@ def test_a_build_sweeps_the_source_once(spark, tmp_path):
     assert sum(p.endswith("downstreamrelationships") for p, _ in site.asked) == 120
     meta = e.store.meta(5)
     assert (meta["item_count"], meta["relationship_count"], meta["picklist_count"]) == ("120", "120", "1")
-    assert {r.statusName for r in e.store.read(5, "items").collect()} == {"Open"} and "raw" not in e.store._names(e.store.folder(5))
+    assert {r.statusName for r in e.store.read(5, "items").collect()} == {"Open"} 
+    home = e.store._home(5)
+    assert all("_temp" not in e.store._names(f"{home}/{v}") for v in e.store._names(home) if v.startswith("v="))
     # an update asks for the delta only, and for no option again that is known
     site.asked.clear()
     site.items[2] = item(3, "2024-02-01T00:00:00.000+0000", name="Renamed thing")
