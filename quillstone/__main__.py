@@ -30,6 +30,7 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--link-cap", type=int, default=0)
         c.add_argument("--prune-deleted", action="store_true")
     sub.add_parser("status").add_argument("project", nargs="?")
+    sub.add_parser("index").add_argument("project")
     for name in ("search", "semantic", "query"):
         c = sub.add_parser(name)
         c.add_argument("project")
@@ -42,6 +43,8 @@ def parser() -> argparse.ArgumentParser:
             c.add_argument("--max-distance", type=float, default=0.30)
             for bound in ("created-after", "created-before", "modified-after", "modified-before"):
                 c.add_argument(f"--{bound}")
+        if name == "semantic":
+            c.add_argument("--approximate", action="store_true", help="look only into the near lists of the vector index")
         if name == "search":
             c.add_argument("--keyword", action="append", default=[])
             c.add_argument("--expr")
@@ -59,6 +62,8 @@ def run(engine: Engine, a: argparse.Namespace):
         return engine.projects(a.pattern)
     if a.command == "status":
         return engine.status(a.project)
+    if a.command == "index":
+        return {p: engine.index_vectors(p) for p in engine.resolve(a.project)}
     if a.command == "purge":
         return engine.purge(a.project, a.all)
     if a.command == "query":
@@ -67,7 +72,7 @@ def run(engine: Engine, a: argparse.Namespace):
         dates = Dates(a.created_after, a.created_before, a.modified_after, a.modified_before)
         common = {"types": a.types, "dates": dates, "top": a.top, "max_distance": a.max_distance, "offline": a.offline, "force": a.force}
         if a.command == "semantic":
-            return engine.semantic(a.project, a.text or "", **common)
+            return engine.semantic(a.project, a.text or "", **common, approximate=a.approximate)
         return engine.search(a.project, a.text, a.keyword, a.expr, a.match, a.field, **common)
     options = {"with_vectors": not a.no_vectors, "with_links": a.with_links, "link_cap": a.link_cap, "prune_deleted": a.prune_deleted}
     if a.command == "sync":

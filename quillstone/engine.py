@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import filters, fulltext, ingest, search, vectors
+from .operators import ann, filters, fulltext, ingest, search, vectors
 from .plans import boolexpr, sql
 from .sources import paged
 from .sources.store import KEYS, Stage, Store, fresh_dimension
@@ -128,7 +128,7 @@ class Engine:
             stage.put("fts", fulltext.index(flat, keep=KEPT))
             index = self._indexed(stage)
             if with_vectors:
-                stage.put("chunks", vectors.embed(vectors.chunk_rows(flat), self.embedder))
+                self._embedded(stage, flat)
                 vmeta = self._vmeta(mark)
             now = repr(time.time())
             meta = {"project_id": str(project), "watermark": mark, "with_links": str(int(with_links)), "fetched_at": now, "last_sync_at": now, "base_url": self.base, "engine_version": VERSION, "schema_version": ingest.SCHEMA_VERSION}
@@ -185,6 +185,31 @@ class Engine:
             self.reconcile(project)
         return did
 
+    def _embedded(self, stage: Stage, flat: DataFrame) -> None:
+        """The chunks of all items, and their index anew if there was one."""
+        stage.put("chunks", vectors.embed(vectors.chunk_rows(flat), self.embedder))
+        if "ann" in stage.tables:
+            self._listed(stage)
+
+    def _listed(self, stage: Stage) -> ann.Model:
+        chunks = stage.read("chunks")
+        model = ann.fit(chunks)
+        stage.put("ann_model", model.rows(self.spark))
+        stage.put("ann", ann.encode(chunks, model))
+        return model
+
+    def index_vectors(self, project: int) -> dict[str, float]:
+        """Makes the approximate index of the chunks; from then on updates keep it.  Gives its lists, how many of them a
+        query probes, and the share of true neighbours that these held when it was made."""
+        stage = self.store.stage(project)
+        try:
+            model = self._listed(stage)
+        except BaseException:
+            stage.abandon()
+            raise
+        stage.commit(self.store.meta(project))
+        return {"lists": len(model.centroids), "probes": model.probes, "recall": model.recall}
+
     def _without(self, project: int, stage: Stage, ids: DataFrame, *tables: str) -> dict[str, int]:
         """Retires items from tables; gives how many rows each loses, and how many terms the index does."""
         lost = {"fts_rows": 0, "fts_length": 0} | dict.fromkeys(COUNTS, 0)
@@ -223,23 +248,24 @@ class Engine:
     def refresh_vectors(self, project: int) -> None:
         """Embeds what has changed since the vectors' own watermark; all, if they are absent or stale."""
         meta, flat = self.store.meta(project), self.store.read(project, "items")
-        if self.vector_state(project) != "ready":
-            new = vectors.embed(vectors.chunk_rows(flat), self.embedder)
-        else:
-            seen = self.store.meta(project, "vmeta")["vec_watermark"]
-            if seen == meta["watermark"]:
-                return
-            changed = ingest.since(flat, seen)
-            stage = self.store.stage(project)
-            try:
-                stage.retire(changed.select("id"), "chunks")
-                stage.add("chunks", vectors.embed(vectors.chunk_rows(changed), self.embedder))
-            except BaseException:
-                stage.abandon()
-                raise
-            stage.commit(meta, self._vmeta(meta["watermark"]))
+        ready = self.vector_state(project) == "ready"
+        seen = self.store.meta(project, "vmeta")["vec_watermark"] if ready else ""
+        if ready and seen == meta["watermark"]:
             return
-        self.store.write(project, {"chunks": new}, meta, self._vmeta(meta["watermark"]))
+        stage = self.store.stage(project)
+        try:
+            if ready:
+                changed = ingest.since(flat, seen)
+                stage.retire(changed.select("id"), "chunks", "ann")
+                new = stage.add("chunks", vectors.embed(vectors.chunk_rows(changed), self.embedder))
+                if "ann" in stage.tables:
+                    stage.add("ann", ann.encode(new, ann.Model.read(stage.read("ann_model"))))
+            else:
+                self._embedded(stage, flat)
+        except BaseException:
+            stage.abandon()
+            raise
+        stage.commit(meta, self._vmeta(meta["watermark"]))
 
     def reconcile(self, project: int, full: bool = False) -> dict[str, object]:
         """Deletes what the server no longer has: first by counts, then (if there are too many here, or ``full``) by identifiers."""
@@ -256,7 +282,7 @@ class Engine:
             gone = stage.temp("gone", ingest.without(flat.select("id"), there, "id"))
             n = ingest.reconciliation(flat, there).first()["deleted"]
             if n:
-                lost = self._without(project, stage, gone, "items", "fields_kv", "relationships", "fts", "postings", "chunks")
+                lost = self._without(project, stage, gone, "items", "fields_kv", "relationships", "fts", "postings", "chunks", "ann")
                 counts = {k: str(int(meta[k]) - lost[k]) for k in COUNTS} | self._sized(meta, lost, {"fts_rows": 0, "fts_length": 0})
         except BaseException:
             stage.abandon()
@@ -326,10 +352,15 @@ class Engine:
         vector = self.embedder.query(words) if words else None
         return search.hybrid(read("items"), self.postings(project), tree, read("chunks"), vector, field, types, dates, top, max_distance, compat=compat)
 
-    def semantic(self, given: str | int, query: str, types: str | None = None, dates: filters.Dates | None = None, top: int = 0, max_distance: float = vectors.MAX_DISTANCE, offline: bool = False, force: bool = False) -> DataFrame:
+    def semantic(self, given: str | int, query: str, types: str | None = None, dates: filters.Dates | None = None, top: int = 0, max_distance: float = vectors.MAX_DISTANCE, offline: bool = False, force: bool = False, approximate: bool = False) -> DataFrame:
+        """The nearest items; ``approximate`` looks only into the lists of the index that are near (see ``index_vectors``)."""
         project = self.single(given)
         self._ready(project, True, offline, force)
-        return search.semantic(self.store.read(project, "items"), self.store.read(project, "chunks"), self.embedder.query(query), types, dates, top, max_distance)
+        read = lambda t: self.store.read(project, t)
+        if approximate and "ann" not in self.store.tables(project):
+            raise ValueError(f"project {project} has no vector index")
+        model = ann.Model.read(read("ann_model")) if approximate else None
+        return search.semantic(read("items"), read("ann" if approximate else "chunks"), self.embedder.query(query), types, dates, top, max_distance, model)
 
     def query(self, given: str | int, statement: str, offline: bool = False, force: bool = False) -> DataFrame:
         """Read-only SQL over items, fields_kv, picklist, relationships, meta, fts and chunks, and fts_match('expression'):

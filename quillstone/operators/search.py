@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans import boolexpr
-from . import filters, fulltext, vectors
+from . import ann, filters, fulltext, vectors
 
 #: The constant of reciprocal ranks, the rows of a text leg, and the legs in the order of adding up.
 RRF_K, LEG = 60, 200
@@ -80,11 +80,12 @@ def hybrid(
     return found.select("id", "documentKey", "typeKey", "sequence", F.round("rrf", 4).alias("score"), "via", "name")
 
 
-def semantic(items: DataFrame, chunks: DataFrame, query_vector: list[float], types: str | None = None, dates: filters.Dates | None = None, top: int = 0, max_distance: float = vectors.MAX_DISTANCE) -> DataFrame:
-    """id, documentKey, typeKey, sequence, score (cosine) and name, nearest first."""
+def semantic(items: DataFrame, chunks: DataFrame, query_vector: list[float], types: str | None = None, dates: filters.Dates | None = None, top: int = 0, max_distance: float = vectors.MAX_DISTANCE, model: ann.Model | None = None) -> DataFrame:
+    """id, documentKey, typeKey, sequence, score (cosine) and name, nearest first.  With a model chunks are its index."""
     if top < 0:
         raise ValueError("top can't be negative")
-    near = vectors.fold(vectors.nearest(chunks, query_vector, max_distance=max_distance)).withColumnRenamed("item_id", "id")
+    near = vectors.nearest(chunks, query_vector, max_distance=max_distance) if model is None else ann.nearest(chunks, model, query_vector, max_distance=max_distance)
+    near = vectors.fold(near).withColumnRenamed("item_id", "id")
     found = hydrate(near, items, types, dates).orderBy("distance", "id")
     found = found.limit(top) if top else found
     return found.select("id", "documentKey", "typeKey", "sequence", F.round(1 - F.col("distance"), 3).alias("score"), "name")

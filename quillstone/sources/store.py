@@ -26,14 +26,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: Tables that are partitioned by a column and sorted by another within.
-LAID_OUT = {"postings": ("bucket", "term")}
+#: Tables that are partitioned by a column, sorted by another within, and dealt over the partition's files by a third.
+LAID_OUT = {"postings": ("bucket", "term", "id"), "ann": ("list", "chunk_id", "item_id")}
 #: What a table's rows are retired by, where it isn't id; edges go with either end.
-KEYS = {"fields_kv": ("itemId",), "relationships": ("fromItem", "toItem"), "chunks": ("item_id",)}
+KEYS = {"fields_kv": ("itemId",), "relationships": ("fromItem", "toItem"), "chunks": ("item_id",), "ann": ("item_id",)}
 #: Parts besides the first that are merged, and the share of a table's bytes in them at which it is written anew.
 MANY_PARTS, CHANGED_SHARE = 8, 0.2
 #: Retired keys (some 30 bytes each in a hash table) that are sent to all tasks at most, and bytes of a file of a part.
 BROADCAST_KEYS, FILE_BYTES = 500_000, 128 << 20
+#: Rows of a partition that one task writes.
+PART_ROWS = 1_000_000
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -205,9 +207,12 @@ class Stage:
         folder = f"{self.name}/{table}-{uuid.uuid4().hex[:8]}"
         key = KEYS.get(table, ("id",))[0]
         if table in LAID_OUT:
-            part, order = LAID_OUT[table]
-            # a bucket in a few files, each sorted, lest a very common term make one task of it
-            df.repartition(part, F.pmod(F.xxhash64("id"), F.lit(4))).sortWithinPartitions(part, order, "id").write.partitionBy(part).parquet(f"{self.store._home(self.project)}/{folder}")
+            part, order, spread = LAID_OUT[table]
+            temp = self.temp(f"{table}-rows", df)
+            # a partition in as many files as its rows need, each sorted, whatever share of the rows it holds
+            files = temp.groupBy(F.col(part).alias("_part")).agg(F.ceil(F.count("*") / PART_ROWS).alias("_files"))
+            laid = temp.join(F.broadcast(files), F.col(part) == F.col("_part")).repartition(part, F.pmod(F.xxhash64(spread), F.col("_files")))
+            laid.sortWithinPartitions(part, order, spread).drop("_part", "_files").write.partitionBy(part).parquet(f"{self.store._home(self.project)}/{folder}")
             df = df.select(*(c for c in df.columns if c != part), part)
         else:
             (df.sortWithinPartitions(key) if key in df.columns else df).write.parquet(f"{self.store._home(self.project)}/{folder}")
@@ -219,7 +224,7 @@ class Stage:
         """Writes further rows of a table, in as few files as they need, and gives them as written."""
         if table not in self.tables:
             return self.put(table, df)
-        folder, order = f"{self.name}/{table}-{uuid.uuid4().hex[:8]}", LAID_OUT.get(table, (None, KEYS.get(table, ("id",))[0]))[1]
+        folder, order = f"{self.name}/{table}-{uuid.uuid4().hex[:8]}", LAID_OUT[table][1] if table in LAID_OUT else KEYS.get(table, ("id",))[0]
         temp = self.temp(f"{table}-rows", df)
         fs, p = self.store._at(f"{self.at}/_temp/{table}-rows")
         files = 1 + int(fs.getContentSummary(p).getLength()) // FILE_BYTES
@@ -243,6 +248,11 @@ class Stage:
                 self.done.add(t)
         return gone["rows"]
 
+    def drop(self, *tables: str) -> None:
+        """The version has no such tables."""
+        for t in tables:
+            self.tables.pop(t, None)
+
     def temp(self, name: str, df: DataFrame) -> DataFrame:
         """Rows that are written for this version's making only."""
         df.write.mode("overwrite").parquet(f"{self.at}/_temp/{name}")
@@ -269,7 +279,7 @@ class Stage:
 
     def commit(self, meta: dict[str, str], vmeta: dict[str, str] | None = None, keep: int = 2) -> int:
         store, project = self.store, self.project
-        for t in sorted(self.done):
+        for t in sorted(self.done & set(self.tables)):
             self._compact(t)
         text = lambda pairs: None if pairs is None else {k: str(v) for k, v in pairs.items()}
         said = {"tables": self.tables, "meta": text(meta), "vmeta": text(vmeta if vmeta is not None else self.old["vmeta"])}
