@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import ann, filters, fulltext, ingest, search, vectors
+from .operators import ann, filters, fulltext, impacts, ingest, search, vectors
 from .plans import boolexpr, sql
 from .sources import paged
 from .sources.store import KEYS, Stage, Store, fresh_dimension
@@ -110,7 +110,9 @@ class Engine:
         size = fulltext.size_of(fts)
         buckets = fulltext.buckets_for(size["fts_rows"])
         stage.put("postings", fulltext.postings(fts, buckets))
-        return {k: str(v) for k, v in size.items()} | {"fts_buckets": str(buckets)}
+        mean = size["fts_length"] / size["fts_rows"] if size["fts_length"] else 1.0
+        stage.put("levels", impacts.levels(stage.put("impacts", impacts.impacts(fts, mean, buckets))))
+        return {k: str(v) for k, v in size.items()} | {"fts_buckets": str(buckets), "impact_mean": repr(mean)}
 
     def _vmeta(self, mark: str) -> dict[str, str]:
         return {"embed_model": self.embedder.name, "dim": str(self.embedder.dim), "vec_schema": VECTOR_SCHEMA, "vec_watermark": mark, "built_at": repr(time.time())}
@@ -157,7 +159,8 @@ class Engine:
             new = stage.temp("changed", flat.exceptAll(before))
             if not new.isEmpty():
                 did, ids = "updated", new.select("id")
-                lost, fresh = self._without(project, stage, ids, "items", "fields_kv", "fts"), {}
+                old = self._of(self.store.read(project, "fts"), "fts", ids)
+                lost, fresh = self._without(project, stage, ids, "items", "fields_kv", "fts", "postings", "impacts"), {}
                 stage.add("items", new)
                 fresh["fields_kv"] = stage.add("fields_kv", ingest.within(kv, ids, "itemId"))
                 fresh["fts"] = stage.add("fts", fulltext.index(new, keep=KEPT))
@@ -165,8 +168,9 @@ class Engine:
                 if meta.get("fts_buckets") != str(fulltext.buckets_for(int(size["fts_rows"]))) or "postings" not in stage.tables:
                     size |= self._indexed(stage)
                 else:
-                    stage.retire(ids, "postings")
                     stage.add("postings", fulltext.postings(fresh["fts"], int(meta["fts_buckets"])))
+                    more = stage.add("impacts", impacts.impacts(fresh["fts"], float(meta["impact_mean"]), int(meta["fts_buckets"])))
+                    stage.add("levels", impacts.levels(more).unionByName(self._levels_off(old, meta)))
                 gained = ingest.counts({"item_count": new, "field_kv_count": fresh["fields_kv"]}).collect()
                 counts = {r.t: str(int(meta[r.t]) - lost[r.t] + r.n) for r in gained}
                 if "picklist" in stage.done:
@@ -222,6 +226,10 @@ class Engine:
         stage.retire(ids, *tables)
         return lost
 
+    def _levels_off(self, retired: DataFrame, meta: dict[str, str]) -> DataFrame:
+        """What takes retired index rows off the counts of levels."""
+        return impacts.levels(impacts.impacts(retired, float(meta["impact_mean"]), int(meta["fts_buckets"])), -1)
+
     def _of(self, rows: DataFrame, table: str, ids: DataFrame) -> DataFrame:
         """The rows of a table that retiring the ids takes."""
         first, *more = KEYS.get(table, ("id",))
@@ -282,7 +290,9 @@ class Engine:
             gone = stage.temp("gone", ingest.without(flat.select("id"), there, "id"))
             n = ingest.reconciliation(flat, there).first()["deleted"]
             if n:
-                lost = self._without(project, stage, gone, "items", "fields_kv", "relationships", "fts", "postings", "chunks", "ann")
+                old = self._of(self.store.read(project, "fts"), "fts", gone)
+                lost = self._without(project, stage, gone, "items", "fields_kv", "relationships", "fts", "postings", "impacts", "chunks", "ann")
+                stage.add("levels", self._levels_off(old, meta))
                 counts = {k: str(int(meta[k]) - lost[k]) for k in COUNTS} | self._sized(meta, lost, {"fts_rows": 0, "fts_length": 0})
         except BaseException:
             stage.abandon()
@@ -381,7 +391,8 @@ class Engine:
         if "postings" not in self.store.tables(project):
             return read("fts")
         meta = self.store.meta(project)
-        return fulltext.Postings(read("postings"), fulltext.stats_row(self.spark, int(meta["fts_rows"]), int(meta["fts_length"])), int(meta["fts_buckets"]), read("items").select("id", *KEPT))
+        early = impacts.Early(read("impacts"), read("levels"), read("fts"), float(meta["impact_mean"])) if "impact_mean" in meta else None
+        return fulltext.Postings(read("postings"), fulltext.stats_row(self.spark, int(meta["fts_rows"]), int(meta["fts_length"])), int(meta["fts_buckets"]), read("items").select("id", *KEPT), early)
 
     def purge(self, given: str | int | None = None, everything: bool = False) -> list[int]:
         if given is None and not everything:

@@ -10,15 +10,24 @@ top-k, so its cost follows what its terms hit and not the collection.  Both give
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
+from typing import TYPE_CHECKING
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import stem, text
 from ..plans import boolexpr
 
+if TYPE_CHECKING:
+    from .impacts import Early
+
 #: The usual constants of BM25, the least weight of a term, and the length of a leg.
 K1, B, LEAST_IDF, LEG = 1.2, 0.75, 1e-6, 200
 COLUMNS = ("name", "description", "stepsText")
@@ -126,6 +135,16 @@ def search(idx: DataFrame | Postings, tree: boolexpr.Node, field: str = "all", w
     columns = ("name",) if field == "name" else COLUMNS
     counts = [F.count_if(F.col(f"h{i}") > 0).alias(f"n{i}") for i in range(len(plan.phrases))]
     # one row of counts: a bound for broadcasting that no data can break
+    words = _words(tree)
+    if isinstance(idx, Postings) and idx.early is not None and limit is not None and where is None and field == "all" and words and all(len(p) == 1 for p in plan.phrases):
+        size = idx.stats.first()
+        times = Counter(t for w in words for t in plan.analyze(w))
+        ids, n = idx.early.candidates(times, size.rows_in_index, size.mean_length, limit, idx.buckets)
+        if ids is not None:
+            numbers = {"rows_in_index": size.rows_in_index, "mean_length": size.mean_length} | {f"n{i}": n[p[0]] for i, p in enumerate(plan.phrases)}
+            rows = idx.early.rows(ids).select("id", "dl", once(**{f"h{i}": sum(occurrences(F.col(f"t_{c}"), p) for c in columns) for i, p in enumerate(plan.phrases)}))
+            rows = rows.where(plan.match).withColumns({k: F.lit(v) for k, v in numbers.items()})
+            return rows.select("id", plan.score.alias("bm25")).orderBy("bm25", "id").limit(limit)
     if isinstance(idx, Postings):
         seen = idx.hits(plan.phrases, columns)
         stats = seen.agg(*counts).crossJoin(F.broadcast(idx.stats))
@@ -139,36 +158,89 @@ def search(idx: DataFrame | Postings, tree: boolexpr.Node, field: str = "all", w
     return scored.orderBy("bm25", "id").limit(limit) if limit is not None else scored
 
 
+def _words(tree: boolexpr.Node) -> list[str]:
+    """The words of an OR of words only; none of any other tree."""
+    out, todo = [], [tree]
+    while todo:
+        node = todo.pop()
+        if isinstance(node, boolexpr.Or):
+            todo += node.children
+        elif isinstance(node, boolexpr.Term):
+            out.append(node.text)
+        else:
+            return []
+    return out
+
+
 def plain_phrase(words: str) -> list[str]:
     import unicodedata
 
     return "".join(c if unicodedata.category(c)[0] in "LN" or unicodedata.category(c) == "Co" else " " for c in words.lower()).split()
 
 
+def slices(batch: pa.RecordBatch, most: int = 32 << 20) -> Iterator[pa.RecordBatch]:
+    """Consecutive parts of a batch of about ``most`` bytes."""
+    step = max(1, int(batch.num_rows * min(1.0, most / max(1, batch.nbytes))))
+    for at in range(0, batch.num_rows, step):
+        yield batch.slice(at, step)
+
+
+def tokens_of(batch: pa.RecordBatch, columns) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """All terms of some list columns, the row that each stands in and its place in the row's list."""
+    words, parents, places = [], [], []
+    for c in columns:
+        lists = batch.column(c)
+        n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        words.append(lists.flatten())
+        parents.append(np.repeat(np.arange(batch.num_rows), n))
+        places.append(np.arange(n.sum()) - np.repeat(n.cumsum() - n, n))
+    return pa.concat_arrays(words), np.concatenate(parents), np.concatenate(places)
+
+
+def grouped(words: pa.Array, parent: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Equal terms of one row brought together: codes and dictionary of the terms, the order, where in it each group
+    begins, and how large it is."""
+    encoded = words.dictionary_encode()
+    codes = encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    key = parent * max(1, len(encoded.dictionary)) + codes
+    order = np.argsort(key, kind="stable")
+    first = np.flatnonzero(np.diff(key[order], prepend=-1)) if len(key) else np.zeros(0, np.int64)
+    return codes, encoded.dictionary, order, first, np.diff(first, append=len(key))
+
+
 def postings(idx: DataFrame, buckets: int = 256) -> DataFrame:
     """The index turned around: bucket, term, id, field, dl, n (how often) and the ascending positions of the term in the
-    field."""
-    parts = reduce(DataFrame.unionByName, (idx.select("id", "dl", F.lit(c).alias("field"), F.posexplode(f"t_{c}").alias("at", "term")) for c in COLUMNS))
-    grouped = parts.groupBy("term", "id", "field", "dl").agg(F.sort_array(F.collect_list("at")).alias("positions"))
-    return grouped.select(bucket_of(F.col("term"), buckets).alias("bucket"), "term", "id", "field", "dl", F.size("positions").alias("n"), "positions")
+    field.  A row holds all terms of its item, so it is turned around by itself, without a shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole):
+                for i, field in enumerate(COLUMNS, 2):
+                    words, parent, place = tokens_of(batch, [i])
+                    codes, dictionary, order, first, n = grouped(words, parent)
+                    own = pa.array(parent[order[first]])
+                    positions = pa.ListArray.from_arrays(np.append(first, len(order)).astype(np.int32), pa.array(place[order].astype(np.int32)))
+                    columns = [dictionary.take(pa.array(codes[order[first]])), batch.column(0).take(own), pa.array([field]).take(pa.array(np.zeros(len(n), np.int64))), batch.column(1).take(own), pa.array(n.astype(np.int32)), positions]
+                    yield pa.RecordBatch.from_arrays(columns, ["term", "id", "field", "dl", "n", "positions"])
+
+    rows = idx.select("id", "dl", *(f"t_{c}" for c in COLUMNS)).mapInArrow(run, "term string, id long, field string, dl long, n int, positions array<int>")
+    return rows.select(bucket_of(F.col("term"), buckets).alias("bucket"), "term", "id", "field", "dl", "n", "positions")
 
 
 def bucket_of(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
+def in_buckets(terms: list[str], buckets: int) -> Column:
+    """Whether a row's bucket is that of one of the terms: constants, so only these folders are read."""
+    return reduce(Column.__or__, (F.col("bucket") == bucket_of(F.lit(t), buckets) for t in dict.fromkeys(terms)), F.lit(False))
+
+
 def buckets_for(rows: int) -> int:
     """Buckets for so many items: a power of two, of some thousands of items each."""
     return 1 << max(4, min(12, (rows // 4000).bit_length()))
 
 
-def write_postings(idx: DataFrame, path: str, buckets: int = 256) -> None:
-    """Postings under path/postings and the index's counts under path/stats."""
-    rows = postings(idx, buckets)
-    rows.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(4))).sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").parquet(f"{path}/postings")
-    stats_of(idx).coalesce(1).write.parquet(f"{path}/stats")
-
-
 def stats_of(idx: DataFrame) -> DataFrame:
     """One row: the number of rows and their mean length."""
     return idx.agg(F.count("*").alias("rows_in_index"), (F.sum("dl") / F.count("*")).alias("mean_length"))
@@ -185,23 +257,20 @@ def stats_row(spark: SparkSession, rows: int, length: int) -> DataFrame:
     return spark.createDataFrame([(rows, length / rows if rows else None)], "rows_in_index long, mean_length double")
 
 
-def read_postings(spark: SparkSession, path: str, buckets: int = 256, items: DataFrame | None = None) -> Postings:
-    return Postings(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats"), buckets, items)
-
-
 @dataclass(frozen=True)
 class Postings:
-    """table: as ``postings`` gives it, stored; stats: as ``stats_of``; items: id and what filters look at."""
+    """table: as ``postings`` gives it, stored; stats: as ``stats_of``; items: id and what filters look at; early: what ends
+    the search for the best of an OR early."""
 
     table: DataFrame
     stats: DataFrame
     buckets: int
     items: DataFrame | None = None
+    early: Early | None = None
 
     def rows(self, terms: list[str], columns: tuple[str, ...]) -> DataFrame:
         """The rows of some terms: the buckets are constants, so only their folders are read."""
-        in_bucket = reduce(Column.__or__, (F.col("bucket") == bucket_of(F.lit(t), self.buckets) for t in dict.fromkeys(terms)))
-        found = self.table.where(in_bucket & F.col("term").isin(*dict.fromkeys(terms)))
+        found = self.table.where(in_buckets(terms, self.buckets) & F.col("term").isin(*dict.fromkeys(terms)))
         return found if columns == COLUMNS else found.where(F.col("field").isin(*columns))
 
     def hits(self, phrases: list[list[str]], columns: tuple[str, ...] = COLUMNS) -> DataFrame:

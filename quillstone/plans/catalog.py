@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import ann, filters, fulltext, ingest, search, vectors
+from ..operators import ann, filters, fulltext, impacts, ingest, search, vectors
 from ..sources import paged
 from ..sources.store import Store, scratch
 from ..streaming import gate, upsert
@@ -222,12 +222,15 @@ def stored(spark, d, stemmed: bool = False) -> fulltext.Postings:
     until Spark ends or the documents change."""
     key = (*_files(spark, d, "documents"), stemmed)
     if key not in _STORED:
-        path, own = scratch(spark, "index"), items(spark, d)
-        fulltext.index(own, stemmed=stemmed).write.parquet(f"{path}/terms")
-        terms = spark.read.parquet(f"{path}/terms")
-        buckets = fulltext.buckets_for(terms.count())
-        fulltext.write_postings(terms, path, buckets)
-        _STORED[key] = fulltext.read_postings(spark, path, buckets, own.select("id", "createdDate", "modifiedDate"))
+        stage, own = Store(spark, scratch(spark, "index")).stage(1), items(spark, d)
+        terms = stage.put("fts", fulltext.index(own, stemmed=stemmed))
+        size = fulltext.size_of(terms)
+        buckets, mean = fulltext.buckets_for(size["fts_rows"]), size["fts_length"] / max(1, size["fts_rows"])
+        made = stage.put("impacts", impacts.impacts(terms, mean, buckets))
+        early = impacts.Early(made, stage.put("levels", impacts.levels(made)), terms, mean)
+        stats = fulltext.stats_row(spark, size["fts_rows"], size["fts_length"])
+        _STORED[key] = fulltext.Postings(stage.put("postings", fulltext.postings(terms, buckets)), stats, buckets, own.select("id", "createdDate", "modifiedDate"), early)
+        stage.commit({})
     return _STORED[key]
 
 

@@ -22,12 +22,15 @@ import uuid
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Tables that are partitioned by a column, sorted by another within, and dealt over the partition's files by a third.
-LAID_OUT = {"postings": ("bucket", "term", "id"), "ann": ("list", "chunk_id", "item_id")}
+LAID_OUT = {
+    "postings": ("bucket", ("term", "id"), "id"), "impacts": ("bucket", ("term", "-impact"), "id"), "levels": ("bucket", ("term",), "term"),
+    "ann": ("list", ("chunk_id",), "item_id"),
+}
 #: What a table's rows are retired by, where it isn't id; edges go with either end.
 KEYS = {"fields_kv": ("itemId",), "relationships": ("fromItem", "toItem"), "chunks": ("item_id",), "ann": ("item_id",)}
 #: Parts besides the first that are merged, and the share of a table's bytes in them at which it is written anew.
@@ -212,7 +215,7 @@ class Stage:
             # a partition in as many files as its rows need, each sorted, whatever share of the rows it holds
             files = temp.groupBy(F.col(part).alias("_part")).agg(F.ceil(F.count("*") / PART_ROWS).alias("_files"))
             laid = temp.join(F.broadcast(files), F.col(part) == F.col("_part")).repartition(part, F.pmod(F.xxhash64(spread), F.col("_files")))
-            laid.sortWithinPartitions(part, order, spread).drop("_part", "_files").write.partitionBy(part).parquet(f"{self.store._home(self.project)}/{folder}")
+            laid.sortWithinPartitions(part, *map(_ordered, order)).drop("_part", "_files").write.partitionBy(part).parquet(f"{self.store._home(self.project)}/{folder}")
             df = df.select(*(c for c in df.columns if c != part), part)
         else:
             (df.sortWithinPartitions(key) if key in df.columns else df).write.parquet(f"{self.store._home(self.project)}/{folder}")
@@ -224,11 +227,11 @@ class Stage:
         """Writes further rows of a table, in as few files as they need, and gives them as written."""
         if table not in self.tables:
             return self.put(table, df)
-        folder, order = f"{self.name}/{table}-{uuid.uuid4().hex[:8]}", LAID_OUT[table][1] if table in LAID_OUT else KEYS.get(table, ("id",))[0]
+        folder, order = f"{self.name}/{table}-{uuid.uuid4().hex[:8]}", LAID_OUT[table][1] if table in LAID_OUT else (KEYS.get(table, ("id",))[0],)
         temp = self.temp(f"{table}-rows", df)
         fs, p = self.store._at(f"{self.at}/_temp/{table}-rows")
         files = 1 + int(fs.getContentSummary(p).getLength()) // FILE_BYTES
-        (temp.coalesce(1) if files == 1 else temp.repartitionByRange(files, order)).sortWithinPartitions(order).write.parquet(f"{self.store._home(self.project)}/{folder}")
+        (temp.coalesce(1) if files == 1 else temp.repartitionByRange(files, *map(_ordered, order))).sortWithinPartitions(*map(_ordered, order)).write.parquet(f"{self.store._home(self.project)}/{folder}")
         part = self._wrote(folder, df)
         self.tables[table]["parts"].append(part)
         self.done.add(table)
@@ -307,6 +310,10 @@ class Stage:
         self._delete(self.name)
 
 
+def _ordered(name: str) -> Column:
+    return F.desc(name[1:]) if name.startswith("-") else F.col(name)
+
+
 def _folders(said: dict) -> set[str]:
     return {p["at"] for t in said["tables"].values() for p in [*t["parts"], *t["gone"]]}
 

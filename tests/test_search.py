@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillstone.operators import fulltext, search, vectors
 from quillstone.plans import boolexpr as B
 from quillstone.plans import sql
+from quillstone.sources.store import Store
 from quillstone.streaming import gate
 
 T = B.Term
@@ -64,9 +65,10 @@ def index(spark):
 @pytest.fixture(scope="module")
 def stored(spark, index, tmp_path_factory):
     at = str(tmp_path_factory.mktemp("index"))
-    fulltext.write_postings(index, f"{at}/p", 8)
+    stage = Store(spark, f"{at}/p").stage(1)
+    table = stage.put("postings", fulltext.postings(index, 8))
     dates = spark.createDataFrame([(i, f"2024-01-0{i}") for i in range(1, 10)], "id long, createdDate string")
-    return fulltext.read_postings(spark, f"{at}/p", 8, dates)
+    return fulltext.Postings(table, fulltext.stats_of(index), 8, dates)
 
 
 @pytest.fixture(scope="module")
