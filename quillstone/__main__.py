@@ -63,7 +63,11 @@ def run(engine: Engine, a: argparse.Namespace):
     if a.command == "status":
         return engine.status(a.project)
     if a.command == "index":
-        return {p: engine.index_vectors(p) for p in engine.resolve(a.project)}
+        made = {}
+        for p in engine.resolve(a.project):
+            engine.index_substrings(p)
+            made[p] = engine.index_vectors(p) if engine.vector_state(p) == "ready" else {}
+        return made
     if a.command == "purge":
         return engine.purge(a.project, a.all)
     if a.command == "query":

@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import ann, filters, fulltext, impacts, ingest, search, vectors
+from .operators import ann, filters, fulltext, grams, impacts, ingest, search, vectors
 from .plans import boolexpr, sql
 from .sources import paged
 from .sources.store import KEYS, Stage, Store, fresh_dimension
@@ -129,6 +129,8 @@ class Engine:
             stage.put("relationships", ingest.relationships(edges, self._dim("relationshiptypes", "name") if with_links else None))
             stage.put("fts", fulltext.index(flat, keep=KEPT))
             index = self._indexed(stage)
+            if "grams" in stage.tables:
+                stage.put("grams", grams.grams(flat))
             if with_vectors:
                 self._embedded(stage, flat)
                 vmeta = self._vmeta(mark)
@@ -171,6 +173,8 @@ class Engine:
                     stage.add("postings", fulltext.postings(fresh["fts"], int(meta["fts_buckets"])))
                     more = stage.add("impacts", impacts.impacts(fresh["fts"], float(meta["impact_mean"]), int(meta["fts_buckets"])))
                     stage.add("levels", impacts.levels(more).unionByName(self._levels_off(old, meta)))
+                if "grams" in stage.tables:
+                    stage.add("grams", grams.grams(new))
                 gained = ingest.counts({"item_count": new, "field_kv_count": fresh["fields_kv"]}).collect()
                 counts = {r.t: str(int(meta[r.t]) - lost[r.t] + r.n) for r in gained}
                 if "picklist" in stage.done:
@@ -202,6 +206,16 @@ class Engine:
         stage.put("ann", ann.encode(chunks, model))
         return model
 
+    def index_substrings(self, project: int) -> None:
+        """Makes the index of pieces of texts that substring searches use; from then on updates keep it."""
+        stage = self.store.stage(project)
+        try:
+            stage.put("grams", grams.grams(stage.read("items")))
+        except BaseException:
+            stage.abandon()
+            raise
+        stage.commit(self.store.meta(project))
+
     def index_vectors(self, project: int) -> dict[str, float]:
         """Makes the approximate index of the chunks; from then on updates keep it.  Gives its lists, how many of them a
         query probes, and the share of true neighbours that these held when it was made."""
@@ -360,7 +374,8 @@ class Engine:
         self._ready(project, True, offline, force)
         read = lambda t: self.store.read(project, t)
         vector = self.embedder.query(words) if words else None
-        return search.hybrid(read("items"), self.postings(project), tree, read("chunks"), vector, field, types, dates, top, max_distance, compat=compat)
+        pieces = read("grams") if "grams" in self.store.tables(project) else None
+        return search.hybrid(read("items"), self.postings(project), tree, read("chunks"), vector, field, types, dates, top, max_distance, compat=compat, substrings=pieces)
 
     def semantic(self, given: str | int, query: str, types: str | None = None, dates: filters.Dates | None = None, top: int = 0, max_distance: float = vectors.MAX_DISTANCE, offline: bool = False, force: bool = False, approximate: bool = False) -> DataFrame:
         """The nearest items; ``approximate`` looks only into the lists of the index that are near (see ``index_vectors``)."""

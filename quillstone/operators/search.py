@@ -6,16 +6,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans import boolexpr
-from . import ann, filters, fulltext, vectors
+from . import ann, filters, fulltext, grams, vectors
 
 #: The constant of reciprocal ranks, the rows of a text leg, and the legs in the order of adding up.
 RRF_K, LEG = 60, 200
 LEGS = ("fts", "like", "vec")
 
 
-def like_leg(items: DataFrame, tree: boolexpr.Node, field: str = "all", dates: filters.Dates | None = None, limit: int | None = LEG, escape: bool = False) -> DataFrame:
-    """id of the first matches in document order (sort order, nulls last, then id); dates are applied before the limit."""
-    found = items.where(filters.substring(tree, field, escape))
+def like_leg(items: DataFrame, tree: boolexpr.Node, field: str = "all", dates: filters.Dates | None = None, limit: int | None = LEG, escape: bool = False, index: DataFrame | None = None) -> DataFrame:
+    """id of the first matches in document order (sort order, nulls last, then id); dates are applied before the limit.
+    With a substring index only the items that it names are looked at."""
+    found = grams.narrowed(items, index, tree, escape).where(filters.substring(tree, field, escape))
     if dates is not None:
         found = found.where(dates.condition())
     found = found.orderBy(F.asc_nulls_last("globalSortOrder"), "id")
@@ -56,7 +57,7 @@ def hydrate(hits: DataFrame, items: DataFrame, types: str | None = None, dates:
 
 def hybrid(
     items: DataFrame, index: DataFrame | None, tree: boolexpr.Node | None, chunks: DataFrame | None = None, query_vector: list[float] | None = None, field: str = "all",
-    types: str | None = None, dates: filters.Dates | None = None, top: int = 0, max_distance: float = vectors.MAX_DISTANCE, stemmed: bool = True, compat: bool = False,
+    types: str | None = None, dates: filters.Dates | None = None, top: int = 0, max_distance: float = vectors.MAX_DISTANCE, stemmed: bool = True, compat: bool = False, substrings: DataFrame | None = None,
 ) -> DataFrame:
     """id, documentKey, typeKey, sequence, score, via and name of the fused hits, best first; ``top`` 0 keeps all."""
     if top < 0:
@@ -66,7 +67,7 @@ def hybrid(
         if index is not None:
             where = dates.condition() if dates is not None else None
             legs.append(ranked(fulltext.search(index, tree, field, where, stemmed=stemmed, compat=compat), "fts", "bm25", "id"))
-        legs.append(ranked(like_leg(items, tree, field, dates), "like", F.asc_nulls_last("globalSortOrder"), "id"))
+        legs.append(ranked(like_leg(items, tree, field, dates, index=substrings), "like", F.asc_nulls_last("globalSortOrder"), "id"))
     if query_vector is not None and chunks is not None:
         near = vectors.fold(vectors.nearest(chunks, query_vector, max_distance=max_distance))
         legs.append(ranked(near.withColumnRenamed("item_id", "id"), "vec", "distance", "id"))

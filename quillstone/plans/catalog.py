@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import ann, filters, fulltext, impacts, ingest, search, vectors
+from ..operators import ann, filters, fulltext, grams, impacts, ingest, search, vectors
 from ..sources import paged
 from ..sources.store import Store, scratch
 from ..streaming import gate, upsert
@@ -166,6 +166,31 @@ for _name, _expression, _where in (
     ORACLES[_name] = f"WITH {ITEMS} SELECT id FROM items WHERE {_where}"
 
 
+@functools.cache
+def _pieces(files: tuple, spark, d) -> Store:
+    """All items and the substring index of them, stored as a project's are."""
+    store = Store(spark, scratch(spark, "pieces"))
+    stage = store.stage(1)
+    stage.put("grams", grams.grams(stage.put("items", items(spark, d))))
+    stage.commit({})
+    return store
+
+
+def _like_index(expression: str):
+    def run(spark, d):
+        store = _pieces(_files(spark, d, "documents"), spark, d)
+        return search.like_leg(store.read(1, "items"), boolexpr.parse(expression), limit=None, index=store.read(1, "grams")).select("id")
+
+    return run
+
+
+for _name, _expression, _like_name in (
+    ("like_index_term", "thble", "like_term"), ("like_index_or_not", "thble or (attion and not thing)", "like_or_not"), ("like_index_wildcard", '"th%ble the_"', "like_wildcard"),
+):
+    QUERIES[_name] = _like_index(_expression)
+    ORACLES[_name] = ORACLES[_like_name]
+
+
 @query("SELECT p_partkey AS id FROM (SELECT *, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_name END AS name FROM part) WHERE NOT ((name || ' ' || p_type || ' ') ILIKE '%a%')")
 def like_null_name(spark, d):
     parts = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 7 != 0, F.col("p_name")).alias("name"), F.col("p_type").alias("description"), F.lit(None).cast("string").alias("stepsText"))

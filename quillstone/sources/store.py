@@ -29,7 +29,7 @@ from pyspark.sql.types import StructType
 #: Tables that are partitioned by a column, sorted by another within, and dealt over the partition's files by a third.
 LAID_OUT = {
     "postings": ("bucket", ("term", "id"), "id"), "impacts": ("bucket", ("term", "-impact"), "id"), "levels": ("bucket", ("term",), "term"),
-    "ann": ("list", ("chunk_id",), "item_id"),
+    "ann": ("list", ("chunk_id",), "item_id"), "grams": ("bucket", ("gram", "block"), "gram"),
 }
 #: What a table's rows are retired by, where it isn't id; edges go with either end.
 KEYS = {"fields_kv": ("itemId",), "relationships": ("fromItem", "toItem"), "chunks": ("item_id",), "ann": ("item_id",)}

@@ -304,7 +304,7 @@ def test_what_a_search_looks_for(monkeypatch):
 
     class Bare(Engine):
         def __post_init__(self):
-            self.store = SimpleNamespace(read=lambda project, table: table)
+            self.store = SimpleNamespace(read=lambda project, table: table, tables=lambda project: [])
             self.embedder = SimpleNamespace(query=lambda words: words)
 
         def single(self, given):
