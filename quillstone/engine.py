@@ -9,10 +9,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import ann, filters, fulltext, grams, impacts, ingest, search, vectors
+from .operators import ann, filters, fulltext, grams, hierarchy, impacts, ingest, search, vectors
 from .plans import boolexpr, sql
 from .sources import paged
-from .sources.store import KEYS, Stage, Store, fresh_dimension
+from .sources.store import KEYS, Stage, Store, fresh_dimension, written
 from .streaming import gate
 
 VERSION = "1.0"
@@ -387,6 +387,13 @@ class Engine:
         model = ann.Model.read(read("ann_model")) if approximate else None
         return search.semantic(read("items"), read("ann" if approximate else "chunks"), self.embedder.query(query), types, dates, top, max_distance, model)
 
+    def tree(self, given: str | int, top: int | None = None) -> DataFrame:
+        """id, root and depth of every item by its parents; with ``top`` id and depth of that item and all below it."""
+        project = self.single(given)
+        self._ready(project, False, True, False)
+        flat, through = self.store.read(project, "items"), written(self.spark, "tree")
+        return hierarchy.positions(flat, through) if top is None else hierarchy.below(flat, top, through)
+
     def query(self, given: str | int, statement: str, offline: bool = False, force: bool = False) -> DataFrame:
         """Read-only SQL over items, fields_kv, picklist, relationships, meta, fts and chunks, and fts_match('expression'):
         the id and bm25 of what a full-text search finds."""

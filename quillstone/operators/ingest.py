@@ -71,6 +71,13 @@ def latest(raw: DataFrame, arrival: str | None = None, tie: str = "record") -> D
     return rows.withColumn("n", F.row_number().over(by)).where("n = 1").drop("n")
 
 
+def last_seen(rows: DataFrame, key: str, *order: str) -> DataFrame:
+    """Of each key the row with the largest values of ``order`` (nulls are smallest).  Rows are compared before they are
+    shuffled, so a key may have any share of them."""
+    kept = F.max_by(F.struct(*(c for c in rows.columns if c != key)), F.struct(*order)).alias("kept")
+    return rows.groupBy(key).agg(kept).select(key, "kept.*").select(*rows.columns)
+
+
 def items(rows: DataFrame, types: DataFrame | None = None, picks: DataFrame | None = None) -> DataFrame:
     """The 23 columns of items.  types: id, typeKey, display; picks: id, name; both are small dimensions."""
     r = F.col("r")

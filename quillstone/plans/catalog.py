@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import ann, filters, fulltext, grams, impacts, ingest, search, vectors
+from ..operators import ann, filters, fulltext, grams, hierarchy, impacts, ingest, search, vectors
 from ..sources import paged
-from ..sources.store import Store, scratch
+from ..sources.store import Store, scratch, written
 from ..streaming import gate, upsert
 from . import boolexpr, sql
 
@@ -558,9 +558,7 @@ def _ql(inner: str) -> str:
 
 @query(f"SELECT * FROM {_ql(_LAST)}")
 def dedup_last_seen(spark, d):
-    rows = _events(spark, d)
-    last = ingest.latest(rows.withColumn("record", F.to_json(F.struct(*rows.columns))).drop("id"), tie="event_id")
-    return last.select(*rows.columns)
+    return ingest.last_seen(_events(spark, d), "id", "modifiedDate", "event_id")
 
 
 @query(f"WITH b AS (SELECT * FROM {_ql(_LAST + f' WHERE ts < TIMESTAMP {chr(39)}{_CUT}{chr(39)}')}), n AS (SELECT * FROM {_ql(_LAST + f' WHERE ts >= TIMESTAMP {chr(39)}{_CUT}{chr(39)}')}) SELECT * FROM n UNION ALL SELECT * FROM b WHERE id NOT IN (SELECT id FROM n)")
@@ -693,6 +691,19 @@ def chunk_statistics(spark, d):
     return rows.groupBy("lang").agg(F.count("*").alias("chunks"), F.round(F.avg(F.length("c")), 6).alias("mean_length"))
 
 
+_PREVIOUS = "lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey)"
+
+
+@query(
+    f"""WITH RECURSIVE p AS MATERIALIZED (SELECT o_orderkey AS id, {_PREVIOUS} AS up FROM orders),
+t AS (SELECT id, id AS root, 0::BIGINT AS depth FROM p WHERE up IS NULL UNION ALL SELECT p.id, root, depth + 1 FROM t JOIN p ON p.up = t.id) SELECT id, root, depth FROM t"""
+)
+def tree_positions(spark, d):
+    """Orders as a tree: each stands below its customer's order before it."""
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.expr(_PREVIOUS).alias("parentItem"))
+    return hierarchy.positions(rows, written(spark, "tree"))
+
+
 # SQL pass-through
 
 
@@ -706,7 +717,8 @@ def _sql(name: str, text_: str, oracle: str | None = None, tables: tuple[str, ..
 _sql("sql_group_by", "SELECT c_mktsegment, count(*) AS n, round(sum(c_acctbal), 2) AS balance FROM customer GROUP BY c_mktsegment")
 _sql("sql_having", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 15")
 _sql("sql_cte", "WITH big AS (SELECT o_custkey, sum(o_totalprice) AS s FROM orders GROUP BY o_custkey) SELECT c_custkey, round(s, 2) AS total FROM big JOIN customer ON c_custkey = o_custkey WHERE s > 2000000")
-_sql("sql_recursive", "WITH RECURSIVE t(n, f) AS (SELECT 1, CAST(1 AS BIGINT) UNION ALL SELECT n + 1, f * (n + 1) FROM t WHERE n < 12) SELECT n, f FROM t")
+_sql("sql_recursive", "WITH RECURSIVE up(k, a, steps) AS (SELECT s_suppkey, s_suppkey, 0 FROM supplier UNION ALL SELECT k, int_div(a, 2), steps + 1 FROM up WHERE a > 1) SELECT k, min(a) AS top, max(steps) AS depth FROM up GROUP BY k",
+     "WITH RECURSIVE up(k, a, steps) AS (SELECT s_suppkey, s_suppkey, 0 FROM supplier UNION ALL SELECT k, a // 2, steps + 1 FROM up WHERE a > 1) SELECT k, min(a) AS top, max(steps) AS depth FROM up GROUP BY k")
 _sql("sql_window", "SELECT o_orderkey, rank() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS place, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS running FROM orders")
 _sql("sql_union", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")
 _sql("sql_union_all", "SELECT 'items' AS t, count(*) AS n FROM customer UNION ALL SELECT 'links', count(*) FROM orders")

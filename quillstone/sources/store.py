@@ -58,6 +58,18 @@ def scratch(spark: SparkSession, name: str) -> str:
     return at
 
 
+def written(spark: SparkSession, name: str) -> Callable[[DataFrame, str], DataFrame]:
+    """A function that writes rows under a name in a new scratch folder and reads them back: it cuts the lineage, and what it
+    made survives lost executors."""
+    at = scratch(spark, name)
+
+    def through(df: DataFrame, part: str) -> DataFrame:
+        df.write.parquet(f"{at}/{part}")
+        return spark.read.schema(df.schema).parquet(f"{at}/{part}")
+
+    return through
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")

@@ -8,7 +8,7 @@ late rows, which this must not.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import ingest
@@ -17,8 +17,7 @@ from ..sources.store import Store, scratch
 
 def newest(rows: DataFrame, key: str = "id") -> DataFrame:
     """Of each key the row that was modified last."""
-    n = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("modifiedDate"), F.desc("event_id")))
-    return rows.withColumn("n", n).where("n = 1").drop("n")
+    return ingest.last_seen(rows, key, "modifiedDate", "event_id")
 
 
 def into(store: Store, project: int, table: str = "items"):
