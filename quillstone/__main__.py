@@ -12,6 +12,7 @@ import sys
 
 from .engine import Engine, as_json, as_text
 from .operators.filters import Dates
+from .sources.sink import save
 from .streaming.gate import Stop
 
 
@@ -36,6 +37,7 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("project")
         c.add_argument("text", nargs="?", help="the question, or the SQL of query")
         c.add_argument("--offline", action="store_true")
+        c.add_argument("--output", help="a file that gets the result instead of the screen")
         c.add_argument("--force", action="store_true")
         if name != "query":
             c.add_argument("--type", dest="types")
@@ -96,7 +98,10 @@ def main(args: list[str] | None = None) -> int:
     except (Stop, ValueError, LookupError) as e:
         print(e, file=sys.stderr)
         return 2
-    print((as_json if a.json else as_text)(got) if isinstance(got, DataFrame) else got)
+    if isinstance(got, DataFrame) and getattr(a, "output", None):
+        save(got, a.output, "json" if a.json else "text")
+    else:
+        print((as_json if a.json else as_text)(got) if isinstance(got, DataFrame) else got)
     return 0
 
 

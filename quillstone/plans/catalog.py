@@ -16,7 +16,7 @@ from ..functions import text
 from ..operators import ann, filters, fulltext, grams, hierarchy, impacts, ingest, search, vectors
 from ..sources import paged
 from ..sources.store import Store, scratch, written
-from ..streaming import gate, upsert
+from ..streaming import gate, last_seen, upsert
 from . import boolexpr, sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -370,13 +370,17 @@ def engine_sql(spark, d):
     return _engine(spark, d).query(1, statement, offline=True)
 
 
+def _orders_as_records(spark, d) -> DataFrame:
+    date = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss.SSS'+0000'")
+    return table(spark, d, "orders").select(F.to_json(F.struct(F.col("o_orderkey").alias("id"), date.alias("modifiedDate"))).alias("value"))
+
+
 @query("SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.000+0000') AS modifiedDate FROM orders WHERE o_orderdate >= TIMESTAMP '1996-07-01'")
 def paged_delta(spark, d):
     """Orders through the paged source, 20,000 a page, the date filter pushed to where the pages are made."""
     at = scratch(spark, "paged")
-    date = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss.SSS'+0000'")
-    table(spark, d, "orders").select(F.to_json(F.struct(F.col("o_orderkey").alias("id"), date.alias("modifiedDate"))).alias("value")).write.text(f"{at}/orders.jsonl")
-    delta = ingest.since(paged.scan(spark, at.removeprefix("file:"), "orders", page=20_000), "1996-07-01")
+    _orders_as_records(spark, d).write.text(f"{at}/orders.jsonl")
+    delta = ingest.since(paged.scan(spark, at, "orders", page=20_000), "1996-07-01")
     return ingest.records(delta).select(ingest.scalar(F.col("r"), "id", "long").alias("id"), "modifiedDate")
 
 
@@ -649,6 +653,24 @@ def incremental_stream(spark, d):
     return upsert.replay(spark, d)
 
 
+@query(ORACLES["dedup_last_seen"])
+def stateful_last_seen(spark, d):
+    """The same by a keyed state that lets only changes through, over files that each hold rows of all times."""
+    return last_seen.replay(spark, d)
+
+
+@query("SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.000+0000') AS modifiedDate FROM orders WHERE o_orderdate >= TIMESTAMP '1996-07-01'")
+def stream_delta(spark, d):
+    """Orders since a day through the paged source as a stream, run until nothing is new."""
+    at = scratch(spark, "stream-source")
+    _orders_as_records(spark, d).write.text(f"{at}/orders.jsonl")
+    rows = ingest.records(paged.stream(spark, at, "orders", page=20_000, modifiedSince="1996-07-01"))
+    rows = rows.select(ingest.scalar(F.col("r"), "id", "long").alias("id"), "modifiedDate")
+    run = rows.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/progress").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{at}/out")
+
+
 @query("SELECT n_nationkey, n_name FROM nation WHERE regexp_matches(n_name, '(?i)^u|land$') ORDER BY n_name")
 def name_regex(spark, d):
     return filters.named(table(spark, d, "nation"), "^u|land$", "n_name", "n_nationkey").select("n_nationkey", "n_name")

@@ -14,8 +14,8 @@ and hands it to the tasks, which ask anew only if it is refused.
 from __future__ import annotations
 
 import base64
+import datetime
 import json
-import os
 import re
 import time
 import urllib.error
@@ -24,8 +24,9 @@ import urllib.request
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, Filter, GreaterThanOrEqual, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, Filter, GreaterThanOrEqual, InputPartition
 
 #: Rows of a page; tries at a server that fails or asks to wait; tries with a refused token.
 PAGE, TRIES, TOKEN_TRIES = 50, 6, 2
@@ -35,6 +36,7 @@ TOKEN_SECONDS, WAIT = 3300, 1.0
 # and the name of the date filter.
 API, PATHS, SINCE = "rest/v1", {"items": "abstractitems"}, "modifiedDate"
 _tokens: dict[tuple[str, str], tuple[str, float]] = {}
+_files: dict[str, tuple[list, list[dict]]] = {}
 
 
 @dataclass
@@ -47,13 +49,18 @@ class Client:
     shared: tuple[str, float] | None = None
     wait: float = field(default_factory=lambda: WAIT)
 
+    @property
+    def served(self) -> bool:
+        """Whether the base is a server and not a folder (on any file system)."""
+        return self.base.startswith(("http://", "https://"))
+
     @property
     def root(self) -> str:
         return self.base.split("/rest")[0].rstrip("/")
 
     def handed(self) -> Client:
         """This client with a token that tasks can use without asking for one themselves."""
-        if "://" in self.base and ":" in self.token:
+        if self.served and ":" in self.token:
             self.bearer()
             return replace(self, shared=_tokens[(self.base, self.token)])
         return self
@@ -103,7 +110,7 @@ class Client:
         return self._asked(request, again)
 
     def page(self, endpoint: str, start: int, size: int, query: dict[str, str]) -> dict:
-        if "://" not in self.base:
+        if not self.served:
             return self._from_folder(endpoint, start, size, query)
         return self.get(endpoint, {**query, "startAt": start, "maxResults": size})
 
@@ -119,7 +126,7 @@ class Client:
 
     def one(self, endpoint: str, identifier: int) -> dict | None:
         """A single record by its identifier; None where the server has none."""
-        if "://" not in self.base:
+        if not self.served:
             return next((r for r in self._rows(endpoint) if r.get("id") == identifier), None)
         try:
             return self.get(f"{endpoint}/{identifier}", {}).get("data")
@@ -129,12 +136,23 @@ class Client:
             return None
 
     def _rows(self, endpoint: str) -> list[dict]:
-        at, out = os.path.join(self.base, f"{endpoint}.jsonl"), []
-        files = sorted(os.path.join(at, n) for n in os.listdir(at) if n.startswith("part-")) if os.path.isdir(at) else [at]
-        for name in files if os.path.exists(at) else ():
-            with open(name, encoding="utf-8") as f:
-                out += [json.loads(x) for x in f if x.strip()]
-        return out
+        """The records of an endpoint's files, read once while the files stay as they are."""
+        at = f"{self.base.rstrip('/')}/{endpoint}.jsonl"
+        system, inner = pafs.FileSystem.from_uri(at) if ":/" in at else (pafs.LocalFileSystem(), at)
+        found = system.get_file_info(inner)
+        if found.type == pafs.FileType.NotFound:
+            return []
+        files = [found] if found.is_file else [f for f in system.get_file_info(pafs.FileSelector(inner)) if f.base_name.startswith("part-")]
+        files.sort(key=lambda f: f.path)
+        stamp = [(f.path, f.size, f.mtime_ns) for f in files]
+        if _files.get(at, (None,))[0] != stamp:
+            rows = []
+            for f in files:
+                with system.open_input_stream(f.path) as source:
+                    rows += [json.loads(x) for x in source.read().splitlines() if x.strip()]
+            _files.clear()  # a process holds one endpoint's
+            _files[at] = stamp, rows
+        return _files[at][1]
 
     def _from_folder(self, endpoint: str, start: int, size: int, query: dict[str, str]) -> dict:
         if m := re.fullmatch(r"items/(\d+)/downstreamrelationships", endpoint):
@@ -194,6 +212,86 @@ class PagedReader(DataSourceReader):
             yield json.dumps(r, ensure_ascii=False), date if isinstance(date, str) else None, partition.start
 
 
+@dataclass
+class Span(InputPartition):
+    start: int
+    since: str
+    until: str
+
+
+#: The first and the last moment that a watermark can be, in milliseconds.
+EPOCH, LAST = 0, 4_102_444_800_000
+
+
+def date_text(ms: int) -> str:
+    """A moment as the source writes dates."""
+    at = datetime.datetime.fromtimestamp(ms / 1000, datetime.timezone.utc)
+    return f"{at:%Y-%m-%dT%H:%M:%S}.{ms % 1000:03d}+0000"
+
+
+class PagedStream(DataSourceStreamReader):
+    """The source as a stream.  The offset is the watermark, the newest modification date that was seen, which the next
+    batch takes in again (inclusive), and how many records there were at or after it.
+
+    The server is asked for counts only: if as many records as before are at or after the watermark, and none after it,
+    there is nothing new.  Otherwise the newest date is found by halving, some forty counts, whatever there is to fetch; the
+    tasks then fetch the span's pages.  ``lateness`` (seconds) lets a batch begin that much before the watermark, so records
+    that come with an older date are fetched, too, and what comes again is for the upsert to leave alone.
+    """
+
+    def __init__(self, options: dict[str, str]):
+        self.inner = PagedReader({k: v for k, v in options.items() if k != "modifiedsince"})
+        self.first, self.lateness = options.get("modifiedsince", ""), int(options.get("lateness", 0))
+
+    def initialOffset(self) -> dict:
+        return {"mark": self.first, "since": self.first, "n": -1}
+
+    def _count(self, since: str) -> int:
+        return self.inner.client.total(self.inner.endpoint, {**self.inner.query, **({SINCE: since} if since else {})})
+
+    def latestOffset(self) -> dict:
+        now = getattr(self, "at", None) or self.initialOffset()
+        if now["n"] >= 0 and self._count(now["since"]) == now["n"] and not self._count(_after(now["mark"])):
+            return now
+        low, high = (_ms(now["mark"]) if now["mark"] else EPOCH), LAST
+        if not self._count(date_text(low)):
+            return now
+        while low < high:  # the last moment at or after which there is a record
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if self._count(date_text(middle)) else (low, middle - 1)
+        mark = date_text(low)
+        since = date_text(max(EPOCH, low - 1000 * self.lateness))
+        self.at = {"mark": mark, "since": since, "n": self._count(since)}
+        return self.at
+
+    def partitions(self, start: dict, end: dict) -> list[Span]:
+        if start == end:
+            return []
+        self.inner.client = self.inner.client.handed()
+        total = self._count(start["since"])
+        return [Span(s, start["since"], _after(end["mark"])) for s in range(0, total, self.inner.size)]
+
+    def read(self, partition: Span) -> Iterator[tuple]:
+        query = {**self.inner.query, **({SINCE: partition.since} if partition.since else {})}
+        for r in self.inner.client.page(self.inner.endpoint, partition.start, self.inner.size, query)["data"]:
+            date = r.get("modifiedDate")
+            if isinstance(date, str) and date < partition.until:  # what came since is for the next batch
+                yield json.dumps(r, ensure_ascii=False), date, partition.start
+
+    def commit(self, end: dict) -> None:
+        self.at = end
+
+
+def _ms(text: str) -> int:
+    whole = text if len(text) > 10 else f"{text}T00:00:00.000+0000"
+    at = datetime.datetime.strptime(whole, "%Y-%m-%dT%H:%M:%S.%f%z")
+    return round((at - datetime.datetime(1970, 1, 1, tzinfo=datetime.timezone.utc)).total_seconds() * 1000)
+
+
+def _after(mark: str) -> str:
+    return date_text(_ms(mark) + 1)
+
+
 class PagedItems(DataSource):
     """record (JSON), modifiedDate and page (where the record's page starts, its order of arrival)."""
 
@@ -207,6 +305,9 @@ class PagedItems(DataSource):
     def reader(self, schema) -> PagedReader:
         return PagedReader({k.lower(): v for k, v in self.options.items()})
 
+    def streamReader(self, schema) -> PagedStream:
+        return PagedStream({k.lower(): v for k, v in self.options.items()})
+
 
 def scan(spark: SparkSession, base: str, endpoint: str, **options) -> DataFrame:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
@@ -218,6 +319,16 @@ def scan(spark: SparkSession, base: str, endpoint: str, **options) -> DataFrame:
     return reader.load()
 
 
+def stream(spark: SparkSession, base: str, endpoint: str, **options) -> DataFrame:
+    """The endpoint as a stream of what is new; records without a date never come."""
+    spark.dataSource.register(PagedItems)
+    reader = spark.readStream.format("paged_items").option("base", base).option("endpoint", endpoint)
+    for k, v in options.items():
+        if v is not None:
+            reader = reader.option(k, v)
+    return reader.load()
+
+
 def looked_up(ids: DataFrame, client: Client, fetch, tasks: int = 16) -> DataFrame:
     """record: the JSON records that ``fetch(client, id)`` gives for each identifier of ids (id), in parallel."""
     client = client.handed()
