@@ -13,14 +13,16 @@ order of its children), of what it says, and of what its own words say.  Copies
 So a branch is of low importance if it repeats, or if it always looks the same and says little beside the host's texts.
 Walking down from the root, branches of low importance are taken off every page.  Within a branch whose presentation
 importance is high, and inside what a page marks as its article, only those go that repeat (content importance), and
-there only whole blocks: words within a line, headings and single entries or rows belong to what stands around them.
-An article that repeats as a whole stays whole.
+there only what isn't a line of the text itself: blocks that hold further blocks, links for the most part, a button or a
+field, or that are named a thing (below).  Words within a line, bylines, notes, listings, tables, headings and single entries
+or rows belong to what stands around them.  An article that repeats as a whole stays whole.
 
 The tree can't know what it sees on few pages, nor a reader's comment by its entropy.  Therefore
 elements that are menus, headers, footers, sidebars, forms, scripts or hidden by their tag, role or attribute go on every
-host; reader comments go by their class or id; and a block whose class or id names nothing but such a thing (``NAMES`` and
-``THINGS``) goes, too, unless the tree finds the host's heaviest text in it.  If a page has article elements (outside of what goes) their text is the page's, else that of its main
-elements, else that of the whole page.
+host; a block whose class or id has a word for comments or adverts goes, unless it holds the page's first heading or the tree
+finds the host's heaviest text in it; and so does one that names nothing but another such thing (``NAMES`` and ``THINGS``),
+inside an article only if it is no table or list of the text.  If a page has article elements (outside of what goes) their
+text is the page's, unless it has main elements with more than twice as much; then theirs is, else that of the whole page.
 
 The text is cut into blocks at block elements; white space in a block (line breaks, too) becomes one space; blocks are
 joined by an empty line; character references are decoded.
@@ -78,11 +80,21 @@ NAMES = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion banner menu nav navbar navigation breadcrumb breadcrumbs sidebar widget footer cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription share sharing social related recommended recommendations pagination pager login signup toolbar".split()
 )
 OUTER_NAMES = frozenset("header masthead notice notices alert search topbar legal copyright skip".split())
+#: One of these words is enough.
+ADVERTS = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored sponsors".split())
+NOTICES = frozenset("cookie cookies consent gdpr".split())
 #: Words that may stand beside those: "share-bar" is such a thing, "share-price" isn't.
-THINGS = frozenset("area bar block box button buttons container content form icons item items left link links list main notice page panel placeholder right section site slot top unit widget widgets wrap wrapper".split())
+THINGS = frozenset("area bar block box button buttons container content form icons item items left link links list main notice page panel placeholder posts articles stories right section site slot top unit widget widgets wrap wrapper".split())
 COMMENTS = frozenset("comment comments commentlist disqus respond reply replies".split())
+#: Beside these a word for comments tells of a page's state: "comments-open", "no-comments".
+STATES = frozenset("open closed off on no has enabled disabled allowed without".split())
 #: Elements that a class or id may name a thing: not paragraphs, headings and words within a line.
-HOLDERS = frozenset("div section ul ol dl table td article aside details dialog figure iframe center span".split())
+HOLDERS = frozenset("div section ul ol dl table td article aside details dialog figure iframe center".split())
+#: Of these those that are part of a text as often as not: inside an article their names count if they hold links mostly.
+LISTS = frozenset("ul ol dl table td figure".split())
+#: What a page may put a whole thing of several blocks into.
+BOXES = frozenset("div section aside details center article".split())
+CONTROLS = frozenset("button input form fieldset".split())
 CLOSES_P = BLOCK - {"html", "body", "legend", "caption", "tbody", "tfoot", "thead", "tr"}
 SAME_CLOSE = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 #: Elements that are left out with all they hold; if one isn't closed, it ends with the element around it.
@@ -199,7 +211,7 @@ def styles(root: Node) -> dict[int, tuple]:
                 words += n
         says = xxh3_64_digest(b"".join(parts))
         said[id(node)] = says, words + len(own)
-        x = found.setdefault(node.at, [[], [], [], 0, 0, _named(node, False) or _named(node, True)])
+        x = found.setdefault(node.at, [[], [], [], 0, 0, _named(node, False) or _commented(node)])
         x[0].append(" ".join(looks))
         x[1].append(says)
         x[2] += own
@@ -211,69 +223,124 @@ def styles(root: Node) -> dict[int, tuple]:
     }
 
 
+class Weight:
+    """What a branch holds: letters, those in links, whether a first heading, a control, or further blocks."""
+
+    __slots__ = ("letters", "linked", "heads", "controls", "blocks")
+
+    def __init__(self, node: Node):
+        self.letters = self.linked = 0
+        self.heads, self.controls, self.blocks = node.tag == "h1", node.tag in CONTROLS, False
+
+
+def weights(root: Node) -> dict[int, Weight]:
+    """Of every node, by id(); each is looked at once."""
+    order, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        order.append(node)
+        todo += [c for c in node.children if not isinstance(c, str)]
+    out: dict[int, Weight] = {}
+    for node in reversed(order):  # what a node holds comes before it
+        w = out[id(node)] = Weight(node)
+        for c in node.children:
+            if isinstance(c, str):
+                w.letters += len(c.strip())
+            else:
+                x = out[id(c)]
+                w.letters, w.linked, w.heads, w.controls = w.letters + x.letters, w.linked + x.linked, w.heads or x.heads, w.controls or x.controls
+                w.blocks = w.blocks or x.blocks or c.tag in BLOCK
+        if node.tag == "a":
+            w.linked = w.letters
+    return out
+
+
+def _words(node: Node) -> Iterator[list[str]]:
+    """The words of each class and of the id."""
+    if node.attrs:
+        for token in f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}".lower().split():
+            yield _NAME.findall(token)
+
+
 def _named(node: Node, inside: bool) -> bool:
-    """Whether a class or the id names a thing beside the article, and nothing else."""
-    if not node.attrs or node.tag not in HOLDERS:
-        return False
+    """Whether a class or the id names a thing beside the article."""
     names = NAMES if inside else NAMES | OUTER_NAMES
-    for token in f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}".lower().split():
-        words = _NAME.findall(token)
-        if any(w in names for w in words) and all(w in names or w in THINGS for w in words):
+    for words in _words(node):
+        if node.tag in HOLDERS and any(w in names for w in words) and all(w in names or w in THINGS for w in words):
+            return True
+        if any(w in ADVERTS for w in words) and node.tag in HOLDERS or node.tag == "p" and any(w in ADVERTS or w in NOTICES for w in words) and all(w in NAMES or w in OUTER_NAMES or w in THINGS for w in words):
             return True
     return False
 
 
+def _commented(node: Node) -> bool:
+    """Whether a class or the id speaks of readers' comments."""
+    return node.tag in HOLDERS and any(any(w in COMMENTS for w in words) and not any(w in STATES for w in words) for words in _words(node))
+
+
 def _marked(node: Node, inside: bool) -> bool:
-    """Whether tag, role or attributes say that a branch is none of the article, or its names that it is a comment."""
+    """Whether tag, role or attributes say that a branch is none of the article."""
     if node.tag in DROPPED or node.tag in OUTER and not inside:
         return True
     a = node.attrs
     if not a:
         return False
-    if "hidden" in a or a.get("aria-hidden") == "true" or a.get("role", "").lower() in ROLES or "display:none" in a.get("style", "").replace(" ", ""):
-        return True
-    if node.tag not in HOLDERS:
+    return "hidden" in a or a.get("aria-hidden") == "true" or a.get("role", "").lower() in ROLES or "display:none" in a.get("style", "").replace(" ", "")
+
+
+def _by_name(node: Node, inside: bool, said: int, w: Weight) -> bool:
+    """Whether its names take a branch off; what the tree finds to be the host's heaviest text stays."""
+    if said & HEAVIEST:
+        return False
+    if _commented(node):
+        return not w.heads
+    if inside and node.tag in LISTS and 2 * w.linked < w.letters and not any(x in ADVERTS for words in _words(node) for x in words):
         return False
-    tokens = [_NAME.findall(t) for t in f"{a.get('class', '')} {a.get('id', '')}".lower().split()]
-    return any(any(w in COMMENTS for w in t) and all(w in COMMENTS or w in THINGS for w in t) for t in tokens)
+    return _named(node, inside)
 
 
-def _goes(node: Node, inside: bool, flags: dict[int, int]) -> bool:
+def _goes(node: Node, inside: bool, flags: dict[int, int], weight: dict[int, Weight]) -> bool:
     """Whether a branch is taken off.  inside: only what repeats goes by the tree."""
     if _marked(node, inside):
         return True
-    said = flags.get(node.at, 0)
-    if said & (REPEATS if inside else UNIMPORTANT) and node.tag in BLOCK and node.tag not in (PARTS if inside else TRUNK):
+    said, w = flags.get(node.at, 0), weight[id(node)]
+    if node.tag in BLOCK and not inside and said & UNIMPORTANT and node.tag not in TRUNK:
         return True
-    return not said & HEAVIEST and _named(node, inside)
+    if node.tag in BLOCK and inside and said & REPEATS and node.tag not in PARTS and (w.controls or 2 * w.linked >= w.letters > 0 or node.tag in BOXES and w.blocks):
+        return True
+    return _by_name(node, inside, said, w)
 
 
 def main_text(root: Node, flags: dict[int, int] | None = None) -> str:
     """The blocks of the page's article; flags: what the host's tree says of its nodes."""
-    flags = flags or {}
+    flags, weight = flags or {}, weights(root)
+
+    def texts(marked: list[Node]) -> str:
+        return "\n\n".join(b for node in marked for b in _blocks(node, True, {} if flags.get(node.at, 0) & REPEATS else flags, weight))
+
     for known in (flags, {}) if flags else ({},):  # where the tree would take off all marked articles, it isn't asked
         articles, mains = [], []
         todo = [(root, False)]
         while todo:
             node, within = todo.pop()
-            if node.tag == "article" and not _marked(node, False) and (known.get(node.at, 0) & HEAVIEST or not _named(node, False)):
+            if node.tag == "article" and not _marked(node, False) and not _by_name(node, False, known.get(node.at, 0), weight[id(node)]):
                 articles.append(node)
                 continue
-            if node is not root and _goes(node, False, known):
+            if node is not root and _goes(node, False, known, weight):
                 continue
             main = node.tag == "main" or node.attrs.get("role") == "main"
             if main and not within:
                 mains.append(node)
             todo += [(c, within or main) for c in reversed(node.children) if not isinstance(c, str)]
-        for marked in (articles, mains):
-            if text := "\n\n".join(b for node in marked for b in _blocks(node, True, {} if flags.get(node.at, 0) & REPEATS else flags)):
-                return text
+        own, whole = texts(articles), texts(mains)
+        if text := whole if len(whole) > 2 * len(own) else own:
+            return text
         if articles:
             return ""
-    return "\n\n".join(_blocks(root, False, flags))
+    return "\n\n".join(_blocks(root, False, flags, weight))
 
 
-def _blocks(top: Node, inside: bool, flags: dict[int, int]) -> list[str]:
+def _blocks(top: Node, inside: bool, flags: dict[int, int], weight: dict[int, Weight]) -> list[str]:
     """The blocks of text of a branch in page order."""
     out, run = [], []
 
@@ -294,7 +361,7 @@ def _blocks(top: Node, inside: bool, flags: dict[int, int]) -> list[str]:
         block = c.tag in BLOCK
         if block:
             flush()
-        if _goes(c, within, flags):
+        if _goes(c, within, flags, weight):
             continue
         if c.tag in ("br", "td", "th"):
             run.append(" ")

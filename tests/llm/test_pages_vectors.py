@@ -124,6 +124,28 @@ def test_article_text_with_names_stays(block):
     assert html.main_text(html.parse(f"<nav>no</nav><article><p>a</p>{block}<p>b</article>")) == "a\n\nkept\n\nb"
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<main><h1>Title</h1><p>A long text that says all there is to say</p></main><section><article>Teaser</article></section>", "Title\n\nA long text that says all there is to say"),
+        ("<main><p>lead</p><article><p>The article itself</p></article></main>", "The article itself"), ("<article>only this</article><div>side</div>", "only this"),
+        *((f"<article><p>Text</p><div class='{c}'>Nice!</div></article>", "Text") for c in ("user-comments", "comment-text", "comment-body", "reader-comments", "ad-300x250", "google-ad", "related-posts")),
+        ("<article><p>Text</p><div id='reader-comments'>Nice!</div><p class='cookie-notice'>We use cookies</p></article>", "Text"),
+        ("<article class='post comments-open'><p>Text</p></article>", "Text"), ("<div class='no-comments'><p>Text</p></div>", "Text"), ("<div class='comments-page'><h1>On comments</h1><p>Text</p></div>", "On comments\n\nText"),
+        ("<article><p>They held a <span class='banner'>banner</span> high.</p></article>", "They held a banner high."),
+        ("<article><p>Eat</p><table class='menu'><tr><td>Soup<td>3</table><ul class='menu'><li>Fish</ul></article>", "Eat\n\nSoup 3\n\nFish"), ("<article><p>Eat</p><ul class='menu'><li><a>Home</a></ul></article>", "Eat"),
+    ],
+)
+def test_what_names_and_weights_decide(page, want):
+    assert html.main_text(html.parse(page)) == want
+
+
+def test_lines_that_repeat_in_articles_stay(spark):
+    rows = [(i, "http://h/p", f"<article><h1>Own {i}</h1><p class=byline>By Jane Doe</p><p>Text {i} of its own</p><div class=note>Prices are in euro.</div><pre>x = 1</pre><div class=k><a>More</a> <a>Less</a></div><div class=s>Letter <button>Go</button></div></article>", "l", "p") for i in range(8)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got == {i: f"Own {i}\n\nBy Jane Doe\n\nText {i} of its own\n\nPrices are in euro.\n\nx = 1" for i in range(8)}
+
+
 def test_deep_and_broken_pages():
     import time
     import tracemalloc
