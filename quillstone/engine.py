@@ -5,11 +5,12 @@ from __future__ import annotations
 import re
 import time
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import ann, filters, fulltext, grams, hierarchy, impacts, ingest, search, vectors
+from .operators import ann, filters, fulltext, grams, hierarchy, impacts, ingest, search, sketches, vectors
 from .plans import boolexpr, sql
 from .sources import paged
 from .sources.store import KEYS, Stage, Store, fresh_dimension, written
@@ -21,6 +22,8 @@ VECTOR_SCHEMA = "2"
 KEPT = ("createdDate", "modifiedDate")
 #: Names of the numbers of rows in the metadata, and the tables they count.
 COUNTS = {"item_count": "items", "field_kv_count": "fields_kv", "picklist_count": "picklist", "relationship_count": "relationships"}
+#: Tables whose columns have sketches.
+SKETCHED = ("items", "fields_kv")
 #: Projects that one name may stand for.
 MOST_PROJECTS = 5
 
@@ -131,6 +134,7 @@ class Engine:
             index = self._indexed(stage)
             if "grams" in stage.tables:
                 stage.put("grams", grams.grams(flat))
+            stage.put("sketches", self._sketched({t: stage.read(t) for t in SKETCHED}))
             if with_vectors:
                 self._embedded(stage, flat)
                 vmeta = self._vmeta(mark)
@@ -175,6 +179,7 @@ class Engine:
                     stage.add("levels", impacts.levels(more).unionByName(self._levels_off(old, meta)))
                 if "grams" in stage.tables:
                     stage.add("grams", grams.grams(new))
+                stage.add("sketches", self._sketched({"items": new, "fields_kv": fresh["fields_kv"]}))
                 gained = ingest.counts({"item_count": new, "field_kv_count": fresh["fields_kv"]}).collect()
                 counts = {r.t: str(int(meta[r.t]) - lost[r.t] + r.n) for r in gained}
                 if "picklist" in stage.done:
@@ -240,6 +245,15 @@ class Engine:
         stage.retire(ids, *tables)
         return lost
 
+    def _sketched(self, tables: dict[str, DataFrame]) -> DataFrame:
+        return reduce(DataFrame.unionByName, (sketches.of(rows, t) for t, rows in tables.items()))
+
+    def distinct(self, given: str | int) -> DataFrame:
+        """t, field and n: about how many different values the columns of items and fields_kv have, without reading them."""
+        project = self.single(given)
+        self._ready(project, False, True, False)
+        return sketches.distinct(self.store.read(project, "sketches"))
+
     def _levels_off(self, retired: DataFrame, meta: dict[str, str]) -> DataFrame:
         """What takes retired index rows off the counts of levels."""
         return impacts.levels(impacts.impacts(retired, float(meta["impact_mean"]), int(meta["fts_buckets"])), -1)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import ann, filters, fulltext, grams, hierarchy, impacts, ingest, search, vectors
+from ..operators import ann, filters, fulltext, grams, hierarchy, impacts, ingest, search, sketches, vectors
 from ..sources import paged
 from ..sources.store import Store, scratch, written
 from ..streaming import gate, last_seen, upsert
@@ -676,6 +676,14 @@ def name_regex(spark, d):
     return filters.named(table(spark, d, "nation"), "^u|land$", "n_name", "n_nationkey").select("n_nationkey", "n_name")
 
 
+@query(None)
+def sketch_distinct(spark, d):
+    """About how many different values each column of the events has, from the united sketches of two parts of them."""
+    rows = table(spark, d, "events")
+    parts = [sketches.of(rows.where(F.col("ts") < _CUT), "events"), sketches.of(rows.where(F.col("ts") >= _CUT), "events")]
+    return sketches.distinct(parts[0].unionByName(parts[1]))
+
+
 @query("SELECT DISTINCT doc_id AS id FROM labels WHERE doc_id IS NOT NULL")
 def id_sweep(spark, d):
     return ingest.ids(table(spark, d, "labels").select(F.to_json(F.struct(F.col("doc_id").alias("id"))).alias("record")))
@@ -741,6 +749,11 @@ _sql("sql_having", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custk
 _sql("sql_cte", "WITH big AS (SELECT o_custkey, sum(o_totalprice) AS s FROM orders GROUP BY o_custkey) SELECT c_custkey, round(s, 2) AS total FROM big JOIN customer ON c_custkey = o_custkey WHERE s > 2000000")
 _sql("sql_recursive", "WITH RECURSIVE up(k, a, steps) AS (SELECT s_suppkey, s_suppkey, 0 FROM supplier UNION ALL SELECT k, int_div(a, 2), steps + 1 FROM up WHERE a > 1) SELECT k, min(a) AS top, max(steps) AS depth FROM up GROUP BY k",
      "WITH RECURSIVE up(k, a, steps) AS (SELECT s_suppkey, s_suppkey, 0 FROM supplier UNION ALL SELECT k, a // 2, steps + 1 FROM up WHERE a > 1) SELECT k, min(a) AS top, max(steps) AS depth FROM up GROUP BY k")
+_sql(
+    "sql_dates",
+    "SELECT o_orderkey, strftime('%Y-%m', CAST(o_orderdate AS STRING), 'start of month', '-1 day') AS month_before, datetime(CAST(o_orderdate AS STRING), '+36 hours') AS later, sqlite_date(CAST(o_orderdate AS STRING), 'weekday 0') AS sunday, strftime('%j', CAST(o_orderdate AS STRING)) AS day FROM orders",
+    "SELECT o_orderkey, strftime(date_trunc('month', o_orderdate) - INTERVAL 1 DAY, '%Y-%m') AS month_before, strftime(o_orderdate + INTERVAL 36 HOUR, '%Y-%m-%d %H:%M:%S') AS later, strftime(o_orderdate + to_days(((7 - dayofweek(o_orderdate)) % 7)::INT), '%Y-%m-%d') AS sunday, strftime(o_orderdate, '%j') AS day FROM orders",
+)
 _sql("sql_window", "SELECT o_orderkey, rank() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS place, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS running FROM orders")
 _sql("sql_union", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")
 _sql("sql_union_all", "SELECT 'items' AS t, count(*) AS n FROM customer UNION ALL SELECT 'links', count(*) FROM orders")

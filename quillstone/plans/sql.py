@@ -7,6 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import dates
+
 _READS = re.compile(r"\s*(?:SELECT|WITH)\b", re.I)
 #: Logical nodes that change something, run a command or start a program.
 _WRITES = re.compile(r"Insert|Command|Create|Drop|Delete|Update|Merge|Replace|Alter|Truncate|Write|Append|Overwrite|Script|Execute|Call|SetVariable|Cache")
@@ -84,9 +86,7 @@ def register(spark: SparkSession, tables: dict[str, DataFrame]) -> None:
         r"RETURN c RLIKE concat('(?is)^', replace(replace(regexp_replace(p, '([\\\\^$.|?*+()\\[\\]{}])', '\\\\$1'), '%', '.*'), '_', '.'), '$')"
     )
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION int_div(a BIGINT, b BIGINT) RETURNS BIGINT RETURN a DIV b")
-    # SQLite's date functions on ISO texts, as far as they need no modifiers
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION julianday(t STRING) RETURNS DOUBLE RETURN unix_micros(try_cast(t AS TIMESTAMP)) / 86400000000.0D + 2440587.5D")
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION datetime(t STRING) RETURNS STRING RETURN date_format(try_cast(t AS TIMESTAMP), 'yyyy-MM-dd HH:mm:ss')")
+    dates.register(spark)
 
 
 def without_match(sql: str) -> str:

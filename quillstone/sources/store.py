@@ -240,6 +240,7 @@ class Stage:
         if table not in self.tables:
             return self.put(table, df)
         folder, order = f"{self.name}/{table}-{uuid.uuid4().hex[:8]}", LAID_OUT[table][1] if table in LAID_OUT else (KEYS.get(table, ("id",))[0],)
+        order = [o for o in order if o.lstrip("-") in df.columns] or df.columns[:1]
         temp = self.temp(f"{table}-rows", df)
         fs, p = self.store._at(f"{self.at}/_temp/{table}-rows")
         files = 1 + int(fs.getContentSummary(p).getLength()) // FILE_BYTES

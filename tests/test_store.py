@@ -76,7 +76,7 @@ def test_a_sync_of_one_item_writes_little(spark, tmp_path):
     assert e.sync(5) == "updated"
     after = files_of(e.store, 5)
     new = {f: n for f, n in after.items() if f not in before}
-    assert set(before) <= set(after) and len(new) <= 9  # a file each: items, fields_kv, the index's four tables, keys; chunks and their keys
+    assert set(before) <= set(after) and len(new) <= 10  # a file each: items, fields_kv, sketches, the index's four tables, keys; chunks and their keys
     assert sum(new.values()) < 60_000 and not any(f.split("/")[1].startswith(("relationships", "picklist")) for f in new)
     read = lambda t: e.store.read(5, t)
     assert read("items").count() == many and read("items").where("id = 3").first().name == "Renamed thing"
@@ -84,6 +84,8 @@ def test_a_sync_of_one_item_writes_little(spark, tmp_path):
     meta = e.store.meta(5)
     assert int(meta["item_count"]) == many and int(meta["field_kv_count"]) == read("fields_kv").count()
     assert (int(meta["fts_rows"]), int(meta["fts_length"])) == tuple(read("fts").agg(F.count("*"), F.sum("dl")).first())
+    counted = {(r.t, r.field): r.n for r in e.distinct(5).collect()}
+    assert abs(counted["items", "id"] - many) <= 0.05 * many and counted["items", "typeKey"] == 0 and counted["fields_kv", "key"] == read("fields_kv").select("key").distinct().count()
     assert e.sync(5) == "unchanged" and files_of(e.store, 5) == after
     # deletions write keys, and what takes them off the index's counts
     site.items = [r for r in site.items if r["id"] not in (3, 4)]
