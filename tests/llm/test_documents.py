@@ -139,11 +139,16 @@ def test_mixing_meets_its_targets_on_documents(spark):
     expected = {c: w * p[c] for c, w in weights.items()}
     for d, goal in enumerate(goals):
         assert mixing.shares(expected, d) == pytest.approx(goal, rel=2e-3) and sum(goal.values()) == pytest.approx(1)
-    assert 0.8 < sum(expected.values()) / sum(weights.values()) <= 0.8501
+    # the budget is what the scarcest wanted values allow, and no less
+    natural = [mixing.shares(weights, d) for d in range(3)]
+    budget = min(mixing.BUDGET, np.prod([min(n[v] / g[v] for v in g) for n, g in zip(natural, goals, strict=True)]))
+    assert sum(expected.values()) / sum(weights.values()) == pytest.approx(budget, rel=0.002) and budget > 0.35
+    # and the mixture isn't the corpus: half the sum of what sources and languages gain and lose
+    assert all(sum(abs(natural[d][v] - goals[d][v]) for v in goals[d]) / 2 >= 0.1 for d in (0, 1))
     found = mixing.report(docs)
     assert {r[0] for r in found} == set(mixing.WEIGHTS) and all(abs(target - achieved) < 0.01 for *_, target, achieved in found)
     natural = {(k, v): n for k, v, n, _, _ in found}
-    assert natural["source", "src0"] * 0.8 / goals[0]["src0"] == pytest.approx(natural["source", "src5"] / goals[0]["src5"])
+    assert natural["source", "src0"] * 2.0 / goals[0]["src0"] == pytest.approx(natural["source", "src5"] / goals[0]["src5"])
 
 
 def test_topics():
@@ -176,7 +181,7 @@ def test_mixing_keeps_some_of_other(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     kept = mixing.mix(docs)
     for unlisted in ("source = 'src20'", "source IS NULL", "lang = 'it'", "lang IS NULL", "source = 'src20' AND lang = 'it'"):
-        assert 0.5 < kept.where(unlisted).count() / docs.where(unlisted).count() <= 1, unlisted
+        assert 0.2 < kept.where(unlisted).count() / docs.where(unlisted).count() <= 1, unlisted
 
 
 # 4: decontamination
