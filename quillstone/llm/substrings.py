@@ -12,8 +12,8 @@ every window of it.  For the classes, in two steps:
    all, so a passage that a third of all documents hold costs a row a batch.
 2. Segments of shared anchors go to the shards, again only one of equal ones in a batch (the one with the smallest
    identifier; for the others the answer is known).  A shard lays its different segments end to end, sorts their
-   suffixes, keeps the Burrows-Wheeler transform in a wavelet matrix of packed bits with rank counts, and streams every
-   segment through it by backward search.  After 13 words the interval gives the smallest document that has the
+   suffixes, keeps the Burrows-Wheeler transform in a wavelet matrix of packed bits with rank counts (all in all less than
+   eight bytes a word, without the order of suffixes), and streams every segment through it by backward search.  After 13 words the interval gives the smallest document that has the
    window; dropping the last word leads to the interval of the first twelve, from which one more step gives the next
    window: matching statistics cut at the threshold.  Windows with a smaller document are reported as intervals.  Where
    one anchor's segments alone pass a shard's size, of equal ones only the smallest document's stays while they come, so
@@ -208,29 +208,56 @@ def shared_anchors(rows: DataFrame, common) -> DataFrame:
     return sent.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "row long, at int")
 
 
+class Bits:
+    """A bit vector: the bits, packed, and how many ones stand before each 64 of them."""
+
+    def __init__(self, bits: np.ndarray):
+        packed = np.packbits(bits, bitorder="little")
+        self.n, self.words = len(bits), np.zeros(len(bits) // 64 + 1, np.uint64)
+        self.words.view(np.uint8)[: len(packed)] = packed
+        self.counts = np.r_[0, np.cumsum(np.bitwise_count(self.words), dtype=np.int64)[:-1]].astype(np.int32)
+        self.ones = int(self.counts[-1]) + int(np.bitwise_count(self.words[-1]))
+
+    def rank(self, i: np.ndarray) -> np.ndarray:
+        """How many ones stand before position i."""
+        block = i >> 6
+        below = (np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)
+        return self.counts[block].astype(np.int64) + np.bitwise_count(self.words[block] & below)
+
+    def select(self, k: np.ndarray) -> np.ndarray:
+        """Where the k-th one (from 1) stands; the length if there are fewer."""
+        block = np.searchsorted(self.counts, np.minimum(k, self.ones), "left") - 1
+        left, word, at = np.minimum(k, self.ones) - self.counts[block], self.words[block], np.zeros(len(k), np.int64)
+        for half in (32, 16, 8, 4, 2, 1):  # which half of the word, then of the half
+            low = word & np.uint64((1 << half) - 1)
+            ones = np.bitwise_count(low).astype(np.int64)
+            high = left > ones
+            left, at = np.where(high, left - ones, left), np.where(high, at + half, at)
+            word = np.where(high, word >> np.uint64(half), low)
+        return np.where(k > self.ones, self.n, block * 64 + at)
+
+    @property
+    def nbytes(self) -> int:
+        return self.words.nbytes + self.counts.nbytes
+
+
 class WaveletMatrix:
-    """Ranks of symbols in a sequence: a packed bit vector with counts for each bit of the symbols."""
+    """Ranks of symbols in a sequence: a bit vector for each bit of the symbols."""
 
     def __init__(self, symbols: np.ndarray, sigma: int):
         self.n, self.bits, self.levels = len(symbols), max(1, int(sigma - 1).bit_length()), []
         s = symbols
         for b in range(self.bits - 1, -1, -1):
             ones = (s >> b & 1).astype(bool)
-            packed = np.packbits(ones, bitorder="little")
-            words = np.zeros(self.n // 64 + 1, np.uint64)
-            words.view(np.uint8)[: len(packed)] = packed
-            counts = np.r_[0, np.cumsum(np.bitwise_count(words), dtype=np.int64)[:-1]].astype(np.int32)
-            zeros = int(self.n - ones.sum())
-            self.levels.append((words, counts, zeros))
+            self.levels.append((Bits(ones), int(self.n - ones.sum())))
             s = np.concatenate([s[~ones], s[ones]])
 
     def rank(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
         """How often each symbol stands before position i, up to a number that depends on the symbol alone (the start
         of its run on the last level, see ``base``)."""
         at = i
-        for b, (words, counts, zeros) in zip(range(self.bits - 1, -1, -1), self.levels, strict=True):
-            block = at >> 6
-            ones = counts[block] + np.bitwise_count(words[block] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)))
+        for b, (level, zeros) in zip(range(self.bits - 1, -1, -1), self.levels, strict=True):
+            ones = level.rank(at)
             at = np.where(symbol >> b & 1, zeros + ones, at - ones)
         return at
 
@@ -239,11 +266,20 @@ class WaveletMatrix:
         every = np.arange(sigma)
         return self.rank(every, np.zeros(sigma, np.int64))
 
+    @property
+    def nbytes(self) -> int:
+        return sum(level.nbytes for level, _ in self.levels)
+
 
 class FMIndex:
-    """Over segments of word numbers laid end to end, each followed by a separator (0)."""
+    """Over segments of word numbers laid end to end, each followed by a separator (0).
+
+    The order of suffixes is needed to build it only.  What stays: the Burrows-Wheeler transform as a wavelet matrix, the
+    first place of each word's suffixes, a bit for each suffix that begins a run with the same first words (a window's, and
+    one less), and for each different window its smallest owner.  Everything else a search gets from these.
+    """
 
-    def __init__(self, text: np.ndarray, sigma: int, window: int = WINDOW):
+    def __init__(self, text: np.ndarray, sigma: int, owner: np.ndarray, window: int = WINDOW):
         n, rank, step = len(text), text.astype(np.int64), 1
         while step < window:  # prefix tripling, then doubling, up to the window: longer suffixes needn't be told apart
             key, width = rank, int(rank.max()) + 2
@@ -256,26 +292,27 @@ class FMIndex:
             rank = np.empty(n, np.int64)
             rank[order] = np.r_[0, np.cumsum(np.diff(key[order]) != 0)]
             step *= more
-        self.order = order
+        self.n = n
         self.count = np.r_[0, np.cumsum(np.bincount(text, minlength=sigma))]
         self.bwt = WaveletMatrix(text[order - 1], sigma)
         self.base = self.bwt.base(sigma)
-        self.n = n
-        self.classes, self.tops = {}, {}
-        for length in (window - 1, window):
-            self._bounds(text, length)
-
-    def _bounds(self, text: np.ndarray, length: int) -> None:
-        """Where, in suffix order, the runs of suffixes with the same first ``length`` words begin and end."""
-        n, o = self.n, self.order
-        differ = np.zeros(n, bool)
-        differ[0] = True
-        for k in range(length):
-            a, b = o[1:] + k, o[:-1] + k
-            differ[1:] |= np.where(a < n, text[np.minimum(a, n - 1)], -1) != np.where(b < n, text[np.minimum(b, n - 1)], -1)
-        starts = np.flatnonzero(differ)
-        self.classes[length] = np.cumsum(differ) - 1
-        self.tops[length] = np.r_[starts, n]
+        differ = {length: _differ(text, order, length) for length in (window - 1, window)}
+        self.shorter, self.whole = Bits(differ[window - 1]), Bits(differ[window])
+        self.owners, least = np.unique(owner, return_inverse=True)
+        self.least = np.minimum.reduceat(least[order].astype(np.int32), np.flatnonzero(differ[window]))
+
+    @property
+    def nbytes(self) -> int:
+        return self.bwt.nbytes + self.count.nbytes + self.base.nbytes + self.shorter.nbytes + self.whole.nbytes + self.owners.nbytes + self.least.nbytes
+
+    def owner(self, lo: np.ndarray) -> np.ndarray:
+        """The smallest owner of the windows whose intervals begin at lo."""
+        return self.owners[self.least[self.whole.rank(lo + 1) - 1]]
+
+    def shortened(self, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The intervals of the windows at lo without their last words."""
+        run = self.shorter.rank(lo + 1)
+        return self.shorter.select(run), self.shorter.select(run + 1)
 
     def back(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The intervals of the words before what [lo, hi) stands for."""
@@ -283,6 +320,16 @@ class FMIndex:
         return first + self.bwt.rank(symbol, lo), first + self.bwt.rank(symbol, hi)
 
 
+def _differ(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
+    """Whether each suffix, in order, differs from the one before in its first ``length`` words."""
+    n, out = len(text), np.zeros(len(text), bool)
+    out[0] = True
+    for k in range(length):
+        a, b = order[1:] + k, order[:-1] + k
+        out[1:] |= np.where(a < n, text[np.minimum(a, n - 1)], -1) != np.where(b < n, text[np.minimum(b, n - 1)], -1)
+    return out
+
+
 def first_owners(segments: pa.Array, owner: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """segments: words joined by spaces.  For each window of each segment the smallest owner of a segment that has the
     same window, one after the other, and where each segment's begin."""
@@ -293,8 +340,7 @@ def first_owners(segments: pa.Array, owner: np.ndarray, window: int = WINDOW) ->
     begin = offsets[:-1] + np.arange(len(lengths))
     text = np.zeros(int(lengths.sum()) + len(lengths), np.int64)
     text[np.arange(offsets[-1]) + np.repeat(np.arange(len(lengths)), lengths)] = coded.indices.to_numpy() + 1
-    index = FMIndex(text, len(coded.dictionary) + 1, window)
-    least = np.minimum.reduceat(np.repeat(owner, lengths + 1)[index.order], index.tops[window][:-1])
+    index = FMIndex(text, len(coded.dictionary) + 1, np.repeat(owner, lengths + 1), window)
     counts = np.maximum(0, lengths - window + 1)
     into = np.cumsum(counts) - counts
     out = np.empty(int(counts.sum()), np.int64)
@@ -308,12 +354,11 @@ def first_owners(segments: pa.Array, owner: np.ndarray, window: int = WINDOW) ->
         if done < window:
             continue
         start = at - begin[which]
-        out[into[which] + start] = least[index.classes[window][lo]]
-        # without the last word, the interval of the first window - 1 words; then one word more to the left
-        cls = index.classes[window - 1][lo]
-        lo, hi = index.tops[window - 1][cls], index.tops[window - 1][cls + 1]
+        out[into[which] + start] = index.owner(lo)
         more = start > 0
-        which, at, lo, hi = which[more], at[more], lo[more], hi[more]
+        which, at = which[more], at[more]
+        # without the last word; then one word more to the left
+        lo, hi = index.shortened(lo[more])
     return out, into
 
 

@@ -287,6 +287,41 @@ def test_fm_index_ranks():
     assert (m.rank(c, i) - base[c]).tolist() == [int((s[:k] == x).sum()) for x, k in zip(c, i, strict=True)]
 
 
+@pytest.mark.parametrize("share", [0.0, 0.01, 0.5, 1.0])
+def test_bits_rank_and_select(share):
+    rng = np.random.default_rng(2)
+    for n in (1, 63, 64, 65, 1000):
+        b = rng.random(n) < share
+        bits, places = substrings.Bits(b), np.flatnonzero(b)
+        assert bits.rank(np.arange(n + 1)).tolist() == np.r_[0, np.cumsum(b)].tolist() and bits.ones == len(places)
+        assert bits.select(np.arange(1, len(places) + 3)).tolist() == [*places.tolist(), n, n]
+
+
+def test_fm_index_is_small_and_finds_all():
+    """Segments of words with a Zipf-like frequency, some of which hold the same passages: less than eight bytes a word, the
+    order of suffixes isn't kept, and owners come from backward search alone."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    passages = [rng.zipf(1.2, 40) % 30_000 for _ in range(30)]
+    segments, owner = [], []
+    for i in range(6000):
+        parts = [rng.zipf(1.2, rng.integers(5, 40)) % 30_000, passages[i % 30][: rng.integers(1, 41)], rng.zipf(1.2, rng.integers(0, 30)) % 30_000]
+        segments.append(" ".join(f"w{x}" for x in np.concatenate(parts)).encode())
+        owner.append(int(rng.integers(-50, 10**12)))
+    least, into = substrings.first_owners(pa.array(segments, pa.binary()), np.array(owner))
+    first: dict[tuple, int] = {}
+    words = [s.split() for s in segments]
+    for w, o in zip(words, owner, strict=True):
+        for k in range(len(w) - 12):
+            first[tuple(w[k : k + 13])] = min(first.get(tuple(w[k : k + 13]), o), o)
+    for w, at in zip(words, into.tolist(), strict=True):
+        assert least[at : at + max(0, len(w) - 12)].tolist() == [first[tuple(w[k : k + 13])] for k in range(len(w) - 12)]
+    text = np.concatenate([np.r_[[int(x[1:]) + 1 for x in w], 0] for w in words])
+    index = substrings.FMIndex(text, int(text.max()) + 1, np.repeat(np.array(owner), [len(w) + 1 for w in words]))
+    assert index.nbytes < 8 * len(text) and not hasattr(index, "order")
+
+
 # 6: token shards
 
 
