@@ -12,8 +12,8 @@ every window of it.  For the classes, in two steps:
    all, so a passage that a third of all documents hold costs a row a batch.
 2. Segments of shared anchors go to the shards, again only one of equal ones in a batch (the one with the smallest
    identifier; for the others the answer is known).  A shard lays its different segments end to end, sorts their
-   suffixes, keeps the Burrows-Wheeler transform in a wavelet matrix of packed bits with rank counts (all in all less than
-   eight bytes a word, without the order of suffixes), and streams every segment through it by backward search.  After 13 words the interval gives the smallest document that has the
+   suffixes, keeps the Burrows-Wheeler transform in a wavelet matrix of packed bits with rank counts (all in all about
+   five bytes a word, without the order of suffixes), and streams every segment through it by backward search.  After 13 words the interval gives the smallest document that has the
    window; dropping the last word leads to the interval of the first twelve, from which one more step gives the next
    window: matching statistics cut at the threshold.  Windows with a smaller document are reported as intervals.  Where
    one anchor's segments alone pass a shard's size, of equal ones only the smallest document's stays while they come, so
@@ -276,7 +276,7 @@ class FMIndex:
 
     The order of suffixes is needed to build it only.  What stays: the Burrows-Wheeler transform as a wavelet matrix, the
     first place of each word's suffixes, a bit for each suffix that begins a run with the same first words (a window's, and
-    one less), and for each different window its smallest owner.  Everything else a search gets from these.
+    one less), and for each window that stands more than once its smallest owner.  Everything else a search gets from these.
     """
 
     def __init__(self, text: np.ndarray, sigma: int, owner: np.ndarray, window: int = WINDOW):
@@ -293,21 +293,25 @@ class FMIndex:
             rank[order] = np.r_[0, np.cumsum(np.diff(key[order]) != 0)]
             step *= more
         self.n = n
-        self.count = np.r_[0, np.cumsum(np.bincount(text, minlength=sigma))]
         self.bwt = WaveletMatrix(text[order - 1], sigma)
-        self.base = self.bwt.base(sigma)
+        self.first = (np.r_[0, np.cumsum(np.bincount(text, minlength=sigma))[:-1]] - self.bwt.base(sigma)).astype(np.int32)
         differ = {length: _differ(text, order, length) for length in (window - 1, window)}
         self.shorter, self.whole = Bits(differ[window - 1]), Bits(differ[window])
         self.owners, least = np.unique(owner, return_inverse=True)
-        self.least = np.minimum.reduceat(least[order].astype(np.int32), np.flatnonzero(differ[window]))
+        begin = np.flatnonzero(differ[window])
+        often = np.diff(begin, append=n) > 1
+        self.often, self.least = Bits(often), np.minimum.reduceat(least[order].astype(np.int32), begin)[often]
 
     @property
     def nbytes(self) -> int:
-        return self.bwt.nbytes + self.count.nbytes + self.base.nbytes + self.shorter.nbytes + self.whole.nbytes + self.owners.nbytes + self.least.nbytes
+        return sum(x.nbytes for x in (self.bwt, self.first, self.shorter, self.whole, self.often, self.owners, self.least))
 
-    def owner(self, lo: np.ndarray) -> np.ndarray:
-        """The smallest owner of the windows whose intervals begin at lo."""
-        return self.owners[self.least[self.whole.rank(lo + 1) - 1]]
+    def owner(self, lo: np.ndarray, hi: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """The smallest owner of the windows with these intervals; ``own`` where a window stands once, as then it is the one
+        that is looked for."""
+        out, often = own.copy(), hi - lo > 1
+        out[often] = self.owners[self.least[self.often.rank(self.whole.rank(lo[often] + 1) - 1)]]
+        return out
 
     def shortened(self, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The intervals of the windows at lo without their last words."""
@@ -316,7 +320,7 @@ class FMIndex:
 
     def back(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The intervals of the words before what [lo, hi) stands for."""
-        first = self.count[symbol] - self.base[symbol]
+        first = self.first[symbol]
         return first + self.bwt.rank(symbol, lo), first + self.bwt.rank(symbol, hi)
 
 
@@ -354,7 +358,7 @@ def first_owners(segments: pa.Array, owner: np.ndarray, window: int = WINDOW) ->
         if done < window:
             continue
         start = at - begin[which]
-        out[into[which] + start] = index.owner(lo)
+        out[into[which] + start] = index.owner(lo, hi, owner[which])
         more = start > 0
         which, at = which[more], at[more]
         # without the last word; then one word more to the left

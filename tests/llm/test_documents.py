@@ -298,7 +298,7 @@ def test_bits_rank_and_select(share):
 
 
 def test_fm_index_is_small_and_finds_all():
-    """Segments of words with a Zipf-like frequency, some of which hold the same passages: less than eight bytes a word, the
+    """Segments of words with a Zipf-like frequency, some of which hold the same passages: less than six bytes a word, the
     order of suffixes isn't kept, and owners come from backward search alone."""
     import pyarrow as pa
 
@@ -319,7 +319,7 @@ def test_fm_index_is_small_and_finds_all():
         assert least[at : at + max(0, len(w) - 12)].tolist() == [first[tuple(w[k : k + 13])] for k in range(len(w) - 12)]
     text = np.concatenate([np.r_[[int(x[1:]) + 1 for x in w], 0] for w in words])
     index = substrings.FMIndex(text, int(text.max()) + 1, np.repeat(np.array(owner), [len(w) + 1 for w in words]))
-    assert index.nbytes < 8 * len(text) and not hasattr(index, "order")
+    assert index.nbytes < 6 * len(text) and not hasattr(index, "order")
 
 
 # 6: token shards
