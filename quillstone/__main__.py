@@ -22,20 +22,31 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--base", required=True, help="the server, or a folder of <endpoint>.jsonl files")
     p.add_argument("--json", action="store_true")
     sub = p.add_subparsers(dest="command", required=True)
-    sub.add_parser("projects").add_argument("pattern", nargs="?")
-    for name in ("init", "update", "sync", "rebuild", "refresh"):
+
+    def command(name: str) -> argparse.ArgumentParser:
+        """A command with its projects, as an argument or as options."""
         c = sub.add_parser(name)
-        c.add_argument("project")
+        c.add_argument("project", nargs="?", help="numbers or names, separated by commas")
+        c.add_argument("--project", action="append", dest="projects", help="the same; may be repeated")
+        c.add_argument("--concurrency", type=int, help="tasks that ask the server for single records")
+        return c
+
+    c = sub.add_parser("projects")
+    c.add_argument("pattern", nargs="?")
+    c.add_argument("--project", action="append", dest="projects", help="expressions for names, of which one must fit")
+    c.add_argument("--all", action="store_true", help="every project, as without an expression")
+    for name in ("init", "update", "sync", "rebuild", "refresh"):
+        c = command(name)
         c.add_argument("--no-vectors", action="store_true")
         c.add_argument("--with-links", action="store_true")
         c.add_argument("--link-cap", type=int, default=0)
         c.add_argument("--prune-deleted", action="store_true")
-    sub.add_parser("status").add_argument("project", nargs="?")
-    sub.add_parser("index").add_argument("project")
+    command("status")
+    command("index")
     for name in ("search", "semantic", "query"):
-        c = sub.add_parser(name)
-        c.add_argument("project")
+        c = command(name)
         c.add_argument("text", nargs="?", help="the question, or the SQL of query")
+        c.add_argument(*(["--sql"] if name == "query" else ["--query"]), action="append", dest="texts", help="the same; parts are joined by spaces")
         c.add_argument("--offline", action="store_true")
         c.add_argument("--output", help="a file that gets the result instead of the screen")
         c.add_argument("--force", action="store_true")
@@ -49,15 +60,33 @@ def parser() -> argparse.ArgumentParser:
             c.add_argument("--approximate", action="store_true", help="look only into the near lists of the vector index")
         if name == "search":
             c.add_argument("--keyword", action="append", default=[])
-            c.add_argument("--expr")
+            c.add_argument("--expr", action="append", help="parts are joined by spaces")
             c.add_argument("--match", choices=("any", "all"), default="any")
             c.add_argument("--field", choices=("all", "name"), default="all")
-    c = sub.add_parser("purge")
-    c.add_argument("project", nargs="?")
-    c.add_argument("--all", action="store_true")
+    command("purge").add_argument("--all", action="store_true")
     return p
 
 
+def understood(a: argparse.Namespace) -> argparse.Namespace:
+    """Options and arguments that mean the same brought together; with --project the arguments begin with the text."""
+    if a.command == "projects":
+        a.pattern = "|".join(a.projects) if a.projects else a.pattern
+        return a
+    if a.projects:
+        if getattr(a, "text", None) is None and hasattr(a, "text"):
+            a.text = a.project
+        elif a.project:
+            a.projects.append(a.project)
+        a.project = ",".join(a.projects)
+    if getattr(a, "texts", None):
+        a.text = " ".join(a.texts)
+    if getattr(a, "expr", None):
+        a.expr = " ".join(a.expr)
+    if a.project is None and a.command not in ("status", "purge"):
+        raise ValueError("name a project")
+    return a
+
+
 def run(engine: Engine, a: argparse.Namespace):
     """A DataFrame, or what else the command gives."""
     if a.command == "projects":
@@ -91,10 +120,12 @@ def run(engine: Engine, a: argparse.Namespace):
 def main(args: list[str] | None = None) -> int:
     from pyspark.sql import DataFrame, SparkSession
 
-    a = parser().parse_args(args)
-    spark = SparkSession.builder.appName("quillstone").getOrCreate()
     try:
-        got = run(Engine(spark, a.root, a.base, os.environ.get("QUILLSTONE_TOKEN", "")), a)
+        a = understood(parser().parse_args(args))
+        spark = SparkSession.builder.appName("quillstone").getOrCreate()
+        engine = Engine(spark, a.root, a.base, os.environ.get("QUILLSTONE_TOKEN", ""))
+        engine.concurrency = getattr(a, "concurrency", None) or engine.concurrency
+        got = run(engine, a)
     except (Stop, ValueError, LookupError) as e:
         print(e, file=sys.stderr)
         return 2

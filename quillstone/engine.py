@@ -37,6 +37,7 @@ class Engine:
     base: str
     token: str = ""
     embedder: vectors.Embedder = field(default_factory=vectors.HashingEmbedder)
+    concurrency: int = 16  # tasks that ask the server for single records
 
     def __post_init__(self):
         self.store = Store(self.spark, self.root)
@@ -89,7 +90,7 @@ class Engine:
             old = stage.read("picklist")
             wanted = wanted.join(old, "id", "left_anti")
         r = F.col("r")
-        found = ingest.records(paged.looked_up(wanted, self.client, paged.option)).select(
+        found = ingest.records(paged.looked_up(wanted, self.client, paged.option, self.concurrency)).select(
             ingest.scalar(r, "id", "long").alias("id"), F.try_variant_get(r, "$.name", "string").alias("name"), F.try_variant_get(r, "$.pickList", "long").alias("pickList")
         )
         found = found.where("id IS NOT NULL").dropDuplicates(["id"])
@@ -128,7 +129,7 @@ class Engine:
             flat, kv = self._flat(project, raw, stage)
             flat, _ = stage.put("items", flat), stage.put("fields_kv", kv)
             mark = ingest.watermark(flat).first()[0]
-            edges = paged.links(flat.select("id"), self.client, link_cap) if with_links else self.spark.createDataFrame([], "record string")
+            edges = paged.links(flat.select("id"), self.client, link_cap, self.concurrency) if with_links else self.spark.createDataFrame([], "record string")
             stage.put("relationships", ingest.relationships(edges, self._dim("relationshiptypes", "name") if with_links else None))
             stage.put("fts", fulltext.index(flat, keep=KEPT))
             index = self._indexed(stage)

@@ -15,7 +15,8 @@ _WRITES = re.compile(r"Insert|Command|Create|Drop|Delete|Update|Merge|Replace|Al
 #: Functions that call into the Java virtual machine.
 CALLS = frozenset({"reflect", "java_method", "try_reflect"})
 VIEWS = ("items", "fields_kv", "picklist", "relationships", "meta", "fts", "chunks")
-_MATCH = re.compile(r"\bfts_match\s*\(\s*'((?:[^']|'')*)'\s*(?:,\s*'(all|name)'\s*)?\)", re.I)
+#: A search, or what it can't stand in: a literal, a quoted name or a comment, which are passed over whole.
+_MATCH = re.compile(r"\bfts_match\s*\(\s*'((?:[^']|'')*)'\s*(?:,\s*'(all|name)'\s*)?\)|'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`|--[^\n]*|/\*.*?\*/", re.I | re.S)
 
 
 class ReadOnly(ValueError):
@@ -91,7 +92,7 @@ def register(spark: SparkSession, tables: dict[str, DataFrame]) -> None:
 
 def without_match(sql: str) -> str:
     """The statement with a plain table name for each full-text search, to be looked at before there is an index."""
-    return _MATCH.sub("fts", sql)
+    return _MATCH.sub(lambda m: m[0] if m[1] is None else "fts", sql)
 
 
 def query(spark: SparkSession, sql: str, tables: dict[str, DataFrame], match: Callable[[str, str], DataFrame] | None = None) -> DataFrame:
@@ -101,6 +102,8 @@ def query(spark: SparkSession, sql: str, tables: dict[str, DataFrame], match: Ca
     if match is not None:
 
         def view(m: re.Match) -> str:
+            if m[1] is None:
+                return m[0]
             name = f"fts_match_{len(tables)}"
             tables[name] = match(m[1].replace("''", "'"), (m[2] or "all").lower())
             return name

@@ -71,6 +71,14 @@ def test_commands(spark, source, tmp_path, capsys):
     assert len(json.loads(capsys.readouterr().out)) == 2
     assert go("query", "5", "SELECT count(*) AS n FROM items", "--offline") == 0 and "61" in capsys.readouterr().out
     assert go("search", "5", "--expr", "(", "--offline") == 2 and go("search", "5", "x", "--top", "-1", "--offline") == 2
+    assert go("query", "--project", "5", "--sql", "SELECT count(*) AS n, 'fts_match(''x'')' AS t FROM items -- fts_match('y')", "--offline") == 0
+    assert "fts_match(" in capsys.readouterr().out
+    assert go("search", "--project", "Five", "--query", "user", "--query", "uploads", "--top", "1", "--offline", "--concurrency", "3") == 0
+    assert go("search", "--project", "5", "user uploads", "--expr", "upload and", "--expr", "files", "--offline", "--output", str(tmp_path / "hits.txt")) == 0
+    assert "Upload file" in (tmp_path / "hits.txt").read_text() and go("query", "--sql", "SELECT 1") == 2
+    capsys.readouterr()
+    assert go("projects", "--project", "x", "--project", "fi") == 0 and "Five" in capsys.readouterr().out and go("index", "--project", "5") == 0
+    assert go("semantic", "5", "user uploads", "--approximate", "--offline") == 0
     assert go("purge", "5") == 0 and go("status") == 0
 
 
