@@ -54,12 +54,15 @@ def levels(rows: DataFrame, sign: int = 1) -> DataFrame:
 
 @dataclass(frozen=True)
 class Early:
-    """impacts and levels: stored; forward: the index's rows of token arrays; mean: the length that impacts are of."""
+    """impacts and levels: stored; forward: the index's rows of token arrays; mean: the length that impacts are of; worth: how
+    many rows the terms must have in all for a search to end early, as reading fewer at once takes less than three short jobs
+    (the answer is the same)."""
 
     impacts: DataFrame
     levels: DataFrame
     forward: DataFrame
     mean: float
+    worth: int = 500_000
 
     def counted(self, terms: list[str], buckets: int) -> dict[str, np.ndarray]:
         """For each term the number of its items at or above each level."""
@@ -90,6 +93,8 @@ class Early:
         times: how often each term stands in the OR."""
         counts = self.counted(list(times), buckets)
         found = {t: int(n[0]) for t, n in counts.items()}
+        if sum(found.values()) < self.worth:
+            return None, found
         weights = {t: times[t] * max(float(np.log((rows_in_index - n + 0.5) / (n + 0.5))), fulltext.LEAST_IDF) for t, n in found.items() if n}
         ratio = max(1.0, mean / self.mean)
         lower = min(1.0, mean / self.mean)  # a shorter mean lowers impacts by this ratio at most
