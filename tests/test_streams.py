@@ -63,6 +63,42 @@ def test_a_stream_of_nothing(spark, tmp_path):
     assert q.exception() is None
 
 
+def test_a_folder_is_read_a_block_at_a_time(spark, tmp_path, monkeypatch):
+    import gzip
+
+    monkeypatch.setattr(paged, "BLOCK", 300)
+    monkeypatch.setattr(paged.Client, "_rows", lambda *a: pytest.fail("the whole file was read"))
+    day = lambda i: f"2024-01-{i % 28 + 1:02d}T00:00:00.000+0000"
+    at = tmp_path / "items.jsonl"
+    at.mkdir()
+    rows = [{"id": i, "modifiedDate": day(i), "name": "ä" * (i % 50)} for i in range(300)]
+    rows[7] |= {"name": "long" * 900}
+    rows[11] |= {"modifiedDate": None}
+    lines = [json.dumps(r, ensure_ascii=i % 2 > 0).encode() for i, r in enumerate(rows)]
+    (at / "part-0.txt").write_bytes(b"\n\n".join(lines[:100]))  # empty lines, none at the end
+    (at / "part-1.txt").write_bytes(b"")
+    (at / "part-2.txt.gz").write_bytes(gzip.compress(b"\n".join(lines[100:250]) + b"\n"))
+    (at / "part-3.txt").write_bytes(b"\r\n".join(lines[250:]) + b"\r\n")
+    client = paged.Client(str(tmp_path))
+    for since in ("", "2024-01-15"):
+        query = {"modifiedDate": since} if since else {}
+        want = [r for r in rows if not since or (r["modifiedDate"] or "") >= since]
+        assert client.total("items", query) == len(want) and client.told("items", query)[1] == day(27)
+        places, n = client.starts("items", query, 40)
+        assert n == len(want) and len(places) == -(-n // 40)
+        reader = paged.PagedReader({"base": str(tmp_path), "page": "40"} | ({"modifiedsince": since} if since else {}))
+        got = [[json.loads(r[0])["id"] for r in reader.read(p)] for p in reader.partitions()]
+        assert got == [[r["id"] for r in want[i : i + 40]] for i in range(0, n, 40)]
+    stream = paged.PagedStream({"base": str(tmp_path), "page": "40", "modifiedsince": "2024-01-15"})
+    end = stream.latestOffset()
+    assert end == {"mark": day(27), "since": day(27), "n": sum(r["modifiedDate"] == day(27) for r in rows)}
+    got = [json.loads(x[0])["id"] for s in stream.partitions(stream.initialOffset(), end) for x in stream.read(s)]
+    assert got == [r["id"] for r in rows if (r["modifiedDate"] or "") >= "2024-01-15"] and stream.latestOffset() == end
+    mixed = tmp_path / "mixed.jsonl"
+    mixed.write_text('{"id": 1, "modifiedDate": 5}\n{"id": 2, "modifiedDate": "2024"}\n')
+    assert client.total("mixed", {}) == 2 and client.told("mixed", {})[1] == "2024" and client.total("none", {}) == 0
+
+
 def test_only_changes_pass(spark, tmp_path):
     batches = [
         [(1, "b", 1, "x"), (1, "c", 0, "y"), (2, None, None, "n"), (None, "a", 1, "k")],
