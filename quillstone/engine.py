@@ -115,7 +115,7 @@ class Engine:
         buckets = fulltext.buckets_for(size["fts_rows"])
         stage.put("postings", fulltext.postings(fts, buckets))
         mean = size["fts_length"] / size["fts_rows"] if size["fts_length"] else 1.0
-        stage.put("levels", impacts.levels(stage.put("impacts", impacts.impacts(fts, mean, buckets))))
+        stage.put("levels", impacts.level_runs(stage.put("impacts", impacts.impacts(fts, mean, buckets))))
         return {k: str(v) for k, v in size.items()} | {"fts_buckets": str(buckets), "impact_mean": repr(mean)}
 
     def _vmeta(self, mark: str) -> dict[str, str]:

@@ -3,9 +3,9 @@
 ``index`` has one row an item: its terms in each column and their number.  A query over it is two scans (one for the
 counts that weights need, one for the scores), both with built-in functions, and a top-k.
 
-``Postings`` is the index turned around and stored: a row for each term, item and column, partitioned by a hash of the
-term and sorted by it.  A query then reads the row groups of its own terms, groups the hits of their items and takes the
-top-k, so its cost follows what its terms hit and not the collection.  Both give the same answers.
+``Postings`` is the index turned around and stored: a row for each term, item and column, in runs of some thousand items
+that are each sorted by term.  A query then reads those pages of the runs that hold its own terms, groups the hits of their
+items and takes the top-k.  Both give the same answers.
 """
 
 from __future__ import annotations
@@ -179,8 +179,8 @@ def plain_phrase(words: str) -> list[str]:
 
 
 def slices(batch: pa.RecordBatch, most: int = 32 << 20) -> Iterator[pa.RecordBatch]:
-    """Consecutive parts of a batch of about ``most`` bytes."""
-    step = max(1, int(batch.num_rows * min(1.0, most / max(1, batch.nbytes))))
+    """Consecutive parts of a batch, as many as keep each below about ``most`` bytes, of equally many rows."""
+    step = max(1, -(-batch.num_rows // max(1, -(-batch.nbytes // most))))
     for at in range(0, batch.num_rows, step):
         yield batch.slice(at, step)
 
@@ -192,25 +192,29 @@ def tokens_of(batch: pa.RecordBatch, columns) -> tuple[pa.Array, np.ndarray, np.
         lists = batch.column(c)
         n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         words.append(lists.flatten())
-        parents.append(np.repeat(np.arange(batch.num_rows), n))
-        places.append(np.arange(n.sum()) - np.repeat(n.cumsum() - n, n))
+        parents.append(np.repeat(np.arange(batch.num_rows, dtype=np.int32), n))
+        places.append((np.arange(n.sum()) - np.repeat(n.cumsum() - n, n)).astype(np.int32))
     return pa.concat_arrays(words), np.concatenate(parents), np.concatenate(places)
 
 
 def grouped(words: pa.Array, parent: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray, np.ndarray]:
-    """Equal terms of one row brought together: codes and dictionary of the terms, the order, where in it each group
-    begins, and how large it is."""
+    """Equal terms of one row brought together, sorted by term and then row: codes and dictionary of the terms, the order,
+    where in it each group begins, and how large it is."""
     encoded = words.dictionary_encode()
-    codes = encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    key = parent * max(1, len(encoded.dictionary)) + codes
+    by_term = pc.sort_indices(encoded.dictionary).to_numpy()
+    place = np.empty(len(by_term), np.int32)
+    place[by_term] = np.arange(len(by_term), dtype=np.int32)
+    codes = place[encoded.indices.to_numpy(zero_copy_only=False)]
+    key = codes.astype(np.int64) << 32 | parent
     order = np.argsort(key, kind="stable")
     first = np.flatnonzero(np.diff(key[order], prepend=-1)) if len(key) else np.zeros(0, np.int64)
-    return codes, encoded.dictionary, order, first, np.diff(first, append=len(key))
+    return codes, encoded.dictionary.take(pa.array(by_term)), order, first, np.diff(first, append=len(key))
 
 
 def postings(idx: DataFrame, buckets: int = 256) -> DataFrame:
     """The index turned around: bucket, term, id, field, dl, n (how often) and the ascending positions of the term in the
-    field.  A row holds all terms of its item, so it is turned around by itself, without a shuffle."""
+    field.  A row holds all terms of its item, so it is turned around by itself, without a shuffle; the items of a batch
+    come out sorted by term."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -237,8 +241,9 @@ def in_buckets(terms: list[str], buckets: int) -> Column:
 
 
 def buckets_for(rows: int) -> int:
-    """Buckets for so many items: a power of two, of some thousands of items each."""
-    return 1 << max(4, min(12, (rows // 4000).bit_length()))
+    """Buckets for so many items: 16, and 32 from a million on.  Each task writes a file of each, and the pages of a file
+    that hold a term are found by its runs."""
+    return 16 if rows < 1_000_000 else 32
 
 
 def stats_of(idx: DataFrame) -> DataFrame:
@@ -290,9 +295,10 @@ class Postings:
         """id, dl and hits of a phrase of several words: each word's positions say where the phrase would begin, and it
         does where all of them say so."""
         rows = self.rows(terms, columns)
-        starts = F.flatten(F.array_compact(F.array(*(F.when(F.col("term") == t, F.transform("positions", _minus(i))) for i, t in enumerate(terms)))))
-        met = rows.select("id", "dl", "field", F.explode(starts).alias("start")).groupBy("id", "dl", "field", "start").count().where(F.col("count") == len(terms))
-        return met.groupBy("id", "dl").agg(F.count("*").alias("hits"))
+        sets = {f"s{i}": F.flatten(F.collect_list(F.when(F.col("term") == t, F.transform("positions", _minus(i))))) for i, t in enumerate(terms)}
+        met = rows.groupBy("id", "dl", "field").agg(*(c.alias(k) for k, c in sets.items()))  # a column of one item at a time
+        hits = F.size(reduce(F.array_intersect, (F.col(k) for k in sets))).cast("long")
+        return met.select("id", "dl", hits.alias("hits")).groupBy("id", "dl").agg(F.sum("hits").alias("hits")).where("hits > 0")
 
 
 def phrase_hits(table: DataFrame, words: str, field: str = "all", buckets: int = 256, stemmed: bool = True) -> DataFrame:

@@ -1,8 +1,8 @@
 """Early-ending BM25: of an OR of words only the postings that can matter for the best k are read.
 
 ``impacts`` has a row for each term and item: what the term would add to the item's score for a weight of one.  It is stored
-sorted by term and falling impact, so the rows of a term above some impact are a few neighbouring pages.  ``levels`` counts
-them: how many items each term has on each of a few impact levels.  From the levels alone follows a score that at least k
+in runs sorted by term and falling impact, so the rows of a term above some impact are neighbours in each run.  ``levels``
+counts them: how many items each term has on each of a few impact levels.  From the levels alone follows a score that at least k
 items reach, and from that for every term an impact below which its rows can't lift an item into the best k on their own.
 A search reads the rows above these, keeps the items whose sum with the most that the rest could add reaches the k-th best
 sum, and scores these few exactly from their token arrays.  The answer is that of the full way, ties included.
@@ -32,7 +32,8 @@ FEW = 5_000
 
 
 def impacts(idx: DataFrame, mean: float, buckets: int) -> DataFrame:
-    """bucket, term, id and impact of each term of an index's rows; made row by row, without a shuffle."""
+    """bucket, term, id and impact of each term of an index's rows; made row by row, without a shuffle, and sorted in each
+    batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -41,6 +42,8 @@ def impacts(idx: DataFrame, mean: float, buckets: int) -> DataFrame:
                 codes, dictionary, order, first, n = fulltext.grouped(words, parent)
                 dl = batch.column(1).to_numpy()[parent[order[first]]]
                 out = n * (fulltext.K1 + 1) / (n + fulltext.K1 * (1 - fulltext.B + fulltext.B * dl / mean))
+                falling = np.lexsort((-out, codes[order[first]]))
+                first, out = first[falling], out[falling]
                 yield pa.RecordBatch.from_arrays([dictionary.take(pa.array(codes[order[first]])), batch.column(0).take(pa.array(parent[order[first]])), pa.array(out, pa.float64())], ["term", "id", "impact"])
 
     rows = idx.select("id", "dl", *(f"t_{c}" for c in fulltext.COLUMNS)).mapInArrow(run, "term string, id long, impact double")
@@ -52,6 +55,20 @@ def levels(rows: DataFrame, sign: int = 1) -> DataFrame:
     return rows.groupBy("bucket", "term", F.floor(F.col("impact") / LEVEL).cast("int").alias("level")).agg((F.count("*") * sign).alias("n"))
 
 
+def level_runs(rows: DataFrame) -> DataFrame:
+    """As ``levels``, of impacts that come sorted by term: counted as they come, without a shuffle, so a term has a row for
+    each of its levels in each run."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            level = pa.array(np.floor(batch.column(2).to_numpy() / LEVEL).astype(np.int32))
+            found = pa.table([batch.column(0), batch.column(1), level], ["bucket", "term", "level"]).group_by(["bucket", "term", "level"]).aggregate([([], "count_all")])
+            found = found.rename_columns(["bucket", "term", "level", "n"]).sort_by("term").combine_chunks()
+            yield from found.to_batches()
+
+    return rows.select("bucket", "term", "impact").mapInArrow(run, "bucket int, term string, level int, n long")
+
+
 @dataclass(frozen=True)
 class Early:
     """impacts and levels: stored; forward: the index's rows of token arrays; mean: the length that impacts are of; worth: how

@@ -252,7 +252,7 @@ def stored(spark, d, stemmed: bool = False) -> fulltext.Postings:
         size = fulltext.size_of(terms)
         buckets, mean = fulltext.buckets_for(size["fts_rows"]), size["fts_length"] / max(1, size["fts_rows"])
         made = stage.put("impacts", impacts.impacts(terms, mean, buckets))
-        early = impacts.Early(made, stage.put("levels", impacts.levels(made)), terms, mean)
+        early = impacts.Early(made, stage.put("levels", impacts.level_runs(made)), terms, mean)
         stats = fulltext.stats_row(spark, size["fts_rows"], size["fts_length"])
         _STORED[key] = fulltext.Postings(stage.put("postings", fulltext.postings(terms, buckets)), stats, buckets, own.select("id", "createdDate", "modifiedDate"), early)
         stage.commit({})

@@ -27,17 +27,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Tables that are partitioned by a column, sorted by another within, and dealt over the partition's files by a third.
-LAID_OUT = {
-    "postings": ("bucket", ("term", "id"), "id"), "impacts": ("bucket", ("term", "-impact"), "id"), "levels": ("bucket", ("term",), "term"),
-    "ann": ("list", ("chunk_id",), "item_id"), "grams": ("bucket", ("gram", "block"), "gram"),
-}
+LAID_OUT = {"ann": ("list", ("chunk_id",), "item_id")}
+#: Tables that are made in sorted runs and written as they come, without a shuffle; what their runs are sorted by.  Those in
+#: FOLDERS have a folder for each value of a column, into all of which a task writes at once.
+RUNS = {"postings": ("term", "id"), "impacts": ("term", "-impact"), "levels": ("term",), "grams": ("gram", "block")}
+FOLDERS = {"postings": "bucket", "impacts": "bucket", "levels": "bucket"}
 #: What a table's rows are retired by, where it isn't id; edges go with either end.
 KEYS = {"fields_kv": ("itemId",), "relationships": ("fromItem", "toItem"), "chunks": ("item_id",), "ann": ("item_id",)}
 #: Parts besides the first that are merged, and the share of a table's bytes in them at which it is written anew.
 MANY_PARTS, CHANGED_SHARE = 8, 0.2
 #: Retired keys (some 30 bytes each in a hash table) that are sent to all tasks at most, and bytes of a file of a part.
 BROADCAST_KEYS, FILE_BYTES = 500_000, 128 << 20
-#: Rows of a partition that one task writes.
+#: Files that a task has open at once, and rows of a partition that one task writes.
+WRITERS = 64
 PART_ROWS = 1_000_000
 
 
@@ -218,7 +220,8 @@ class Stage:
         return {"at": folder, "seq": self.seq, "bytes": int(fs.getContentSummary(p).getLength()), "schema": df.schema.jsonValue()}
 
     def put(self, table: str, df: DataFrame) -> DataFrame:
-        """Writes a table anew, sorted by its key in each file, so that few row groups hold a key."""
+        """Writes a table anew, sorted by its key in each file, so that few row groups hold a key.  One that comes in runs is
+        written as it comes: the pages of each run say which terms they hold."""
         folder = f"{self.name}/{table}-{uuid.uuid4().hex[:8]}"
         key = KEYS.get(table, ("id",))[0]
         if table in LAID_OUT:
@@ -229,17 +232,34 @@ class Stage:
             laid = temp.join(F.broadcast(files), F.col(part) == F.col("_part")).repartition(part, F.pmod(F.xxhash64(spread), F.col("_files")))
             laid.sortWithinPartitions(part, *map(_ordered, order)).drop("_part", "_files").write.partitionBy(part).parquet(f"{self.store._home(self.project)}/{folder}")
             df = df.select(*(c for c in df.columns if c != part), part)
+        elif table in RUNS:
+            df = self._runs(table, df, f"{self.store._home(self.project)}/{folder}")
         else:
             (df.sortWithinPartitions(key) if key in df.columns else df).write.parquet(f"{self.store._home(self.project)}/{folder}")
         self.tables[table] = {"parts": [self._wrote(folder, df)], "gone": []}
         self.done.add(table)
         return self.read(table)
 
+    def _runs(self, table: str, df: DataFrame, at: str) -> DataFrame:
+        """Writes rows as they come; gives them with their columns in the order of the files."""
+        if table not in FOLDERS:
+            df.write.parquet(at)
+            return df
+        df = df.select(*(c for c in df.columns if c != FOLDERS[table]), FOLDERS[table])
+        conf, several = self.store.spark.conf, "spark.sql.maxConcurrentOutputFileWriters"
+        before = conf.get(several)
+        try:
+            conf.set(several, str(WRITERS))  # with one writer at a time the rows would be sorted by folder first
+            df.write.partitionBy(FOLDERS[table]).parquet(at)
+        finally:
+            conf.set(several, before)
+        return df
+
     def add(self, table: str, df: DataFrame) -> DataFrame:
         """Writes further rows of a table, in as few files as they need, and gives them as written."""
         if table not in self.tables:
             return self.put(table, df)
-        folder, order = f"{self.name}/{table}-{uuid.uuid4().hex[:8]}", LAID_OUT[table][1] if table in LAID_OUT else (KEYS.get(table, ("id",))[0],)
+        folder, order = f"{self.name}/{table}-{uuid.uuid4().hex[:8]}", LAID_OUT[table][1] if table in LAID_OUT else RUNS.get(table) or (KEYS.get(table, ("id",))[0],)
         order = [o for o in order if o.lstrip("-") in df.columns] or df.columns[:1]
         temp = self.temp(f"{table}-rows", df)
         fs, p = self.store._at(f"{self.at}/_temp/{table}-rows")
@@ -282,7 +302,8 @@ class Stage:
         first, more = said["parts"][0], said["parts"][1:]
         changed = sum(p["bytes"] for p in [*more, *said["gone"]])
         if changed > CHANGED_SHARE * first["bytes"] and len(more) + len(said["gone"]) > MANY_PARTS // 2:
-            self.put(table, self.read(table))
+            rows = self.read(table)  # of many parts, whose runs may be short
+            self.put(table, rows.sortWithinPartitions(*map(_ordered, RUNS[table])) if table in RUNS else rows)
         elif len(more) > MANY_PARTS or len(said["gone"]) > MANY_PARTS:
             # all but the first become one part and one set of keys, which concern the first only
             gone = reduce(DataFrame.unionByName, (self.store._part(self.project, g) for g in said["gone"])) if said["gone"] else None

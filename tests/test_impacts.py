@@ -91,3 +91,23 @@ def test_updates_keep_levels(spark, tmp_path):
     stored = replace(e.postings(5), early=replace(e.postings(5).early, worth=0))
     for expression in ("large or word1", "renamed or thing"):
         assert answer(stored, expression, 5, True) == answer(e.store.read(5, "fts"), expression, 5, True)
+
+
+def test_an_index_is_written_in_sorted_runs_without_a_shuffle(spark, tmp_path):
+    df = spark.range(3000).select("id", F.concat(F.lit("w"), F.col("id") % 7, F.lit(" w"), F.col("id") % 900, F.lit(" w1")).alias("description"), F.lit(None).cast("string").alias("name"), F.lit("x").alias("stepsText"))
+    stage = Store(spark, str(tmp_path)).stage(1)
+    idx = stage.put("fts", fulltext.index(df))
+    stage.put("postings", fulltext.postings(idx, 8))
+    made = stage.put("impacts", impacts.impacts(idx, 4.0, 8))
+    runs = impacts.level_runs(made)
+    assert not any("Exchange" in x._jdf.queryExecution().executedPlan().toString() for x in (runs, impacts.impacts(idx, 4.0, 8)))
+    stage.put("levels", runs)
+    count = lambda x: {(r.bucket, r.term, r.level): r.n for r in x.groupBy("bucket", "term", "level").agg(F.sum("n").alias("n")).collect()}
+    assert count(stage.read("levels")) == count(impacts.levels(made))
+    for part in fulltext.postings(idx, 8).where("field = 'description'").select("term").rdd.glom().collect():
+        assert [r.term for r in part] == sorted(r.term for r in part)  # a batch each
+    for table in ("postings", "impacts", "levels"):
+        rows = stage.read(table)
+        files = rows.groupBy(F.input_file_name(), F.spark_partition_id()).agg(F.countDistinct("bucket").alias("n")).collect()
+        assert all(r.n == 1 for r in files) and spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+    assert not list((tmp_path / "project_id=1").glob("*/_temp/*"))  # nothing is written twice

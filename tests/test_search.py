@@ -186,3 +186,24 @@ def test_gate():
         with pytest.raises(gate.Stop) as e:
             go(**kw)
         assert e.value.action == action
+
+
+def test_analysis_of_whole_batches(spark):
+    from quillstone.functions import stem
+
+    rows = [(0, ["things", "running", "things"]), (1, None), (2, []), (3, ["Caf\u00e9s", "x", None]), (4, ["ties"])]
+    df = spark.createDataFrame(rows, "i int, w array<string>").coalesce(1)
+    got = {r.i: r.s for r in df.select("i", stem.analyze(F.col("w")).alias("s")).collect()}
+    assert got == {0: ["thing", "run", "thing"], 1: None, 2: [], 3: [stem.analyzed("Caf\u00e9s"), "x", None], 4: ["ti"]}
+
+
+def test_a_phrase_is_met_without_a_row_for_each_place(spark, stored):
+    from quillstone.operators import fulltext
+
+    words = "a b a a b c a"
+    idx = fulltext.index(spark.createDataFrame([(1, words, "a b"), (2, "b a", "a"), (3, None, "a a a")], "id long, name string, description string").withColumn("stepsText", F.lit(None).cast("string")), stemmed=False)
+    table = fulltext.postings(idx, 8)
+    for phrase, want in (("a b", {1: 3}), ("a a", {1: 1, 3: 2}), ("a a b", {1: 1}), ("b a a b c a", {1: 1}), ("c b", {})):
+        found = fulltext.phrase_hits(table, phrase, buckets=8, stemmed=False)
+        assert {r.id: r.hits for r in found.collect()} == want
+        assert "explode(" not in found._jdf.queryExecution().executedPlan().toString()
