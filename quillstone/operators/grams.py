@@ -1,6 +1,7 @@
 """A substring index: three-letter pieces of the searched texts, and the items that have them.
 
-A row is a piece, a block of 4,096 neighbouring identifiers and those of the block whose text has the piece.  A search reads
+A row is a piece, a block of 4,096 neighbouring identifiers and those of the block whose text has the piece; each batch of
+items gives a run of rows, sorted by piece (of a block that lies in several runs, each has its own).  A search reads
 the rows of some pieces of its terms' literal stretches (between wildcards), brings them together by block, and works the
 boolean tree over them as sets.  What comes out holds every match and some more; the texts of these items alone are then
 looked at.  A NOT, or a term without a stretch of three letters, may hold for any item: where such a branch decides, there
@@ -23,10 +24,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans import boolexpr
-from . import filters, ingest
+from . import filters, fulltext, ingest
 
-#: Letters of a piece, bits of an identifier within its block, folders of the table, and candidates that become constants.
+#: Letters of a piece, bits of an identifier within its block, buckets of pieces, and candidates that become constants.
 SIZE, BITS, BUCKETS, FEW = 3, 12, 64, 5_000
+#: Bytes of text, and with them about how many pieces, that are brought together at once.
+TEXTS, PIECES = 8 << 20, 4_000_000
 
 
 def pieces(text: str) -> np.ndarray:
@@ -43,20 +46,41 @@ def _bucket(gram: Column) -> Column:
 
 
 def grams(items: DataFrame) -> DataFrame:
-    """bucket, gram, block and ids (the lower bits, ascending) of items (id, name, description, stepsText)."""
+    """bucket, gram, block and ids (the lower bits, ascending) of items (id, name, description, stepsText).  The texts of a
+    batch are brought together where they are, without a shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if text.is_valid and i is not None:
-                    found = pieces(text.as_py())
-                    yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(len(found), i, np.int64))], ["gram", "id"])
-
-    rows = items.select(F.col("id").cast("long").alias("id"), filters.searched_text().alias("text")).mapInArrow(run, "gram long, id long")
-    own = F.col("id").bitwiseAND(F.lit((1 << BITS) - 1)).cast("short")
-    # a group has a block's identifiers at most
-    grouped = rows.groupBy("gram", F.shiftright("id", BITS).alias("block")).agg(F.array_sort(F.collect_set(own)).alias("ids"))
-    return grouped.select(_bucket(F.col("gram")).alias("bucket"), "gram", "block", "ids")
+        for whole in batches:
+            for batch in fulltext.slices(whole, TEXTS):
+                found, ids, n = [], [], 0
+                for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    if text.is_valid and i is not None:
+                        found.append(pieces(text.as_py()))
+                        ids.append(i)
+                        n += len(found[-1])
+                        if n >= PIECES:
+                            yield _together(found, ids)
+                            found, ids, n = [], [], 0
+                if n:
+                    yield _together(found, ids)
+
+    rows = items.select(F.col("id").cast("long").alias("id"), filters.searched_text().alias("text")).mapInArrow(run, "gram long, block long, ids array<smallint>")
+    return rows.select(_bucket(F.col("gram")).alias("bucket"), "gram", "block", "ids")
+
+
+def _together(found: list[np.ndarray], ids: list[int]) -> pa.RecordBatch:
+    """gram, block and ids of the pieces of some texts, sorted by gram and block."""
+    by_id = np.argsort(np.array(ids, np.int64), kind="stable")
+    gram = np.concatenate([found[i] for i in by_id])
+    own = np.repeat(np.array(ids, np.int64)[by_id], [len(found[i]) for i in by_id])
+    order = np.argsort(gram, kind="stable")
+    gram, own = gram[order], own[order]
+    again = np.append(False, (gram[1:] == gram[:-1]) & (own[1:] == own[:-1]))  # of a repeated identifier
+    gram, own = gram[~again], own[~again]
+    block = own >> BITS
+    first = np.flatnonzero(np.append(True, (gram[1:] != gram[:-1]) | (block[1:] != block[:-1])))
+    lists = pa.ListArray.from_arrays(np.append(first, len(own)).astype(np.int32), pa.array((own & ((1 << BITS) - 1)).astype(np.int16)))
+    return pa.RecordBatch.from_arrays([pa.array(gram[first]), pa.array(block[first]), lists], ["gram", "block", "ids"])
 
 
 def wanted(term: str, escape: bool = False) -> list[int]:

@@ -66,3 +66,12 @@ def test_updates_keep_the_index(spark, tmp_path):
         got = {r.id for r in search.like_leg(read("items"), tree, index=read("grams")).collect()}
         assert got == {r.id for r in read("items").where(filters.substring(tree)).collect()}
     assert 3 in {r.id for r in e.search(5, expr='"tirely ren"', offline=True).collect()}
+
+
+def test_pieces_are_brought_together_without_a_shuffle(spark):
+    rows = [(5, "abcd abcd"), (5, "abc"), (4096, "abc"), (-1, "xabc"), (7, "ab"), (8, None), (None, "abc"), (4, "ABC")]
+    df = spark.createDataFrame(rows, "id long, name string").withColumns({"description": F.lit(""), "stepsText": F.lit("")}).coalesce(1)
+    made = grams.grams(df)
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    abc = int(grams.pieces("abc")[0])
+    assert [(r.block, r.ids) for r in made.where(F.col("gram") == abc).collect()] == [(-1, [4095]), (0, [4, 5]), (1, [0])]
