@@ -92,7 +92,9 @@ def contains(text: Column, term: str, escape: bool = False) -> Column:
     """
     if escape or not set(term) & {"%", "_"}:
         return text.rlike(f"(?i){literal(term)}")
-    return like(text, f"%{term}%")
+    # each stretch at its first place after the one before, which is not given up again: one pass, where .* tries every place
+    stretches = ["".join("." if c == "_" else literal(c) for c in s) for s in term.split("%") if s]
+    return text.rlike("(?is)^" + "".join(f"(?>.*?{s})" for s in stretches))
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

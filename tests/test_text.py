@@ -70,3 +70,22 @@ def test_stems_equal_sqlites():
         con.execute("DELETE FROM t")
         con.execute("INSERT INTO t VALUES (?)", (w,))
         assert [stem.analyzed(w)] == [r[0] for r in con.execute("SELECT term FROM v")], w
+
+
+def test_wildcards_take_one_pass(spark):
+    import itertools
+    import re
+    import time
+
+    from quillstone.functions import text
+
+    rows = ["".join(x) for n in range(6) for x in itertools.product("aB\n", repeat=n)] + ["a\U0001f600b", ""]
+    df = spark.createDataFrame([(r,) for r in rows], "t string")
+    for term in ("a%b", "a_b", "%a", "b%", "%", "_", "%%", "a%b%a", "a_%_b", "ab%ba", "_%_%_"):
+        wild = re.compile("(?is)" + "".join({"%": ".*", "_": "."}.get(c, re.escape(c)) for c in term), re.ASCII)
+        got = {r.t for r in df.where(text.contains(F.col("t"), term)).collect()}
+        assert got == {r for r in rows if wild.search(r)}
+    long = spark.createDataFrame([("th" * 200_000,)], "t string")
+    began = time.perf_counter()
+    assert long.where(text.contains(F.col("t"), "th%th%ble the_")).count() == 0
+    assert time.perf_counter() - began < 30
