@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import ann, filters, fulltext, grams, hierarchy, impacts, ingest, search, sketches, vectors
+from ..operators import ann, filters, fulltext, grams, graph, hierarchy, impacts, ingest, search, sketches, vectors
 from ..sources import paged
 from ..sources.store import Store, scratch, written
 from ..streaming import gate, last_seen, upsert
@@ -764,7 +764,14 @@ _sql("sql_exists", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM o
 _sql("sql_rollup", "SELECT n_regionkey, n_name, count(*) AS n FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY ROLLUP (n_regionkey, n_name)")
 _sql("sql_full_join", "SELECT c_nationkey AS a, s_nationkey AS b, count(*) AS n FROM (SELECT DISTINCT c_nationkey FROM customer WHERE c_nationkey > 5) c FULL JOIN supplier ON s_nationkey = c_nationkey GROUP BY c_nationkey, s_nationkey")
 _sql("sql_theta_join", "SELECT s_suppkey, count(*) AS richer FROM supplier JOIN nation ON s_nationkey < n_nationkey GROUP BY s_suppkey")
-_sql("sql_graph_hop", "WITH e AS (SELECT l_orderkey AS f, l_partkey AS t FROM lineitem) SELECT a.f AS src, count(DISTINCT b.f) AS siblings FROM e a JOIN e b ON a.t = b.t AND a.f <> b.f GROUP BY a.f")
+
+
+@query("WITH e AS (SELECT l_orderkey AS f, l_partkey AS t FROM lineitem) SELECT a.f AS src, count(DISTINCT b.f) AS siblings FROM e a JOIN e b ON a.t = b.t AND a.f <> b.f GROUP BY a.f")
+def sql_graph_hop(spark, d):
+    """The SQL lists all pairs of orders that share a part; the operator counts the same without listing them."""
+    return graph.siblings(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("f"), F.col("l_partkey").alias("t")))
+
+
 _sql("sql_order_limit", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
 _sql("sql_case_strings", "SELECT p_partkey, upper(substr(p_name, 1, 4)) AS head, coalesce(nullif(p_brand, 'Brand#11'), 'none') AS brand, CASE WHEN p_size > 25 THEN 'big' ELSE 'small' END AS kind, abs(p_size - 25) AS off FROM part")
 _sql("sql_like_function", "SELECT p_partkey FROM part WHERE sqlite_like(p_name, '%E_%')", "SELECT p_partkey FROM part WHERE p_name ILIKE '%e_%'")
