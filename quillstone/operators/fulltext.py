@@ -31,6 +31,8 @@ if TYPE_CHECKING:
 #: The usual constants of BM25, the least weight of a term, and the length of a leg.
 K1, B, LEAST_IDF, LEG = 1.2, 0.75, 1e-6, 200
 COLUMNS = ("name", "description", "stepsText")
+#: Bytes of token arrays that are turned around at once, as one sorted run; rows of it that are given out at a time.
+RUN, OUT = 16 << 20, 100_000
 
 
 def index(items: DataFrame, stemmed: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -178,7 +180,7 @@ def plain_phrase(words: str) -> list[str]:
     return "".join(c if unicodedata.category(c)[0] in "LN" or unicodedata.category(c) == "Co" else " " for c in words.lower()).split()
 
 
-def slices(batch: pa.RecordBatch, most: int = 32 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, most: int = RUN) -> Iterator[pa.RecordBatch]:
     """Consecutive parts of a batch, as many as keep each below about ``most`` bytes, of equally many rows."""
     step = max(1, -(-batch.num_rows // max(1, -(-batch.nbytes // most))))
     for at in range(0, batch.num_rows, step):
@@ -193,7 +195,11 @@ def tokens_of(batch: pa.RecordBatch, columns) -> tuple[pa.Array, np.ndarray, np.
         n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         words.append(lists.flatten())
         parents.append(np.repeat(np.arange(batch.num_rows, dtype=np.int32), n))
-        places.append((np.arange(n.sum()) - np.repeat(n.cumsum() - n, n)).astype(np.int32))
+        place = np.arange(n.sum(), dtype=np.int32)
+        place -= np.repeat((n.cumsum() - n).astype(np.int32), n)
+        places.append(place)
+    if len(words) == 1:
+        return words[0], parents[0], places[0]
     return pa.concat_arrays(words), np.concatenate(parents), np.concatenate(places)
 
 
@@ -205,27 +211,44 @@ def grouped(words: pa.Array, parent: np.ndarray) -> tuple[np.ndarray, pa.Array,
     place = np.empty(len(by_term), np.int32)
     place[by_term] = np.arange(len(by_term), dtype=np.int32)
     codes = place[encoded.indices.to_numpy(zero_copy_only=False)]
-    key = codes.astype(np.int64) << 32 | parent
-    order = np.argsort(key, kind="stable")
-    first = np.flatnonzero(np.diff(key[order], prepend=-1)) if len(key) else np.zeros(0, np.int64)
-    return codes, encoded.dictionary.take(pa.array(by_term)), order, first, np.diff(first, append=len(key))
+    dictionary = encoded.dictionary.take(pa.array(by_term))
+    del encoded
+    key = codes.astype(np.int64)
+    key <<= 32
+    key |= parent
+    order = np.argsort(key, kind="stable").astype(np.int32)
+    key = key[order]
+    fresh = np.append(np.ones(min(1, len(key)), bool), key[1:] != key[:-1])
+    del key
+    first = np.flatnonzero(fresh)
+    return codes, dictionary, order, first, np.diff(first, append=len(order))
+
+
+def turned(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows of id, dl and the columns' terms turned around: each column's postings sorted by term, at most ``OUT`` at a time."""
+    for i, field in enumerate(COLUMNS, 2):
+        words, parent, place = tokens_of(batch, [i])
+        codes, dictionary, order, first, n = grouped(words, parent)
+        for at in range(0, len(first), OUT):
+            begin, size = first[at : at + OUT], n[at : at + OUT]
+            inside = order[begin[0] : begin[-1] + size[-1]]
+            own = pa.array(parent[order[begin]])
+            positions = pa.ListArray.from_arrays(np.append(begin - begin[0], len(inside)).astype(np.int32), pa.array(place[inside]))
+            columns = [dictionary.take(pa.array(codes[order[begin]])), batch.column(0).take(own), pa.array([field]).take(pa.array(np.zeros(len(begin), np.int64))), batch.column(1).take(own), pa.array(size.astype(np.int32)), positions]
+            yield pa.RecordBatch.from_arrays(columns, ["term", "id", "field", "dl", "n", "positions"])
+        del words, parent, place, codes, dictionary, order, first, n
 
 
 def postings(idx: DataFrame, buckets: int = 256) -> DataFrame:
     """The index turned around: bucket, term, id, field, dl, n (how often) and the ascending positions of the term in the
     field.  A row holds all terms of its item, so it is turned around by itself, without a shuffle; the items of a batch
-    come out sorted by term."""
+    come out sorted by term, a run of about ``RUN`` bytes of tokens at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole):
-                for i, field in enumerate(COLUMNS, 2):
-                    words, parent, place = tokens_of(batch, [i])
-                    codes, dictionary, order, first, n = grouped(words, parent)
-                    own = pa.array(parent[order[first]])
-                    positions = pa.ListArray.from_arrays(np.append(first, len(order)).astype(np.int32), pa.array(place[order].astype(np.int32)))
-                    columns = [dictionary.take(pa.array(codes[order[first]])), batch.column(0).take(own), pa.array([field]).take(pa.array(np.zeros(len(n), np.int64))), batch.column(1).take(own), pa.array(n.astype(np.int32)), positions]
-                    yield pa.RecordBatch.from_arrays(columns, ["term", "id", "field", "dl", "n", "positions"])
+                yield from turned(batch)
+                pa.default_memory_pool().release_unused()  # the worker lives on, and others stand beside it
 
     rows = idx.select("id", "dl", *(f"t_{c}" for c in COLUMNS)).mapInArrow(run, "term string, id long, field string, dl long, n int, positions array<int>")
     return rows.select(bucket_of(F.col("term"), buckets).alias("bucket"), "term", "id", "field", "dl", "n", "positions")

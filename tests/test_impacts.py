@@ -1,8 +1,11 @@
 """Searches that end early give what the full way gives, and read less."""
 
 import random
+import tracemalloc
 from dataclasses import replace
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,3 +114,26 @@ def test_an_index_is_written_in_sorted_runs_without_a_shuffle(spark, tmp_path):
         files = rows.groupBy(F.input_file_name(), F.spark_partition_id()).agg(F.countDistinct("bucket").alias("n")).collect()
         assert all(r.n == 1 for r in files) and spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
     assert not list((tmp_path / "project_id=1").glob("*/_temp/*"))  # nothing is written twice
+
+
+def test_turning_around_needs_little_memory():
+    """A run's working arrays take few bytes a token, and what it gives out comes in parts."""
+    rng = np.random.default_rng(7)
+    lists = [[f"w{x}" for x in rng.integers(0, 50_000, n)] for n in rng.integers(0, 2_000, 400)]
+    batch = pa.record_batch([pa.array(range(400)), pa.array([len(x) for x in lists]), pa.array([[]] * 400, pa.list_(pa.string())), pa.array(lists), pa.array([None] * 400, pa.list_(pa.string()))], ["id", "dl", *(f"t_{c}" for c in fulltext.COLUMNS)])
+    total = sum(map(len, lists))
+    tracemalloc.start()
+    for _ in fulltext.turned(batch):
+        pass
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    out = list(fulltext.turned(batch))
+    assert len(out) > 1 and max(x.num_rows for x in out) <= fulltext.OUT
+    rows = pa.Table.from_batches(out).to_pylist()
+    want = {}
+    for i, words in enumerate(lists):
+        for at, w in enumerate(words):
+            want.setdefault((w, i), []).append(at)
+    assert [(r["term"], r["id"], r["positions"]) for r in rows] == [(w, i, p) for (w, i), p in sorted(want.items())]
+    assert all(r["n"] == len(r["positions"]) and r["dl"] == len(lists[r["id"]]) and r["field"] == "description" for r in rows)
+    assert most < 48 * total
